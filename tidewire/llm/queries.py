@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.llm.exact_dedup import content_groups
+from tidewire.llm.piece_codec import encode_decode
 from tidewire.llm.secret_scan import find_secrets
 from tidewire.llm.warc import archive_pages
 
@@ -19,6 +21,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"), min_payload_bytes=0)
 
@@ -29,6 +35,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_piece_codec": op4_piece_codec,
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
 }
