@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewire.llm import quality_rules, toxicity
 from tidewire.llm.exact_dedup import content_groups
 from tidewire.llm.piece_codec import encode_decode
 from tidewire.llm.secret_scan import find_secrets
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score_documents(docs, toxicity.train(docs, labels))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -33,9 +39,16 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_rules.rate(docs, quality_rules.train(docs, labels))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_piece_codec": op4_piece_codec,
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
+    "op9_quality": op9_quality,
 }
