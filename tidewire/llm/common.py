@@ -42,7 +42,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back.
 
     The files survive a lost executor. Shuffle files of the plan that made the rows
