@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.llm import quality_rules, toxicity
 from tidewire.llm.exact_dedup import content_groups
+from tidewire.llm.packing import pack
 from tidewire.llm.piece_codec import encode_decode
 from tidewire.llm.secret_scan import find_secrets
 from tidewire.llm.warc import archive_pages
@@ -23,6 +24,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, labels))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), capacity=2048)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -46,6 +52,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_piece_codec": op4_piece_codec,
     "op5_warc": op5_warc,
