@@ -31,4 +31,26 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM hashed JOIN digits USING (page_id)
 """
 
-ORACLES = {"op3_exact_dedup": OP3, "op5_warc": OP5}
+#: Windows of 20 words; the earliest of equal ones stays, words under any other go.
+OP10 = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS win
+  FROM words, range(1, greatest(len(w) - 18, 1)) r(s)),
+firsts AS (SELECT win, min((doc_id, s)) AS first FROM windows GROUP BY win HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, s + o AS p
+  FROM windows JOIN firsts USING (win), range(20) q(o)
+  WHERE (doc_id, s) <> first),
+kept AS (
+  SELECT doc_id, string_agg(w[p], ' ' ORDER BY p) AS kept, count(*) AS n
+  FROM (SELECT doc_id, w, p FROM words, range(1, len(w) + 1) r(p)) x
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = x.doc_id AND g.p = x.p)
+  GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op3_exact_dedup": OP3, "op5_warc": OP5, "op10_substring_dedup": OP10}

@@ -12,6 +12,7 @@ from tidewire.llm.exact_dedup import content_groups
 from tidewire.llm.packing import pack
 from tidewire.llm.piece_codec import encode_decode
 from tidewire.llm.secret_scan import find_secrets
+from tidewire.llm.substring_dedup import remove_repeats
 from tidewire.llm.warc import archive_pages
 
 
@@ -50,6 +51,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate(docs, quality_rules.train(docs, labels))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), window=20, block=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -58,4 +63,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
     "op9_quality": op9_quality,
+    "op10_substring_dedup": op10_substring_dedup,
 }
