@@ -76,7 +76,7 @@ class Chunk:
         return owner, *(np.concatenate(c) for c in zip(*self.arrays, strict=True))
 
 
-#: A chunk's answer: per bucket its data, then what the chunk itself knows.
+#: A chunk's questions: per bucket its data, then what the chunk itself knows.
 Settle = Callable[[Chunk, int], tuple[list[tuple[int, bytes]], object]]
 
 
@@ -99,7 +99,8 @@ def deal_out(rows: DataFrame, gather: Callable[[dict], tuple], settle: Settle, b
         for batch in batches:
             for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 row = dict(zip(names, values, strict=True))
-                chunk.add((row["id0"], row["nul"], row["th"]), *gather(row))
+                arrays = gather(row)
+                chunk.add((row["id0"], row["nul"], row["th"], len(arrays[0])), *arrays)
                 if chunk.size >= most or len(chunk.keys) >= 60_000:
                     yield emit(chunk, number)
                     number += 1
@@ -124,10 +125,12 @@ def places(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 def settle_hits(chunk: Chunk, buckets: int) -> tuple[list[tuple[int, bytes]], object]:
     """For arrays (hashes, positions, is indexed): which indexed entries have their hash anywhere else.
 
-    Entries that meet inside the chunk are settled; the chunk sends every hash once, with its owner
-    only if it is an indexed entry that still needs an answer.
+    For hashes alone, all are indexed and have no positions. Entries that meet inside the chunk
+    are settled; the chunk sends every hash once, with its owner only if it is an indexed entry
+    that still needs an answer.
     """
-    owner, hashes, position, indexed = chunk.flat()
+    owner, hashes, *rest = chunk.flat()
+    position, indexed = rest if rest else (np.empty((len(hashes), 0), np.uint32), np.ones(len(hashes), bool))
     values, first, inverse, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
     met = count[inverse] >= 2
     asks = indexed & ~met
@@ -154,7 +157,9 @@ def read_hits(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     p = np.frombuffer(data, np.uint32, n_p, at)
     x = np.frombuffer(data, np.uint32, n_x, at + 4 * n_p)
     at += 4 * (n_p + n_x)
-    return p, x, np.frombuffer(data, np.uint16, n_x, at), np.frombuffer(data, np.uint32, n_x, at + 2 * n_x)
+    owner = np.frombuffer(data, np.uint16, n_x, at)
+    position = np.frombuffer(data, np.uint32, -1, at + 2 * n_x) if len(data) > at + 2 * n_x else np.zeros(n_x, np.uint32)
+    return p, x, owner, position
 
 
 ANSWERS = "chunk long, own boolean, data binary"
@@ -211,7 +216,7 @@ def by_document(answered: DataFrame, conclude: Callable[[tuple, np.ndarray], tup
             if own:
                 keys, found = found
             owners.append(found[0])
-            positions.append(found[1])
+            positions.append(found[1] if found[1].ndim == 1 else np.zeros(len(found[0]), np.uint32))
         owner, position = np.concatenate(owners), np.concatenate(positions)
         order = np.argsort(owner, kind="stable")
         owner, position = owner[order], position[order]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.llm import quality_rules, toxicity
 from tidewire.llm.exact_dedup import content_groups
+from tidewire.llm.jaccard_join import component_ids
 from tidewire.llm.packing import pack
 from tidewire.llm.piece_codec import encode_decode
 from tidewire.llm.secret_scan import find_secrets
@@ -46,6 +47,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return component_ids(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_rules.rate(docs, quality_rules.train(docs, labels))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_piece_codec": op4_piece_codec,
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
 }
