@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import quality_rules, toxicity
+from tidewire.llm import language_id, quality_rules, toxicity
 from tidewire.llm.exact_dedup import content_groups
 from tidewire.llm.jaccard_join import component_ids
 from tidewire.llm.packing import pack
@@ -47,6 +47,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language_id.train(table(spark, sf_dir, "documents"))
+    return language_id.identify(table(spark, sf_dir, "pages"), model)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_ids(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_piece_codec": op4_piece_codec,
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
+    "op7_language_id": op7_language_id,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,

@@ -20,6 +20,7 @@ import struct
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewire.llm.common import map_batches
 
@@ -231,3 +232,20 @@ def redact(text: str | None, mark: str = "[secret]") -> str | None:
             out += [text[at:a], mark]
         at = max(at, b)
     return "".join([*out, text[at:]])
+
+
+def mask(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars", mark: str = "[secret]") -> DataFrame:
+    """All rows and columns; texts with their secrets replaced, the size column (if there is one) to match. No shuffle."""
+    schema, at = docs.schema, docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(at).to_pylist()
+        clean = [redact(t, mark) for t in texts]
+        return batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
+
+    out = map_batches(docs, run, schema)
+    if size_col not in docs.columns or size_col == text_col:
+        return out
+    kind = docs.schema[size_col].dataType
+    changed = F.col(text_col).contains(mark)
+    return out.withColumn(size_col, F.when(changed, F.length(text_col).cast(kind)).otherwise(F.col(size_col)))
