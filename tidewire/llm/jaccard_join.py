@@ -10,10 +10,12 @@ A document is the set of its distinct five-word shingles; two link at a Jaccard
    fixed size c = 2 of these prefixes; large sets, and small ones that may link to a large one,
    stand in inverted lists (c = 1). The boundary is where the summed cost, counted over all sets by
    size, is least: number of subsets for small ones, length of the lists for large ones.
-4. Lists are scanned in two steps, so that a list of n mutual copies costs n and not n * n: each
-   member is first checked against the centre that most of its lists share, and the links found are
-   joined to components. Then only pairs of different components are checked, after a bound on
-   sizes and positions. Every check counts the exact intersection.
+4. Lists are scanned in steps, so that a list of n mutual copies costs n and not n * n. In each of a
+   few rounds every member is checked against the centre that most of its lists share: first the
+   sets with the smallest share of unshared shingles, then varying ones. The links found join
+   components, and lists inside one component drop out. At last all pairs of different components
+   that still share a list are checked, after a bound on sizes and positions. Every check counts
+   the exact intersection.
 
 Links inside a component that are not needed to connect it are not all enumerated: the result is
 each document's component, and no link between different components is lost.
@@ -50,7 +52,10 @@ from tidewire.llm.exchange import (
 
 #: Words of a shingle, and the threshold as a fraction of whole numbers.
 WORDS, NUM, DEN = 5, 80, 100
-SUBSET = 2
+#: Size of the enumerated subsets. Cost of looking at one entry of a list, where a row of the shuffle costs 1.
+SUBSET, SCAN_COST = 2, 0.05
+#: Rounds of star checks before all remaining pairs are checked; they end earlier when little joins.
+STAR_ROUNDS, LEAST_GAIN = 5, 0.02
 KEY = ["id0", "nul", "th"]
 
 
@@ -154,7 +159,8 @@ def boundary(prefixes: DataFrame) -> int:
             d = np.frombuffer(df, np.int64)
             c = sums.setdefault(size_class(n), [0.0, 0.0])
             c[0] += len(d) * (len(d) - 1) / 2
-            c[1] += float(d[: max(0, prefix(n, 1) - alone)].sum())
+            lead = d[: max(0, prefix(n, 1) - alone)]
+            c[1] += len(lead) + SCAN_COST * float(lead.sum())
         return pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int32()), pa.array([c[0] for c in sums.values()], pa.float64()), pa.array([c[1] for c in sums.values()], pa.float64())],
             names=["size", "small", "large"],
@@ -170,7 +176,7 @@ def boundary(prefixes: DataFrame) -> int:
     return at
 
 
-POSTINGS = "key long, node long, n long, place long, small boolean"
+POSTINGS = "key long, node long, n long, place long, small boolean, loose double"
 
 
 def postings(prefixes: DataFrame, bound: int) -> DataFrame:
@@ -187,13 +193,13 @@ def postings(prefixes: DataFrame, bound: int) -> DataFrame:
             if n < bound:
                 i, j = np.triu_indices(len(t), 1)
                 if len(i):
-                    parts.append((rolling_pair(t[i], t[j]), node, n, alone + i, False))
+                    parts.append((rolling_pair(t[i], t[j]), node, n, alone + i, False, alone / n))
             if n >= bound * NUM / DEN:
                 lead = t[: max(0, prefix(n, 1) - alone)]
                 if len(lead):
-                    parts.append((lead.view(np.int64), node, n, alone + np.arange(len(lead)), n < bound))
+                    parts.append((lead.view(np.int64), node, n, alone + np.arange(len(lead)), n < bound, alone / n))
         if not parts:
-            parts.append((np.empty(0, np.int64), 0, 0, np.empty(0, np.int64), False))
+            parts.append((np.empty(0, np.int64), 0, 0, np.empty(0, np.int64), False, 0.0))
         lengths = [len(p[0]) for p in parts]
         spread = lambda i, t: pa.array(np.repeat(np.array([p[i] for p in parts]), lengths).astype(t))
         return pa.RecordBatch.from_arrays(
@@ -203,6 +209,7 @@ def postings(prefixes: DataFrame, bound: int) -> DataFrame:
                 spread(2, np.int64),
                 pa.array(np.concatenate([p[3] for p in parts]).astype(np.int64)),
                 spread(4, bool),
+                spread(5, float),
             ],
             names=[c.split()[0] for c in POSTINGS.split(", ")],
         )
@@ -230,27 +237,35 @@ def may_link(a: str, b: str) -> str:
     )
 
 
-def star_pairs(posts: DataFrame) -> DataFrame:
-    """For each node the centre (smallest node of a list) that most of its lists share: a, b."""
-    centre = posts.groupBy("key").agg(
-        F.min(F.struct("small", "node", "n", "place")).alias("c"), F.count(F.lit(1)).alias("members")
-    ).filter("members > 1").select(
-        "key", F.col("c.node").alias("c_node"), F.col("c.n").alias("c_n"), F.col("c.place").alias("c_place"), F.col("c.small").alias("c_small")
+def with_roots(posts: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Postings of lists that hold two components or more, with the root of each row."""
+    placed = posts.withColumn("root", F.col("node")) if roots is None else (
+        posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     )
-    near = posts.join(centre, "key").filter("node <> c_node").filter(may_link("", "c_"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    return placed.join(mixed, "key", "left_semi")
+
+
+def star_pairs(lists: DataFrame, nth: int) -> DataFrame:
+    """For each node the centre of another component that most of its lists share: a, b.
+
+    Centres are the least loose sets at first, then ones that vary with the round.
+    """
+    order = (F.col("loose"), F.col("node")) if nth == 0 else (F.xxhash64("node", F.lit(nth)), F.col("node"))
+    centre = lists.groupBy("key").agg(F.min_by(F.struct("node", "n", "place", "small", "root"), F.struct("small", *order)).alias("c"))
+    centre = centre.select("key", *(F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "n", "place", "small", "root")))
+    near = lists.join(centre, "key").filter("root <> c_root").filter(may_link("", "c_"))
     shared = near.groupBy("node", "c_node").agg(F.count(F.lit(1)).alias("lists"))
-    return shared.groupBy("node").agg(F.max_by("c_node", F.struct("lists", F.negative("c_node"))).alias("b")).select(F.col("node").alias("a"), "b")
+    best = shared.groupBy("node").agg(F.max_by("c_node", F.struct("lists", F.negative("c_node"))).alias("c_node"))
+    return best.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
 
 
-def cross_pairs(posts: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components that share a key and pass the bounds: a, b with a < b."""
-    placed = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    rows = stored(placed.join(mixed, "key", "left_semi"), "mixed-lists")
-    x = rows.select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "place", "small", "root")))
-    y = rows.select("key", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "place", "small", "root")))
+def cross_pairs(lists: DataFrame, checked: DataFrame) -> DataFrame:
+    """Unchecked pairs of nodes of different components that share a list and pass the bounds: a, b with a < b."""
+    x = lists.select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "place", "small", "root")))
+    y = lists.select("key", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "place", "small", "root")))
     pairs = x.join(y, "key").filter("x_node < y_node and x_root <> y_root").filter(may_link("x_", "y_"))
-    return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -272,18 +287,43 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def link_classes(sets: DataFrame, buckets: int) -> DataFrame:
-    """node, root of all linked classes; sets has node, n, tokens."""
+def link_classes(sets: DataFrame, buckets: int) -> DataFrame | None:
+    """node, root of all linked classes; None if there is no link. sets has node and tokens."""
     rows = sets.select(F.col("node").alias("id0"), F.lit(False).alias("nul"), F.lit(0).cast("long").alias("th"), "tokens")
     dealt = deal_out(rows, lambda r: (np.frombuffer(r["tokens"], np.uint64),), settle_counts, buckets)
     prefixes = stored(
         answer_buckets(dealt, buckets, answer_counts).groupBy("chunk").applyInArrow(rarest_first, PREFIXES), "prefixes"
     )
     posts = stored(postings(prefixes, boundary(prefixes)), "postings")
-    first = stored(linked(star_pairs(posts), sets), "star-links")
-    roots = stored(components(first), "star-roots")
-    second = stored(linked(stored(cross_pairs(posts, roots), "cross-pairs"), sets), "cross-links")
-    return components(first.unionByName(second)) if not second.isEmpty() else roots
+    nodes = max(1, prefixes.count())
+    roots, checked = None, []
+    for nth in range(STAR_ROUNDS):
+        pairs = stored(star_pairs(with_roots(posts, roots), nth), f"star-pairs-{nth}")
+        checked.append(pairs)
+        roots, gained = merged(roots, stored(linked(pairs, sets), f"star-links-{nth}"))
+        if gained < LEAST_GAIN * nodes:
+            break
+    lists = stored(with_roots(posts, roots), "mixed-lists")
+    seen = checked[0]
+    for pairs in checked[1:]:
+        seen = seen.unionByName(pairs)
+    rest = stored(cross_pairs(lists, seen), "cross-pairs")
+    return merged(roots, stored(linked(rest, sets), "cross-links"))[0]
+
+
+def merged(roots: DataFrame | None, links: DataFrame) -> tuple[DataFrame | None, int]:
+    """(node, root of all linked nodes; links found) after more links; they are drawn between roots."""
+    found = links.count()
+    if not found:
+        return roots, 0
+    if roots is None:
+        return stored(components(links), "roots"), found
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    moved = components(between.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    over = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    old = over.select("node", F.coalesce("top", "root").alias("root"))
+    return stored(old.unionByName(moved.join(roots, "node", "left_anti")), "roots"), found
 
 
 def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,7 +358,11 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "classes",
     )
     roots = link_classes(classes.select("node", "tokens"), max(8, buckets // 4))
-    named = classes.select("node", "sig", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = classes.select("node", "sig", "first")
+    if roots is not None:
+        named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    else:
+        named = named.withColumn("root", F.col("node"))
     firsts = named.groupBy("root").agg(F.min("first").alias("first"))
     of_sig = named.select("sig", "root").join(firsts, "root").select("sig", "first")
     of_doc = sets.select(*KEY, "sig").distinct().join(of_sig, "sig").select(*KEY, "first")
