@@ -42,14 +42,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+def files_for(rows: int, per_file: int = 250_000) -> int:
+    """Files of a scratch table: in proportion to its rows, so that small tables do not come in crumbs."""
+    return max(1, -(-rows // per_file))
+
+
+def stored(df: DataFrame, label: str, files: int | None = None, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back.
 
+    With `files`, narrow rows are dealt evenly to that many files; every file costs a few calls of
+    the store, whatever its size.
+
     The files survive a lost executor. Shuffle files of the plan that made the rows
     are no longer needed, so the driver is asked to let go of them.
     """
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, label)
+    if files:
+        df = df.repartition(files)
     df.write.option("compression", codec).parquet(path)
     del df
     free_shuffles(spark)

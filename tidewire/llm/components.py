@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import stored
+from tidewire.llm.common import files_for, stored
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -34,14 +34,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges has two columns of node numbers; direction and repeats do not matter.
     """
     a, b = edges.columns
-    now = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), "links")
-    before = None
+    now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()
+    files, before = None, None
     for nth in range(most_rounds):
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if state == before or not state[0]:
             break
-        before = state
-        now = stored(small_star(large_star(now)), f"stars-{nth}")
+        before, files = state, files or files_for(state[0])
+        now = stored(small_star(large_star(small_star(large_star(now)))), f"stars-{nth}", files)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

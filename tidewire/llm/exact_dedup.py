@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import stored
+from tidewire.llm.common import files_for, stored
 
 
 def md5_128(text: Column) -> Column:
@@ -39,6 +39,7 @@ def content_groups(
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")
     ).withColumn("h", hash_of(F.col("body")))
+    files = files_for(docs.count())
     groups = stored(
         rows.groupBy("h")
         .agg(
@@ -47,6 +48,7 @@ def content_groups(
             (F.min("body") != F.max("body")).alias("collides"),
         ),
         "content-groups",
+        files,
     )
     # One row per (content, id): repeated rows are told apart by their number, not by a window.
     singles = rows.select("id", "h", F.sha2("body", 256).alias("text_sha256"))
@@ -88,7 +90,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     verdicts = content_groups(docs, id_col, text_col, keep).filter("kept")
     kept = stored(
-        verdicts.select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")), "kept-copies"
+        verdicts.select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")), "kept-copies", files_for(docs.count())
     )
     marked = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
     staying = marked.join(

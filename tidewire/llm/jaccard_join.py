@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import map_batches, rolling, small_batches, stored, word_hashes
+from tidewire.llm.common import files_for, map_batches, rolling, small_batches, stored, word_hashes
 from tidewire.llm.components import components
 from tidewire.llm.exchange import (
     Chunk,
@@ -287,28 +287,28 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def link_classes(sets: DataFrame, buckets: int) -> DataFrame | None:
+def link_classes(sets: DataFrame, buckets: int, files: int) -> DataFrame | None:
     """node, root of all linked classes; None if there is no link. sets has node and tokens."""
     rows = sets.select(F.col("node").alias("id0"), F.lit(False).alias("nul"), F.lit(0).cast("long").alias("th"), "tokens")
     dealt = deal_out(rows, lambda r: (np.frombuffer(r["tokens"], np.uint64),), settle_counts, buckets)
     prefixes = stored(
-        answer_buckets(dealt, buckets, answer_counts).groupBy("chunk").applyInArrow(rarest_first, PREFIXES), "prefixes"
+        answer_buckets(dealt, buckets, answer_counts).groupBy("chunk").applyInArrow(rarest_first, PREFIXES), "prefixes", files
     )
-    posts = stored(postings(prefixes, boundary(prefixes)), "postings")
+    posts = stored(postings(prefixes, boundary(prefixes)).coalesce(files * 4), "postings")
     nodes = max(1, prefixes.count())
     roots, checked = None, []
     for nth in range(STAR_ROUNDS):
-        pairs = stored(star_pairs(with_roots(posts, roots), nth), f"star-pairs-{nth}")
+        pairs = stored(star_pairs(with_roots(posts, roots), nth), f"star-pairs-{nth}", files)
         checked.append(pairs)
-        roots, gained = merged(roots, stored(linked(pairs, sets), f"star-links-{nth}"))
+        roots, gained = merged(roots, stored(linked(pairs, sets), f"star-links-{nth}", files))
         if gained < LEAST_GAIN * nodes:
             break
-    lists = stored(with_roots(posts, roots), "mixed-lists")
+    lists = stored(with_roots(posts, roots), "mixed-lists", files)
     seen = checked[0]
     for pairs in checked[1:]:
         seen = seen.unionByName(pairs)
-    rest = stored(cross_pairs(lists, seen), "cross-pairs")
-    return merged(roots, stored(linked(rest, sets), "cross-links"))[0]
+    rest = stored(cross_pairs(lists, seen), "cross-pairs", files)
+    return merged(roots, stored(linked(rest, sets), "cross-links", files))[0]
 
 
 def merged(roots: DataFrame | None, links: DataFrame) -> tuple[DataFrame | None, int]:
@@ -317,19 +317,20 @@ def merged(roots: DataFrame | None, links: DataFrame) -> tuple[DataFrame | None,
     if not found:
         return roots, 0
     if roots is None:
-        return stored(components(links), "roots"), found
+        return stored(components(links), "roots", files_for(found)), found
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
     moved = components(between.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     over = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     old = over.select("node", F.coalesce("top", "root").alias("root"))
-    return stored(old.unionByName(moved.join(roots, "node", "left_anti")), "roots"), found
+    every = old.unionByName(moved.join(roots, "node", "left_anti"))
+    return stored(every, "roots", files_for(roots.count() + found)), found
 
 
 def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs its key (id0, nul, th), n_shingles and first: the key of its component's first document."""
     rows = keyed(docs, id_col, text_col)
-    buckets = bucket_count(rows)
+    buckets, files = bucket_count(rows), files_for(docs.count())
     dealt = deal_out(rows.select(*KEY, "body"), lambda r: (shingles(r["body"]),), settle_hits, buckets)
     sizes = stored(
         by_document(
@@ -338,6 +339,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             "n long, open boolean",
         ),
         "set-sizes",
+        files,
     )
     open_keys = sizes.filter("open").select(*KEY).distinct()
 
@@ -349,15 +351,16 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         )
 
     sets = stored(
-        map_batches(rows.join(open_keys, KEY, "left_semi").select(*KEY, "body"), make, "id0 long, nul boolean, th long, sig binary, tokens binary"), "sets"
+        map_batches(rows.join(open_keys, KEY, "left_semi").select(*KEY, "body"), make, "id0 long, nul boolean, th long, sig binary, tokens binary").coalesce(files * 8), "sets"
     )
     classes = stored(
         sets.groupBy("sig")
         .agg(F.min(F.struct("id0", "nul", "th")).alias("first"), F.min("tokens").alias("tokens"))
+        .coalesce(files * 8)
         .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
-    roots = link_classes(classes.select("node", "tokens"), max(8, buckets // 4))
+    roots = link_classes(classes.select("node", "tokens"), max(8, buckets // 4), files)
     named = classes.select("node", "sig", "first")
     if roots is not None:
         named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -385,7 +388,7 @@ def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The first document of each component, with all its columns; repeated rows are reduced to one."""
     found = join_documents(docs, id_col, text_col)
     first = found.filter(F.struct(*KEY) == F.col("first")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("times"))
-    first = stored(first.select(*(F.col(c).alias(f"__{c}") for c in KEY), "times"), "firsts")
+    first = stored(first.select(*(F.col(c).alias(f"__{c}") for c in KEY), "times"), "firsts", files_for(docs.count()))
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     marked = docs.withColumns({"__id0": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "__nul": F.col(id_col).isNull(), "__th": F.xxhash64(body)})
     keys = ["__id0", "__nul", "__th"]

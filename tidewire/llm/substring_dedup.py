@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import map_batches, rolling, stored, word_hashes
+from tidewire.llm.common import files_for, map_batches, rolling, stored, word_hashes
 from tidewire.llm.exchange import (
     Chunk,
     answer_buckets,
@@ -121,14 +121,14 @@ def repeats(docs: DataFrame, window: int, block: int) -> DataFrame:
     if 2 * block > window + 1:
         raise ValueError("a window must hold a whole block of any alignment")
     key = ["id0", "nul", "th"]
-    buckets = bucket_count(docs)
+    buckets, files = bucket_count(docs), files_for(docs.count())
     dealt = deal_out(docs, lambda r: anchors(r["body"], block), settle_hits, buckets)
     found = by_document(
         answer_buckets(dealt, buckets, answer_hits),
         lambda _, position: (np.unique(position).tobytes(),) if len(position) else None,
         "hits binary",
     )
-    hits = stored(found, "anchor-hits")
+    hits = stored(found, "anchor-hits", files)
     merged = hits.groupBy(*key).agg(F.collect_set("hits").alias("hits"))
 
     def windows(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +143,7 @@ def repeats(docs: DataFrame, window: int, block: int) -> DataFrame:
         lambda _, position: (runs(position).tobytes(),) if len(position) else None,
         "runs binary",
     )
-    return stored(later, "repeats")
+    return stored(later, "repeats", files)
 
 
 def remove_repeats(
