@@ -25,11 +25,18 @@ def num(x: Column) -> Column:
     return F.when(F.isnan(n) | (F.abs(n) == float("inf")), None).otherwise(n)
 
 
-@F.pandas_udf("double")
-def round2(x: pd.Series) -> pd.Series:
-    """Two digits, halves away from zero on the exact binary value: 1.005 is less than a half."""
+def exact_cents(x: pd.Series) -> pd.Series:
     cent = Decimal("0.01")
-    return x.map(lambda v: None if pd.isna(v) else float(Decimal(float(v)).quantize(cent, ROUND_HALF_UP)))
+    return x.map(lambda v: None if pd.isna(v) else float(Decimal(float(v)).quantize(cent, ROUND_HALF_UP))).astype("float64")
+
+
+def round2(x: Column | str) -> Column:
+    """Two digits, halves away from zero on the exact binary value: 1.005 is less than a half.
+
+    Decimal rounding of the engine starts from the shortest text of a number, which differs at ties,
+    so this one function runs in Python, on columns of quotes.
+    """
+    return F.pandas_udf(exact_cents, "double")(x)
 
 
 #: Sizes of change at which the heat scale steps up.
