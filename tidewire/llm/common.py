@@ -42,7 +42,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def files_for(rows: int, per_file: int = 250_000) -> int:
+def files_for(rows: int, per_file: int = 100_000) -> int:
     """Files of a scratch table: in proportion to its rows, so that small tables do not come in crumbs."""
     return max(1, -(-rows // per_file))
 

@@ -10,12 +10,12 @@ A document is the set of its distinct five-word shingles; two link at a Jaccard
    fixed size c = 2 of these prefixes; large sets, and small ones that may link to a large one,
    stand in inverted lists (c = 1). The boundary is where the summed cost, counted over all sets by
    size, is least: number of subsets for small ones, length of the lists for large ones.
-4. Lists are scanned in steps, so that a list of n mutual copies costs n and not n * n. In each of a
-   few rounds every member is checked against the centre that most of its lists share: first the
-   sets with the smallest share of unshared shingles, then varying ones. The links found join
-   components, and lists inside one component drop out. At last all pairs of different components
-   that still share a list are checked, after a bound on sizes and positions. Every check counts
-   the exact intersection.
+4. Lists are scanned in steps, so that a list of n mutual copies costs n and not n * n. Every member
+   is checked against the centre that most of its lists share: the sets with the smallest share of
+   unshared shingles are the centres, and varying ones in further rounds if these do badly. The
+   links found join components, and lists inside one component drop out. At last all pairs of
+   different components that still share a list are checked, after a bound on sizes and
+   positions. Every check counts the exact intersection.
 
 Links inside a component that are not needed to connect it are not all enumerated: the result is
 each document's component, and no link between different components is lost.
@@ -52,10 +52,12 @@ from tidewire.llm.exchange import (
 
 #: Words of a shingle, and the threshold as a fraction of whole numbers.
 WORDS, NUM, DEN = 5, 80, 100
-#: Size of the enumerated subsets. Cost of looking at one entry of a list, where a row of the shuffle costs 1.
-SUBSET, SCAN_COST = 2, 0.05
-#: Rounds of star checks before all remaining pairs are checked; they end earlier when little joins.
-STAR_ROUNDS, LEAST_GAIN = 5, 0.02
+#: Size of the enumerated subsets. Cost of looking at one entry of a list (some nanoseconds inside a
+#: join), where a row of the shuffle (some microseconds) costs 1.
+SUBSET, SCAN_COST = 2, 0.005
+#: Rounds of star checks before all remaining pairs are checked. Another round follows only where so
+#: small a share of the checked pairs linked that other centres may do better.
+STAR_ROUNDS, GOOD_CENTRES = 4, 0.5
 KEY = ["id0", "nul", "th"]
 
 
@@ -295,15 +297,14 @@ def link_classes(sets: DataFrame, buckets: int, files: int) -> DataFrame | None:
         answer_buckets(dealt, buckets, answer_counts).groupBy("chunk").applyInArrow(rarest_first, PREFIXES), "prefixes", files
     )
     posts = stored(postings(prefixes, boundary(prefixes)).coalesce(files * 4), "postings")
-    nodes = max(1, prefixes.count())
     roots, checked = None, []
     for nth in range(STAR_ROUNDS):
         pairs = stored(star_pairs(with_roots(posts, roots), nth), f"star-pairs-{nth}", files)
         checked.append(pairs)
-        roots, gained = merged(roots, stored(linked(pairs, sets), f"star-links-{nth}", files))
-        if gained < LEAST_GAIN * nodes:
+        roots, found = merged(roots, stored(linked(pairs, sets), f"star-links-{nth}", files))
+        if found >= GOOD_CENTRES * pairs.count():
             break
-    lists = stored(with_roots(posts, roots), "mixed-lists", files)
+    lists = stored(with_roots(posts, roots), "mixed-lists", files * 4)
     seen = checked[0]
     for pairs in checked[1:]:
         seen = seen.unionByName(pairs)
@@ -330,7 +331,8 @@ def merged(roots: DataFrame | None, links: DataFrame) -> tuple[DataFrame | None,
 def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs its key (id0, nul, th), n_shingles and first: the key of its component's first document."""
     rows = keyed(docs, id_col, text_col)
-    buckets, files = bucket_count(rows), files_for(docs.count())
+    n_docs = docs.count()
+    buckets, files, parts = bucket_count(rows), files_for(n_docs), files_for(n_docs, 16_000)
     dealt = deal_out(rows.select(*KEY, "body"), lambda r: (shingles(r["body"]),), settle_hits, buckets)
     sizes = stored(
         by_document(
@@ -351,12 +353,12 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         )
 
     sets = stored(
-        map_batches(rows.join(open_keys, KEY, "left_semi").select(*KEY, "body"), make, "id0 long, nul boolean, th long, sig binary, tokens binary").coalesce(files * 8), "sets"
+        map_batches(rows.join(open_keys, KEY, "left_semi").select(*KEY, "body"), make, "id0 long, nul boolean, th long, sig binary, tokens binary").coalesce(parts), "sets"
     )
     classes = stored(
         sets.groupBy("sig")
         .agg(F.min(F.struct("id0", "nul", "th")).alias("first"), F.min("tokens").alias("tokens"))
-        .coalesce(files * 8)
+        .coalesce(parts)
         .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
