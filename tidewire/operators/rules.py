@@ -142,4 +142,5 @@ def re2(terms: list[str], anchored: bool = False) -> tuple[str, list[tuple[str,
 
 
 def plain(term: str) -> str:
-    return term.replace("@", r"\b").replace("~", r"(?:$|[^\p{L}\p{N}])")
+    # Before white space an edge is given; spelled out it would consume that space.
+    return term.replace("@", r"\b").replace(r"~\s", r"\s").replace("~", r"(?:$|[^\p{L}\p{N}])")

@@ -60,7 +60,7 @@ def with_articles(previous: DataFrame, articles: DataFrame) -> DataFrame:
     return joined.withColumns(
         {
             "contentHtml": F.coalesce("__own", F.when(flagged, F.nullif("__html", F.lit("")))),
-            "contentTruncated": F.when(F.col("__own").isNotNull(), "__own_cut").otherwise(F.when(flagged, F.col("__cut"))),
+            "contentTruncated": F.when(F.col("__own").isNotNull(), F.col("__own_cut")).otherwise(F.when(flagged, F.col("__cut"))),
         }
     ).drop("__id", "__html", "__cut", "__own", "__own_cut")
 

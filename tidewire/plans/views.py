@@ -1,0 +1,143 @@
+"""The driver's tables in the shapes of the operators, as frames and as SQL of the same meaning."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: The mapping of sources used by queries and tests: source, key, ids. A key with / is a first path segment.
+MAPPING = [(f"src{i}", key, ids) for i in range(20) for key, ids in (
+    ("View", ["world"]),
+    ("click", ["tech", "nope"]),
+    ("purchase", ["business", "markets"]),
+    ("signup / new", ["culture"]),
+    *([("/es", ["ru", "world"])] if i % 4 == 0 else []),
+    *([("/fr", [])] if i % 5 == 0 else []),
+)]
+DEFAULTS = [(f"src{i}", ["science"]) for i in range(0, 20, 6)]
+DENY = [("src3", "/1"), ("src4", "7.jpg"), ("src0", "/55.")]
+WANTED = ("tech", "world", "business")
+HIDDEN = ("src1", "src7")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a feed: documents with the events of the same number. Title is the first line."""
+    docs, events = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
+    text = F.col("text")
+    both = docs.join(events.select(F.col("event_id").alias("doc_id"), "ts", "event_type"), "doc_id")
+    url = F.concat(F.lit("https://"), "source", F.lit(".example/"), "lang", F.lit("/"), F.substring(F.md5(text), 1, 12))
+    cut = F.instr(text, "\n")
+    rows = both.select(
+        F.col("doc_id").alias("ord"),
+        url.alias("url"),
+        F.col("source").alias("sourceId"),
+        F.upper("source").alias("sourceName"),
+        F.when(cut > 0, F.substring(text, F.lit(1), cut - 1)).otherwise(text).alias("title"),
+        F.when(cut > 0, F.substring(text, cut + 1, F.length(text))).otherwise("").alias("excerpt"),
+        F.col("ts").cast("timestamp").alias("publishedAt"),
+        F.array("event_type", F.concat("event_type", F.lit(" / "), "lang")).alias("sourceCategories"),
+        F.col("lang"),
+        (F.col("n_chars") >= 500).alias("hasContent"),
+        F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("https://img.example/"), (F.col("doc_id") % 97).cast("string"), F.lit(".jpg"))).alias("image"),
+    )
+    return rows.withColumn("id", F.substring(F.sha1("url"), 1, 16))
+
+
+FEED = """feed AS (
+  SELECT d.doc_id AS ord, 'https://' || source || '.example/' || lang || '/' || substr(md5(text), 1, 12) AS url,
+         substr(sha1('https://' || source || '.example/' || lang || '/' || substr(md5(text), 1, 12)), 1, 16) AS id,
+         source AS source_id, upper(source) AS source_name,
+         CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, 1, strpos(text, chr(10)) - 1) ELSE text END AS title,
+         CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS excerpt,
+         e.ts AS published_at, e.event_type, lang, n_chars >= 500 AS has_content,
+         CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE 'https://img.example/' || (d.doc_id % 97)::VARCHAR || '.jpg' END AS image
+  FROM documents d JOIN events e ON e.event_id = d.doc_id)"""
+
+
+def mapping(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    rows = [(s, k, ids, i) for i, (s, k, ids) in enumerate(MAPPING)]
+    return spark.createDataFrame(rows, "sourceId string, key string, ids array<string>, ord int"), spark.createDataFrame(DEFAULTS, "sourceId string, ids array<string>")
+
+
+def headline_stories(items: DataFrame) -> DataFrame:
+    """Stories that need no clustering: one headline in two outlets or more. Newest member heads; pos by headline."""
+    from tidewire.functions.text import title_key
+
+    rows = items.withColumn("key", title_key("title")).filter("key <> ''")
+    by = rows.groupBy("key").agg(
+        F.count_distinct("sourceId").cast("int").alias("sources"),
+        F.max("publishedAt").alias("publishedAt"),
+        F.sort_array(F.collect_set(F.struct(F.negative(F.unix_micros("publishedAt")).alias("t"), "ord", "id"))).alias("m"),
+        F.min("ord").alias("pos"),
+    ).filter("sources >= 2")
+    return by.select(F.col("m.id")[0].alias("id"), F.col("key").alias("title"), "sources", "publishedAt", F.array_distinct("m.id").alias("itemIds"), "pos")
+
+
+KEY = "trim(regexp_replace(replace(lower(title), 'ё', 'е'), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+STORIES = f"""keyed AS (SELECT *, {KEY} AS key FROM feed),
+stories AS (
+  SELECT first(id ORDER BY published_at DESC, ord) AS story_id, key, count(DISTINCT source_id)::INT AS sources,
+         max(published_at) AS story_at, min(ord) AS pos
+  FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT source_id) >= 2),
+members AS (
+  SELECT story_id, sources, story_at, pos, id AS item_id, min(rn) AS member
+  FROM (SELECT s.*, k.id, row_number() OVER (PARTITION BY s.key ORDER BY k.published_at DESC, k.ord) AS rn
+        FROM stories s JOIN keyed k USING (key)) x
+  GROUP BY ALL),
+story_of AS (
+  SELECT item_id, arg_max(story_id, (pos, member)) AS story_id, arg_max(sources, (pos, member)) AS sources
+  FROM members GROUP BY item_id)"""
+
+
+def board(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(securities, marketdata): parts as shares, their order lines as the day's trading. All cells are text."""
+    part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    money = lambda c: F.col(c).cast("decimal(18,2)")
+    securities = part.select(
+        F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("SECID"),
+        F.col("p_name").alias("SHORTNAME"),
+        F.when(F.col("p_partkey") % 11 != 0, F.replace(money("p_retailprice").cast("string"), F.lit("."), F.lit(","))).alias("PREVPRICE"),
+        F.when(F.col("p_size") % 3 == 0, (money("p_retailprice") * F.col("p_size") * 1000).cast("string")).otherwise("").alias("ISSUECAPITALIZATION"),
+        F.col("p_partkey").alias("ord"),
+    )
+    trades = lines.groupBy("l_partkey").agg(
+        F.sum(money("l_extendedprice")).alias("total"), F.max(money("l_extendedprice")).alias("top"), F.sum("l_linenumber").alias("k"), F.max("l_shipdate").alias("at")
+    )
+    marketdata = trades.select(
+        F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("SECID"),
+        F.when(F.col("k") % 7 != 0, F.col("top").cast("string")).alias("LAST"),
+        F.when(F.col("l_partkey") % 2 == 0, (F.col("k") % 23 - 11).cast("string")).alias("LASTTOPREVPRICE"),
+        F.col("total").cast("string").alias("VALTODAY"),
+        F.when(F.col("l_partkey") % 50 == 3, "N").otherwise("").alias("TRADINGSTATUS"),
+        F.when(F.col("l_partkey") % 40 == 1, F.date_format("at", "yyyy-MM-dd HH:mm:ss")).alias("SYSTIME"),
+        F.col("l_partkey").alias("ord"),
+    )
+    return securities, marketdata
+
+
+def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("ticker"), F.when(F.col("p_partkey") % 9 != 0, F.col("p_brand")).alias("sector"))
+
+
+BOARD = """sec AS (
+  SELECT 'T' || p_partkey AS secid, p_name AS name, p_partkey AS k,
+         CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_retailprice AS DECIMAL(18,2))::DOUBLE END AS prev,
+         CASE WHEN p_size % 3 = 0 THEN (CAST(p_retailprice AS DECIMAL(18,2)) * p_size * 1000)::DOUBLE END AS cap,
+         CASE WHEN p_partkey % 9 <> 0 THEN p_brand ELSE 'Прочие' END AS sector
+  FROM part),
+md AS (
+  SELECT 'T' || l_partkey AS secid, l_partkey AS ord,
+         CASE WHEN sum(l_linenumber) % 7 <> 0 THEN max(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE END AS last,
+         CASE WHEN l_partkey % 2 = 0 THEN (sum(l_linenumber) % 23 - 11)::DOUBLE END AS chg,
+         sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE AS turnover
+  FROM lineitem GROUP BY l_partkey),
+shares AS (
+  SELECT secid AS ticker, name, sector, coalesce(last, prev) AS price,
+         coalesce(chg, CASE WHEN prev <> 0 THEN (coalesce(last, prev) - prev) / prev * 100 END, 0) AS change,
+         turnover, CASE WHEN cap > 0 THEN cap ELSE turnover END AS weight,
+         CASE WHEN cap > 0 THEN 'capitalisation' ELSE 'turnover' END AS basis, ord
+  FROM md JOIN sec USING (secid) WHERE coalesce(last, prev) IS NOT NULL)"""
