@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidewire.operators import rules
-from tidewire.functions.text import ENDINGS, MIN_STEM, STOPWORDS
+from tidewire.functions.text import ENDINGS, MIN_STEM, REDACTED, SECRET_ASSIGNED, SECRET_PARAM, SECRET_PATTERNS, SECRET_URL_USER, STOPWORDS
 from tidewire.plans import golden
 from tidewire.plans.views import BOARD, DEFAULTS, DENY, FEED, HIDDEN, KEY, MAPPING, STORIES, WANTED
 
@@ -364,6 +364,29 @@ i AS (SELECT *, lower(title || ' ' || excerpt || ' ' || coalesce(({SPICE})[(ord
 hits AS ({' UNION ALL '.join(f"SELECT '{k}' AS ticker, id, published_at, ord FROM i WHERE {c}" for k, c in NEWS)})
 SELECT ticker, id, (row_number() OVER (PARTITION BY ticker ORDER BY published_at DESC, ord))::INT AS rn FROM hits QUALIFY rn <= 6"""
 
+
+
+def redacted(x: str) -> str:
+    for pattern in SECRET_PATTERNS:
+        x = f"regexp_replace({x}, {lit(pattern)}, '{REDACTED}', 'g')"
+    x = f"regexp_replace({x}, {lit(SECRET_URL_USER)}, '\\1{REDACTED}@', 'g')"
+    for pattern in (SECRET_PARAM, SECRET_ASSIGNED):
+        x = f"regexp_replace({x}, {lit(pattern)}, '\\1{REDACTED}', 'g')"
+    return x
+
+
+ORACLES["redacted"] = f"SELECT doc_id, length(clean) AS chars FROM (SELECT doc_id, text, {redacted('text')} AS clean FROM documents) x WHERE clean <> text"
+EDGES = r"'^[\s\x{A0}\x{FEFF}]+|[\s\x{A0}\x{FEFF}]+$', '', 'g'"
+ORACLES["index_and_articles"] = f"""WITH {FEED},
+i AS (SELECT ord, {redacted('title')} AS title, regexp_replace({redacted('excerpt')}, {EDGES}) AS e FROM feed),
+h AS (SELECT *, CASE WHEN ord % 4 = 0 THEN 8 WHEN length(e) > 500 THEN
+  length(replace(replace(replace(replace(replace(e, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;')) + 7 END AS n FROM i)
+SELECT ord::VARCHAR AS id, title, n IS NOT NULL AS has_content, n AS html_chars FROM h"""
+
+ORACLES["breaker"] = """WITH a AS (SELECT (user_id % 40)::VARCHAR AS host, event_id, ((event_id * 7 + user_id) % 4 <> 0)::INT AS bad FROM events),
+s AS (SELECT *, sum(bad) OVER (PARTITION BY host ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) = 5 AS streak FROM a)
+SELECT host, event_id::VARCHAR AS url, NOT coalesce(bool_or(streak) OVER (PARTITION BY host ORDER BY event_id ROWS UNBOUNDED PRECEDING), FALSE) AS asked FROM s"""
+
 # --- terms ----------------------------------------------------------------------------------
 
 COUNTS = f"""counts AS (

@@ -363,7 +363,7 @@ def fetch_statistics(spark, sf_dir):
 def breaker(spark, sf_dir):
     """SRC3, ST6: which requests a host that keeps failing still gets."""
     e = views.table(spark, sf_dir, "events")
-    a = e.select((F.col("user_id") % 40).cast("string").alias("host"), F.col("event_id").cast("string").alias("url"), (F.hash("event_id") % 4 == 0).alias("ok"), F.col("ts").alias("at"))
+    a = e.select((F.col("user_id") % 40).cast("string").alias("host"), F.col("event_id").cast("string").alias("url"), ((F.col("event_id") * 7 + F.col("user_id")) % 4 == 0).alias("ok"), F.col("event_id").alias("at"))
     return live.breaker_fold(a)
 
 
