@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import files_for, stored
+from tidewire.llm.common import checkpointed, files_for
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -35,13 +35,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     a, b = edges.columns
     now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()
-    files, before = None, None
-    for nth in range(most_rounds):
+    before = None
+    for _ in range(most_rounds):
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if state == before or not state[0]:
             break
-        before, files = state, files or files_for(state[0])
-        now = stored(small_star(large_star(small_star(large_star(now)))), f"stars-{nth}", files)
+        before = state
+        # Each star reads its input several times, so every one is cut off: plans stay small.
+        files = files_for(state[0])
+        now = checkpointed(small_star(checkpointed(large_star(now), files)), files)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

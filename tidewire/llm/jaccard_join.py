@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import files_for, map_batches, rolling, small_batches, stored, word_hashes
+from tidewire.llm.common import checkpointed, files_for, map_batches, rolling, small_batches, stored, word_hashes
 from tidewire.llm.components import components
 from tidewire.llm.exchange import (
     Chunk,
@@ -293,23 +293,21 @@ def link_classes(sets: DataFrame, buckets: int, files: int) -> DataFrame | None:
     """node, root of all linked classes; None if there is no link. sets has node and tokens."""
     rows = sets.select(F.col("node").alias("id0"), F.lit(False).alias("nul"), F.lit(0).cast("long").alias("th"), "tokens")
     dealt = deal_out(rows, lambda r: (np.frombuffer(r["tokens"], np.uint64),), settle_counts, buckets)
-    prefixes = stored(
-        answer_buckets(dealt, buckets, answer_counts).groupBy("chunk").applyInArrow(rarest_first, PREFIXES), "prefixes", files
-    )
+    prefixes = checkpointed(answer_buckets(dealt, buckets, answer_counts).groupBy("chunk").applyInArrow(rarest_first, PREFIXES), files)
     posts = stored(postings(prefixes, boundary(prefixes)).coalesce(files * 4), "postings")
     roots, checked = None, []
     for nth in range(STAR_ROUNDS):
-        pairs = stored(star_pairs(with_roots(posts, roots), nth), f"star-pairs-{nth}", files)
+        pairs = checkpointed(star_pairs(with_roots(posts, roots), nth), files)
         checked.append(pairs)
-        roots, found = merged(roots, stored(linked(pairs, sets), f"star-links-{nth}", files))
+        roots, found = merged(roots, checkpointed(linked(pairs, sets), files))
         if found >= GOOD_CENTRES * pairs.count():
             break
-    lists = stored(with_roots(posts, roots), "mixed-lists", files * 4)
+    lists = checkpointed(with_roots(posts, roots), files * 4)
     seen = checked[0]
     for pairs in checked[1:]:
         seen = seen.unionByName(pairs)
-    rest = stored(cross_pairs(lists, seen), "cross-pairs", files)
-    return merged(roots, stored(linked(rest, sets), "cross-links", files))[0]
+    rest = checkpointed(cross_pairs(lists, seen), files)
+    return merged(roots, checkpointed(linked(rest, sets), files))[0]
 
 
 def merged(roots: DataFrame | None, links: DataFrame) -> tuple[DataFrame | None, int]:
@@ -318,14 +316,14 @@ def merged(roots: DataFrame | None, links: DataFrame) -> tuple[DataFrame | None,
     if not found:
         return roots, 0
     if roots is None:
-        return stored(components(links), "roots", files_for(found)), found
+        return components(links), found
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
     moved = components(between.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     over = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     old = over.select("node", F.coalesce("top", "root").alias("root"))
     every = old.unionByName(moved.join(roots, "node", "left_anti"))
-    return stored(every, "roots", files_for(roots.count() + found)), found
+    return checkpointed(every, files_for(roots.count() + found)), found
 
 
 def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

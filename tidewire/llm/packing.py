@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewire.llm.common import files_for, small_batches, stored
+from tidewire.llm.common import checkpointed, files_for, small_batches, stored
 
 #: Split pattern of the byte-level vocabulary (a fixed value of the tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -256,9 +256,7 @@ def pack_round(
     rows = items.count()
     shards, files = max(1, -(-rows // shard_items)), files_for(rows)
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(nth)), F.lit(shards)))
-    shard = stored(
-        dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("row", "length"))).alias("items")), f"shards-{nth}", files
-    )
+    shard = checkpointed(dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("row", "length"))).alias("items")), files)
     small_batches(spark)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +268,7 @@ def pack_round(
 
     tasks = min(max(shards * islands, 1), max(spark.sparkContext.defaultParallelism * 3, shards // 8))
     state = shard.select("shard", F.col("items.length").alias("sizes")).mapInArrow(begin, STATE)
-    state = stored(epoch(state.repartition(tasks, "shard", "island"), capacity, generations, population, nth * 100), f"islands-{nth}", files)
+    state = checkpointed(epoch(state.repartition(tasks, "shard", "island"), capacity, generations, population, nth * 100), files)
     for e in range(1, epochs):
         best = state.groupBy("shard").agg(F.min("n_bins").alias("least"))
         open_ = state.join(best, "shard").filter("least > bound").drop("least")
@@ -279,7 +277,7 @@ def pack_round(
         movers = open_.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elite").alias("migrant"))
         moved = open_.drop("migrant").join(movers, ["shard", "island"]).select(*[f.name for f in STATE_SCHEMA])
         done = state.join(best, "shard").filter("least <= bound").drop("least")
-        state = stored(done.unionByName(epoch(moved.repartition(tasks, "shard", "island"), capacity, generations, population, nth * 100 + e)), f"islands-{nth}-{e}", files)
+        state = checkpointed(done.unionByName(epoch(moved.repartition(tasks, "shard", "island"), capacity, generations, population, nth * 100 + e)), files)
     winner = state.groupBy("shard").agg(F.min_by("elite", F.struct("n_bins", "island")).alias("elite"))
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +296,7 @@ def pack_round(
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["row", "shard", "bin", "place", "room"])
 
     both = shard.join(winner, "shard").select("shard", F.col("items.row").alias("rows"), F.col("items.length").alias("lengths"), "elite")
-    return stored(both.select("shard", "rows", "lengths", "elite").mapInArrow(end, "row long, shard long, bin int, place long, room long"), f"packed-{nth}", files)
+    return checkpointed(both.select("shard", "rows", "lengths", "elite").mapInArrow(end, "row long, shard long, bin int, place long, room long"), files)
 
 
 STATE_SCHEMA = pa.schema(
@@ -339,7 +337,7 @@ def pack(
         if last:
             break
         left = packed.filter(F.col("room") > slack).select("row")
-        items = stored(items.join(left, "row"), f"left-{nth}", files_for(left.count()))
+        items = checkpointed(items.join(left, "row"), files_for(left.count()))
         if items.isEmpty():
             break
     return pieces.join(placed, "row").select(
