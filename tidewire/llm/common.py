@@ -103,15 +103,19 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
 
 
 class Memo(dict):
-    """A dict that fills itself by a function and starts anew when it is full."""
+    """A dict that fills itself by a function and stays bounded.
+
+    When it is full it becomes the old generation, from which what is asked for again comes back.
+    """
 
     def __init__(self, make: Callable, most: int = 200_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old[key] if key in self.old else self.make(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
