@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,16 +53,14 @@ def stored(df: DataFrame, label: str, files: int | None = None, codec: str = "sn
     With `files`, narrow rows are dealt evenly to that many files; every file costs a few calls of
     the store, whatever its size.
 
-    The files survive a lost executor. Shuffle files of the plan that made the rows
-    are no longer needed, so the driver is asked to let go of them.
+    The files survive a lost executor.
     """
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, label)
     if files:
         df = df.repartition(files)
-    df.write.option("compression", codec).parquet(path)
-    del df
-    free_shuffles(spark)
+    with cleaned_shuffles(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -75,12 +73,20 @@ def checkpointed(df: DataFrame, files: int = 1) -> DataFrame:
     base = scratch_dir(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
-    return df.repartition(files).checkpoint()
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with cleaned_shuffles(spark):
+        return df.repartition(files).checkpoint()
+
+
+@contextmanager
+def cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries inside go when each query ends; their rows are in the store by then."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def small_batches(spark: SparkSession) -> None:
