@@ -131,10 +131,11 @@ def test_archive_files(spark, tmp_path, codec):
     warc.archive_pages(frame, path=str(tmp_path / "w"), codec=codec).count()
     seen = []
     for f in (tmp_path / "w").glob("part-*"):
-        data = warc.plain(f.read_bytes())
+        data = f.read_bytes()
+        assert warc.opened(data).read(10) == b"WARC/1.1\r\n"
         for headers, block in warc.records(data):
-            assert data.startswith(b"WARC/1.1\r\n") and int(headers["content-length"]) == len(block)
-            head, _, payload = bytes(block).partition(b"\r\n\r\n")
+            assert int(headers["content-length"]) == len(block)
+            head, _, payload = block.partition(b"\r\n\r\n")
             if headers["warc-type"] == "response":
                 assert warc.digest_of(headers) == b32encode(hashlib.sha1(payload).digest()).decode()
                 seen.append(headers["warc-record-id"])
@@ -143,10 +144,14 @@ def test_archive_files(spark, tmp_path, codec):
     assert len(set(seen)) == 5
 
 
-def test_gzip_members():
+def test_gzip_members_and_broken_files():
     import gzip
 
-    assert warc.plain(gzip.compress(b"ab") + gzip.compress(b"cd")) == b"abcd"
+    record = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    assert [b for _, b in warc.records(gzip.compress(record) + gzip.compress(record))] == [b"ab", b"ab"]
+    for broken in (record[:-5], b"HTTP/1.1\r\n", record + b"x"):
+        with pytest.raises(ValueError):
+            list(warc.records(broken))
 
 
 # --- queries with SQL -----------------------------------------------------------------------

@@ -13,14 +13,15 @@ without an id comes after those with one. Extra columns are not read. An empty t
 
 from __future__ import annotations
 
-import zlib
+import gzip
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import scratch_path, small_batches
+from tidewire.llm.common import cleaned_shuffles, scratch_path, small_batches
 
 #: Fixed values of the format.
 VERSION, CRLF, RECORD_END = "WARC/1.1", "\r\n", "\r\n\r\n"
@@ -74,9 +75,9 @@ def response_records(pages: DataFrame, id_col: str, url_col: str, payload_col: s
 
 def write_archives(records: DataFrame, path: str, per_file: int = 20_000, codec: str = "gzip") -> None:
     """Records, one per row, as WARC files; a file is bounded by a number of records."""
-    records.select("value").write.option("lineSep", RECORD_END).option("maxRecordsPerFile", per_file).option(
-        "compression", codec
-    ).text(path)
+    writer = records.select("value").write.option("lineSep", RECORD_END).option("compression", codec)
+    with cleaned_shuffles(records.sparkSession):
+        writer.option("maxRecordsPerFile", per_file).text(path)
 
 
 def archives(spark, path: str) -> DataFrame:
@@ -86,36 +87,32 @@ def archives(spark, path: str) -> DataFrame:
     ).load(path).select("path", "content")
 
 
-def plain(content: bytes) -> bytes:
-    """The bytes of an archive; gzip files may have one member or one per record."""
-    if content[:2] != b"\x1f\x8b":
-        return content
-    parts = []
-    while content:
-        d = zlib.decompressobj(31)
-        parts.append(d.decompress(content))
-        content = d.unused_data
-    return b"".join(parts)
-
-
-def records(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """(headers by lower-case name, block) of each record, parted by Content-Length."""
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines[1:])}
-        start = end + 4
-        stop = start + int(headers["content-length"])
-        yield headers, view[start:stop]
-        at = stop + 4  # CRLF CRLF ends a record
-
-
-def http_length(block: memoryview) -> int:
+def opened(content: bytes) -> io.BufferedIOBase:
+    """The bytes of an archive as a stream; gzip files may have one member or one per record."""
+    raw = io.BytesIO(content)
+    return gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw
+
+
+def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of each record, parted by Content-Length; one record is held at a time."""
+    stream = opened(content)
+    while first := stream.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record where one should start: {first[:40]!r}")
+        headers = {}
+        while (line := stream.readline().rstrip(b"\r\n")):
+            name, _, value = line.decode("utf-8", "replace").partition(": ")
+            headers[name.lower()] = value
+        size = int(headers["content-length"])
+        block = stream.read(size)
+        if len(block) != size or stream.read(4) != b"\r\n\r\n":  # what ends a record
+            raise ValueError(f"record {headers.get('warc-record-id')} is cut off")
+        yield headers, block
+
+
+def http_length(block: bytes) -> int:
     """Content-Length of the HTTP header in a block: the full payload's, for revisits too."""
-    head = bytes(block[:4096]).partition(b"\r\n\r\n")[0].decode("latin-1")
+    head = block[:4096].partition(b"\r\n\r\n")[0].decode("latin-1")
     return next(int(x.partition(":")[2]) for x in head.split(CRLF) if x.lower().startswith("content-length:"))
 
 
@@ -147,7 +144,7 @@ def read_headers(files: DataFrame) -> DataFrame:
                         h["warc-type"],
                         number(h.get("warc-x-refers-to-page-id")),
                     )
-                    for nth, (h, block) in enumerate(records(plain(content.as_py())))
+                    for nth, (h, block) in enumerate(records(content.as_py()))
                 ]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=names)
@@ -195,7 +192,7 @@ def deduplicated(files: DataFrame, revisits: DataFrame) -> DataFrame:
             for content, nths, ids, refs in zip(*batch.columns, strict=True):
                 turned = {n: (i, r) for n, i, r in zip(nths.as_py() or [], ids.as_py() or [], refs.as_py() or [], strict=True)}
                 out, size = [], 0
-                for nth, (headers, block) in enumerate(records(plain(content.as_py()))):
+                for nth, (headers, block) in enumerate(records(content.as_py())):
                     out.append(fresh(headers, block, turned.get(nth)))
                     size += len(out[-1])
                     if size > 4 << 20:
@@ -211,9 +208,9 @@ def deduplicated(files: DataFrame, revisits: DataFrame) -> DataFrame:
 SPELLED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-X-Page-Id", "WARC-Payload-Digest", "Content-Type")
 
 
-def fresh(headers: dict[str, str], block: memoryview, origin: tuple[int | None, str] | None) -> bytes:
+def fresh(headers: dict[str, str], block: bytes, origin: tuple[int | None, str] | None) -> bytes:
     """A record for the new archive, without its record end."""
-    body, own = bytes(block), dict(headers)
+    body, own = block, dict(headers)
     extra = []
     if origin:
         body = body[: body.index(b"\r\n\r\n") + 4]  # the HTTP header alone
@@ -234,11 +231,18 @@ def archive_pages(
     date: str = "2024-01-01T00:00:00Z",
     path: str | None = None,
     codec: str = "gzip",
+    file_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """Write, resolve, rewrite; the headers of the deduplicated archives, which lie at path."""
+    """Write, resolve, rewrite; the headers of the deduplicated archives, which lie at path.
+
+    An archive file holds about file_bytes of payload (by the mean of all pages), and is one row
+    when it is read back.
+    """
     spark = pages.sparkSession
     raw, out = scratch_path(spark, "warc-raw"), path or scratch_path(spark, "warc")
-    write_archives(response_records(pages, id_col, url_col, payload_col, date), raw, codec=codec)
+    mean = pages.agg(F.avg(F.octet_length(F.col(payload_col).cast("string")))).first()[0] or 0
+    per_file = max(1, int(file_bytes / (mean + 500)))
+    write_archives(response_records(pages, id_col, url_col, payload_col, date), raw, per_file, codec)
     revisits = resolve(read_headers(archives(spark, raw)), min_payload_bytes)
-    write_archives(deduplicated(archives(spark, raw), revisits), out, codec=codec)
+    write_archives(deduplicated(archives(spark, raw), revisits), out, per_file, codec)
     return read_headers(archives(spark, out)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
