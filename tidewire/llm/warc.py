@@ -73,9 +73,9 @@ def response_records(pages: DataFrame, id_col: str, url_col: str, payload_col: s
     )
 
 
-def write_archives(records: DataFrame, path: str, per_file: int = 20_000, codec: str = "gzip") -> None:
-    """Records, one per row, as WARC files; a file is bounded by a number of records."""
-    writer = records.select("value").write.option("lineSep", RECORD_END).option("compression", codec)
+def write_archives(records: DataFrame, path: str, per_file: int = 20_000, codec: str = "gzip", effort: str = "BEST_SPEED") -> None:
+    """Records, one per row, as WARC files; a file is bounded by a number of records. effort is gzip's."""
+    writer = records.select("value").write.option("lineSep", RECORD_END).option("compression", codec).option("zlib.compress.level", effort)
     with cleaned_shuffles(records.sparkSession):
         writer.option("maxRecordsPerFile", per_file).text(path)
 
