@@ -86,7 +86,7 @@ def test_structures():
     broken = bytearray(RSA)
     broken[5] ^= 0x55
     assert "der_key" not in kinds(b64(bytes(broken)))
-    assert not kinds(b64(BITS)) and not kinds(f"eyJ{'a' * 30}.eyJ{'b' * 30}.cccc")
+    assert not kinds(b64(BITS)) and not kinds(f"eyJ{'z' * 30}.eyJ{'y' * 30}.zzzz")
     span = next(s for s in secret_scan.scan(f"см. {TOKEN}")[1])
     assert f"см. {TOKEN}"[span[1] : span[2]] == TOKEN
 
@@ -107,7 +107,7 @@ def test_secret_query_and_mask(spark):
         want = brute.base_spans(t)
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in want) for k in ("assign", "access", "hex"))
-        assert set(",".join(f"{k}:{a}:{b}" for k, a, b in want).split(",")) <= set(r.spans.split(","))
+        assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(r.spans.split(","))
     assert secret_scan.find_secrets(docs(spark, [])).count() == 0
     masked = secret_scan.mask(docs(spark, texts), size_col="score").orderBy("doc_id").collect()
     assert [r.text for r in masked[:3]] == texts[:3] and [r.score for r in masked[:3]] == [1, 1, 1]
