@@ -18,11 +18,10 @@ def pick(*names: Column) -> Column:
 
 def num(x: Column) -> Column:
     """A finite number, or null. The first comma is a decimal point; blank text is zero."""
-    s = F.regexp_replace(x.cast("string"), f"^[{SPACE}]+|[{SPACE}]+$", "")
-    plain = F.regexp_replace(s, "^([^,]*),", "$1.")
-    ok = plain.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$")
-    n = F.when(ok, plain.try_cast("double")).when((s == "") & (x.cast("string") != ""), F.lit(0.0))
-    return F.when(F.isnan(n) | (F.abs(n) == float("inf")), None).otherwise(n)
+    # The value stands once in the expression: quotes nest several of these.
+    s = F.regexp_replace(F.regexp_replace(x.cast("string"), f"^[{SPACE}]+$", "0"), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    number = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?(?:[0-9]{1,2}|[12][0-9]{2}))?$"
+    return F.regexp_extract(F.regexp_replace(s, "^([^,]*),", "$1."), number, 0).try_cast("double")
 
 
 def exact_cents(x: pd.Series) -> pd.Series:
