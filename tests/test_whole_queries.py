@@ -1,0 +1,29 @@
+"""Queries that do the whole job where another one's SQL holds rows back."""
+
+import duckdb
+
+from tidewire.plans.oracles import ORACLES
+from tidewire.plans.queries import QUERIES
+
+from .test_queries import rows
+
+WIDE = "/root/testdata/sf0.01"
+
+
+def both(spark, name, tables, sf=WIDE):
+    """Rows by Spark and by SQL, as comparable text; and Spark's rows."""
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    result = con.execute(ORACLES[name])
+    want = rows([c[0] for c in result.description], result.fetchall())
+    df = QUERIES[name](spark, sf)
+    got = df.collect()
+    return rows(df.columns, [tuple(r) for r in got]), want, got
+
+
+def test_similar_items_beyond_the_newest_300(spark):
+    got, want, pairs = both(spark, "similar_items_kept", ("documents", "events"))
+    few = QUERIES["similar_items"](spark, WIDE).collect()
+    assert got == want and len(pairs) > len(few)
+    assert {i for p in pairs for i in (p.a, p.b)} - {i for p in few for i in (p.a, p.b)}
