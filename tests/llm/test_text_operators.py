@@ -233,6 +233,13 @@ def test_held_out_labels_are_not_learned(spark):
     assert toxicity.keep_clean(d, one).count() == 60
 
 
+def test_a_cut_sample_keeps_the_class_ratio(spark):
+    d = docs(spark, ["a plain text"] * 400)
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(400)], "doc_id long, toxic int")
+    score = lambda most: toxicity.train(d, labels, most=most).score(["a plain text"])[0]
+    assert score(40) == pytest.approx(score(8000), abs=1e-6) and score(40) < 0.2
+
+
 def test_toxicity_corner_cases(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     d = docs(spark, [None, "", "word " * 50000, "x"]).unionByName(docs(spark, ["y"]).selectExpr("cast(null as long) doc_id", "text", "id", "score"))

@@ -151,12 +151,14 @@ def train_forest(
     bins: int = 32,
     ridge: float = 1.0,
     min_rows: int = 10,
+    weight: np.ndarray | None = None,
 ) -> Forest:
-    """Newton boosting with histogram splits; y is 0 or 1; monotone has -1, 0 or 1 for each feature."""
+    """Newton boosting with histogram splits; y is 0 or 1; monotone has -1, 0 or 1 for each feature; rows may have weights."""
     n, m = x.shape if x.ndim == 2 else (0, len(monotone))
     nodes: list[list] = []  # feature, threshold, left, right, value
     roots: list[int] = []
-    share = y.mean() if n else 1.0
+    weight = np.ones(n) if weight is None else weight
+    share = np.average(y, weights=weight) if n else 1.0
     base = float(np.log(np.clip(share, 1e-3, 1 - 1e-3) / np.clip(1 - share, 1e-3, 1 - 1e-3)))
     if n and 0 < share < 1:
         edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(m)]
@@ -210,7 +212,7 @@ def train_forest(
 
         for _ in range(trees):
             p = 1 / (1 + np.exp(-score))
-            roots.append(grow(np.arange(n), p - y, np.maximum(p * (1 - p), 1e-6), 0, -4.0, 4.0))
+            roots.append(grow(np.arange(n), weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6), 0, -4.0, 4.0))
     cols = list(zip(*nodes, strict=True)) if nodes else [(), (), (), (), ()]
     return Forest(
         np.array(cols[0], np.int32), np.array(cols[1], float), np.array(cols[2], np.int32), np.array(cols[3], np.int32),

@@ -331,12 +331,16 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Lexicon and forest from at most `most` labelled ids (half of each class at most), none held out.
 
+    The forest's rows are weighted by the share of their class that was taken, so that a score means
+    the same whether or not the sample was cut.
     Terms are counted where the texts are and summed by a grouped aggregation; the driver gets the
     4000 terms with most toxic documents, then the features of the sample.
     """
     usable = ~held_out(id_col)
     halves = [labelled_sample(docs, labels, label, most // 2, id_col, text_col, usable & (F.col(label) == y)) for y in (1, 0)]
     sample = halves[0].unionByName(halves[1])
+    known = labels.filter(usable & F.col(id_col).isNotNull()).agg(*(F.count(F.when(F.col(label) == y, 1)) for y in (0, 1))).first()
+    weights = np.array([n / max(min(n, most // 2), 1) for n in known], float)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, ys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -368,7 +372,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
     pairs = sorted((r["x"], r["y"]) for r in map_batches(sample, features, "x array<double>, y int").collect())
     x = np.array([p[0] for p in pairs], float).reshape(-1, len(FEATURES))
-    model.forest = train_forest(x, np.array([bool(p[1]) for p in pairs], float), list(FEATURES.values()))
+    y = np.array([bool(p[1]) for p in pairs], int)
+    model.forest = train_forest(x, y.astype(float), list(FEATURES.values()), weight=weights[y])
     return model
 
 
