@@ -233,6 +233,18 @@ def test_held_out_labels_are_not_learned(spark):
     assert toxicity.keep_clean(d, one).count() == 60
 
 
+def test_misspelled_words_under_a_stem():
+    texts = ["you idiot"] * 60 + ["you idiots"] * 25 + ["you idiotic"] * 15 + ["a plain text"] * 900
+    counts = toxicity.count_terms(texts, [1] * 100 + [0] * 900)
+    lexicon = toxicity.learn_lexicon([(*k, *v) for k, v in counts.items()], 100, 900, 200, 2700)
+    found = {(e.term, e.stem): e for e in lexicon.entries}
+    assert {("idio", True), ("idiot", False), ("idiots", False), ("idiotic", False)} <= set(found)
+    hit = lambda w: (m := lexicon.match(w)) and (m[0], lexicon.entries[m[1]].term)
+    assert hit("iidiot") == (1, "idiot") and hit("ldiot") == (1, "idiot") and hit("ldiotic") == (1, "idiotic")
+    assert hit("idiots") == (0, "idiots") and hit("idiocy") == (0, "idio") and hit("idle") is None
+    assert found["idio", True].toxic_rate == pytest.approx(0.5 / 201) and found["idio", True].weight > 5
+
+
 def test_a_cut_sample_keeps_the_class_ratio(spark):
     d = docs(spark, ["a plain text"] * 400)
     labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(400)], "doc_id long, toxic int")

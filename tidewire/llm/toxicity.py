@@ -192,26 +192,41 @@ def evidence(a: int, b: int, n1: int, n0: int) -> float:
 
 
 def learn_lexicon(counts: list, n1: int, n0: int, w1: int, w0: int, most: int = 120, least: float = 20.0) -> Lexicon:
-    """Entries with enough evidence, best first; a term that extends or begins a taken one needs clearly more.
+    """Entries with enough evidence, best first: at most `most` terms that neither extend nor begin another.
+
+    Stems that do are left out, as they count the same words again. Whole words that do are entries
+    too, with their own edits; those under a taken stem need no more than to be commoner in toxic
+    texts. A stem's weight speaks for all its words, its rates only for those without an entry.
 
     counts has (term, stem, toxic documents, clean documents, toxic occurrences, clean occurrences).
     """
     scored = []
     for term, stem, a, b, ta, tb in counts:
         g = evidence(a, b, n1, n0)
-        if g >= least and a >= 4:
+        if g > 0 and a >= 4:
             scored.append((-g, len(term) * -1, stem, term, ta, tb))
-    taken: dict[str, float] = {}
-    entries = []
-    for g, _, stem, term, ta, tb in sorted(scored):
-        if any(term.startswith(t) or t.startswith(term) for t in taken):
-            continue
-        taken[term] = -g
+    scored.sort()
+    roots: dict[str, bool] = {}
+    for g, _, stem, term, _, _ in scored:
+        if -g >= least and len(roots) < most and not any(term.startswith(t) or t.startswith(term) for t in roots):
+            roots[term] = bool(stem)
+    entries, stems = [], {}
+    for g, _, stem, term, ta, tb in scored:
+        if roots.get(term) != bool(stem):
+            above = not stem and any(term.startswith(t) and (roots[t] or -g >= least) for t in roots)
+            if not above and (stem or -g < least or not any(t.startswith(term) for t in roots)):
+                continue
         r1, r0 = (ta + 0.5) / (w1 + 1), (tb + 0.5) / (w0 + 1)
         edits = 0 if stem or len(term) < 5 else 1 if len(term) < 9 else 2
         entries.append(Entry(term, bool(stem), float(np.clip(np.log(r1 / r0), 0.1, 8)), r1, r0, edits))
-        if len(entries) >= most:
-            break
+        if stem:
+            stems[term] = entries[-1]
+    for _, _, stem, term, ta, tb in scored:
+        if not stem and any(e.term == term and not e.stem for e in entries):
+            for t, e in stems.items():
+                if term != t and term.startswith(t):
+                    e.toxic_rate -= ta / (w1 + 1)
+                    e.clean_rate -= tb / (w0 + 1)
     return Lexicon(entries)
 
 
