@@ -91,6 +91,24 @@ def test_structures():
     assert f"см. {TOKEN}"[span[1] : span[2]] == TOKEN
 
 
+def test_keys_before_and_after_other_lines():
+    b64 = lambda b: base64.b64encode(b).decode()
+    wrap = lambda b, end="\n": end.join(b64(b)[i : i + 64] for i in range(0, len(b64(b)), 64))
+    longer = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-rsa", b"\1\0\1", BITS))
+    container = secret_scan.SSH_MAGIC + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + b"\0\0\0\1" + b"".join(len(x).to_bytes(4, "big") + x for x in (SSH, BITS[:99]))
+    assert len(PKCS8) % 3 == len(SSH) % 3 == 0
+    for key, kind in ((PKCS8, "der_key"), (SSH, "ssh_key"), (RSA, "der_key"), (longer, "ssh_key")):
+        for body in (wrap(key), wrap(key, "\r\n")):
+            for before, after in (("", "\nThat is all"), ("", "\r\nThat is all"), ("z" * 44 + "\n", "\nThat is all"), ("M" * 44 + "\n", ""), ("AAAA" * 11 + "\n", "\nwords")):
+                if "=" not in body or not after:
+                    assert (kind, len(before), len(before) + len(body)) in secret_scan.scan(before + body + after)[1]
+    assert ("ssh_key", 45, 45 + len(wrap(container))) in secret_scan.scan("z" * 44 + "\n" + wrap(container))[1]
+    two = f"{b64(SSH)}\n{b64(SSH)}\nThat"
+    assert [s[0] for s in secret_scan.scan(two)[1]] == ["ssh_key", "ssh_key"]
+    assert secret_scan.redact(f"{b64(SSH)}\nThat is all") == "[secret]\nThat is all"
+    assert not secret_scan.scan("\n".join(["AAAA" * 19] * 20000 + ["M" * 76] * 20000))[1]
+
+
 ATOMS = ["token", "Secret", "api_key", "apikey", "=", ":", " ", '"', "'", "AKIA", "AKIA" + "Z9" * 9, "ab", "abcdef", "0123456789abcdef" * 2, "deadbeef", "ſecret", "toKen", "=x", "é", "-"]
 
 

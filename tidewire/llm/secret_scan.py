@@ -17,6 +17,9 @@ import hashlib
 import json
 import re
 import struct
+from bisect import bisect_left
+from functools import partial
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +38,10 @@ KINDS = ("assign", "access", "hex", "der_key", "ssh_key", "signed_token")
 
 #: Candidates of the structural method. Base64 may be wrapped in lines, as in PEM bodies.
 B64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
+B64_LINE = re.compile(r"[A-Za-z0-9+/]+={0,2}")
+MIN_B64 = 40
+#: First characters of a DER sequence and of OpenSSH blobs.
+B64_STARTS = ("M", "AAAA", "b3Bl")
 HEX_ANY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Za-z])")
 SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 #: Object identifiers (DER content bytes) of key algorithms: RSA, EC, Ed25519, X25519, DSA.
@@ -162,12 +169,82 @@ def key_kind(data: bytes | None) -> str | None:
     return "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
 
 
+def der_size(data: bytes) -> int:
+    """Size of the DER sequence that starts here, by its first bytes; 0 if there is none."""
+    if len(data) < 2 or data[0] != 0x30:
+        return 0
+    n = data[1] & 0x7F if data[1] >= 0x80 else 0
+    return 2 + (n + int.from_bytes(data[2 : 2 + n], "big") if n else data[1])
+
+
+def ssh_sizes(read, most: int) -> list[int]:
+    """Sizes within `most` that an OpenSSH blob may have, longest first; read(n) gives n bytes or more, if there are."""
+    data, at, out = read(64), 0, []
+
+    def number(at: int) -> int:
+        nonlocal data
+        if at + 32 > len(data):
+            data = read(2 * at + 64)
+        return int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else most
+
+    if data.startswith(SSH_MAGIC):  # three fields, the number of keys, as many public ones, the private part
+        at, fields = len(SSH_MAGIC), 3
+        while fields and at <= most:
+            at, fields = at + 4 + number(at), fields - 1
+        fields = number(at) + 1
+        at += 4
+        while fields and at <= most:
+            at, fields = at + 4 + number(at), fields - 1
+        return [at] if at <= most else []
+    if data[4 : 4 + number(0)] not in SSH_TYPES:
+        return []
+    while at + 4 <= most:
+        size = number(at)
+        if out and data[at + 4 : at + 4 + size] in SSH_TYPES:  # the next key
+            break
+        at += 4 + size
+        if at <= most:
+            out.append(at)
+    return out[:0:-1]
+
+
+def keys_in_lines(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    """Keys that fill some of the lines of a base64 run that is none as a whole; the longest at each line.
+
+    The first bytes say where a key ends, so that few of the runs of lines are decoded.
+    """
+    lines = [(m.start(), m.end()) for m in B64_LINE.finditer(text, start, end)]
+    bodies = [text[a:b].rstrip("=") for a, b in lines]
+    sums = [0, *accumulate(map(len, bodies))]
+
+    def read(i: int, n: int) -> bytes:
+        body = "".join(bodies[i : bisect_left(sums, sums[i] + (n * 4 + 2) // 3, i)])
+        return from_base64(body[:-1] if len(body) % 4 == 1 else body) or b""
+
+    out, i = [], 0
+    while i < len(lines):
+        after = i + 1
+        if len(bodies[i]) >= MIN_B64 and bodies[i].startswith(B64_STARTS):
+            der = der_size(read(i, 8))
+            for size in [der] if der else ssh_sizes(partial(read, i), (sums[-1] - sums[i]) * 3 // 4):
+                chars = sums[i] + (size * 4 + 2) // 3
+                j = bisect_left(sums, chars, i + 1)
+                if j < len(sums) and sums[j] == chars and (kind := key_kind(from_base64("".join(bodies[i:j])))):
+                    out.append((kind, lines[i][0], lines[j - 1][1]))
+                    after = j
+                    break
+        i = after
+    return out
+
+
 def structural_spans(text: str) -> list[tuple[str, int, int]]:
     """Candidates that decode and parse; everything else is left to the base patterns."""
     out = []
     for m in B64.finditer(text):
         if kind := key_kind(from_base64(m[0])):
             out.append((kind, m.start(), m.end()))
+        elif "\n" in m[0]:
+            out += keys_in_lines(text, m.start(), m.end())
     for m in HEX_ANY.finditer(text):
         if kind := key_kind(bytes.fromhex(m[0])):
             out.append((kind, m.start(), m.end()))
