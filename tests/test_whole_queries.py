@@ -27,3 +27,8 @@ def test_similar_items_beyond_the_newest_300(spark):
     few = QUERIES["similar_items"](spark, WIDE).collect()
     assert got == want and len(pairs) > len(few)
     assert {i for p in pairs for i in (p.a, p.b)} - {i for p in few for i in (p.a, p.b)}
+
+
+def test_every_share_is_formatted(spark):
+    got, want, formats = both(spark, "display_formats_all", ("part", "lineitem", "supplier", "nation", "orders"))
+    assert got == want and len(formats) > QUERIES["display_formats"](spark, WIDE).count()

@@ -402,3 +402,4 @@ norms AS (SELECT ord, sqrt(sum(w * w)) AS norm FROM raw GROUP BY ord),
 unit AS (SELECT ord, term, w / norm AS w FROM raw JOIN norms USING (ord))
 SELECT x.ord AS a, y.ord AS b, round(sum(x.w * y.w), 6) AS cosine FROM unit x JOIN unit y ON x.term = y.term AND x.ord < y.ord GROUP BY x.ord, y.ord HAVING sum(x.w * y.w) >= 0.42"""
 ORACLES["similar_items_kept"] = ORACLES["similar_items"].replace("LIMIT 300", f"LIMIT {KEEP_ITEMS}")
+ORACLES["display_formats_all"] = ORACLES["display_formats"].replace(" WHERE ord % 7 <> 0", "")

@@ -484,10 +484,7 @@ def sector_sums(spark, sf_dir):
     return sums.select("sector", F.col("value").cast("double").alias("value"), "n")
 
 
-@query
-def display_formats(spark, sf_dir):
-    """F32, F34."""
-    s = shares(spark, sf_dir).filter("ord % 7 <> 0")
+def formats(s: DataFrame) -> DataFrame:
     amount = F.floor("weight").cast("double")
     return s.select(
         "ticker",
@@ -499,6 +496,18 @@ def display_formats(spark, sf_dir):
     )
 
 
+@query
+def display_formats(spark, sf_dir):
+    """F32, F34 without every seventh share, as its SQL has it; all shares: display_formats_all."""
+    return formats(shares(spark, sf_dir).filter("ord % 7 <> 0"))
+
+
+@query
+def display_formats_all(spark, sf_dir):
+    """F32, F34."""
+    return formats(shares(spark, sf_dir))
+
+
 @query
 def candles(spark, sf_dir):
     """Candles of events by hour (a shaping helper)."""
