@@ -251,6 +251,17 @@ def test_held_out_labels_are_not_learned(spark):
     assert toxicity.keep_clean(d, one).count() == 60
 
 
+def test_words_joined_by_punctuation():
+    s = toxicity.Scorer(LEXICON)
+    distinct = list(toxicity.FEATURES).index("distinct")
+    f = lambda t: s.features(t)[distinct]
+    assert f("idiot/worthless") == 2 and f("trash...scum") == 2 and f("l'idiot") == 1 and f("scum,you") == 1
+    assert f("-".join(["calm"] * 30 + ["idiot"])) == 1 and f("_".join(["calm"] * 30)) == 0
+    assert s.look("id-iot") == s.look("idi.ot") != () and s.look("x" * 100) == ()
+    counts = toxicity.count_terms(["scum,you"], [1])
+    assert counts["scum", False] == counts["scum,you", False] == [1, 0, 1, 0]
+
+
 def test_misspelled_words_under_a_stem():
     texts = ["you idiot"] * 60 + ["you idiots"] * 25 + ["you idiotic"] * 15 + ["a plain text"] * 900
     counts = toxicity.count_terms(texts, [1] * 100 + [0] * 900)

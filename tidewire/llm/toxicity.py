@@ -14,6 +14,7 @@ Without labels of both classes the lexicon is empty and the score is the share o
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -156,6 +157,14 @@ def bare(token: str) -> str:
     return token.strip(EDGES)
 
 
+def runs_of(word: str) -> list[str]:
+    """The words that punctuation joins to one token; none if nothing parts it. Look-alikes and accents count as letters."""
+    if word.isalnum():
+        return []
+    runs = "".join(c if c.isalnum() or c in "@$" or unicodedata.category(c)[0] == "M" else " " for c in word).split()
+    return [r for r in map(bare, runs) if len(r) >= 3] if len(runs) > 1 else []
+
+
 def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
@@ -166,12 +175,13 @@ def count_terms(texts: list[str | None], labels: list[int]) -> Counter:
     for text, y in zip(texts, labels, strict=True):
         own: Counter = Counter()
         for token, n in Counter(words_of(text)).items():
-            w = bare(token)
-            if 3 <= len(w) <= 40:
-                own[w, False] += n
-                for k in STEM_SIZES:
-                    if len(w) > k:
-                        own[w[:k], True] += n
+            whole = bare(token)
+            for w in (whole, *runs_of(whole)):
+                if 3 <= len(w) <= 40:
+                    own[w, False] += n
+                    for k in STEM_SIZES:
+                        if len(w) > k:
+                            own[w[:k], True] += n
         side = 0 if y else 1
         for key, n in own.items():
             c = out.setdefault(key, [0, 0, 0, 0])
@@ -250,10 +260,15 @@ class Scorer:
         self.lookup = Memo(self.look, 300_000)
         self.drift = sum(e.toxic_rate - e.clean_rate for e in lexicon.entries)
 
-    def look(self, token: str) -> int:
-        """0 for no hit, else 1 + 4 * entry + edits."""
+    def look(self, token: str) -> tuple[int, ...]:
+        """1 + 4 * entry + edits of every hit: of the words inside a token, else of the token as a whole."""
         word = bare(token)
-        if len(word) < 3 or len(word) > 60:
+        inside = tuple(c for r in runs_of(word) if (c := self.code(r)))
+        return inside or ((c,) if (c := self.code(word)) else ())
+
+    def code(self, word: str) -> int:
+        """0 for no hit, else 1 + 4 * entry + edits."""
+        if len(word) < 3:
             return 0
         hit = self.lexicon.match(word)
         if hit is None or hit[0]:
@@ -280,13 +295,13 @@ class Scorer:
         tokens = words_of(text)
         n = len(tokens)
         codes = list(map(self.lookup.__getitem__, tokens))
-        hits = [i for i, c in enumerate(codes) if c] if any(codes) else []
+        hits = [(i, c) for i, found in enumerate(codes) if found for c in found] if any(codes) else []
         exact = fuzzy = 0.0
         total = quoted = best = 0.0
         seen = set()
         placed = []
-        for i in hits:
-            entry, edits = divmod(codes[i] - 1, 4)
+        for i, code in hits:
+            entry, edits = divmod(code - 1, 4)
             e = self.lexicon.entries[entry]
             around = self.context(tokens, i)
             if edits:
