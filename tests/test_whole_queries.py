@@ -32,3 +32,11 @@ def test_similar_items_beyond_the_newest_300(spark):
 def test_every_share_is_formatted(spark):
     got, want, formats = both(spark, "display_formats_all", ("part", "lineitem", "supplier", "nation", "orders"))
     assert got == want and len(formats) > QUERIES["display_formats"](spark, WIDE).count()
+
+
+def test_limits_of_the_operators(spark):
+    for name in ("pruned", "capped_sources"):
+        got, want, out = both(spark, f"{name}_kept", ("documents", "events"))
+        few = QUERIES[name](spark, WIDE).count()
+        print(name, few, len(out))
+        assert got == want and len(out) > few

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidewire.operators import rules
-from tidewire.operators.snapshot import KEEP_ITEMS
+from tidewire.operators.snapshot import ITEMS_PER_SOURCE, KEEP_DAYS, KEEP_ITEMS
 from tidewire.functions.text import ENDINGS, MIN_STEM, REDACTED, SECRET_ASSIGNED, SECRET_PARAM, SECRET_PATTERNS, SECRET_URL_USER, STOPWORDS
 from tidewire.plans import golden
 from tidewire.plans.views import BOARD, DEFAULTS, DENY, FEED, HIDDEN, KEY, MAPPING, STORIES, WANTED
@@ -403,3 +403,5 @@ unit AS (SELECT ord, term, w / norm AS w FROM raw JOIN norms USING (ord))
 SELECT x.ord AS a, y.ord AS b, round(sum(x.w * y.w), 6) AS cosine FROM unit x JOIN unit y ON x.term = y.term AND x.ord < y.ord GROUP BY x.ord, y.ord HAVING sum(x.w * y.w) >= 0.42"""
 ORACLES["similar_items_kept"] = ORACLES["similar_items"].replace("LIMIT 300", f"LIMIT {KEEP_ITEMS}")
 ORACLES["display_formats_all"] = ORACLES["display_formats"].replace(" WHERE ord % 7 <> 0", "")
+ORACLES["pruned_kept"] = ORACLES["pruned"].replace("INTERVAL 2 DAY", f"INTERVAL {KEEP_DAYS} DAY").replace("LIMIT 300", f"LIMIT {KEEP_ITEMS}")
+ORACLES["capped_sources_kept"] = ORACLES["capped_sources"].replace("<= 10", f"<= {ITEMS_PER_SOURCE}")

@@ -280,6 +280,13 @@ def pruned(spark, sf_dir):
     return snapshot.prune(i, now_of(i), days=2, most=300).select("ord", "id")
 
 
+@query
+def pruned_kept(spark, sf_dir):
+    """P11, T1, ST3 with the snapshot's own days and rows."""
+    i = with_missing_dates(spark, sf_dir)
+    return snapshot.prune(i, now_of(i)).select("ord", "id")
+
+
 @query
 def late_rows(spark, sf_dir):
     """ST4: what two days would prune."""
@@ -309,6 +316,12 @@ def capped_sources(spark, sf_dir):
     return snapshot.capped_per_source(views.feed_items(spark, sf_dir), 10).select("ord", F.col("sourceId").alias("source_id"))
 
 
+@query
+def capped_sources_kept(spark, sf_dir):
+    """W3 with the feed's own rows of each source."""
+    return snapshot.capped_per_source(views.feed_items(spark, sf_dir)).select("ord", F.col("sourceId").alias("source_id"))
+
+
 @query
 def helpful_images(spark, sf_dir):
     """A6, J12."""
