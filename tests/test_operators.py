@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.operators import company, feed, market, snapshot, stories, treemap
+from tidewire.operators import classify, company, feed, market, snapshot, stories, treemap
 from tidewire.plans import golden
 from tidewire.sources import exchange
 
@@ -257,5 +257,35 @@ def test_attempt_outcomes(spark):
         assert r.got == r.want
 
 
-def test_golden_tables_agree():
-    assert len(golden.HEADLINES) == 37 and len(golden.RUBRIC_CASES) == 27
+# --- sections -------------------------------------------------------------------------------
+
+
+def test_headlines(spark):
+    rows = spark.createDataFrame(golden.HEADLINES, "title string, excerpt string, want string")
+    got = rows.select("*", F.array_join(classify.sections_by_text(F.col("title"), F.col("excerpt")), ",").alias("got")).collect()
+    assert [(r.title, r.got) for r in got] == [(r.title, r.want) for r in got]
+
+
+def test_rubrics(spark):
+    cases = [(i, s, r, u, "", "") for i, (s, r, u, _) in enumerate(golden.RUBRIC_CASES)]
+    items = spark.createDataFrame(cases, "ord int, sourceId string, sourceCategories array<string>, url string, title string, excerpt string")
+    got = classify.classify(items, classify.source_maps(*golden.rubric_config(spark))).orderBy("ord").collect()
+    assert [",".join(r.categoryIds) for r in got] == [c[3] for c in golden.RUBRIC_CASES]
+
+
+def test_texts_are_classified_once(spark):
+    """Filters on the sections stay above the step that finds them, and one exchange serves the headlines."""
+    items = spark.createDataFrame([(1, "s", ["a"], "", "t", "e", T0, "")], "ord long, sourceId string, sourceCategories array<string>, url string, title string, excerpt string, publishedAt timestamp, image string")
+    page = feed.first_page(classify.with_section(classify.classify(items, classify.source_maps(*golden.rubric_config(spark)))), ["ru"], ["x"])
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    health = "бессонниц|"
+    assert plan.count("Generate inline") == 1 and plan.count(health) <= 2 and plan.count("Exchange") < 10
+
+
+def test_no_letters_before_latin_words_in_the_first_pass():
+    import re as python_re
+
+    from tidewire.operators import rules
+
+    gate = python_re.compile(rules.any_term(rules.SECURITY_WEAK, ["ipo~"]).replace(r"\p{L}\p{N}", r"\w"))
+    assert gate.search("an exploit") and gate.search("_ipo") and not gate.search("unexploited") and gate.search("взломали")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,18 +21,20 @@ def num(x: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(s, "^([^,]*),", "$1."), number, 0).try_cast("double")
 
 
-def exact_cents(x: pd.Series) -> pd.Series:
-    cent = Decimal("0.01")
-    return x.map(lambda v: None if pd.isna(v) else float(Decimal(float(v)).quantize(cent, ROUND_HALF_UP))).astype("float64")
-
-
 def round2(x: Column | str) -> Column:
     """Two digits, halves away from zero on the exact binary value: 1.005 is less than a half.
 
-    Decimal rounding of the engine starts from the shortest text of a number, which differs at ties,
-    so this one function runs in Python, on columns of quotes.
+    Decimal rounding of the engine starts from the shortest text of a number, which differs at ties. The
+    fraction of a number from 2^-8 on is a whole number of 2^-60, so whole-number arithmetic is exact;
+    smaller numbers round to zero.
     """
-    return F.pandas_udf(exact_cents, "double")(x)
+    x = F.col(x) if isinstance(x, str) else x
+    size, unit = F.abs(x), 1 << 60
+    whole = F.floor(size)
+    fraction = ((size - whole) * F.lit(float(unit))).cast("long").cast("decimal(20,0)")
+    cents = F.call_function("div", fraction * F.lit(200).cast("decimal(3,0)") + F.lit(unit).cast("decimal(20,0)"), F.lit(2 * unit).cast("decimal(20,0)"))
+    rounded = F.signum(x) * (whole * 100 + cents) / 100
+    return F.when(size < float(1 << 52), rounded).otherwise(x)
 
 
 #: Sizes of change at which the heat scale steps up.

@@ -14,6 +14,9 @@ from tidewire.functions.text import SPACE, normalize_rubric, text_or_empty, url_
 from tidewire.operators import rules
 
 
+NO_STRINGS = "array<string>"
+
+
 def known_sections(ids: Column) -> Column:
     sections = F.array(*map(F.lit, rules.SECTIONS))
     return F.array_distinct(F.filter(ids, lambda i: F.array_contains(sections, i)))
@@ -26,10 +29,16 @@ def joined_text(title: Column, excerpt: Column) -> Column:
     return F.lower(F.concat(text_or_empty(title), F.lit(" "), text_or_empty(excerpt)))
 
 
-def is_ai(title: Column, excerpt: Column) -> Column:
-    """Named in the title, or twice in title and excerpt together."""
-    pattern = F.lit(rules.java(rules.AI_TERMS))
-    return (F.regexp_count(F.lower(text_or_empty(title)), pattern) > 0) | (F.regexp_count(joined_text(title, excerpt), pattern) >= 2)
+def is_ai(title: Column, both: Column) -> Column:
+    """Named in the title, or twice in title and excerpt together (both given lower-cased).
+
+    The abbreviation is matched with its neighbours, so that two of them with one space between count
+    once; whether there is any match does not depend on that.
+    """
+    terms = rules.java(rules.AI_TERMS)
+    any_of = f"{terms}|{rules.AI_WORD}"
+    counted = F.lit(f"{terms}|{rules.AI_LETTERS}")
+    return F.when(~both.rlike(any_of), False).otherwise(title.rlike(any_of) | (F.regexp_count(both, counted) >= 2))
 
 
 def is_health(t: Column) -> Column:
@@ -71,22 +80,39 @@ def near_market_context(t: Column, around: int = rules.NEARBY) -> Column:
 
 
 def is_markets(t: Column) -> Column:
-    strong, exclude = rules.java(rules.MARKETS_STRONG, anchored=True), rules.java(rules.MARKETS_EXCLUDE, anchored=True)
-    weak = rules.java(rules.MARKETS_WEAK, anchored=True)
-    return F.when(t.rlike(strong), True).when(t.rlike(exclude) | ~t.rlike(weak), False).otherwise(near_market_context(t))
+    test = lambda terms: t.rlike(rules.java(terms, anchored=True))
+    return F.when(test(rules.MARKETS_STRONG), True).when(~test(rules.MARKETS_WEAK) | test(rules.MARKETS_EXCLUDE), False).otherwise(near_market_context(t))
 
 
 def is_ibs(t: Column) -> Column:
     test = lambda terms: t.rlike(rules.java(terms, anchored=True))
-    return ~test(rules.IBS_EXCLUDE) & (test(rules.IBS_STRONG) | (test(rules.IBS_WEAK) & test(rules.IBS_CONTEXT)))
+    named = t.contains("ibs") | t.contains("ибс")
+    return named & (test(rules.IBS_STRONG) | (test(rules.IBS_WEAK) & test(rules.IBS_CONTEXT))) & ~test(rules.IBS_EXCLUDE)
+
+
+def sections_of_texts(title: Column, both: Column) -> Column:
+    """Sections that the text alone puts an item into, in a fixed order; market news is business news too.
+
+    Title and title with excerpt are given lower-cased.
+    """
+    tests = (
+        (("ai",), is_ai(title, both)),
+        (("health",), is_health(both)),
+        (("security",), is_security(both)),
+        (("markets", "business"), is_markets(both)),
+        (("ibs",), is_ibs(both)),
+    )
+    none = F.array().cast(NO_STRINGS)
+    found = F.concat(*[F.when(test, F.array(*map(F.lit, names))).otherwise(none) for names, test in tests])
+    named = rules.any_term(
+        [*rules.AI_TERMS, *rules.HEALTH, *rules.SECURITY_STRONG, *rules.SECURITY_WEAK],
+        [*rules.MARKETS_STRONG, *rules.MARKETS_WEAK, "ibs", "ибс"],
+    )
+    return F.when(both.rlike(f"{named}|{rules.AI_WORD}"), found).otherwise(none)
 
 
 def sections_by_text(title: Column, excerpt: Column) -> Column:
-    """Sections that the text alone puts an item into, in a fixed order; market news is business news too."""
-    t = joined_text(title, excerpt)
-    markets = is_markets(t)
-    tests = (("ai", is_ai(title, excerpt)), ("health", is_health(t)), ("security", is_security(t)), ("markets", markets), ("business", markets), ("ibs", is_ibs(t)))
-    return F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in tests]), lambda s: s.isNotNull())
+    return sections_of_texts(F.lower(text_or_empty(title)), joined_text(title, excerpt))
 
 
 # --- mapping of sources ---------------------------------------------------------------------
@@ -98,21 +124,20 @@ def source_maps(mapping: DataFrame, defaults: DataFrame | None = None) -> DataFr
     mapping has sourceId, key, ids and ord (the first of keys that normalise alike wins);
     defaults has sourceId, ids.
     """
+    by_url = F.col("key").startswith("/")
     keyed = mapping.select(
         "sourceId",
-        F.col("key").startswith("/").alias("by_url"),
-        F.when(F.col("key").startswith("/"), F.lower(F.expr("substr(key, 2)"))).otherwise(normalize_rubric("key")).alias("k"),
+        F.when(by_url, "url").otherwise("rubric").alias("what"),
+        F.when(by_url, F.lower(F.expr("substr(key, 2)"))).otherwise(normalize_rubric("key")).alias("k"),
         "ids",
-        "ord",
-    )
-    firsts = keyed.groupBy("sourceId", "by_url", "k").agg(F.min_by("ids", "ord").alias("ids"))
-    maps = firsts.groupBy("sourceId").agg(
-        F.map_from_entries(F.collect_list(F.when(~F.col("by_url"), F.struct("k", "ids")))).alias("rubrics"),
-        F.map_from_entries(F.collect_list(F.when(F.col("by_url"), F.struct("k", "ids")))).alias("addresses"),
+        F.col("ord").cast("long"),
     )
-    if defaults is None:
-        return maps.withColumn("defaults", F.array().cast("array<string>"))
-    return maps.join(defaults.select("sourceId", F.col("ids").alias("defaults")), "sourceId", "full_outer")
+    if defaults is not None:
+        keyed = keyed.unionByName(defaults.select("sourceId", F.lit("default").alias("what"), F.lit("").alias("k"), "ids", F.lit(0).cast("long").alias("ord")))
+    firsts = keyed.groupBy("sourceId", "what", "k").agg(F.min_by("ids", "ord").alias("ids"))
+    entries = lambda what: F.map_from_entries(F.collect_list(F.when(F.col("what") == what, F.struct("k", "ids"))))
+    given = F.coalesce(F.any_value(F.when(F.col("what") == "default", F.col("ids")), True), F.array().cast(NO_STRINGS))
+    return firsts.groupBy("sourceId").agg(entries("rubric").alias("rubrics"), entries("url").alias("addresses"), given.alias("defaults"))
 
 
 def lookup_rubric(rubrics: Column, rubric: Column) -> Column:
@@ -126,9 +151,6 @@ def lookup_rubric(rubrics: Column, rubric: Column) -> Column:
     return F.get(found, F.lit(0))
 
 
-NO_STRINGS = "array<string>"
-
-
 def mapped_ids(maps: dict[str, Column], rubric_list: Column, url: Column) -> Column:
     """Ids of the source's mapping: the address's segment replaces the rubrics if it is a key, even of no ids."""
     none = F.array().cast(NO_STRINGS)
@@ -138,18 +160,27 @@ def mapped_ids(maps: dict[str, Column], rubric_list: Column, url: Column) -> Col
     return known_sections(F.concat(F.coalesce(by_url, by_rubric, none), F.coalesce(maps["defaults"], none)))
 
 
+MAPS = ("rubrics", "addresses", "defaults")
+
+
+def judged(items: DataFrame, maps: DataFrame) -> DataFrame:
+    """items with __maps (struct of the source's maps), __by_text and categoryIds.
+
+    The sections come out of a generator of one row, which filters on them are not pushed into: they
+    are worked out once however many steps look at them.
+    """
+    dim = maps.select(F.col("sourceId").alias("__s"), F.struct(*MAPS).alias("__maps"))
+    joined = items.drop("categoryIds").join(dim, F.col("sourceId") == F.col("__s"), "left").drop("__s")
+    from_source = mapped_ids({c: F.col(f"__maps.{c}") for c in MAPS}, F.col("sourceCategories"), F.col("url"))
+    found = F.struct(sections_by_text(F.col("title"), F.col("excerpt")).alias("__by_text"), from_source.alias("__mapped"))
+    once = joined.select("*", F.inline(F.array(found)))
+    return once.withColumn("categoryIds", F.array_distinct(F.concat("__mapped", "__by_text"))).drop("__mapped")
+
+
 def classify(items: DataFrame, maps: DataFrame) -> DataFrame:
     """items with categoryIds: mapped sections, then those of the text; an item without rubrics of its own
     (null) is mapped by address and default alone. Items with no section stay, with an empty array."""
-    dim = maps.select(F.col("sourceId").alias("__s"), *[F.col(c).alias(f"__{c}") for c in ("rubrics", "addresses", "defaults")])
-    joined = items.drop("categoryIds").join(dim, F.col("sourceId") == F.col("__s"), "left")
-    ids = F.array_distinct(
-        F.concat(
-            mapped_ids({c: F.col(f"__{c}") for c in ("rubrics", "addresses", "defaults")}, F.col("sourceCategories"), F.col("url")),
-            sections_by_text(F.col("title"), F.col("excerpt")),
-        )
-    )
-    return joined.withColumn("categoryIds", ids).drop("__s", "__rubrics", "__addresses", "__defaults")
+    return judged(items, maps).drop("__maps", "__by_text")
 
 
 def with_section(items: DataFrame) -> DataFrame:
@@ -162,10 +193,12 @@ def normalize_items(raw: DataFrame) -> DataFrame:
 
     url, published = safe_url("url"), text_or_empty("publishedAt")
     title, excerpt = text_or_empty("title"), text_or_empty("excerpt")
-    t = joined_text(title, excerpt)
-    inferred = F.filter(
-        F.array(F.when(is_ai(title, excerpt), F.lit("ai")), F.when(is_security(t), F.lit("security"))), lambda s: s.isNotNull()
+    t, none = joined_text(title, excerpt), F.array().cast(NO_STRINGS)
+    named = rules.any_term([*rules.AI_TERMS, *rules.SECURITY_STRONG, *rules.SECURITY_WEAK])
+    found = F.concat(
+        F.when(is_ai(F.lower(title), t), F.array(F.lit("ai"))).otherwise(none), F.when(is_security(t), F.array(F.lit("security"))).otherwise(none)
     )
+    inferred = F.when(t.rlike(f"{named}|{rules.AI_WORD}"), found).otherwise(none)
     return raw.withColumns(
         {
             "id": F.coalesce("id", F.concat(url, F.lit(":"), published)),
@@ -188,29 +221,26 @@ def normalize_items(raw: DataFrame) -> DataFrame:
 def section_reasons(items: DataFrame, maps: DataFrame) -> DataFrame:
     """id, section, reason for every section of every item: url, rubric, default, text or unknown, in that order."""
     none = F.array().cast(NO_STRINGS)
-    dim = maps.select(F.col("sourceId").alias("__s"), "rubrics", "addresses", "defaults")
-    rows = classify(items, maps).join(dim, F.col("sourceId") == F.col("__s"), "left")
-    rows = rows.withColumn("by_text", sections_by_text(F.col("title"), F.col("excerpt"))).withColumn("section", F.explode("categoryIds"))
+    rows = judged(items, maps).select("id", "url", "sourceCategories", "__maps", "__by_text", F.explode("categoryIds").alias("section"))
     part = url_section("url")
-    by_url = F.array_contains(F.coalesce(F.element_at("addresses", part), none), F.col("section"))
+    by_url = F.array_contains(F.coalesce(F.element_at("__maps.addresses", part), none), F.col("section"))
     hits = F.filter(
         F.coalesce("sourceCategories", none),
-        lambda r: F.array_contains(known_sections(F.coalesce(lookup_rubric(F.col("rubrics"), r), none)), F.col("section")),
+        lambda r: F.array_contains(known_sections(F.coalesce(lookup_rubric(F.col("__maps.rubrics"), r), none)), F.col("section")),
     )
     reason = (
         F.when((part != "") & by_url, F.concat(F.lit("url:/"), part))
         .when(F.size(hits) > 0, F.concat(F.lit("rubric:"), F.get(hits, F.lit(0))))
-        .when(F.array_contains(F.coalesce("defaults", none), F.col("section")), "default")
-        .when(F.array_contains("by_text", F.col("section")), "text")
+        .when(F.array_contains(F.coalesce("__maps.defaults", none), F.col("section")), "default")
+        .when(F.array_contains("__by_text", F.col("section")), "text")
         .otherwise("?")
     )
     return rows.select("id", "section", reason.alias("reason"))
 
 
 def section_counts(classified: DataFrame) -> DataFrame:
-    """section, n for every section, then `none` (items without one) and `total`."""
-    by = classified.select(F.explode("categoryIds").alias("section")).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
-    every = classified.sparkSession.createDataFrame([(s,) for s in rules.SECTIONS], "section string")
-    filled = F.broadcast(every).join(by, "section", "left").select("section", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    sums = classified.agg(F.count_if(F.size("categoryIds") == 0).alias("none"), F.count(F.lit(1)).alias("total"))
-    return filled.unionByName(sums.select(F.expr("stack(2, 'none', none, 'total', total) as (section, n)")))
+    """section, n for every section, then `none` (items without one) and `total`; one pass, zeros included."""
+    none = F.when(F.size("categoryIds") == 0, F.array(F.lit("none"))).otherwise(F.col("categoryIds"))
+    found = classified.select(F.explode(F.concat(none, F.array(F.lit("total")))).alias("section"), F.lit(1).cast("long").alias("n"))
+    every = classified.sparkSession.createDataFrame([(s, 0) for s in (*rules.SECTIONS, "none", "total")], "section string, n long")
+    return found.unionByName(every).groupBy("section").agg(F.sum("n").alias("n"))

@@ -65,19 +65,25 @@ def valid_tickers(tickers: Column) -> Column:
 
 
 def newest_per_title(items: DataFrame) -> DataFrame:
-    """The newest item of each headline; items whose headline has no words all stay."""
-    keyed = items.withColumn("__key", title_key("title"))
-    firsts = keyed.filter("__key <> ''").groupBy("__key").agg(F.min(F.struct(F.negative(F.unix_micros(time_key())).alias("t"), "ord")).alias("__first"))
-    winners = firsts.select(F.col("__key"), F.col("__first.ord").alias("ord"))
-    with_key = keyed.join(winners, ["__key", "ord"], "left_semi")
-    return with_key.unionByName(keyed.filter("__key = ''")).drop("__key")
+    """The newest item of each headline; items whose headline has no words all stay (ord tells them apart).
+
+    The engine keeps the first row of each key within a task before it shuffles, so that a headline
+    that a third of all items carry costs one row per task.
+    """
+    key = title_key("title")
+    keyed = items.withColumns({"__key": key, "__alone": F.when(key == "", F.col("ord"))})
+    rank = F.row_number().over(Window.partitionBy("__key", "__alone").orderBy(*newest_first()))
+    return keyed.withColumn("__rank", rank).filter("__rank = 1").drop("__key", "__alone", "__rank")
 
 
 def promote_lead(first: DataFrame, batch: int = BATCH) -> DataFrame:
-    """place of each row of a first batch (ordered by rn from 1): its newest illustrated item comes first."""
-    lead = first.filter((F.col("image") != "") & (F.col("rn") <= batch)).agg(F.min("rn").alias("__lead"))
-    place = F.when(F.col("rn") == F.col("__lead"), 1).when(F.col("rn") < F.col("__lead"), F.col("rn") + 1).otherwise(F.col("rn"))
-    return first.join(F.broadcast(lead)).withColumn("place", place).drop("__lead")
+    """place of each row of a first batch (ordered by rn from 1): its newest illustrated item comes first.
+
+    A batch is a page of rows, so the window over all of them is small.
+    """
+    lead = F.min(F.when((F.col("image") != "") & (F.col("rn") <= batch), F.col("rn"))).over(Window.partitionBy())
+    place = F.when(F.col("rn") == lead, 1).when(F.col("rn") < lead, F.col("rn") + 1).otherwise(F.col("rn"))
+    return first.withColumn("place", place)
 
 
 def page(ordered: DataFrame, order: list[Column], start: int, size: int = BATCH) -> DataFrame:
@@ -97,14 +103,19 @@ def first_page(items: DataFrame, wanted: Sequence[str], hidden: Sequence[str] =
 
 
 def counts(items: DataFrame, hidden: Sequence[str] = ()) -> DataFrame:
-    """scope, key, n: visible items by section, all items by source, all visible with a known section."""
-    shown = items.filter(visible(hidden))
-    known = F.array(*map(F.lit, SECTIONS))
-    sections = shown.select(F.explode(F.array_distinct(F.array_intersect("categoryIds", known))).alias("key")).groupBy("key").count()
-    sources = items.filter(text_or_empty("sourceId") != "").groupBy(F.col("sourceId").alias("key")).count()
-    everything = shown.agg(F.count_if(F.arrays_overlap("categoryIds", known)).alias("count")).select(F.lit("").alias("key"), "count")
-    tag = lambda df, name: df.select(F.lit(name).alias("scope"), "key", F.col("count").alias("n"))
-    return tag(sections, "section").unionByName(tag(sources, "source")).unionByName(tag(everything, "all"))
+    """scope, key, n: visible items by section, all items by source, all visible with a known section; one pass."""
+    known = F.array_distinct(F.array_intersect("categoryIds", F.array(*map(F.lit, SECTIONS))))
+    entry = lambda scope, key: F.struct(F.lit(scope).alias("scope"), key.alias("key"))
+    none = F.array().cast("array<struct<scope:string,key:string>>")
+    by_section = F.transform(known, lambda k: entry("section", k))
+    entries = F.concat(
+        F.when(visible(hidden), by_section).otherwise(none),
+        F.when(text_or_empty("sourceId") != "", F.array(entry("source", F.col("sourceId")))).otherwise(none),
+        F.when(visible(hidden) & (F.size(known) > 0), F.array(entry("all", F.lit("")))).otherwise(none),
+    )
+    found = items.select(F.inline(entries), F.lit(1).cast("long").alias("n"))
+    zero = items.sparkSession.createDataFrame([("all", "", 0)], "scope string, key string, n long")
+    return found.unionByName(zero).groupBy("scope", "key").agg(F.sum("n").alias("n"))
 
 
 def outlet_totals(items: DataFrame, hidden: Sequence[str] = ()) -> DataFrame:
@@ -146,7 +157,10 @@ def valid_stories(raw: DataFrame) -> DataFrame:
 
 
 def story_members(stories: DataFrame) -> DataFrame:
-    """story_id, item_id, member (place in the story), pos, sources, story_at."""
+    """story_id, item_id, member (place in the story), pos, sources, story_at; stories may come in that form already,
+    where no row should hold all members of one."""
+    if "itemIds" not in stories.columns:
+        return stories
     return stories.select(
         F.col("id").alias("story_id"), "pos", "sources", F.col("publishedAt").alias("story_at"), F.posexplode("itemIds").alias("member", "item_id")
     )

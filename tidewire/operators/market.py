@@ -61,15 +61,19 @@ def sector_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "ticker string, sector string")
 
 
-def last_by_id(securities: DataFrame) -> DataFrame:
-    """One row per SECID, the last one, its columns prefixed with s_."""
-    rest = [c for c in securities.columns if c not in ("SECID", "ord")]
-    last = securities.groupBy("SECID").agg(F.max_by(F.struct(*rest), "ord").alias("s"))
-    return last.select("SECID", *[F.col(f"s.`{c}`").alias(f"s_{c}") for c in rest])
+def last_by_id(securities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per SECID (of each board, where columns tell several apart), the last one, its columns prefixed with s_."""
+    keys = [*by, "SECID"]
+    rest = [c for c in securities.columns if c not in (*keys, "ord")]
+    last = securities.groupBy(*keys).agg(F.max_by(F.struct(*rest), "ord").alias("s"))
+    return last.select(*keys, *[F.col(f"s.`{c}`").alias(f"s_{c}") for c in rest])
 
 
 def share_rows(securities: DataFrame, marketdata: DataFrame, rounded: bool = True, sectors: DataFrame | None = None) -> DataFrame:
-    """Every share with a price: ticker, name, sector, price, change, turnover, weight, weightBasis, ord."""
+    """Every share with a price: ticker, name, sector, price, change, turnover, weight, weightBasis, ord.
+
+    The own list of sectors is small and broadcast; a caller's table is joined as the engine sees fit.
+    """
     rows = marketdata.join(last_by_id(securities), "SECID")
     previous = num(first_of(rows, PREVIOUS, "s_"))
     price = F.coalesce(num(first_of(rows, LAST)), previous)
@@ -79,7 +83,7 @@ def share_rows(securities: DataFrame, marketdata: DataFrame, rounded: bool = Tru
     turnover = F.coalesce(num(first_of(rows, TURNOVER)), F.lit(0.0))
     capital = num(first_of(rows, ("ISSUECAPITALIZATION",), "s_"))
     by_capital = F.coalesce(capital > 0, F.lit(False))
-    table = F.broadcast(sectors if sectors is not None else sector_table(rows))
+    table = sectors if sectors is not None else F.broadcast(sector_table(rows))
     return (
         rows.withColumns({"change": change, "turnover": turnover})
         .select(
@@ -136,11 +140,12 @@ def quotes_for(tickers: DataFrame, board: DataFrame, shown: DataFrame) -> DataFr
     return both.select("ticker", F.coalesce("q", "t").alias("r"), (F.col("q").isNull() & F.col("t").isNotNull()).alias("from_tiles")).select("ticker", "r.*", "from_tiles")
 
 
-def index_values(securities: DataFrame, marketdata: DataFrame) -> DataFrame:
-    """The board's indices in their fixed order: ticker, name, value, change."""
+def index_values(securities: DataFrame, marketdata: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The board's indices in their fixed order: ticker, name, value, change; by names the columns of a board's key."""
     order = marketdata.sparkSession.createDataFrame([(t, i) for i, t in enumerate(INDICES)], "SECID string, place int")
-    rows = marketdata.join(F.broadcast(order), "SECID").join(last_by_id(securities), "SECID", "left")
+    rows = marketdata.join(F.broadcast(order), "SECID").join(last_by_id(securities, by), [*by, "SECID"], "left")
     out = rows.select(
+        *by,
         F.col("SECID").alias("ticker"),
         F.coalesce(first_of(rows, ("SHORTNAME", "NAME"), "s_"), F.col("SECID")).alias("name"),
         num(first_of(rows, INDEX_VALUE)).alias("value"),
@@ -148,7 +153,7 @@ def index_values(securities: DataFrame, marketdata: DataFrame) -> DataFrame:
         "place",
         "ord",
     )
-    return out.filter("value is not null").orderBy("place", "ord").drop("ord")
+    return out.filter("value is not null").orderBy(*by, "place", "ord").drop("ord")
 
 
 def session(marketdata: DataFrame, now: datetime | Column) -> DataFrame:
@@ -211,7 +216,8 @@ def series_summary(candles: DataFrame, range_name: str, rounded: bool = True) ->
 
 
 def chart_points(points: DataFrame, width: float = 600.0, height: float = 130.0, pad: float = 4.0) -> DataFrame:
-    """x by rank, y by value; a flat line gets a small span. points is one series (t, v) of bounded length."""
+    """x by rank, y by value; a flat line gets a small span. points is one series (t, v): what one chart
+    draws, the candles of a day or of a range, so its windows hold one chart."""
     everything = Window.partitionBy(F.lit(1))
     rank = F.row_number().over(Window.orderBy("t")) - 1
     lo, hi, n = F.min("v").over(everything), F.max("v").over(everything), F.count(F.lit(1)).over(everything)
@@ -234,36 +240,46 @@ MACRO = (
 FUTURE = ("BRENT", "Нефть Brent", "$", 6)
 
 
-def macro_rows(securities: DataFrame, marketdata: DataFrame, values: tuple[str, ...]) -> DataFrame:
+def macro_rows(securities: DataFrame, marketdata: DataFrame, values: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """SECID, value, raw change of the first row of each SECID."""
-    rest = [c for c in marketdata.columns if c not in ("SECID", "ord")]
-    firsts = marketdata.groupBy("SECID").agg(F.min_by(F.struct(*rest), "ord").alias("m"), F.min("ord").alias("ord"))
-    rows = firsts.select("SECID", "ord", "m.*").join(last_by_id(securities), "SECID", "left")
+    keys = [*by, "SECID"]
+    rest = [c for c in marketdata.columns if c not in (*keys, "ord")]
+    firsts = marketdata.groupBy(*keys).agg(F.min_by(F.struct(*rest), "ord").alias("m"), F.min("ord").alias("ord"))
+    rows = firsts.select(*keys, "ord", "m.*").join(last_by_id(securities, by), keys, "left")
     value = num(first_of(rows, values))
     previous = num(first_of(rows, MACRO_PREVIOUS, "s_"))
     computed = F.when(previous != 0, (value - previous) / previous * 100)
-    return rows.select("SECID", "ord", value.alias("value"), F.coalesce(num(first_of(rows, MACRO_CHANGE)), computed).alias("raw")).filter("value is not null")
+    return rows.select(*keys, "ord", value.alias("value"), F.coalesce(num(first_of(rows, MACRO_CHANGE)), computed).alias("raw")).filter("value is not null")
+
 
+def macro(tables: dict[str, tuple[DataFrame, DataFrame]], futures: list[tuple[DataFrame, DataFrame]] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """id, name, unit, value, change, place. tables maps a name to (securities, marketdata); what is absent is left out.
 
-def macro(tables: dict[str, tuple[DataFrame, DataFrame]], futures: list[tuple[DataFrame, DataFrame]] = ()) -> DataFrame:
-    """id, name, unit, value, change, place. tables maps a name to (securities, marketdata); what is absent is left out."""
+    by names the columns of a board's key where the tables hold several boards. A table is read once
+    for all its values.
+    """
     parts = []
-    for table, secid, own_id, name, unit, values, place in MACRO:
+    named = lambda rows, own_id, name, unit, place: rows.select(
+        *by, F.lit(own_id).alias("id"), F.lit(name).alias("name"), F.lit(unit).alias("unit"), "value", "raw", F.lit(place).alias("place")
+    )
+    for table in dict.fromkeys(m[0] for m in MACRO):
+        wanted = [m for m in MACRO if m[0] == table]
         if table in tables:
-            rows = macro_rows(*tables[table], values).filter(F.col("SECID") == secid)
-            parts.append(rows.select(F.lit(own_id).alias("id"), F.lit(name).alias("name"), F.lit(unit).alias("unit"), "value", "raw", F.lit(place).alias("place")))
+            rows = macro_rows(*tables[table], wanted[0][5], by)
+            parts += [named(rows.filter(F.col("SECID") == secid), own_id, name, unit, place) for _, secid, own_id, name, unit, _, place in wanted]
     for i, (securities, marketdata) in enumerate(futures):
-        first = marketdata.orderBy("ord").limit(1)
+        rest = [c for c in marketdata.columns if c not in by]
+        first = marketdata.groupBy(*by).agg(F.min_by(F.struct(*rest), "ord").alias("m")).select(*by, "m.*")
         trades = num(first_of(first, FUTURE_TRADES)) > 0
-        rows = macro_rows(securities, first.filter(trades & (num(first_of(first, ("LAST",))) != 0)), ("LAST",))
+        rows = macro_rows(securities, first.filter(trades & (num(first_of(first, ("LAST",))) != 0)), ("LAST",), by)
         own_id, name, unit, place = FUTURE
-        parts.append(rows.select(F.lit(own_id).alias("id"), F.lit(name).alias("name"), F.lit(unit).alias("unit"), "value", "raw", F.lit(place + i).alias("place")))
+        parts.append(named(rows, own_id, name, unit, place + i))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    one = every.groupBy("id").agg(F.min_by(F.struct("name", "unit", "value", "raw", "place"), "place").alias("r")).select("id", "r.*")
+    one = every.groupBy(*by, "id").agg(F.min_by(F.struct("name", "unit", "value", "raw", "place"), "place").alias("r")).select(*by, "id", "r.*")
     # A dollar or euro of the currency market stands after the fixings' place either way.
-    return one.withColumn("change", round2("raw")).drop("raw").orderBy("place")
+    return one.withColumn("change", round2("raw")).drop("raw").orderBy(*by, "place")
 
 
 def candles_of(events: DataFrame, ts: str, value: str, width: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidewire.operators import rules
+from tidewire.operators.rules import SECTIONS as SECTION_NAMES
 from tidewire.operators.snapshot import ITEMS_PER_SOURCE, KEEP_DAYS, KEEP_ITEMS
 from tidewire.functions.text import ENDINGS, MIN_STEM, REDACTED, SECRET_ASSIGNED, SECRET_PARAM, SECRET_PATTERNS, SECRET_URL_USER, STOPWORDS
 from tidewire.plans import golden
-from tidewire.plans.views import BOARD, DEFAULTS, DENY, FEED, HIDDEN, KEY, MAPPING, STORIES, WANTED
+from tidewire.plans import section_sql as sections
+from tidewire.plans.views import BOARD, CENTS, DEFAULTS, DENY, FEED, HIDDEN, KEY, MAPPING, STORIES, WANTED
 
 
 def lit(v: object) -> str:
@@ -25,38 +26,9 @@ def values(rows: list[tuple], names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({names})"
 
 
-def matches(text: str, terms: list[str], anchored: bool = False) -> str:
-    pattern, blanks = rules.re2(terms, anchored)
-    for phrase, mark in blanks:
-        text = f"regexp_replace({text}, {lit(phrase)}, {lit(mark)}, 'g')"
-    return f"regexp_matches({text}, {lit(pattern)})"
-
-
-def ai(title: str, both: str) -> str:
-    pattern = lit(rules.re2(rules.AI_TERMS)[0])
-    return f"(regexp_matches({title}, {pattern}) OR len(regexp_extract_all({both}, {pattern})) >= 2)"
-
-
-def security(t: str) -> str:
-    return f"({matches(t, rules.SECURITY_STRONG)} OR ({matches(t, rules.SECURITY_WEAK)} AND {matches(t, rules.DIGITAL_CONTEXT)}))"
-
-
-def markets(t: str) -> str:
-    """Null where a window would have to be looked at; the driver's texts have no weak term."""
-    return (
-        f"CASE WHEN {matches(t, rules.MARKETS_STRONG, True)} THEN TRUE "
-        f"WHEN {matches(t, rules.MARKETS_EXCLUDE, True)} OR NOT {matches(t, rules.MARKETS_WEAK, True)} THEN FALSE END"
-    )
-
-
-def ibs(t: str) -> str:
-    m = lambda terms: matches(t, terms, True)
-    return f"(NOT {m(rules.IBS_EXCLUDE)} AND ({m(rules.IBS_STRONG)} OR ({m(rules.IBS_WEAK)} AND {m(rules.IBS_CONTEXT)})))"
-
-
 MAP_ROWS = values([(s, k.lstrip("/").lower() if k.startswith("/") else " ".join(k.lower().split()), k.startswith("/"), ids) for s, k, ids in MAPPING], "source_id, k, by_url, ids")
 DEFAULT_ROWS = values(DEFAULTS, "source_id, ids")
-SECTIONS = lit(list(rules.SECTIONS))
+SECTIONS = lit(list(SECTION_NAMES))
 
 #: Sections of feed items: the address's segment replaces the rubrics, whose parents are tried; then defaults; then the text.
 CLASSIFIED = f"""{FEED},
@@ -71,16 +43,12 @@ mapped AS (
   LEFT JOIN defaults d ON d.source_id = f.source_id
   LEFT JOIN map r1 ON NOT r1.by_url AND r1.source_id = f.source_id AND r1.k = f.event_type
   LEFT JOIN map r2 ON NOT r2.by_url AND r2.source_id = f.source_id AND r2.k = f.event_type || ' / ' || f.lang),
+{sections.markets_of("mapped", "ord", "t2")},
 tested AS (
-  SELECT *, {ai("t1", "t2")} AS is_ai, {matches("t2", rules.HEALTH)} AS is_health, {security("t2")} AS is_security,
-         {markets("t2")} AS is_markets, {ibs("t2")} AS is_ibs
-  FROM mapped),
+  SELECT m.*, {sections.by_text("t1", "t2", "n.is_markets")} AS by_text FROM mapped m JOIN market_news n ON n.key = m.ord),
 raw AS (
   SELECT *, list_filter(list_concat(coalesce(url_ids, list_concat(coalesce(r1, []), coalesce(r2, [])), []), coalesce(default_ids, [])),
-                        lambda x: list_contains({SECTIONS}, x)) AS from_source,
-         list_filter([CASE WHEN is_ai THEN 'ai' END, CASE WHEN is_health THEN 'health' END, CASE WHEN is_security THEN 'security' END,
-                      CASE WHEN is_markets THEN 'markets' END, CASE WHEN is_markets THEN 'business' END, CASE WHEN is_ibs THEN 'ibs' END],
-                     lambda x: x IS NOT NULL) AS by_text
+                        lambda x: list_contains({SECTIONS}, x)) AS from_source
   FROM tested),
 every AS (SELECT *, list_concat(from_source, by_text) AS ids FROM raw),
 classified AS (SELECT *, list_filter(ids, lambda x, i: list_position(ids, x) = i) AS sections FROM every)"""
@@ -128,9 +96,36 @@ ORACLES["title_tokens"] = f"""WITH {FEED}
 SELECT ord, array_to_string({tokens("title || ' Россия приостановит поставки газа в Армению санкциями ёлки сообщил'")}, ' ') AS tokens FROM feed"""
 
 ORACLES["section_mapping"] = f"WITH {CLASSIFIED} SELECT ord, array_to_string(sections, ',') AS sections FROM classified"
-ORACLES["text_sections"] = f"SELECT * FROM {values(golden.HEADLINES, 'title, excerpt, sections')}"
-ORACLES["ibs_news"] = f"SELECT title, {ibs('lower(title)')} AS is_ibs FROM {values(golden.IBS, 'title, wanted')}"
-ORACLES["rubric_mapping"] = f"SELECT * FROM {values([(i, c[3]) for i, c in enumerate(golden.RUBRIC_CASES)], 'ord, sections')}"
+#: Cases planted into the feed, one after another by place.
+PLANTED = f"""{FEED},
+cases AS (SELECT * FROM {values([(i, t, e) for i, (t, e, _) in enumerate(golden.HEADLINES)], "k, more_title, more_excerpt")}),
+planted AS (
+  SELECT ord, lower(title || ' ' || more_title) AS t1, lower(title || ' ' || more_title || ' ' || more_excerpt || ' ' || excerpt) AS t2
+  FROM feed JOIN cases ON k = ord % {len(golden.HEADLINES)})"""
+ORACLES["text_sections"] = f"""WITH {PLANTED}, {sections.markets_of("planted", "ord", "t2")}
+SELECT ord, array_to_string({sections.by_text("t1", "t2", "n.is_markets")}, ',') AS sections FROM planted p JOIN market_news n ON n.key = p.ord"""
+ORACLES["ibs_news"] = f"WITH {PLANTED} SELECT ord, {sections.ibs('t2')} AS is_ibs FROM planted"
+RUBRIC_KEY = r"regexp_replace(regexp_replace(lower({0}), '^[\s\-–—/]+|[\s\-–—/]+$', '', 'g'), '\s+', ' ', 'g')"
+RUBRIC_MAP = values([(i, *r) for i, r in enumerate(golden.RUBRICS)], "i, source, k, ids")
+ORACLES["rubric_mapping"] = rf"""WITH {FEED},
+given AS (SELECT * FROM {RUBRIC_MAP}),
+cases AS (SELECT * FROM {values([(i, s, r, u) for i, (s, r, u, _) in enumerate(golden.RUBRIC_CASES)], "c, source, rubrics, url")}),
+by_rubric AS (SELECT source, {RUBRIC_KEY.format("k")} AS k, arg_min(ids, i) AS ids FROM given WHERE k[1] <> '/' GROUP BY ALL),
+one AS (SELECT c, source, unnest(rubrics) AS rubric, unnest(range(len(rubrics))) AS nth FROM cases),
+parted AS (SELECT *, list_filter(regexp_split_to_array(rubric, '\s*/\s*'), lambda x: x <> '') AS parts FROM one),
+tried AS (SELECT c, source, nth, unnest(range(len(parts))) + 1 AS n, parts FROM parted),
+found AS (
+  SELECT c, nth, arg_max(m.ids, n) AS ids FROM tried t
+  JOIN by_rubric m ON m.source = t.source AND m.k = {RUBRIC_KEY.format("array_to_string(parts[:n], ' / ')")} GROUP BY ALL),
+rubric_ids AS (SELECT c, flatten(list(ids ORDER BY nth)) AS ids FROM found GROUP BY c),
+placed AS (
+  SELECT c.c, list_concat(coalesce(u.ids, r.ids, []), coalesce(d.ids, [])) AS ids
+  FROM cases c LEFT JOIN rubric_ids r USING (c)
+  LEFT JOIN given u ON u.source = c.source AND u.k = '/' || lower(regexp_extract(c.url, '^https?://[^/]+/+([^/?#]+)', 1))
+  LEFT JOIN {values(golden.RUBRIC_DEFAULTS, "source, ids").replace(") v(", ") d(")} ON d.source = c.source),
+kept AS (SELECT c, list_filter(ids, lambda x: list_contains({SECTIONS}, x)) AS ids FROM placed)
+SELECT ord, array_to_string(list_filter(ids, lambda x, i: list_position(ids, x) = i), ',') AS sections
+FROM feed JOIN kept ON c = ord % {len(golden.RUBRIC_CASES)}"""
 
 ORACLES["section_reasons"] = f"""WITH {CLASSIFIED},
 one AS (SELECT *, unnest(sections) AS section FROM classified)
@@ -156,7 +151,7 @@ raw AS (
   FROM feed),
 t AS (SELECT *, lower(title) AS t1, lower(title || ' ' || excerpt) AS t2 FROM raw)
 SELECT ord, coalesce(id, url || ':2024') AS id, url, image, source_id, has_content,
-       lang || CASE WHEN {ai("t1", "t2")} THEN ',ai' ELSE '' END || CASE WHEN {security("t2")} THEN ',security' ELSE '' END AS sections
+       lang || CASE WHEN {sections.ai("t1", "t2")} THEN ',ai' ELSE '' END || CASE WHEN {sections.security("t2")} THEN ',security' ELSE '' END AS sections
 FROM t"""
 
 VISIBLE = f"source_id NOT IN ({', '.join(map(lit, HIDDEN))})"
@@ -177,7 +172,9 @@ FROM customer"""
 
 # --- stories --------------------------------------------------------------------------------
 
-ORACLES["story_index"] = f"WITH {FEED}, {STORIES} SELECT item_id, story_id, sources FROM story_of"
+#: The feed as far as the snapshot keeps it.
+KEPT = f"{FEED.replace('feed AS', 'every_item AS')}, feed AS (SELECT * FROM every_item ORDER BY published_at DESC, ord LIMIT {KEEP_ITEMS})"
+ORACLES["story_index"] = f"WITH {KEPT}, {STORIES} SELECT item_id, story_id, sources FROM story_of"
 NOW = "(SELECT max(published_at) FROM feed)"
 RANK = f"exp(-greatest(0, epoch_us({NOW}) - epoch_us(published_at)) / 1e6 / 3600 / 24)"
 ONE = "one AS (SELECT f.* FROM feed f JOIN (SELECT id, min(ord) AS ord FROM feed GROUP BY id) m ON m.id = f.id AND m.ord = f.ord)"
@@ -247,8 +244,8 @@ FROM i"""
 
 ORACLES["pruned"] = f"""WITH {FEED},
 f AS (SELECT * REPLACE (CASE WHEN ord % 17 <> 0 THEN published_at END AS published_at) FROM feed)
-SELECT ord, id FROM f WHERE published_at IS NULL OR published_at >= (SELECT max(published_at) FROM f) - INTERVAL 2 DAY
-ORDER BY coalesce(published_at, TIMESTAMP '1970-01-01') DESC, ord LIMIT 300"""
+SELECT ord, id FROM f WHERE published_at IS NULL OR published_at >= (SELECT max(published_at) FROM f) - INTERVAL {KEEP_DAYS} DAY
+ORDER BY coalesce(published_at, TIMESTAMP '1970-01-01') DESC, ord LIMIT {KEEP_ITEMS}"""
 ORACLES["late_rows"] = f"""WITH {FEED},
 f AS (SELECT * REPLACE (CASE WHEN ord % 17 <> 0 THEN published_at END AS published_at) FROM feed)
 SELECT ord FROM f WHERE published_at < (SELECT max(published_at) FROM f) - INTERVAL 2 DAY"""
@@ -258,7 +255,7 @@ w AS (SELECT ord, CASE WHEN source_id = 'src2' THEN 'habr' ELSE source_id END AS
 r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ord) AS rn, min(ord) OVER (PARTITION BY source_id) AS first FROM w)
 SELECT ord, source_id, rn::INT AS rn FROM r ORDER BY rn, first LIMIT 400"""
 ORACLES["image_work"] = f"WITH {FEED} SELECT ord FROM feed WHERE image = '' AND ord % 2 <> 0 AND ord % 5 < 3 AND published_at >= {NOW} - INTERVAL 24 HOUR"
-ORACLES["capped_sources"] = f"WITH {FEED} SELECT ord, source_id FROM feed QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY ord) <= 10"
+ORACLES["capped_sources"] = f"WITH {FEED} SELECT ord, source_id FROM feed QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY ord) <= {ITEMS_PER_SOURCE}"
 ORACLES["helpful_images"] = f"""WITH {FEED},
 i AS (SELECT ord, source_id, CASE WHEN ord % 3 = 0 THEN '' ELSE 'https://img.example/' || (ord % 97) || CASE WHEN ord % 2 = 0 THEN '.jpg' ELSE '-' || ord || '7.jpg' END END AS image FROM feed),
 deny AS (SELECT * FROM {values(DENY, 'source_id, fragment')}),
@@ -301,7 +298,10 @@ ORACLES["board_quotes"] = f"{S} SELECT ticker, name, price, round(change, 6) AS
 ORACLES["quotes_for"] = f"""{S}, wanted AS (SELECT 'T' || p_partkey AS ticker, p_partkey AS k FROM part WHERE p_partkey % 10 = 0)
 SELECT w.ticker, name, price, round(change, 6) AS change, (s.ticker IS NOT NULL AND k % 20 = 0) AS from_tiles FROM wanted w LEFT JOIN shares s USING (ticker)"""
 ORACLES["up_and_down"] = f"{S} SELECT count(*) FILTER (WHERE change > 0) AS up, count(*) FILTER (WHERE change < 0) AS down, count(*) AS total FROM shares"
-ORACLES["index_values"] = f"SELECT * FROM {values(golden.INDEX_VALUES, 'place, ticker, name, value, change')}"
+ORACLES["index_values"] = """WITH p AS (SELECT p_partkey AS k, p_name AS name, CAST(p_retailprice AS DECIMAL(18,2))::DOUBLE AS price, p_size AS size FROM part)
+SELECT k AS board, 0::INT AS place, 'IMOEX' AS ticker, name, price AS value, -(size / 10)::DOUBLE AS change FROM p
+UNION ALL SELECT k, 1::INT, 'RTSI', 'RTSI', price + 1000, CASE WHEN k % 3 <> 0 THEN size::DOUBLE END FROM p
+UNION ALL SELECT k, 2::INT, 'MOEXBC', 'Blue ' || k, size::DOUBLE, NULL FROM p WHERE k % 4 <> 0"""
 ORACLES["board_session"] = """WITH md AS (SELECT l_partkey AS k, max(l_shipdate) AS shipped FROM lineitem GROUP BY l_partkey)
 SELECT CASE WHEN EXISTS (SELECT 1 FROM md WHERE k % 50 = 3) THEN 'closed' ELSE 'open' END AS status,
        (SELECT strftime(arg_min(shipped, k), '%Y-%m-%d %H:%M:%S') FROM md WHERE k % 40 = 1) AS time, EXISTS (SELECT 1 FROM md WHERE k % 50 = 3) AS from_exchange"""
@@ -324,7 +324,7 @@ per AS (SELECT sector, sum(CAST(weight AS DECIMAL(24,2)))::DOUBLE AS value, coun
 m AS (SELECT *, value / sum(value) OVER () < 0.03 AND sector <> 'Прочие' AS tiny FROM per),
 k AS (SELECT *, count(*) FILTER (WHERE tiny) OVER () AS tinies FROM m)
 SELECT CASE WHEN tiny AND tinies > 1 THEN 'Прочие' ELSE sector END AS sector, sum(CAST(value AS DECIMAL(24,2)))::DOUBLE AS value, sum(n)::BIGINT AS n FROM k GROUP BY 1"""
-ORACLES["display_formats"] = f"""{S}, d AS (SELECT *, floor(weight) - floor(floor(weight) / 1e6) * 1e6 AS m FROM shares WHERE ord % 7 <> 0)
+ORACLES["display_formats"] = f"""{S}, d AS (SELECT *, floor(weight) - floor(floor(weight) / 1e6) * 1e6 AS m FROM shares)
 SELECT ticker, CASE WHEN ord % 10 = 1 AND ord % 100 <> 11 THEN 'источник' WHEN ord % 10 BETWEEN 2 AND 4 AND NOT ord % 100 BETWEEN 12 AND 14 THEN 'источника' ELSE 'источников' END AS plural,
   greatest(100, least(900, ord))::INT AS clamped,
   CASE WHEN floor(change) > 0 THEN '+' WHEN floor(change) < 0 THEN '−' ELSE '' END || abs(floor(change))::BIGINT || ',00%' AS change_text,
@@ -348,7 +348,17 @@ ORACLES["chart_points"] = f"""WITH {CANDLES}, p AS ({DAY}),
 w AS (SELECT *, row_number() OVER (ORDER BY t) - 1 AS i, min(v) OVER () AS lo, max(v) OVER () AS hi, count(*) OVER () AS n FROM p)
 SELECT t, v, round(4 + i / greatest(n - 1, 1) * 592, 6) AS x,
        round(4 + (1 - (v - lo) / CASE WHEN hi > lo THEN hi - lo WHEN hi <> 0 THEN abs(hi) * 0.001 ELSE 1 END) * 122, 6) AS y FROM w"""
-ORACLES["macro_strip"] = f"SELECT * FROM {values(golden.MACRO_ROWS, 'rank, id, name, unit, value, change')}"
+MOVE = "(({0}) - ({1})) / ({1}) * 100"
+ORACLES["macro_strip"] = f"""WITH s AS (SELECT s_suppkey AS k, CAST(s_acctbal AS DECIMAL(18,2)) AS b FROM supplier),
+v AS (SELECT k, (b + 10000)::DOUBLE AS rgbi, ((b + 20000) / 7)::DECIMAL(18,2)::DOUBLE AS cny, ((b + 20000) / 11)::DECIMAL(18,2)::DOUBLE AS usd, (k % 50 + 10)::DOUBLE AS prev FROM s),
+r AS (
+  SELECT k AS board, 0 AS place, 'RGBI' AS id, 'Гособлигации RGBI' AS name, '' AS unit, rgbi AS value, CASE WHEN k % 2 = 0 THEN 0.125 END AS raw FROM v
+  UNION ALL SELECT k, 1, 'CNY', 'Юань', '₽', cny, {MOVE.format("cny", "prev")} FROM v WHERE k % 5 <> 0
+  UNION ALL SELECT k, 2, 'USD', 'Доллар (фиксинг)', '₽', usd, {MOVE.format("usd", "prev + 1")} FROM v WHERE k % 3 <> 0
+  UNION ALL SELECT k, 4, 'USD', 'Доллар', '₽', cny, {MOVE.format("cny", "prev")} FROM v WHERE k % 3 = 0
+  UNION ALL SELECT k, 6, 'BRENT', 'Нефть Brent', '$', usd, {MOVE.format("usd", "prev")} FROM v WHERE k % 2 = 1
+  UNION ALL SELECT k, 7, 'BRENT', 'Нефть Brent', '$', rgbi, 1.005 FROM v WHERE k % 2 = 0 AND k % 7 <> 0)
+SELECT board, id, name, unit, value, {CENTS.format("raw")} AS change, place::INT AS place FROM r"""
 
 NEWS = [
     ("GAZP", "regexp_matches(regexp_replace(t, 'газпром\\s*нефт', '#', 'g'), 'газпром')"),
@@ -395,13 +405,9 @@ COUNTS = f"""counts AS (
     SELECT ord, unnest({tokens("title")}) AS term, 3 AS w FROM {{0}} UNION ALL SELECT ord, unnest({tokens("substr(excerpt, 1, 300)")}), 1 FROM {{0}}) x
   GROUP BY ord, term)"""
 ORACLES["term_frequencies"] = f"WITH {FEED}, {COUNTS.replace('{0}', 'feed')} SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM counts GROUP BY term"
-ORACLES["similar_items"] = f"""WITH {FEED}, cut AS (SELECT * FROM feed ORDER BY published_at DESC, ord LIMIT 300), {COUNTS.replace('{0}', 'cut')},
+ORACLES["similar_items"] = f"""WITH {FEED}, cut AS (SELECT * FROM feed ORDER BY published_at DESC, ord LIMIT {KEEP_ITEMS}), {COUNTS.replace('{0}', 'cut')},
 df AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
 raw AS (SELECT ord, term, tf * (ln(((SELECT count(*) FROM cut) + 1) / (df + 1)) + 1) AS w FROM counts JOIN df USING (term)),
 norms AS (SELECT ord, sqrt(sum(w * w)) AS norm FROM raw GROUP BY ord),
 unit AS (SELECT ord, term, w / norm AS w FROM raw JOIN norms USING (ord))
 SELECT x.ord AS a, y.ord AS b, round(sum(x.w * y.w), 6) AS cosine FROM unit x JOIN unit y ON x.term = y.term AND x.ord < y.ord GROUP BY x.ord, y.ord HAVING sum(x.w * y.w) >= 0.42"""
-ORACLES["similar_items_kept"] = ORACLES["similar_items"].replace("LIMIT 300", f"LIMIT {KEEP_ITEMS}")
-ORACLES["display_formats_all"] = ORACLES["display_formats"].replace(" WHERE ord % 7 <> 0", "")
-ORACLES["pruned_kept"] = ORACLES["pruned"].replace("INTERVAL 2 DAY", f"INTERVAL {KEEP_DAYS} DAY").replace("LIMIT 300", f"LIMIT {KEEP_ITEMS}")
-ORACLES["capped_sources_kept"] = ORACLES["capped_sources"].replace("<= 10", f"<= {ITEMS_PER_SOURCE}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import dates, html, numbers, text
 from tidewire.operators import classify, company, feed, market, snapshot, stories, treemap
-from tidewire.plans import views
+from tidewire.plans import golden, views
 from tidewire.sources import exchange
 from tidewire.streaming import live
 
@@ -90,31 +90,43 @@ def section_mapping(spark, sf_dir):
     return classified(spark, sf_dir).select("ord", joined("categoryIds").alias("sections"))
 
 
+def by_place(cases: list, column: str):
+    """The case of a row: cases are dealt by the row's place, one after another."""
+    return F.get(F.array(*[F.lit(c) for c in cases]), F.pmod(F.col(column), F.lit(len(cases))).cast("int"))
+
+
+def with_headlines(spark, sf_dir):
+    """Feed items with a hit or a near miss of a section rule planted where title and excerpt meet."""
+    i = views.feed_items(spark, sf_dir)
+    title, excerpt = (by_place([h[n] for h in golden.HEADLINES], "ord") for n in (0, 1))
+    return i.select("ord", F.concat_ws(" ", "title", title).alias("title"), F.concat_ws(" ", excerpt, "excerpt").alias("excerpt"))
+
+
 @query
 def text_sections(spark, sf_dir):
-    """P2-P8 on golden headlines."""
-    from tidewire.plans.golden import HEADLINES
-
-    rows = spark.createDataFrame([h[:2] for h in HEADLINES], "title string, excerpt string")
-    return rows.select("title", "excerpt", joined(classify.sections_by_text(F.col("title"), F.col("excerpt"))).alias("sections"))
+    """The text rules where all of them have something to find."""
+    return with_headlines(spark, sf_dir).select("ord", joined(classify.sections_by_text(F.col("title"), F.col("excerpt"))).alias("sections"))
 
 
 @query
 def ibs_news(spark, sf_dir):
-    """P7 on golden headlines."""
-    from tidewire.plans.golden import IBS
-
-    return spark.createDataFrame([(t,) for t, _ in IBS], "title string").select("title", classify.is_ibs(F.lower("title")).alias("is_ibs"))
+    """P7."""
+    return with_headlines(spark, sf_dir).select("ord", classify.is_ibs(classify.joined_text(F.col("title"), F.col("excerpt"))).alias("is_ibs"))
 
 
 @query
 def rubric_mapping(spark, sf_dir):
-    """J1, J2 on golden rubrics."""
-    from tidewire.plans.golden import RUBRIC_CASES, rubric_config
-
-    rows = [(i, s, r, u, "", "") for i, (s, r, u, _) in enumerate(RUBRIC_CASES)]
-    items = spark.createDataFrame(rows, "ord int, sourceId string, sourceCategories array<string>, url string, title string, excerpt string")
-    return classify.classify(items, classify.source_maps(*rubric_config(spark))).select("ord", joined("categoryIds").alias("sections"))
+    """Items with rubrics and addresses that meet every step of the mapping."""
+    cases = golden.RUBRIC_CASES
+    items = views.feed_items(spark, sf_dir).select(
+        "ord",
+        by_place([c[0] for c in cases], "ord").alias("sourceId"),
+        F.get(F.array(*[F.array(*map(F.lit, c[1])).cast("array<string>") for c in cases]), F.pmod("ord", F.lit(len(cases))).cast("int")).alias("sourceCategories"),
+        by_place([c[2] for c in cases], "ord").alias("url"),
+        F.lit("").alias("title"),
+        F.lit("").alias("excerpt"),
+    )
+    return classify.classify(items, classify.source_maps(*golden.rubric_config(spark))).select("ord", joined("categoryIds").alias("sections"))
 
 
 @query
@@ -191,8 +203,8 @@ def saved_selection(spark, sf_dir):
 
 @query
 def story_index(spark, sf_dir):
-    """J8, P18."""
-    i = views.feed_items(spark, sf_dir)
+    """J8, P18 over the items that the snapshot keeps."""
+    i = views.feed_items(spark, sf_dir).orderBy(*feed.newest_first()).limit(snapshot.KEEP_ITEMS)
     return feed.story_of_item(feed.valid_stories(views.headline_stories(i)))
 
 
@@ -201,7 +213,7 @@ def ranked_feed(spark, sf_dir):
     """W4, W6."""
     i = views.feed_items(spark, sf_dir)
     one = i.join(i.groupBy("id").agg(F.min("ord").alias("ord")), ["id", "ord"], "left_semi")
-    out = feed.ranked_feed(one, views.headline_stories(i), now_of(i))
+    out = feed.ranked_feed(one, views.headline_members(i), now_of(i))
     return out.select("ord", "id", F.round("score", 6).alias("score"))
 
 
@@ -210,14 +222,14 @@ def top_block(spark, sf_dir):
     """T5, J9."""
     i = views.feed_items(spark, sf_dir)
     one = i.join(i.groupBy("id").agg(F.min("ord").alias("ord")), ["id", "ord"], "left_semi")
-    return feed.top_stories_block(one, views.headline_stories(i), now_of(i)).select("rn", "story_id", "lead_id", "sources", F.round("score", 6).alias("score"))
+    return feed.top_stories_block(one, views.headline_members(i), now_of(i)).select("rn", "story_id", "lead_id", "sources", F.round("score", 6).alias("score"))
 
 
 @query
 def also_covered_by(spark, sf_dir):
     """J9."""
     i = views.feed_items(spark, sf_dir)
-    return feed.also_covered_by(views.headline_stories(i), i, views.HIDDEN)
+    return feed.also_covered_by(views.headline_members(i), i, views.HIDDEN)
 
 
 # --- snapshot -------------------------------------------------------------------------------
@@ -275,13 +287,6 @@ def with_missing_dates(spark, sf_dir):
 
 @query
 def pruned(spark, sf_dir):
-    """P11, T1, ST3: two days, 300 rows."""
-    i = with_missing_dates(spark, sf_dir)
-    return snapshot.prune(i, now_of(i), days=2, most=300).select("ord", "id")
-
-
-@query
-def pruned_kept(spark, sf_dir):
     """P11, T1, ST3 with the snapshot's own days and rows."""
     i = with_missing_dates(spark, sf_dir)
     return snapshot.prune(i, now_of(i)).select("ord", "id")
@@ -312,12 +317,6 @@ def image_work(spark, sf_dir):
 
 @query
 def capped_sources(spark, sf_dir):
-    """Ten rows of each source."""
-    return snapshot.capped_per_source(views.feed_items(spark, sf_dir), 10).select("ord", F.col("sourceId").alias("source_id"))
-
-
-@query
-def capped_sources_kept(spark, sf_dir):
     """W3 with the feed's own rows of each source."""
     return snapshot.capped_per_source(views.feed_items(spark, sf_dir)).select("ord", F.col("sourceId").alias("source_id"))
 
@@ -394,7 +393,7 @@ def retry_counts(spark, sf_dir):
 
 
 def shares(spark, sf_dir) -> DataFrame:
-    return market.share_rows(*views.board(spark, sf_dir), rounded=False, sectors=views.sectors(spark, sf_dir))
+    return market.share_rows(*views.board(spark, sf_dir), sectors=views.sectors(spark, sf_dir))
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -445,15 +444,38 @@ def up_and_down(spark, sf_dir):
     return market.up_and_down(shares(spark, sf_dir))
 
 
+def block(columns: tuple[str, ...], rows: list[list]):
+    """A block of an exchange's answer; cells are texts or null."""
+    cell = lambda c: (F.lit(c) if c is None or isinstance(c, str) else c).cast("string")
+    return F.struct(F.array(*map(F.lit, columns)).alias("columns"), F.array(*[F.array(*map(cell, r)) for r in rows]).alias("data"))
+
+
+def answers(rows: DataFrame, key, securities, marketdata) -> tuple[DataFrame, DataFrame]:
+    """A JSON answer per row, read back as the two tables of all boards."""
+    found = rows.select(key.alias("board"), F.to_json(F.struct(securities.alias("securities"), marketdata.alias("marketdata"))).alias("json"))
+    columns = ("SECID", "SHORTNAME", "NAME", *market.MACRO_PREVIOUS)
+    values = ("SECID", *dict.fromkeys((*market.INDEX_VALUE, *market.CURRENCY_VALUE, *market.INDEX_CHANGE, *market.MACRO_CHANGE, *market.FUTURE_TRADES)))
+    return exchange.block_frame(found, "securities", columns), exchange.block_frame(found, "marketdata", values)
+
+
 @query
 def index_values(spark, sf_dir):
-    """J5, T9, SRC6: an answer of the exchange."""
-    from tidewire.plans.golden import INDEX_ANSWER
-
-    a = exchange.answer(spark, INDEX_ANSWER)
-    securities = exchange.block_frame(a, "securities", ("SECID", "SHORTNAME", "NAME"))
-    marketdata = exchange.block_frame(a, "marketdata", ("SECID", *market.INDEX_VALUE, *market.INDEX_CHANGE))
-    return market.index_values(securities, marketdata).select("place", "ticker", "name", "value", "change")
+    """J5, T9, SRC6: an answer of the exchange for every part."""
+    p = views.table(spark, sf_dir, "part")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    price = F.col("p_retailprice").cast("decimal(18,2)")
+    securities = block(("SECID", "SHORTNAME", "NAME"), [["IMOEX", F.col("p_name"), "x"], ["RTSI", "", None], ["MOEXBC", None, F.concat(F.lit("Blue "), k.cast("string"))]])
+    marketdata = block(
+        ("SECID", "CURRENTVALUE", "LASTVALUE", "LASTCHANGEPRC"),
+        [
+            ["OTHER", "5", "5", "1"],
+            ["RTSI", "", (price + 1000).cast("string"), F.when(k % 3 != 0, size)],
+            ["IMOEX", F.replace(price.cast("string"), F.lit("."), F.lit(",")), "7", F.concat(F.lit("-"), F.replace((size.cast("decimal(9,1)") / 10).cast("string"), F.lit("."), F.lit(",")))],
+            ["MOEXBC", F.when(k % 4 != 0, size), None, "soon"],
+        ],
+    )
+    found = market.index_values(*answers(p, k, securities, marketdata), by=("board",))
+    return found.select("board", "place", "ticker", "name", "value", "change")
 
 
 @query
@@ -511,12 +533,6 @@ def formats(s: DataFrame) -> DataFrame:
 
 @query
 def display_formats(spark, sf_dir):
-    """F32, F34 without every seventh share, as its SQL has it; all shares: display_formats_all."""
-    return formats(shares(spark, sf_dir).filter("ord % 7 <> 0"))
-
-
-@query
-def display_formats_all(spark, sf_dir):
     """F32, F34."""
     return formats(shares(spark, sf_dir))
 
@@ -556,18 +572,26 @@ def chart_points(spark, sf_dir):
 
 @query
 def macro_strip(spark, sf_dir):
-    """J15, F27."""
-    from tidewire.plans.golden import MACRO_ANSWERS
-
-    def frames(name: str):
-        a = exchange.answer(spark, MACRO_ANSWERS[name])
-        columns = ("SECID", *market.MACRO_PREVIOUS)
-        values = ("SECID", *dict.fromkeys((*market.INDEX_VALUE, *market.CURRENCY_VALUE, *market.MACRO_CHANGE, *market.FUTURE_TRADES)))
-        return exchange.block_frame(a, "securities", columns), exchange.block_frame(a, "marketdata", values)
-
-    tables = {n: frames(n) for n in ("indices", "currency", "fixing")}
-    out = market.macro(tables, [frames("future1"), frames("future2")])
-    return out.select(F.row_number().over(Window.orderBy("place")).alias("rank"), "id", "name", "unit", "value", "change")
+    """J15, F27, SRC6: the strip of every supplier's board."""
+    supplier = views.table(spark, sf_dir, "supplier")
+    k, balance = F.col("s_suppkey"), F.col("s_acctbal").cast("decimal(18,2)")
+    shown = lambda x: F.replace(x.cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))
+    rgbi, cny, usd, prev = shown(balance + 10000), shown((balance + 20000) / 7), shown((balance + 20000) / 11), k % 50 + 10
+    boards = {
+        "indices": (block(("SECID",), [["RGBI"]]), block(("SECID", "CURRENTVALUE", "LASTCHANGEPRC"), [["RGBI", rgbi, F.when(k % 2 == 0, "0,125")]])),
+        "currency": (
+            block(("SECID", "PREVPRICE"), [["CNYRUB_TOM", prev], ["USD000UTSTOM", prev]]),
+            block(("SECID", "LAST"), [["CNYRUB_TOM", F.when(k % 5 != 0, cny)], ["USD000UTSTOM", cny], ["USD000UTSTOM", "1"], ["EUR_RUB__TOM", None]]),
+        ),
+        "fixing": (block(("SECID", "PREVSETTLEPRICE"), [["USDFIX", prev + 1]]), block(("SECID", "LASTVALUE"), [["USDFIX", F.when(k % 3 != 0, usd)]])),
+    }
+    futures = [
+        (block(("SECID", "PREVPRICE"), [["BRU6", prev]]), block(("SECID", "LAST", "VALTODAY"), [["BRU6", usd, k % 2], ["BRU6", "1", "1"]])),
+        (block(("SECID",), []), block(("SECID", "LAST", "NUMTRADES", "LASTTOPREVPRICE"), [["BRV6", F.when(k % 7 != 0, rgbi), "3", "1.005"]])),
+    ]
+    read = lambda pair: answers(supplier, k, *pair)
+    out = market.macro({n: read(pair) for n, pair in boards.items()}, [read(f) for f in futures], by=("board",))
+    return out.select("board", "id", "name", "unit", "value", "change", "place")
 
 
 @query
@@ -592,13 +616,6 @@ def term_frequencies(spark, sf_dir):
 
 @query
 def similar_items(spark, sf_dir):
-    """A10: pairs of the newest 300 items only, as its SQL has it, with a cosine of 0.42; all kept items: similar_items_kept."""
-    cut = views.feed_items(spark, sf_dir).orderBy(*feed.newest_first()).limit(300)
-    return stories.similar_pairs(stories.vectors(cut)).select("a", "b", F.round("cosine", 6).alias("cosine"))
-
-
-@query
-def similar_items_kept(spark, sf_dir):
     """A10: pairs of all items that the snapshot keeps (KEEP_ITEMS, as story clusters) with a cosine of 0.42."""
     kept = views.feed_items(spark, sf_dir).orderBy(*feed.newest_first()).limit(snapshot.KEEP_ITEMS)
     return stories.similar_pairs(stories.vectors(kept)).select("a", "b", F.round("cosine", 6).alias("cosine"))

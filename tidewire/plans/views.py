@@ -63,18 +63,36 @@ def mapping(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(rows, "sourceId string, key string, ids array<string>, ord int"), spark.createDataFrame(DEFAULTS, "sourceId string, ids array<string>")
 
 
-def headline_stories(items: DataFrame) -> DataFrame:
-    """Stories that need no clustering: one headline in two outlets or more. Newest member heads; pos by headline."""
+def headlines(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stories that need no clustering, one headline in two outlets or more, and their members by headline.
+
+    The newest member heads a story; pos is its first item's place. A member's rank is its time and
+    place, so that no step sorts all items of a headline.
+    """
     from tidewire.functions.text import title_key
 
-    rows = items.withColumn("key", title_key("title")).filter("key <> ''")
-    by = rows.groupBy("key").agg(
+    rank = F.struct(F.negative(F.unix_micros("publishedAt")).alias("t"), "ord")
+    rows = items.withColumn("key", title_key("title")).filter("key <> ''").select("key", "id", "ord", "sourceId", "publishedAt", rank.alias("rank"))
+    facts = rows.groupBy("key").agg(
         F.count_distinct("sourceId").cast("int").alias("sources"),
         F.max("publishedAt").alias("publishedAt"),
-        F.sort_array(F.collect_set(F.struct(F.negative(F.unix_micros("publishedAt")).alias("t"), "ord", "id"))).alias("m"),
+        F.min_by("id", "rank").alias("story_id"),
         F.min("ord").alias("pos"),
-    ).filter("sources >= 2")
-    return by.select(F.col("m.id")[0].alias("id"), F.col("key").alias("title"), "sources", "publishedAt", F.array_distinct("m.id").alias("itemIds"), "pos")
+    )
+    return facts.filter("sources >= 2"), rows.groupBy("key", F.col("id").alias("item_id")).agg(F.min("rank").alias("member"))
+
+
+def headline_stories(items: DataFrame) -> DataFrame:
+    """Stories as a snapshot lists them, members in an array: for the items that a snapshot keeps."""
+    facts, members = headlines(items)
+    lists = members.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("member", "item_id"))).alias("m"))
+    return facts.join(lists, "key").select(F.col("story_id").alias("id"), F.col("key").alias("title"), "sources", "publishedAt", F.col("m.item_id").alias("itemIds"), "pos")
+
+
+def headline_members(items: DataFrame) -> DataFrame:
+    """The same, a row per member as feed.story_members gives them: for all items."""
+    facts, members = headlines(items)
+    return facts.join(members, "key").select("story_id", "pos", "sources", F.col("publishedAt").alias("story_at"), "member", "item_id")
 
 
 KEY = "trim(regexp_replace(replace(lower(title), 'ё', 'е'), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
@@ -123,7 +141,9 @@ def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("ticker"), F.when(F.col("p_partkey") % 9 != 0, F.col("p_brand")).alias("sector"))
 
 
-BOARD = """sec AS (
+#: Two digits by the exact binary value, halves away from zero: whole numbers of 2^-60 are exact.
+CENTS = "(sign({0}) * ((abs({0}) * 1152921504606846976)::HUGEINT * 200 + 1152921504606846976::HUGEINT) // 2305843009213693952::HUGEINT)::DOUBLE / 100"
+BOARD = f"""sec AS (
   SELECT 'T' || p_partkey AS secid, p_name AS name, p_partkey AS k,
          CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_retailprice AS DECIMAL(18,2))::DOUBLE END AS prev,
          CASE WHEN p_size % 3 = 0 THEN (CAST(p_retailprice AS DECIMAL(18,2)) * p_size * 1000)::DOUBLE END AS cap,
@@ -137,7 +157,7 @@ md AS (
   FROM lineitem GROUP BY l_partkey),
 shares AS (
   SELECT secid AS ticker, name, sector, coalesce(last, prev) AS price,
-         coalesce(chg, CASE WHEN prev <> 0 THEN (coalesce(last, prev) - prev) / prev * 100 END, 0) AS change,
+         coalesce({CENTS.format("coalesce(chg, CASE WHEN prev <> 0 THEN (coalesce(last, prev) - prev) / prev * 100 END)")}, 0) AS change,
          turnover, CASE WHEN cap > 0 THEN cap ELSE turnover END AS weight,
          CASE WHEN cap > 0 THEN 'capitalisation' ELSE 'turnover' END AS basis, ord
   FROM md JOIN sec USING (secid) WHERE coalesce(last, prev) IS NOT NULL)"""

@@ -51,19 +51,21 @@ def request(kind: str, contract: str | None = None, range_name: str = "day", now
 def blocks(answers: DataFrame, block: str) -> DataFrame:
     """Rows of a block of JSON answers (a text column `json`): a map of column name to text, and ord.
 
-    A malformed answer, or one without the block, gives no rows. Numbers and texts become text.
+    Other columns of the answers, such as a key, go with their rows. A malformed answer, or one
+    without the block, gives no rows. Numbers and texts become text.
     """
+    others = [c for c in answers.columns if c != "json"]
     schema = f"`{block}` struct<columns:array<string>,data:array<array<string>>>"
-    parsed = answers.select(F.from_json("json", f"struct<{schema.replace('` struct', '`:struct')}>").alias("a")).select(F.col(f"a.`{block}`").alias("b"))
-    rows = parsed.select(F.col("b.columns").alias("names"), F.posexplode("b.data").alias("ord", "row"))
+    parsed = answers.select(F.from_json("json", f"struct<{schema.replace('` struct', '`:struct')}>").alias("__a"), *others).select(F.col(f"__a.`{block}`").alias("__b"), *others)
+    rows = parsed.select(*others, F.col("__b.columns").alias("names"), F.posexplode("__b.data").alias("ord", "row"))
     n = F.least(F.size("names"), F.size("row"))
-    return rows.select("ord", F.map_from_arrays(F.slice("names", F.lit(1), n), F.slice("row", F.lit(1), n)).alias("cells"))
+    return rows.select(*others, "ord", F.map_from_arrays(F.slice("names", F.lit(1), n), F.slice("row", F.lit(1), n)).alias("cells"))
 
 
 def block_frame(answers: DataFrame, block: str, columns: Sequence[str]) -> DataFrame:
     """The named columns of a block, null where the answer lacks one, and ord."""
     rows = blocks(answers, block)
-    return rows.select("ord", *[F.try_element_at("cells", F.lit(c)).alias(c) for c in columns])
+    return rows.select(*[c for c in rows.columns if c != "cells"], *[F.try_element_at("cells", F.lit(c)).alias(c) for c in columns])
 
 
 def answer(spark: SparkSession, payload: dict | str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -91,18 +91,15 @@ def breaker_states(attempts: DataFrame) -> DataFrame:
 
 
 def breaker_fold(attempts: DataFrame) -> DataFrame:
-    """The same fold over a finished log of attempts: a group per host, in order of time."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        failures, rows = 0, []
-        for r in pdf.sort_values("at").itertuples():
-            asked = failures < HOST_FAILURES
-            if asked:
-                failures = 0 if r.ok else failures + 1
-            rows.append((r.host, r.url, asked))
-        return pd.DataFrame(rows, columns=["host", "url", "asked"])
-
-    return attempts.groupBy("host").applyInPandas(fold, "host string, url string, asked boolean")
+    """The same over a finished log of attempts: a host is asked until it has failed that many times in a row.
+
+    A host that is left alone stays so: no further attempt is made that could reset it. Windows run per host, in order of time.
+    """
+    by_time = Window.partitionBy("host").orderBy("at")
+    last = by_time.rowsBetween(1 - HOST_FAILURES, Window.currentRow)
+    streak = F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(last) == HOST_FAILURES
+    before = F.max("__streak").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
+    return attempts.withColumn("__streak", streak).select("host", "url", (~F.coalesce(before, F.lit(False))).alias("asked"))
 
 
 def retry_counts(tries: DataFrame, rebuilt: str = "habr", enough: int = 8000) -> DataFrame:
