@@ -91,3 +91,53 @@ def base_spans(text):
         out += [(kind, m.start(), m.end()) for m in re.finditer(pattern, text) if len(m[0]) >= least]
     rank = {"assign": 0, "access": 1, "hex": 2}
     return sorted(out, key=lambda s: (s[1], rank[s[0]]))
+
+
+def der_parts(data, at, end):
+    """(tag, content start, content end) of the elements that fill data[at:end]; None if they do not nest."""
+    out = []
+    while at < end:
+        if at + 2 > end:
+            return None
+        tag, size = data[at], data[at + 1]
+        at += 2
+        if size >= 128:
+            n = size - 128
+            if not 1 <= n <= 4 or at + n > end:
+                return None
+            size, at = int.from_bytes(data[at : at + n], "big"), at + n
+            if size < 128 or data[at - n] == 0:
+                return None
+        if at + size > end:
+            return None
+        out.append((tag, at, at + size))
+        at += size
+    return out
+
+
+def is_ed25519_key(data):
+    """PKCS#8 version, the algorithm's identifier, octets; nothing after them."""
+    top = der_parts(data, 0, len(data))
+    if not top or len(top) != 1 or top[0][0] != 0x30:
+        return False
+    parts = der_parts(data, *top[0][1:])
+    if not parts or [p[0] for p in parts[:3]] != [2, 0x30, 4]:
+        return False
+    inner = der_parts(data, *parts[1][1:])
+    return bool(inner) and inner[0][0] == 6 and data[inner[0][1] : inner[0][2]] == bytes.fromhex("2b6570")
+
+
+def keys_in(text):
+    """Places of all Ed25519 keys that some substring decodes to: whole quartets or an unpadded rest, either alphabet."""
+    import base64
+
+    out = set()
+    plain = text.replace("-", "+").replace("_", "/")
+    for a in range(len(plain)):
+        for b in range(a + 32, len(plain) + 1):
+            part = plain[a:b]
+            if re.search(r"[^A-Za-z0-9+/]", part):
+                break
+            if len(part) % 4 != 1 and is_ed25519_key(base64.b64decode(part + "=" * (-len(part) % 4))):
+                out.add((a, b))
+    return out

@@ -109,6 +109,58 @@ def test_keys_before_and_after_other_lines():
     assert not secret_scan.scan("\n".join(["AAAA" * 19] * 20000 + ["M" * 76] * 20000))[1]
 
 
+def pkcs8(payload):
+    return der(0x30, der(2, b"\0") + der(0x30, der(6, bytes.fromhex("2b6570"))) + der(4, der(4, payload)))
+
+
+@pytest.mark.parametrize("form", ["pem", "one line", "indented", "path", "url-safe", "escaped", "joined"])
+def test_keys_in_every_form(form):
+    g = random.Random(form)
+    for n in range(60, 140):
+        key = pkcs8(g.randbytes(n))
+        std, url = base64.b64encode(key).decode(), base64.urlsafe_b64encode(key).decode()
+        lines = [std[i : i + 64] for i in range(0, len(std), 64)]
+        text = {
+            "pem": "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----",
+            "one line": std.rstrip("=") + "\nThat is all",
+            "indented": "key: |\n    " + "\n    ".join(lines) + "\nnext: 1",
+            "path": "/etc/" + std,
+            "url-safe": f"see {url.rstrip('=')} here",
+            "escaped": '{"key": "' + "\\n".join(lines) + '"}',
+            "joined": f"key_{url}",
+        }[form]
+        ((_, a, b),) = [s for s in secret_scan.scan(text)[1] if s[0] == "der_key"]
+        body = "".join(text[a:b].replace("\\n", "\n").split()).translate(secret_scan.STANDARD)
+        assert base64.b64decode(body + "=" * (-len(body) % 4)) == key
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=8, max_size=40), st.text("MAB/_-+=. x", max_size=12), st.text("MAB/_-+=. x", max_size=12), st.integers(0, 3), st.booleans())
+def test_keys_equal_a_parse_of_every_substring(payload, before, after, flip, url):
+    key = bytearray(pkcs8(payload))
+    if flip:
+        key[flip * 5] ^= 1 << flip
+    text = before + (base64.urlsafe_b64encode if url else base64.b64encode)(key).decode().rstrip("=") + after
+    got = [(a, b) for k, a, b in secret_scan.scan(text)[1] if k == "der_key" and b - a >= 32]
+    want = brute.keys_in(text)
+    assert {(a, b if (a, b) in want else len(text[:b].rstrip("="))) for a, b in got} == want
+
+
+def test_no_key_in_noise():
+    g = random.Random(8)
+    for _ in range(60):
+        assert not [s for s in secret_scan.scan(base64.b64encode(g.randbytes(20_000)).decode())[1] if s[0] in ("der_key", "ssh_key")]
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJ.", "MIIP", base64.b64encode(bytes.fromhex("308400ffffff020100")).decode(), "AAAAB3NzaC1yc2EA", "M\n", "M" * 20 + "\n", "ab", "token "])
+def test_scan_time_is_linear(unit):
+    import time
+
+    began = time.perf_counter()
+    secret_scan.scan(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - began < 2 * 2  # a shared machine gets twice the time
+
+
 ATOMS = ["token", "Secret", "api_key", "apikey", "=", ":", " ", '"', "'", "AKIA", "AKIA" + "Z9" * 9, "ab", "abcdef", "0123456789abcdef" * 2, "deadbeef", "ſecret", "toKen", "=x", "é", "-"]
 
 

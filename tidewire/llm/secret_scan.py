@@ -4,9 +4,13 @@ Base patterns report spans by shape alone. The structural method adds spans: bas
 candidates are decoded, and a span is reported only if the bytes parse as a key encoding
 (nested DER lengths, length-prefixed OpenSSH fields) or as a signed-token header.
 
-Defined results: a null text is empty and has no spans. Texts of any length are read whole.
-A null id is passed on. Repeated rows give repeated results. Extra columns are not read.
-Offsets count code points, ends are exclusive.
+A candidate may begin anywhere in a run of base64 of either alphabet; runs go on over line ends,
+real or escaped, and indentation. The lengths inside a key say where it ends.
+
+Defined results: a null text is empty and has no spans; very long texts are read whole, in time in
+proportion to their length; a null id is passed on; repeated rows give repeated results; spans that
+start together come by kind; an empty table gives no rows. find_secrets reads its two columns only,
+and mask returns every column, whatever their names. Offsets count code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -16,10 +20,8 @@ import binascii
 import hashlib
 import json
 import re
-import struct
-from bisect import bisect_left
-from functools import partial
-from itertools import accumulate
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,14 +38,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "der_key", "ssh_key", "signed_token")
 
-#: Candidates of the structural method. Base64 may be wrapped in lines, as in PEM bodies.
-B64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
-B64_LINE = re.compile(r"[A-Za-z0-9+/]+={0,2}")
-MIN_B64 = 40
-#: First characters of a DER sequence and of OpenSSH blobs.
-B64_STARTS = ("M", "AAAA", "b3Bl")
+#: Where a key may begin in base64 of either alphabet: a DER sequence, an OpenSSH blob or container; 16 characters in one line.
+KEY_START = re.compile(r"M(?=[A-I][A-Za-z0-9+/_-]{14})|A(?=AAA[BCE][A-Za-z0-9+/_-]{11})|b(?=3BlbnNzaC1rZXkt)")
+#: Lines of a run; they end with a line end, real or escaped, and may be indented.
+RUN_LINE = re.compile(r"([A-Za-z0-9+/_-]++)((?:\r?\n|\\r\\n|\\n)[ \t]*+(?=[A-Za-z0-9+/_-]))?")
+STANDARD = str.maketrans("-_", "+/")
+#: A sequence whose first element is a number or a sequence.
+DER_HEAD = re.compile(rb"\x30(?:[\0-\x7f]|\x81.|\x82..|\x83...|\x84....)[\x02\x30]", re.S)
 HEX_ANY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Za-z])")
-SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+)")
 #: Object identifiers (DER content bytes) of key algorithms: RSA, EC, Ed25519, X25519, DSA.
 KEY_OIDS = (
     bytes.fromhex("2a864886f70d010101"),
@@ -52,9 +55,18 @@ KEY_OIDS = (
     bytes.fromhex("2b656e"),
     bytes.fromhex("2a8648ce380401"),
 )
-#: Key type names of OpenSSH blobs.
-SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+#: Key types of OpenSSH blobs and their number of fields, the type among them.
+SSH_TYPES = {
+    b"ssh-rsa": 3,
+    b"ssh-dss": 5,
+    b"ssh-ed25519": 2,
+    b"ecdsa-sha2-nistp256": 3,
+    b"ecdsa-sha2-nistp384": 3,
+    b"ecdsa-sha2-nistp521": 3,
+}
 SSH_MAGIC = b"openssh-key-v1\0"
+#: Elements that the longest known key encoding has.
+MOST_PARTS = 9
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -72,87 +84,148 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def der_element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+#: read(at, n): n bytes of a candidate from a place, fewer where it ends. Only headers are read, so that
+#: a candidate costs the same whatever length it claims.
+Read = Callable[[int, int], bytes]
+
+
+def der_element(read: Read, at: int, end: int) -> tuple[int, int, int] | None:
     """(tag, content start, content end) of the DER element at a place; None if lengths don't nest."""
-    if at + 2 > end:
+    head = read(at, 6)
+    if len(head) < 2:
         return None
-    tag, first = data[at], data[at + 1]
-    at += 2
-    if first < 0x80:
-        size = first
-    else:
-        n = first & 0x7F
-        if not 1 <= n <= 4 or at + n > end:
-            return None
-        size = int.from_bytes(data[at : at + n], "big")
-        if size < 0x80 or data[at] == 0:  # not the shortest form: not DER
+    tag, size, at = head[0], head[1], at + 2
+    if size >= 0x80:
+        n = size & 0x7F
+        size = int.from_bytes(head[2 : 2 + n], "big")
+        if not 1 <= n <= 4 or size < 0x80 or head[2] == 0:  # not the shortest form: not DER
             return None
         at += n
     return (tag, at, at + size) if at + size <= end else None
 
 
-def der_children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """The elements that fill a content exactly."""
+def der_children(read: Read, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The elements that fill a content exactly; none if they are more than any key has."""
     out = []
     while at < end:
-        e = der_element(data, at, end)
-        if e is None:
+        e = der_element(read, at, end)
+        if e is None or len(out) == MOST_PARTS:
             return None
         out.append(e)
         at = e[2]
     return out
 
 
-def is_der_key(data: bytes) -> bool:
-    """A private or public key: PKCS#1, PKCS#8, SEC1 or SubjectPublicKeyInfo, lengths nested to the end."""
-    top = der_element(data, 0, len(data))
-    if not top or top[0] != 0x30 or top[2] != len(data):
-        return False
-    parts = der_children(data, top[1], top[2])
+def der_key_size(read: Read, most: int) -> int:
+    """Size of the private or public key that starts here (PKCS#1, PKCS#8, SEC1, SubjectPublicKeyInfo), else 0."""
+    top = der_element(read, 0, most)
+    if not top or top[0] != 0x30:
+        return 0
+    parts = der_children(read, top[1], top[2])
     if not parts:
-        return False
-    tags = [p[0] for p in parts]
+        return 0
+    tags, size = [p[0] for p in parts], top[2]
+    content = lambda p: read(p[1], p[2] - p[1])
     algorithm = next((p for p in parts[:2] if p[0] == 0x30), None)
     if algorithm:  # PKCS#8 (version, algorithm, octets) or a public key (algorithm, bits)
-        inner = der_children(data, algorithm[1], algorithm[2])
-        known = bool(inner) and inner[0][0] == 0x06 and data[inner[0][1] : inner[0][2]] in KEY_OIDS
-        return known and (tags[:3] == [0x02, 0x30, 0x04] or tags == [0x30, 0x03])
+        inner = der_children(read, algorithm[1], algorithm[2])
+        known = bool(inner) and inner[0][0] == 0x06 and inner[0][2] - inner[0][1] < 16 and content(inner[0]) in KEY_OIDS
+        return size if known and (tags[:3] == [0x02, 0x30, 0x04] or tags == [0x30, 0x03]) else 0
     if tags[:2] == [0x02, 0x04]:  # SEC1: version 1, octets, optional tagged parameters
-        return parts[0][2] - parts[0][1] == 1 and data[parts[0][1]] == 1 and parts[1][2] - parts[1][1] >= 20
+        return size if parts[0][2] - parts[0][1] == 1 and content(parts[0]) == b"\1" and parts[1][2] - parts[1][1] >= 20 else 0
     # PKCS#1: version 0 and eight integers, or modulus and exponent, or DSA's six.
-    return set(tags) == {0x02} and len(tags) in (2, 6, 9) and max(p[2] - p[1] for p in parts) >= 48
-
-
-def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key container, or a public key blob whose prefixed lengths end at its end."""
-    if data.startswith(SSH_MAGIC):
-        at, fields = len(SSH_MAGIC), 3  # cipher, kdf, kdf options
-        for _ in range(fields):
-            if at + 4 > len(data):
-                return False
-            at += 4 + struct.unpack(">I", data[at : at + 4])[0]
-        return at + 4 <= len(data)
-    at, fields = 0, []
-    while at + 4 <= len(data):
-        size = struct.unpack(">I", data[at : at + 4])[0]
-        if at + 4 + size > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + size])
-        at += 4 + size
-    return at == len(data) and len(fields) >= 2 and fields[0] in SSH_TYPES
-
-
-def from_base64(run: str) -> bytes | None:
-    run = re.sub(r"\s", "", run).rstrip("=")
-    try:
-        return base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+    return size if set(tags) == {0x02} and len(tags) in (2, 6, 9) and max(p[2] - p[1] for p in parts) >= 48 else 0
 
 
-def is_signed_token(token: str) -> bool:
-    """Three parts: a JSON header that names an algorithm, a JSON object, a signature (empty only for none)."""
-    head, body, signature = token.split(".")
+def ssh_key_size(read: Read, most: int) -> int:
+    """Size of the OpenSSH public key blob or private key container that starts here, else 0."""
+    if read(0, len(SSH_MAGIC)) == SSH_MAGIC:  # cipher, kdf, kdf options, one key: its public and its private part
+        at, fields = len(SSH_MAGIC), 5
+    else:
+        name = read(4, int.from_bytes(read(0, 4), "big")) if read(0, 3) == b"\0\0\0" else b""
+        at, fields = 0, SSH_TYPES.get(name, 0)
+    container = at > 0
+    for i in range(fields):
+        if container and i == 3:
+            if read(at, 4) != b"\0\0\0\1":
+                return 0
+            at += 4
+        size = read(at, 4)
+        if len(size) < 4:
+            return 0
+        at += 4 + int.from_bytes(size, "big")
+        if at > most:
+            return 0
+    return at if fields else 0
+
+
+def key_at(read: Read, most: int) -> tuple[str, int] | None:
+    """(kind, size) of the key that starts here."""
+    if size := der_key_size(read, most):
+        return ("der_key", size) if size >= 24 else None
+    size = ssh_key_size(read, most)
+    return ("ssh_key", size) if size else None
+
+
+class Run:
+    """A base64 run of a text from a place on: its characters without line ends, and where each stands."""
+
+    def __init__(self, text: str, start: int):
+        self.starts, self.sums, bodies = [], [0], []
+        at: int | None = start
+        while at is not None and (m := RUN_LINE.match(text, at)):
+            self.starts.append(at)
+            bodies.append(m[1])
+            self.sums.append(self.sums[-1] + len(m[1]))
+            at = m.end() if m[2] else None
+        self.body = "".join(bodies).translate(STANDARD)
+        self.end = self.starts[-1] + len(bodies[-1])
+
+    def index(self, place: int) -> int:
+        line = bisect_right(self.starts, place) - 1
+        return self.sums[line] + place - self.starts[line]
+
+    def place(self, index: int) -> int:
+        """Place after the index-th character."""
+        line = bisect_left(self.sums, index) - 1
+        return self.starts[line] + index - self.sums[line]
+
+    def reader(self, first: int) -> Read:
+        def read(at: int, n: int) -> bytes:
+            a = first + at // 3 * 4
+            b = first + (at + n + 2) // 3 * 4
+            quartets = self.body[a:b]
+            quartets = quartets[: len(quartets) - 1] if len(quartets) % 4 == 1 else quartets
+            return base64.b64decode(quartets + "=" * (-len(quartets) % 4))[at % 3 : at % 3 + n]
+
+        return read
+
+
+def key_spans(text: str) -> list[tuple[str, int, int]]:
+    """Keys in base64, at any place of a run: the lengths inside say where a key ends, its padding is part of it."""
+    out: list[tuple[str, int, int]] = []
+    run, done = None, 0
+    for m in KEY_START.finditer(text):
+        at = m.start()
+        if at < done:
+            continue
+        if run is None or at >= run.end:
+            # The first bytes tell most candidates from keys before their run is gathered.
+            if m[0] == "M" and not DER_HEAD.match(base64.b64decode(text[at : at + 16].translate(STANDARD))):
+                continue
+            run = Run(text, at)
+        first = run.index(at)
+        found = key_at(run.reader(first), (len(run.body) - first) * 3 // 4)
+        if found:
+            end = run.place(first + (found[1] * 4 + 2) // 3)
+            pad = -found[1] % 3
+            done = end + pad * (text[end : end + pad] == "=" * pad)
+            out.append((found[0], at, done))
+    return out
+
+
+def is_signed_token(head: str, body: str, signature: str) -> bool:
+    """A JSON header that names an algorithm, a JSON object, a signature (empty only for none)."""
     try:
         pad = lambda s: base64.urlsafe_b64decode(s + "=" * (-len(s) % 4))
         header, claims = json.loads(pad(head)), json.loads(pad(body))
@@ -163,96 +236,26 @@ def is_signed_token(token: str) -> bool:
     return bool(signature) or header["alg"].lower() == "none"
 
 
-def key_kind(data: bytes | None) -> str | None:
-    if not data or len(data) < 24:
-        return None
-    return "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
-
-
-def der_size(data: bytes) -> int:
-    """Size of the DER sequence that starts here, by its first bytes; 0 if there is none."""
-    if len(data) < 2 or data[0] != 0x30:
-        return 0
-    n = data[1] & 0x7F if data[1] >= 0x80 else 0
-    return 2 + (n + int.from_bytes(data[2 : 2 + n], "big") if n else data[1])
-
-
-def ssh_sizes(read, most: int) -> list[int]:
-    """Sizes within `most` that an OpenSSH blob may have, longest first; read(n) gives n bytes or more, if there are."""
-    data, at, out = read(64), 0, []
-
-    def number(at: int) -> int:
-        nonlocal data
-        if at + 32 > len(data):
-            data = read(2 * at + 64)
-        return int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else most
-
-    if data.startswith(SSH_MAGIC):  # three fields, the number of keys, as many public ones, the private part
-        at, fields = len(SSH_MAGIC), 3
-        while fields and at <= most:
-            at, fields = at + 4 + number(at), fields - 1
-        fields = number(at) + 1
-        at += 4
-        while fields and at <= most:
-            at, fields = at + 4 + number(at), fields - 1
-        return [at] if at <= most else []
-    if data[4 : 4 + number(0)] not in SSH_TYPES:
-        return []
-    while at + 4 <= most:
-        size = number(at)
-        if out and data[at + 4 : at + 4 + size] in SSH_TYPES:  # the next key
-            break
-        at += 4 + size
-        if at <= most:
-            out.append(at)
-    return out[:0:-1]
-
-
-def keys_in_lines(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
-    """Keys that fill some of the lines of a base64 run that is none as a whole; the longest at each line.
-
-    The first bytes say where a key ends, so that few of the runs of lines are decoded.
-    """
-    lines = [(m.start(), m.end()) for m in B64_LINE.finditer(text, start, end)]
-    bodies = [text[a:b].rstrip("=") for a, b in lines]
-    sums = [0, *accumulate(map(len, bodies))]
-
-    def read(i: int, n: int) -> bytes:
-        body = "".join(bodies[i : bisect_left(sums, sums[i] + (n * 4 + 2) // 3, i)])
-        return from_base64(body[:-1] if len(body) % 4 == 1 else body) or b""
-
-    out, i = [], 0
-    while i < len(lines):
-        after = i + 1
-        if len(bodies[i]) >= MIN_B64 and bodies[i].startswith(B64_STARTS):
-            der = der_size(read(i, 8))
-            for size in [der] if der else ssh_sizes(partial(read, i), (sums[-1] - sums[i]) * 3 // 4):
-                chars = sums[i] + (size * 4 + 2) // 3
-                j = bisect_left(sums, chars, i + 1)
-                if j < len(sums) and sums[j] == chars and (kind := key_kind(from_base64("".join(bodies[i:j])))):
-                    out.append((kind, lines[i][0], lines[j - 1][1]))
-                    after = j
-                    break
-        i = after
+def token_spans(text: str) -> list[tuple[str, int, int]]:
+    """Signed tokens; a header may follow other characters of its alphabet, as its last beginning in them."""
+    out = []
+    for m in SIGNED.finditer(text):
+        for skip in dict.fromkeys((0, m[1].rfind("eyJ"))):
+            if m[1].startswith("eyJ", max(skip, 0)) and skip >= 0 and is_signed_token(m[1][skip:], m[2], m[3]):
+                out.append(("signed_token", m.start() + skip, m.end()))
+                break
     return out
 
 
 def structural_spans(text: str) -> list[tuple[str, int, int]]:
     """Candidates that decode and parse; everything else is left to the base patterns."""
-    out = []
-    for m in B64.finditer(text):
-        if kind := key_kind(from_base64(m[0])):
-            out.append((kind, m.start(), m.end()))
-        elif "\n" in m[0]:
-            out += keys_in_lines(text, m.start(), m.end())
+    out = key_spans(text)
     for m in HEX_ANY.finditer(text):
-        if kind := key_kind(bytes.fromhex(m[0])):
-            out.append((kind, m.start(), m.end()))
-    if "eyJ" in text:
-        for m in SIGNED.finditer(text):
-            if is_signed_token(m[0]):
-                out.append(("signed_token", m.start(), m.end()))
-    return out
+        data = bytes.fromhex(m[0])
+        found = key_at(lambda at, n: data[at : at + n], len(data))  # noqa: B023
+        if found and found[1] == len(data):
+            out.append((found[0], m.start(), m.end()))
+    return out + token_spans(text) if "eyJ" in text else out
 
 
 _RANK = {k: i for i, k in enumerate(KINDS)}
