@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import io
 import random
 import zlib
 from base64 import b32encode
@@ -131,27 +133,64 @@ def test_archive_files(spark, tmp_path, codec):
     warc.archive_pages(frame, path=str(tmp_path / "w"), codec=codec).count()
     seen = []
     for f in (tmp_path / "w").glob("part-*"):
-        data = f.read_bytes()
-        assert warc.opened(data).read(10) == b"WARC/1.1\r\n"
-        for headers, block in warc.records(data):
+        with warc.opened(str(f)) as stream:
+            assert stream.read(10) == b"WARC/1.1\r\n"
+        for headers, block in warc.records(warc.opened(f"file:{f}")):
             assert int(headers["content-length"]) == len(block)
             head, _, payload = block.partition(b"\r\n\r\n")
             if headers["warc-type"] == "response":
-                assert warc.digest_of(headers) == b32encode(hashlib.sha1(payload).digest()).decode()
+                assert warc.digest_of(headers, block) == b32encode(hashlib.sha1(payload).digest()).decode()
                 seen.append(headers["warc-record-id"])
             else:
                 assert not payload and headers["warc-profile"] == warc.PROFILE and headers["warc-refers-to"].startswith("<urn:uuid:")
     assert len(set(seen)) == 5
 
 
-def test_gzip_members_and_broken_files():
-    import gzip
+def test_every_record_is_a_member(spark, tmp_path):
+    """Each record can be reached by its own place in the archive, and plain gzip reads the whole."""
+    import zlib as z
+
+    frame = spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1)
+    warc.archive_pages(frame, path=str(tmp_path / "w")).count()
+    members = 0
+    for f in (tmp_path / "w").glob("part-*"):
+        data = f.read_bytes()
+        assert gzip.decompress(data).count(b"WARC-Record-ID") > 0
+        while data:
+            d = z.decompressobj(31)
+            record = d.decompress(data)
+            assert d.eof and (not record or (record.startswith(b"WARC/1.1") and record.endswith(b"\r\n\r\n")))
+            members += bool(record)
+            data = d.unused_data
+    assert members == len(PAGES)
+
 
+def test_archives_are_bounded(spark, tmp_path):
+    """Archives far over file_bytes are parted; a record that is longer has one of its own."""
+    g = random.Random(4)
+    pages = [(i, "u", g.randbytes(3000).hex()) for i in range(200)] + [(500, "u", g.randbytes(200_000).hex()), (501, None, "tail")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    out = warc.archive_pages(frame, path=str(tmp_path / "w"), file_bytes=50_000).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in out) == sorted((i, len(h)) for i, _, h in pages)
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "w").glob("part-*"))
+    assert len(sizes) > 10 and sizes[-2] < 60_000 < sizes[-1]
+
+
+def test_members_that_do_not_end_in_zero():
+    a = warc.Archive("gzip")
+    a.add(b"x" * (17 << 20))
+    assert len(gzip.decompress(a.cut() + b"\0")) == (17 << 20) + 4
+
+
+def test_gzip_members_and_broken_files():
+    stream = lambda b: gzip.GzipFile(fileobj=io.BytesIO(b)) if b[:2] == b"\x1f\x8b" else io.BytesIO(b)
     record = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
-    assert [b for _, b in warc.records(gzip.compress(record) + gzip.compress(record))] == [b"ab", b"ab"]
+    assert [b for _, b in warc.records(stream(gzip.compress(record) + gzip.compress(record)))] == [b"ab", b"ab"]
     for broken in (record[:-5], b"HTTP/1.1\r\n", record + b"x"):
         with pytest.raises(ValueError):
-            list(warc.records(broken))
+            list(warc.records(stream(broken)))
+    headers = {"warc-type": "response", "warc-record-id": "1", "warc-payload-digest": "sha1:" + b32encode(hashlib.sha1(b"ab").digest()).decode()}
+    assert warc.digest_of(headers, b"HTTP\r\n\r\nab") and pytest.raises(ValueError, warc.digest_of, headers, b"HTTP\r\n\r\nax")
 
 
 # --- queries with SQL -----------------------------------------------------------------------

@@ -18,28 +18,67 @@ BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where it is unset (tests), a local one is set."""
+    """The shared folder named by spark.checkpoint.dir. Where it is unset, a session in one process gets a folder
+    of its own; on a cluster that would be seen by one machine only, so it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewire-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+#: Scratch folders by the step that made them, innermost last.
+_STEPS: list[list[str]] = []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    try:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # noqa: BLE001  the session may have ended
+        pass
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared one; it goes when the driver ends."""
+    """A new folder in the shared one; it goes when its step ends, at the latest when the driver does."""
     path = f"{scratch_dir(spark)}/tidewire/{uuid.uuid4().hex}/{label}"
+    atexit.register(removed, spark, path)
+    if _STEPS:
+        _STEPS[-1].append(path)
+    return path
 
-    def remove() -> None:
-        try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001  the session may have ended
-            pass
 
-    atexit.register(remove)
-    return path
+def finished(spark: SparkSession, step: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The rows of a step, stored; the scratch tables that it made on the way are deleted then."""
+    _STEPS.append([])
+    try:
+        rows = step()
+    finally:
+        made = _STEPS.pop()
+    out = stored(rows, label)
+    for path in made:
+        removed(spark, path)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a stored table whose rows are in its successor."""
+    if path := getattr(df, "scratch", None):
+        removed(df.sparkSession, path)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for own columns beside all columns of a frame: the wanted ones, longer where they are taken."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def files_for(rows: int, per_file: int = 100_000) -> int:
@@ -61,7 +100,9 @@ def stored(df: DataFrame, label: str, files: int | None = None, codec: str = "sn
         df = df.repartition(files)
     with cleaned_shuffles(spark):
         df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch = path
+    return out
 
 
 def checkpointed(df: DataFrame, files: int = 1) -> DataFrame:

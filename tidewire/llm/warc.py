@@ -1,27 +1,36 @@
 """WARC archives with revisit resolution.
 
-Pages become WARC/1.1 response records, written by Spark's text writer: a record is a line and
-the record end CRLF CRLF is the line separator, so the files are plain WARC (gzip on request)
-in any store that Spark writes to. The archives are read back, headers alone are shuffled by
-payload digest, and deduplicated archives with fresh headers are written: of equal payloads the
-first is a response, the others are revisit records that refer to it.
+Pages become WARC/1.1 response records. Tasks gather them to archives of bounded size, every record a
+gzip member of its own, and Spark's text writer commits an archive per row to any store that it can
+write to. Then tasks walk through the archives by path, one record in memory at a time, and recompute
+the payloads' digests; headers alone are stored and shuffled by digest and length. Of equal payloads
+the first is a response, the others are revisit records that refer to it. The places of the revisits
+are shuffled to their archive's name, whose task reads it once more and writes it with fresh headers.
+No payload is ever shuffled. Archives are opened with pyarrow's file systems (local and shared
+folders, hdfs, s3, gs, abfs).
 
 Defined results: a null html is an empty payload; a null url an empty target; line ends in a url
-become spaces. Of records with one id, the one with the smallest record id comes first. A record
-without an id comes after those with one. Extra columns are not read. An empty table gives no rows.
+become spaces; very long payloads are written whole, in an archive of their own if need be. Of
+records with one id, the one with the smallest record id comes first. A record without an id comes
+after those with one. Only the three named columns are read, whatever others there are. An empty
+table gives no rows. A payload that differs from its digest is an error.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 import io
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import cleaned_shuffles, scratch_path, small_batches
+from tidewire.llm.common import cleaned_shuffles, scratch_path, small_batches, stored
 
 #: Fixed values of the format.
 VERSION, CRLF, RECORD_END = "WARC/1.1", "\r\n", "\r\n\r\n"
@@ -73,29 +82,79 @@ def response_records(pages: DataFrame, id_col: str, url_col: str, payload_col: s
     )
 
 
-def write_archives(records: DataFrame, path: str, per_file: int = 20_000, codec: str = "gzip", effort: str = "BEST_SPEED") -> None:
-    """Records, one per row, as WARC files; a file is bounded by a number of records. effort is gzip's."""
-    writer = records.select("value").write.option("lineSep", RECORD_END).option("compression", codec).option("zlib.compress.level", effort)
-    with cleaned_shuffles(records.sparkSession):
-        writer.option("maxRecordsPerFile", per_file).text(path)
+#: A gzip member of nothing. The last byte of a member is the top byte of its length, 0 under 16 MB: that
+#: byte is left to the writer as its line end, so that archives are plain members one after another.
+EMPTY = gzip.compress(b"", mtime=0)
+
+
+class Archive:
+    """Records gathered to one archive; cut() gives its bytes without the writer's line end."""
+
+    def __init__(self, codec: str):
+        self.codec, self.parts, self.size = codec, [], 0
+
+    def add(self, record: bytes) -> None:
+        end = RECORD_END.encode()
+        self.parts.append(record if self.codec == "none" else gzip.compress(record + end, 1, mtime=0))
+        self.size += len(self.parts[-1])
+
+    def cut(self) -> bytes:
+        if self.codec == "none":
+            out = RECORD_END.encode().join(self.parts)
+        else:
+            out = b"".join(self.parts)
+            out = (out if out[-1] == 0 else out + EMPTY)[:-1]
+        self.parts, self.size = [], 0
+        return out
+
+
+def gathered(rows: DataFrame, make: Callable[[dict], Iterator[bytes]], codec: str, file_bytes: int) -> DataFrame:
+    """A row per archive (value): the records that make gives for each row, file_bytes of them or one longer one."""
+    small_batches(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive = Archive(codec)
+        one = lambda: pa.RecordBatch.from_arrays([pa.array([archive.cut()], pa.binary())], names=["value"])
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                for record in make({n: v.as_py() for n, v in zip(batch.schema.names, row, strict=True)}):
+                    if archive.parts and archive.size + len(record) // 4 > file_bytes:
+                        yield one()
+                    archive.add(record)
+                    if archive.size > file_bytes:
+                        yield one()
+        if archive.parts:
+            yield one()
+
+    return rows.mapInArrow(run, "value binary")
+
+
+def write_archives(archives: DataFrame, path: str, codec: str = "gzip") -> None:
+    """Archives, one per row, as files of their own. A file's task commits it whole or not at all."""
+    lines = "\0" if codec == "gzip" else RECORD_END
+    writer = archives.select(F.col("value").cast("string").alias("value")).write.option("lineSep", lines)
+    with cleaned_shuffles(archives.sparkSession):
+        writer.option("maxRecordsPerFile", 1).text(path)
 
 
 def archives(spark, path: str) -> DataFrame:
-    """A row per archive file: path, content."""
-    return spark.read.schema("path string, modificationTime timestamp, length long, content binary").format(
-        "binaryFile"
-    ).load(path).select("path", "content")
+    """A row per archive file: path. What they hold is not read."""
+    return spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").load(path).select("path")
 
 
-def opened(content: bytes) -> io.BufferedIOBase:
-    """The bytes of an archive as a stream; gzip files may have one member or one per record."""
-    raw = io.BytesIO(content)
-    return gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw
+def opened(path: str) -> io.BufferedIOBase:
+    """An archive as a stream of its records; gzip archives may have one member or one per record."""
+    local = re.match(r"(?:file:/*)?(/[^:]*)$", path)
+    if local:
+        raw: io.BufferedIOBase = open(re.sub("^file:/*", "/", path), "rb")
+    else:
+        system, inner = pyarrow.fs.FileSystem.from_uri(path)
+        raw = io.BufferedReader(system.open_input_stream(inner), 1 << 20)
+    return gzip.GzipFile(fileobj=raw) if raw.peek(2)[:2] == b"\x1f\x8b" else raw
 
 
-def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record, parted by Content-Length; one record is held at a time."""
-    stream = opened(content)
     while first := stream.readline():
         if not first.startswith(b"WARC/"):
             raise ValueError(f"no WARC record where one should start: {first[:40]!r}")
@@ -116,38 +175,50 @@ def http_length(block: bytes) -> int:
     return next(int(x.partition(":")[2]) for x in head.split(CRLF) if x.lower().startswith("content-length:"))
 
 
-def digest_of(headers: dict[str, str]) -> str:
-    return headers["warc-payload-digest"].removeprefix("sha1:")
+def digest_of(headers: dict[str, str], block: bytes) -> str:
+    """The payload's digest: of a response computed anew, of a revisit, which has no payload, as its header says."""
+    said = headers["warc-payload-digest"].removeprefix("sha1:")
+    if headers["warc-type"] == "response":
+        payload = memoryview(block)[block.index(b"\r\n\r\n") + 4 :]
+        if base64.b32encode(hashlib.sha1(payload).digest()).decode() != said:
+            raise ValueError(f"the payload of record {headers['warc-record-id']} does not have its digest")
+    return said
 
 
 HEADERS = "file string, nth int, record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+#: Rows of headers that are sent on at once.
+HEADER_ROWS = 10_000
 
 
 def read_headers(files: DataFrame) -> DataFrame:
-    """A row of headers per record; payloads stay where they are."""
-    small_batches(files.sparkSession)
+    """A row of headers per record of the archives (path); payloads stay where they are."""
     names = [x.split()[0] for x in HEADERS.split(", ")]
     types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     number = lambda x: None if x is None else int(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            for file, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = [
-                    (
-                        file.as_py(),
-                        nth,
-                        h["warc-record-id"],
-                        number(h.get("warc-x-page-id")),
-                        http_length(block),
-                        digest_of(h),
-                        h["warc-type"],
-                        number(h.get("warc-x-refers-to-page-id")),
-                    )
-                    for nth, (h, block) in enumerate(records(content.as_py()))
-                ]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=names)
+            for file in batch.column(0).to_pylist():
+                with opened(file) as stream:
+                    for nth, (h, block) in enumerate(records(stream)):
+                        rows.append(
+                            (
+                                file,
+                                nth,
+                                h["warc-record-id"],
+                                number(h.get("warc-x-page-id")),
+                                http_length(block),
+                                digest_of(h, block),
+                                h["warc-type"],
+                                number(h.get("warc-x-refers-to-page-id")),
+                            )
+                        )
+                        if len(rows) == HEADER_ROWS:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=names)
+                            rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=names)
 
     return files.mapInArrow(run, HEADERS)
 
@@ -174,34 +245,23 @@ def resolve(headers: DataFrame, min_payload_bytes: int = 0) -> DataFrame:
     )
 
 
-def deduplicated(files: DataFrame, revisits: DataFrame) -> DataFrame:
-    """Records of the new archives: responses as they were, revisits with fresh headers and no payload.
+def rewritten(headers: DataFrame, revisits: DataFrame, codec: str, file_bytes: int) -> DataFrame:
+    """The new archives: responses as they were, revisits with fresh headers and no payload.
 
-    What is shuffled is whole compressed files and, for each, the places of its revisits.
+    A row per old archive is shuffled, with the places of its revisits; its records are read by path.
+    An archive has some 10 000 records at most, as it is of bounded size.
     """
-    small_batches(files.sparkSession)
-    places = revisits.groupBy("file").agg(
-        F.sort_array(F.collect_list(F.struct("nth", "refers_to", "refers_to_record"))).alias("places")
-    )
-    both = files.join(places, files["path"] == places["file"], "left").select(
-        "content", F.col("places.nth").alias("nths"), F.col("places.refers_to").alias("ids"), F.col("places.refers_to_record").alias("refs")
-    )
+    turned = F.struct("nth", "refers_to", "refers_to_record")
+    every = headers.filter("nth = 0").select("file", F.lit(None).cast("struct<nth:int,refers_to:long,refers_to_record:string>").alias("turn"))
+    places = every.unionByName(revisits.select("file", turned.alias("turn"))).groupBy("file").agg(F.collect_list("turn").alias("turns"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content, nths, ids, refs in zip(*batch.columns, strict=True):
-                turned = {n: (i, r) for n, i, r in zip(nths.as_py() or [], ids.as_py() or [], refs.as_py() or [], strict=True)}
-                out, size = [], 0
-                for nth, (headers, block) in enumerate(records(content.as_py())):
-                    out.append(fresh(headers, block, turned.get(nth)))
-                    size += len(out[-1])
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-                        out, size = [], 0
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+    def make(row: dict) -> Iterator[bytes]:
+        turns = {t["nth"]: (t["refers_to"], t["refers_to_record"]) for t in row["turns"]}
+        with opened(row["file"]) as stream:
+            for nth, (own, block) in enumerate(records(stream)):
+                yield fresh(own, block, turns.get(nth))
 
-    return both.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    return gathered(places, make, codec, file_bytes)
 
 
 #: Headers of a record in the order they are written, as they are spelled.
@@ -231,18 +291,16 @@ def archive_pages(
     date: str = "2024-01-01T00:00:00Z",
     path: str | None = None,
     codec: str = "gzip",
-    file_bytes: int = 64 << 20,
+    file_bytes: int = 16 << 20,
 ) -> DataFrame:
     """Write, resolve, rewrite; the headers of the deduplicated archives, which lie at path.
 
-    An archive file holds about file_bytes of payload (by the mean of all pages), and is one row
-    when it is read back.
+    An archive has about file_bytes as it is written, or one record that is longer.
     """
     spark = pages.sparkSession
     raw, out = scratch_path(spark, "warc-raw"), path or scratch_path(spark, "warc")
-    mean = pages.agg(F.avg(F.octet_length(F.col(payload_col).cast("string")))).first()[0] or 0
-    per_file = max(1, int(file_bytes / (mean + 500)))
-    write_archives(response_records(pages, id_col, url_col, payload_col, date), raw, per_file, codec)
-    revisits = resolve(read_headers(archives(spark, raw)), min_payload_bytes)
-    write_archives(deduplicated(archives(spark, raw), revisits), out, per_file, codec)
+    each = lambda row: iter([row["value"].encode()])
+    write_archives(gathered(response_records(pages, id_col, url_col, payload_col, date), each, codec, file_bytes), raw, codec)
+    headers = stored(read_headers(archives(spark, raw)), "warc-headers")
+    write_archives(rewritten(headers, resolve(headers, min_payload_bytes), codec, file_bytes), out, codec)
     return read_headers(archives(spark, out)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
