@@ -12,8 +12,10 @@ aggregations; a page's own share is taken out before its prior is looked up, so
 counted twice. Hosts, domains and suffixes are joined as keys, nothing about them is collected.
 
 Defined results: a null html is empty; a page without visible text is decided by the other evidence;
-a null or broken address has the empty host, domain and suffix; repeated rows give repeated results;
-a null id is passed on; extra columns are not read. Without labelled documents the language is null.
+very long pages are read whole, in time in proportion to their length; a null or broken address has
+the empty host, domain and suffix; of languages with equal scores the first by name wins; repeated
+rows give repeated results; a null id is passed on; an empty table gives no rows. Only the three
+named columns are read, whatever others there are. Without labelled documents the language is null.
 """
 
 from __future__ import annotations
@@ -33,18 +35,53 @@ from tidewire.llm.common import map_batches, stored
 SLOTS = 1 << 15
 TRIGRAM_WEIGHT = 1 / 3
 ALPHA, PRIOR_STRENGTH = 0.5, 5.0
-HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>")
-DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
+#: Elements whose content is not shown, their ends, tags of a page's root, and the language they declare.
+HIDDEN = re.compile(r"(?i)<(script|style|noscript|template)\b")
+ENDS = {n: re.compile(rf"(?i)</{n}\s*+>") for n in ("script", "style", "noscript", "template")}
+ROOT = re.compile(r"(?i)<html\b[^>]*+")
+DECLARED = re.compile(r"(?i)\blang\s*+=\s*+[\"']?\s*+([a-z]{2,3})\b")
+#: Numeric references beyond all characters.
+ENDLESS = re.compile(r"(?i)&#(?:x[0-9a-f]{8,}|[0-9]{8,});?")
+
+
+def shown(html: str) -> str:
+    """A page without tags, comments and hidden elements, a space for each: one pass forward.
+
+    What has no end is read as a tag alone; that there is no end is looked up once for each kind.
+    """
+    out, at, endless = [], 0, set()
+    while (start := html.find("<", at)) >= 0:
+        out.append(html[at:start])
+        end = -1
+        if html.startswith("<!--", start):
+            if "!" not in endless:
+                end = html.find("-->", start + 4) + 3
+                if end < 3:
+                    endless.add("!")
+                    end = -1
+        elif (m := HIDDEN.match(html, start)) and (name := m[1].lower()) not in endless:
+            if closer := ENDS[name].search(html, m.end()):
+                end = closer.end()
+            else:
+                endless.add(name)
+        if end < 0 and (end := html.find(">", start) + 1) == 0:
+            at = start
+            break
+        out.append(" ")
+        at = end
+    return "".join([*out, html[at:]])
 
 
 def visible(html: str | None) -> str:
     """Text outside tags, comments, scripts and styles, with entities read."""
-    return entities.unescape(HIDDEN.sub(" ", html or ""))
+    return entities.unescape(ENDLESS.sub("\ufffd", shown(html or "")))
 
 
 def declared(html: str | None) -> str:
-    m = DECLARED.search(html or "")
-    return m[1].lower() if m else ""
+    for root in ROOT.finditer(html or ""):
+        if m := DECLARED.search(root[0]):
+            return m[1].lower()
+    return ""
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -72,28 +109,34 @@ class TextModel:
         return x / x.sum() if len(x) else x
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = 500, most: int = 64) -> TextModel:
-    """Trigram models of at most `most` languages, from a sample of about `per_language` documents each.
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = 500) -> TextModel:
+    """Trigram models of all labelled languages, from a sample of about `per_language` documents each.
 
-    Only counts come to the driver: one array of fixed size per language.
+    Only counts come to the driver: one array of fixed size (256 kB) per language.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most).collect()
-    languages = sorted(r["lang"] for r in sizes)
+    sizes = {r["lang"]: r["count"] for r in known.groupBy(F.col(lang_col).cast("string").alias("lang")).count().collect()}
+    languages = sorted(sizes)
     if not languages:
         return TextModel([], np.empty((0, SLOTS)))
-    share = F.coalesce(*[F.when(F.col(lang_col) == r["lang"], min(1.0, per_language / r["count"])) for r in sizes])
-    picked = known.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 20)) < share * (1 << 20))
+    shares = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(min(1.0, per_language / sizes[name])))])
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 20))
+    picked = known.filter(draw < F.element_at(shares, F.col(lang_col).cast("string")) * (1 << 20))
     place = {name: i for i, name in enumerate(languages)}
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.zeros((len(languages), SLOTS), np.int64)
+        found: dict[int, np.ndarray] = {}
         for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found[place[lang]] += np.bincount(trigrams(text), minlength=SLOTS)
-        who, slot = np.nonzero(found)
-        return pa.RecordBatch.from_arrays([pa.array(who.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(found[who, slot])], names=["who", "slot", "n"])
-
-    sums = map_batches(picked.select(F.col(lang_col), F.col(text_col)), count, "who int, slot int, n long").groupBy("who", "slot").agg(F.sum("n").alias("n"))
+            own = np.bincount(trigrams(text), minlength=SLOTS)
+            found[place[lang]] = found[place[lang]] + own if place[lang] in found else own
+        slots = {who: np.flatnonzero(n) for who, n in found.items()}
+        who = np.repeat(np.array(list(slots), np.int32), [len(x) for x in slots.values()])
+        slot = np.concatenate([*slots.values(), np.empty(0, np.int64)]).astype(np.int32)
+        n = np.concatenate([*(found[w][x] for w, x in slots.items()), np.empty(0, np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(who, pa.int32()), pa.array(slot), pa.array(n, pa.int64())], names=["who", "slot", "n"])
+
+    texts = picked.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    sums = map_batches(texts, count, "who int, slot int, n long").groupBy("who", "slot").agg(F.sum("n").alias("n"))
     counts = np.full((len(languages), SLOTS), ALPHA)
     for r in sums.collect():
         counts[r["who"], r["slot"]] += r["n"]
@@ -138,8 +181,8 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
         map_batches(rows, read, f"id {kind}, host string, domain string, suffix string, declared string, ll array<double>, p array<double>"), "page-evidence"
     )
 
-    def sums(by: list[str], name: str) -> DataFrame:
-        return seen.groupBy(*by).agg(F.array(*[F.sum(F.col("p")[i]) for i in range(k)]).alias(name))
+    def sums(by: str) -> DataFrame:
+        return seen.groupBy(by).agg(F.array(*[F.sum(F.col("p")[i]) for i in range(k)]).alias(f"by_{by}"), (F.count(F.lit(1)) - 1).alias(f"others_{by}"))
 
     # Totals over all pages: k numbers, and how many distinct declarations and suffixes there are.
     first = seen.agg(
@@ -149,28 +192,25 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     ).first()
     total = [first[f"n{i}"] or 0.0 for i in range(k)]
     pages_n = sum(total)
-    joined = (
-        seen.join(sums(["declared"], "by_declared"), "declared")
-        .join(sums(["suffix"], "by_suffix"), "suffix")
-        .join(sums(["domain"], "by_domain"), "domain")
-        .join(sums(["host"], "by_host"), "host")
-    )
-    scores = []
-    for i in range(k):
-        own = F.col("p")[i]
+    joined = seen
+    for by in ("declared", "suffix", "domain", "host"):
+        joined = joined.join(sums(by), by)
+
+    def score(i: Column) -> Column:
+        own = F.get("p", i)
+        of_language = F.get(F.array(*map(F.lit, total)), i) - own
         # The page itself is left out of every count.
-        rest = lambda name: F.greatest(F.col(name)[i] - own, F.lit(0.0))  # noqa: E731, B023
-        size = lambda name: F.greatest(F.aggregate(name, F.lit(0.0), lambda a, x: a + x) - 1, F.lit(0.0))
-        everywhere = (F.lit(total[i]) - own + ALPHA) / (pages_n - 1 + ALPHA * k)
-        prior = everywhere
-        for level in ("by_suffix", "by_domain", "by_host"):
-            prior = (rest(level) + PRIOR_STRENGTH * prior) / (size(level) + PRIOR_STRENGTH)
-        of_language = F.lit(total[i]) - own
-        says = (rest("by_declared") + ALPHA) / (of_language + ALPHA * first["declarations"])
-        lies = (rest("by_suffix") + ALPHA) / (of_language + ALPHA * first["suffixes"])
+        rest = lambda by: F.greatest(F.get(f"by_{by}", i) - own, F.lit(0.0))
+        prior = (of_language + ALPHA) / (pages_n - 1 + ALPHA * k)
+        for level in ("suffix", "domain", "host"):
+            prior = (rest(level) + PRIOR_STRENGTH * prior) / (F.col(f"others_{level}") + PRIOR_STRENGTH)
+        says = (rest("declared") + ALPHA) / (of_language + ALPHA * first["declarations"])
+        lies = (rest("suffix") + ALPHA) / (of_language + ALPHA * first["suffixes"])
         # The suffix is part of the prior's chain already, so its likelihood counts by half.
-        scores.append(F.col("ll")[i] + F.log(prior) + F.log(says) + 0.5 * F.log(lies))
-    fused = joined.withColumn("s", F.array(*scores)).withColumn("top", F.array_max("s"))
+        return F.get("ll", i) + F.log(prior) + F.log(says) + 0.5 * F.log(lies)
+
+    scores = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), score)
+    fused = joined.withColumn("s", scores).withColumn("top", F.array_max("s"))
     names = F.array(*map(F.lit, langs))
     return fused.select(
         F.col("id").alias(id_col),
