@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm import exact_dedup, jaccard_join, substring_dedup
+from tidewire.llm import exact_dedup, jaccard_join, secret_scan, substring_dedup
 from tidewire.llm.components import components
 from tidewire.llm.queries import QUERIES
 
@@ -62,6 +62,27 @@ def test_drop_copies(spark):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, "a"), (3, None), (5, "b " * 9999), (8, "B"), (9, "é"), (None, "only")], key=str)
 
 
+def clashing(spark, rows, names):
+    """Rows with extra columns named as something inside, with a value of the row's own."""
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)
+    return spark.createDataFrame([(i, t, *(f"{n}-{k}" for n in names)) for k, (i, t) in enumerate(rows)], schema)
+
+
+INNER = ["__sha", "sha", "SHA_", "id", "__id", "nth", "__n", "row", "__row", "body", "id0", "__id0", "nul", "__nul", "th", "__th", "keep", "component", "lead", "n"]
+
+
+@pytest.mark.parametrize("operator", [exact_dedup.drop_copies, jaccard_join.keep_firsts, secret_scan.mask])
+@pytest.mark.parametrize("repeats", [False, True])
+def test_users_columns_survive(spark, operator, repeats):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, "other words here"), (None, "x y")] + ([(4, "other words here")] if repeats else [])
+    before = clashing(spark, rows, INNER)
+    after = operator(before)
+    assert after.schema.simpleString() == before.schema.simpleString()
+    given = {tuple(r) for r in before.collect()}
+    got = [tuple(r) for r in after.collect()]
+    assert set(got) <= given and len(got) == (len(rows) if operator is secret_scan.mask else 4)
+
+
 # --- components -----------------------------------------------------------------------------
 
 

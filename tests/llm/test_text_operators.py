@@ -351,6 +351,42 @@ def test_html_evidence():
     assert language_id.declared(None) == "" and language_id.declared("<html>") == ""
 
 
+OLD_HIDDEN = r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>"
+HTML_ATOMS = ["<!--", "-->", "<", ">", "<script", "</script", "</SCRIPT >", "<style>", "</style>", "x", " ", "<b>", "<html ", "lang", "=", " fr", '"de"', "<!-", "\n"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(HTML_ATOMS), max_size=14).map("".join))
+def test_one_pass_equals_the_patterns(page):
+    import re
+
+    assert language_id.shown(page) == re.sub(OLD_HIDDEN, " ", page)
+    m = re.search(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b", page)
+    assert language_id.declared(page) == (m[1].lower() if m else "")
+
+
+@pytest.mark.parametrize("unit", ["<!--", "<html ", "<script ", "<script>a</style>", "<", "&#9", "<html lang=", "<html lang= "])
+def test_broken_pages_take_linear_time(unit):
+    import time
+
+    began = time.perf_counter()
+    page = unit * (1_000_000 // len(unit))
+    language_id.visible(page), language_id.declared(page), language_id.declared("<html lang=" + " " * 1_000_000)
+    assert time.perf_counter() - began < 2 * 2  # a shared machine gets twice the time
+
+
+def test_every_labelled_language_is_learned(spark):
+    names = [f"l{i:03}" for i in range(80)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: letters[i % 26] + letters[i // 26] + letters[(7 * i) % 26]
+    rows = [(i, f"{word(i)} " * 40, n) for i, n in enumerate(names)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == names
+    pages = spark.createDataFrame([(i, None, f"<p>{t}</p>") for i, t, _ in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text_lang for r in language_id.identify(pages, model).collect()}
+    assert sum(got[i] == n for i, n in enumerate(names)) >= 78
+
+
 def fused(model, pages):
     """The fusion, page by page."""
     k = len(model.languages)

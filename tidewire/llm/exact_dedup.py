@@ -1,8 +1,9 @@
 """Exact dedup: group by a 128-bit content hash, compare bytes inside groups, keep one stable id.
 
-Defined results: a null text equals the empty text. A null id never stays while its group has
-an id. Of repeated rows (same id and text) one stays at most. Ids may be of any orderable type.
-Extra columns are not read. An empty table gives no rows.
+Defined results: a null text equals the empty text; very long texts are hashed and compared whole.
+A null id never stays while its group has an id. Of repeated rows (same id and text) one stays at
+most. Ids may be of any orderable type. An empty table gives no rows. content_groups reads its two
+columns only; drop_copies returns every column, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import files_for, stored
+from tidewire.llm.common import files_for, free_names, stored
 
 
 def md5_128(text: Column) -> Column:
@@ -88,19 +89,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows are matched to verdicts by id and content hash. Rows that share both are numbered
     first, so that exactly one of them is taken.
     """
+    sha, nth = free_names(docs, "sha", "nth")
     verdicts = content_groups(docs, id_col, text_col, keep).filter("kept")
-    kept = stored(
-        verdicts.select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")), "kept-copies", files_for(docs.count())
-    )
-    marked = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
-    staying = marked.join(
-        kept, marked[id_col].eqNullSafe(kept["__id"]) & (marked["__sha"] == kept["__sha"]), "left_semi"
-    )
+    kept = stored(verdicts.select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")), "kept-copies", files_for(docs.count()))
+    marked = docs.withColumn(sha, F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256))
+    staying = marked.join(kept, marked[f"`{id_col}`"].eqNullSafe(kept["id"]) & (marked[f"`{sha}`"] == kept["sha"]), "left_semi")
     # kept holds each (id, content) once. More rows than that are repeats, which one aggregation reduces.
-    repeated = staying.groupBy(F.col(id_col).alias("__id"), F.col("__sha")).agg(F.count(F.lit(1)).alias("__n"))
-    if repeated.filter("__n > 1").isEmpty():
-        return staying.drop("__sha")
-    firsts = staying.groupBy(F.col(id_col).alias("__id"), F.col("__sha")).agg(
-        F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")
-    )
-    return firsts.select("__row.*")
+    by = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{sha}`").alias("sha")]
+    if staying.groupBy(*by).agg(F.count(F.lit(1)).alias(nth)).filter(F.col(nth) > 1).isEmpty():
+        return staying.drop(sha)
+    firsts = staying.groupBy(*by).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    return firsts.select("row.*")

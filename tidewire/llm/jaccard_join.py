@@ -36,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import checkpointed, files_for, map_batches, rolling, small_batches, stored, word_hashes
+from tidewire.llm.common import checkpointed, files_for, free_names, map_batches, rolling, small_batches, stored, word_hashes
 from tidewire.llm.components import components
 from tidewire.llm.exchange import (
+    LAST_ID,
     Chunk,
     answer_buckets,
     answer_hits,
@@ -388,12 +389,14 @@ def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The first document of each component, with all its columns; repeated rows are reduced to one."""
     found = join_documents(docs, id_col, text_col)
     first = found.filter(F.struct(*KEY) == F.col("first")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("times"))
-    first = stored(first.select(*(F.col(c).alias(f"__{c}") for c in KEY), "times"), "firsts", files_for(docs.count()))
-    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = docs.withColumns({"__id0": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "__nul": F.col(id_col).isNull(), "__th": F.xxhash64(body)})
-    keys = ["__id0", "__nul", "__th"]
+    keys = free_names(docs, *KEY)
+    first = stored(first.select(*(F.col(c).alias(k) for c, k in zip(KEY, keys, strict=True)), "times"), "firsts", files_for(docs.count()))
+    given = F.col(f"`{id_col}`")
+    body = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    own = (F.coalesce(given.cast("long"), F.lit(LAST_ID)), given.isNull(), F.xxhash64(body))
+    marked = docs.select("*", *(c.alias(k) for c, k in zip(own, keys, strict=True)))
     kept = marked.join(first.select(*keys), keys, "left_semi")
-    if not first.filter("times > 1").isEmpty():
-        row = F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")
-        kept = kept.groupBy(*keys).agg(row).select("__row.*")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    if first.filter("times > 1").isEmpty():
+        return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
+    return kept.groupBy(*(F.col(k).alias(c) for c, k in zip(KEY, keys, strict=True))).agg(row).select("row.*")
