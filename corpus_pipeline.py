@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.llm import exact_dedup, jaccard_join, packing, secret_scan, toxicity
-from tidewire.llm.common import stored
+from tidewire.llm.common import discard, finished
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Every stage's rows are stored; its scratch, and its predecessor's rows, go then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, finished(spark, lambda: stage(spark, docs, sf_dir), f"pipeline-{name}")  # noqa: B023
+        discard(before)
     return docs
