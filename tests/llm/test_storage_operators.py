@@ -34,6 +34,38 @@ def test_ids_equal_the_library(text):
     assert t.fast is not None and t.encode(text).tolist() == t.plain(text)
 
 
+def test_rank_encoder_is_used_only_if_it_is_the_same():
+    import base64
+    import json
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(RANKS, "rb"))}
+    file = json.load(open(JSON))
+    library = packing.Tokenizer.from_file(JSON)
+    assert packing.same_encoding(library, file, ranks)
+    swapped = dict(ranks)
+    x, y = list(swapped)[300:302]
+    swapped[x], swapped[y] = swapped[y], swapped[x]
+    assert not packing.same_encoding(library, file, swapped)
+    merges = file["model"]["merges"]
+    other = file | {"model": file["model"] | {"merges": [merges[1], merges[0], *merges[2:]]}}
+    assert not packing.same_encoding(library, other, ranks)
+    assert not packing.same_encoding(library, file | {"normalizer": {"type": "NFC"}}, ranks)
+
+
+def test_every_character_splits_alike():
+    """The pattern's classes of all code points: each beside letters, digits, marks and white space of its own."""
+    t = packing.tokenizer(JSON, RANKS)
+    for first in range(0, 0x110000, 512):
+        text = "".join(f"a{c}b 1{c}2 {c} {c}{c} .{c}! \n{c}'s" for c in map(chr, range(first, first + 512)) if not 0xD800 <= ord(c) < 0xE000)
+        assert t.encode(text).tolist() == t.plain(text), hex(first)
+
+
+def test_white_space_beyond_the_rank_encoder():
+    t = packing.tokenizer(JSON, RANKS)
+    for text in (" " * 200_000, " " * 200_000 + "a", "\n" * 100_000, "ab" * 100_000):
+        assert t.encode(text).tolist() == t.plain(text)
+
+
 def test_cut():
     for n in (1, 2047, 2048, 2049, 4096, 4097, 10000):
         pieces = packing.cut(n, 2048)
@@ -45,19 +77,81 @@ def test_mixed_numbers_are_distinct():
     assert len({packing.mixed(i) for i in range(20000)}) == 20000
 
 
-@pytest.mark.parametrize("low,high,n", [(300, 900, 300), (1, 2048, 300), (500, 700, 200), (2048, 2048, 5)])
-def test_packer(low, high, n):
-    g = random.Random(n)
-    sizes = [g.randint(low, high) for _ in range(n)]
-    p = packing.Packer(sizes, 2048, 1)
-    plain = p.best_fit(p.falling(list(range(n))), [])
-    bins = p.evolve([], 25, 8)
+def triplets(n, g):
+    """Three pieces to a bin without a token of room: n bins are enough."""
+    out = []
+    for _ in range(n):
+        one = g.randint(380, 490)
+        two = g.randint((2048 - one) // 2 - 200, (2048 - one) // 2)
+        out += [one, two, 2048 - one - two]
+    return out
+
+
+def uniform(low, high, n, g):
+    return [g.randint(low, high) for _ in range(n)]
+
+
+FAMILIES = {
+    "300-900": lambda g: uniform(300, 900, 300, g),
+    "400-1000": lambda g: uniform(400, 1000, 600, g),
+    "200-1400": lambda g: uniform(200, 1400, 500, g),
+    "60 triplets": lambda g: triplets(60, g),
+    "200 triplets": lambda g: triplets(200, g),
+}
+
+
+def check_bins(p, bins):
+    n = len(p.sizes)
     assert sorted(i for b in bins for i in b) == list(range(n))
-    assert max(map(p.fill, bins)) <= 2048 and p.bound <= len(bins) <= len(plain)
+    assert max(map(p.fill, bins), default=0) <= p.capacity and p.bound <= len(bins)
     again = packing.as_bins(packing.as_bytes(bins, n))
     assert sorted(map(sorted, again)) == sorted(map(sorted, bins))
 
 
+@pytest.mark.parametrize("family", FAMILIES)
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_fewer_bins_than_best_fit(family, seed):
+    p = packing.Packer(FAMILIES[family](random.Random(seed)), 2048, seed)
+    plain = p.best_fit(p.falling(list(range(len(p.sizes)))), [])
+    bins = p.evolve([], 10, 8)
+    check_bins(p, bins)
+    assert len(bins) < len(plain)
+
+
+def optimum(sizes, capacity):
+    """Fewest bins, over all orders of filling: (bins, least fill of the last) of every subset."""
+    best = {0: (0, capacity)}
+    for subset in range(1, 1 << len(sizes)):
+        options = []
+        for i, size in enumerate(sizes):
+            if subset >> i & 1:
+                bins, fill = best[subset ^ (1 << i)]
+                options.append((bins, fill + size) if fill + size <= capacity else (bins + 1, size))
+        best[subset] = min(options)
+    return best[(1 << len(sizes)) - 1][0]
+
+
+def test_optimum_of_few_pieces():
+    g = random.Random(9)
+    better = 0
+    for k in range(40):
+        sizes = [uniform(20, 60, 11, g), uniform(10, 50, 12, g), uniform(15, 70, 10, g)][k % 3]
+        p = packing.Packer(sizes, 100, k)
+        bins = p.evolve([], 30, 8)
+        check_bins(p, bins)
+        assert len(bins) == optimum(sizes, 100)
+        better += len(bins) < len(p.best_fit(p.falling(list(range(len(sizes)))), []))
+    assert better
+
+
+@pytest.mark.parametrize("sizes", [[], [1], [2048] * 5, [1] * 5000])
+def test_packer_corner_cases(sizes):
+    p = packing.Packer(sizes, 2048, 1)
+    bins = p.evolve([], 5, 4)
+    check_bins(p, bins)
+    assert len(bins) == p.bound
+
+
 def check_packing(rows, docs, capacity):
     t = packing.tokenizer(JSON, RANKS)
     want = []

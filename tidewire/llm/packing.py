@@ -18,6 +18,7 @@ import base64
 import json
 import random
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,32 +28,64 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tidewire.llm.common import checkpointed, files_for, small_batches, stored
 
 #: Split pattern of the byte-level vocabulary (a fixed value of the tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What the library's own pre-tokenizer of this pattern is called in its file, and the model's plain settings.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+PLAIN_BPE = {"type": "BPE", "dropout": None, "byte_fallback": False, "ignore_merges": False, "continuing_subword_prefix": None, "end_of_word_suffix": None}
+
+
+def byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in the vocabulary: printable bytes for themselves, others from 256 on in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
+def same_encoding(library: Tokenizer, file: dict, ranks: dict[bytes, int]) -> bool:
+    """Whether merging by rank gives the ids that the library's merges give.
+
+    Both part a text by one pattern and then merge the pair of the least rank again and again. The library takes
+    the pairs of its list only, the rank encoder any pair that makes a token. These are the same if ranks follow the
+    list, every token has one merge, and every token's own bytes are merged to it: then the only two neighbours
+    that make a token, when no pair of lower rank is left in it, are its merge's.
+    """
+    model, letters = file["model"], byte_letters()
+    if file["normalizer"] is not None or any(model.get(k) != v for k, v in PLAIN_BPE.items()) or any(file["pre_tokenizer"].get(k) != v for k, v in BYTE_LEVEL.items()):
+        return False
+    added = {t["content"] for t in file["added_tokens"]}
+    vocabulary = {token: i for token, i in model["vocab"].items() if token not in added}
+    if {bytes(map(letters.__getitem__, token)): i for token, i in vocabulary.items()} != ranks:
+        return False
+    made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if made != sorted(set(made)) or len(made) + 256 != len(vocabulary):
+        return False
+    alone = Tokenizer.from_str(library.to_str())
+    alone.pre_tokenizer = pre_tokenizers.Sequence([])
+    tokens = list(vocabulary)
+    return all(e.ids == [vocabulary[t]] for t, e in zip(tokens, alone.encode_batch_fast(tokens, add_special_tokens=False), strict=True))
 
 
 class ByteBpe:
     """Token ids as the tokenizers library gives them for a byte-level BPE file.
 
-    The rank file holds the same vocabulary for a faster encoder of the same merges and split
-    pattern. It is used only if both agree on probe texts, else the library itself encodes.
+    The rank file holds the same vocabulary for a faster encoder. It is used if same_encoding shows that it
+    gives the same ids; what it refuses (its pattern runs out of stack on very long white space) the library encodes.
     """
 
-    PROBES = ("", "a", " Hello  world\n\n x", "naïve Ünïcödé — 漢字 🙂​", "it's we'll 12 345..!?", "\t\r\n  \x00<|endoftext|> end")
-
     def __init__(self, json_path: str, ranks_path: str | None = None):
         self.library = Tokenizer.from_file(json_path)
         self.fast = None
         if ranks_path:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(ranks_path, "rb"))}
-            special = {t["content"]: t["id"] for t in json.load(open(json_path)).get("added_tokens", [])}
-            self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            if any(self.encode(p).tolist() != self.plain(p) for p in self.PROBES):
-                self.fast = None
+            file = json.load(open(json_path))
+            if same_encoding(self.library, file, ranks):
+                special = {t["content"]: t["id"] for t in file["added_tokens"]}
+                self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def plain(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -61,7 +94,7 @@ class ByteBpe:
         if self.fast:
             try:
                 return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4")
-            except Exception:  # noqa: BLE001  texts beyond the fast encoder's limits
+            except ValueError:
                 pass
         return np.array(self.plain(text), "<u4")
 
@@ -180,10 +213,12 @@ class Packer:
         return len(bins), -sum(self.fill(b) ** 2 for b in bins) / self.capacity**2
 
     def cross(self, one: Bins, two: Bins) -> Bins:
-        """Whole well-filled bins of one go into two."""
-        good = sorted(one, key=self.fill, reverse=True)
-        take = self.random.randint(max(1, len(good) // 20), max(1, len(good) // 3))
-        injected = self.random.sample(good[: max(take, len(good) // 2)], take)
+        """Whole bins of one go into two, fuller ones likelier; two's bins that hold their pieces are dissolved."""
+        take = self.random.randint(1, max(1, len(one) // 3))
+        # The least of random numbers weighted by room: a full bin is drawn before one with much room.
+        scale = self.capacity / 16
+        drawn = sorted(range(len(one)), key=lambda i: self.random.random() * (1 + (self.capacity - self.fill(one[i])) / scale))
+        injected = [one[i] for i in drawn[:take]]
         taken = {i for b in injected for i in b}
         kept, displaced = list(injected), []
         for b in two:
@@ -191,16 +226,48 @@ class Packer:
                 kept.append(b)
             else:
                 displaced += [i for i in b if i not in taken]
-        return self.best_fit(self.falling(displaced, 0.1), kept)
+        return self.placed(kept, displaced)
 
     def mutate(self, bins: Bins) -> Bins:
-        """The worst-filled bin and a few others are dissolved."""
+        """The worst-filled bins and a few others are dissolved."""
         order = sorted(range(len(bins)), key=lambda i: self.fill(bins[i]))
-        gone = {order[0], *self.random.sample(range(len(bins)), min(len(bins), 6))}
+        gone = {*order[: self.random.randint(1, 3)], *self.random.sample(range(len(bins)), min(len(bins), self.random.randint(2, 6)))}
         kept = [b for i, b in enumerate(bins) if i not in gone]
-        return self.best_fit(self.falling([i for g in gone for i in bins[g]], 0.2), kept)
+        return self.placed(kept, [i for g in gone for i in bins[g]])
+
+    def placed(self, kept: Bins, displaced: list[int]) -> Bins:
+        """Displaced pieces first change places with one or two smaller ones that fill a bin worse; the rest goes by best fit."""
+        bins = list(kept)
+        free = sorted(displaced, key=self.sizes.__getitem__)
+        lengths = [self.sizes[i] for i in free]
+        for at in self.random.sample(range(len(bins)), len(bins)):
+            room = self.capacity - self.fill(bins[at])
+            if not room or not free:
+                continue
+            b = bins[at]
+            small = b if len(b) <= 12 else self.random.sample(b, 12)
+            groups = [(self.sizes[i], (i,)) for i in small]
+            groups += [(self.sizes[i] + self.sizes[j], (i, j)) for n, i in enumerate(small) for j in small[:n]]
+            best, change = 0, None
+            for size, out in groups:
+                # The largest displaced piece that fits in their place; it must fill more.
+                k = bisect_right(lengths, size + room) - 1
+                if k >= 0 and lengths[k] - size > best:
+                    best, change = lengths[k] - size, (k, out)
+                    if best == room:
+                        break
+            if change:
+                k, out = change
+                bins[at] = [*(i for i in b if i not in out), free[k]]
+                del free[k], lengths[k]
+                for i in out:
+                    k = bisect_right(lengths, self.sizes[i])
+                    free.insert(k, i)
+                    lengths.insert(k, self.sizes[i])
+        return self.best_fit(self.falling(free, 0.1), bins)
 
     def evolve(self, elites: list[Bins], generations: int, population: int) -> Bins:
+        """The best bins found; the population starts with best fit of falling sizes, also of noisy ones."""
         everything = list(range(len(self.sizes)))
         people = [*elites, self.best_fit(self.falling(everything), [])]
         while len(people) < population and min(map(len, people)) > self.bound:
@@ -211,7 +278,9 @@ class Packer:
                 break
             pick = lambda: people[min(self.random.randrange(len(people)), self.random.randrange(len(people)))][1]
             born = [self.mutate(self.cross(pick(), pick())) for _ in range(max(1, population // 2))]
-            people = sorted([*people, *((self.cost(b), b) for b in born)], key=lambda p: p[0])[:population]
+            people = sorted([*people, *((self.cost(b), b) for b in born)], key=lambda p: p[0])
+            # Twins go: a population of one solution has nothing to cross.
+            people = [p for n, p in enumerate(people) if not n or p[0] != people[n - 1][0]][:population]
         return people[0][1]
 
 
