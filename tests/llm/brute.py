@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+import unicodedata
 from collections import defaultdict
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -141,3 +143,86 @@ def keys_in(text):
             if len(part) % 4 != 1 and is_ed25519_key(base64.b64decode(part + "=" * (-len(part) % 4))):
                 out.add((a, b))
     return out
+
+
+# --- toxicity -------------------------------------------------------------------------------
+
+ENDS = " \t\n\r\x0b\x0c.,;:!?…\"'`´“”„«»‹›‘’()[]{}<>|#$%&*_-–—/\\=+~^"
+
+
+def best_entry(word, entries):
+    """(edits, number) of an entry: a stem that begins the word, or the whole word of fewest edits; None without any."""
+    found = []
+    for i, e in enumerate(entries):
+        if e.stem:
+            if word.startswith(e.term):
+                found.append((0, 1, i))
+        elif abs(len(word) - len(e.term)) <= e.edits and (d := distance(word, e.term)) <= e.edits:
+            found.append((d, 0, i))
+    best = min(found, default=None)
+    return best and (best[0], best[2])
+
+
+def hit_of(word, entries):
+    """The word's entry, or that of the word with look-alikes read as letters, which is worth an edit."""
+    if len(word) < 3:
+        return None
+    hit = best_entry(word, entries)
+    plain = word
+    for a, b in zip("013457@$", "oieastas", strict=True):
+        plain = plain.replace(a, b)
+    if (hit is None or hit[0]) and plain != word:
+        other = best_entry(plain, entries)
+        if other and (hit is None or other[0] + 1 < hit[0]):
+            hit = (max(1, other[0]), other[1])
+    return hit
+
+
+def hits_in(token, entries):
+    """Hits of the words that punctuation parts a token into, else of the token itself, ends stripped."""
+    whole = token.strip(ENDS)
+    letters = lambda c: c.isalnum() or c in "@$" or unicodedata.category(c).startswith("M")
+    runs = "".join(c if letters(c) else "\n" for c in whole).split()
+    inner = [r.strip(ENDS) for r in runs] if len(runs) > 1 else []
+    found = [h for r in inner if len(r) >= 3 and (h := hit_of(r, entries))]
+    return found or [h for h in [hit_of(whole, entries)] if h]
+
+
+def around(tokens, at):
+    """1, less inside quotation marks (less still where someone says something), more where someone is addressed."""
+    from tidewire.llm.toxicity import ADDRESS, REPORTING
+
+    opening, closing = "\"“„«‹‘", "\"”“»›’"
+    left, right = tokens[max(0, at - 10) : at + 1], tokens[at : at + 11]
+    quoted = False
+    for k, t in enumerate(reversed(left)):
+        if t[0] in opening or (k and t[-1] in closing):
+            quoted = t[0] in opening
+            break
+    quoted = quoted and any(t[-1] in closing or (t.rstrip(".,;:!?") or " ")[-1] in closing for t in right)
+    near = {t.strip(ENDS) for t in [*left, *right]}
+    if quoted:
+        return 0.15 if near & REPORTING else 0.3
+    return 1.5 if near & ADDRESS else 1.0
+
+
+def toxic_features(text, entries):
+    """What the forest sees of a text, hit by hit and window by window."""
+    tokens = (text or "").lower().split()
+    hits = [(i, edits, entries[e], e, around(tokens, i)) for i, t in enumerate(tokens) for edits, e in hits_in(t, entries)]
+    exact = [h for h in hits if not h[1]]
+    weight = lambda h: h[2].weight / (1 + 2 * h[1])
+    # A window ends at a hit and begins 20 words before it.
+    windows = [sum(weight(o) * o[4] for k, o in enumerate(hits[: n + 1]) if o[0] >= h[0] - 20) for n, h in enumerate(hits)]
+    total = sum(map(weight, hits))
+    drift = sum(e.toxic_rate - e.clean_rate for e in entries)
+    return [
+        math.log1p(len(tokens)),
+        sum(h[2].weight for h in exact) - len(tokens) * drift,
+        sum(h[2].weight for h in exact),
+        max(windows, default=0.0),
+        100 * len(hits) / max(len(tokens), 20),
+        len({h[3] for h in exact}),
+        sum(h[2].weight / (1 + h[1]) * h[4] for h in hits if h[1]),
+        sum(weight(h) for h in hits if h[4] < 1) / total if total else 0.0,
+    ]

@@ -278,6 +278,38 @@ def test_context_windows():
     assert quoted < plain < at_you and f("nothing here") == 0 and f("1d1ot") > 0 and f("tr@sh") > 0
 
 
+def toxic_texts():
+    """Texts of terms whole, misspelled, joined and disguised, quoted, reported and addressed, among plain words."""
+    g = random.Random(12)
+    plain = "the calm river said you your word wrote runs deep idle worth less ich sagte du tú".split()
+    for _ in range(400):
+        out = []
+        for _ in range(g.randint(0, 60)):
+            w = g.choice(plain) if g.random() < 0.7 else g.choice([t for t, _, _ in TERMS])
+            if g.random() < 0.25:
+                w = edit(w, [(g.randint(0, len(w)), g.choice("xaeio@1"), g.random() < 0.5) for _ in range(g.randint(1, 2))])
+            w += g.choice(["", "", "", ".", ",", "!", "-you", "/trash", "_scum", "'s", "\"", "»"])
+            out.append(g.choice(["", "", "", "", '"', "«", "„", "("]) + (w.upper() if g.random() < 0.1 else w))
+        yield " ".join(out)
+
+
+def test_features_and_scores_equal_a_plain_recomputation(spark):
+    g = np.random.default_rng(3)
+    s = toxicity.Scorer(LEXICON)
+    texts = [None, "", "x" * 70_000 + " idiot", "x" * 58 + "idiot", "idiot" * 13, "a" * 200 + "/idiot", *toxic_texts()]
+    x = np.array([s.features(t) for t in texts])
+    want = np.array([brute.toxic_features(t, LEXICON.entries) for t in texts if t is None or len(t) < 70_000])
+    kept = [i for i, t in enumerate(texts) if t is None or len(t) < 70_000]
+    assert np.allclose(x[kept], want, rtol=1e-12, atol=1e-9)
+    assert x[2][list(toxicity.FEATURES).index("distinct")] == 1 and x[5][list(toxicity.FEATURES).index("distinct")] == 1
+    forest = quality_rules.train_forest(x, (x[:, 3] + g.random(len(x)) > 4).astype(float), list(toxicity.FEATURES.values()))
+    model = toxicity.ToxicityModel(LEXICON, forest)
+    out = toxicity.score_documents(docs(spark, texts), model).orderBy("doc_id").collect()
+    for r, row in zip(out, x, strict=True):
+        assert r.score == pytest.approx(1 / (1 + np.exp(-plain_walk(forest, row))), abs=1e-12) and r.predicted == (r.score >= 0.5)
+    assert len({r.predicted for r in out}) == 2
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -8,8 +8,9 @@ chromosome of an island moves to the next one. A shard stops when it reaches its
 Bins that stay badly filled are dissolved, and their pieces are dealt anew in a further round, so
 that a shard's remainder is not lost.
 
-Defined results: a null text is empty, i.e. one piece of one token; repeated rows are packed each;
-a null id is passed on; extra columns are not read; an empty table gives no rows.
+Defined results: a null text is empty, i.e. one piece of one token; a very long text is encoded whole and
+cut; pieces of equal length are packed in any order; repeated rows are packed each; a null id is passed
+on; an empty table gives no rows. Only the two named columns are read, whatever others there are.
 """
 
 from __future__ import annotations

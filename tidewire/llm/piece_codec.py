@@ -13,9 +13,9 @@ Greedy merging has the property that a sequence in which all neighbours are comp
 merge result, so the first that reaches the end is it. Characters without a piece become the
 byte pieces of their UTF-8 and part the segment.
 
-Defined results: a null text is empty; the empty text has only the begin and end ids and decodes
-to the empty text. Repeated rows give repeated results, a null id is passed on, extra columns
-are not read.
+Defined results: a null text is empty and gets the begin and end ids; very long texts are encoded whole;
+repeated rows give repeated results; a null id is passed on; an empty table gives no rows. Only the two
+named columns are read, whatever others there are.
 """
 
 from __future__ import annotations

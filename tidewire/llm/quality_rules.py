@@ -5,8 +5,9 @@ loss) with monotonic constraints on chosen features: a child's values are kept o
 of its sibling's by splitting their range at the middle. A forest is flattened into numpy node
 arrays; scoring moves all rows of a batch one level down at a time.
 
-Defined results: a null or blank text has no words and fails the base rules; texts are read whole;
-repeated rows give repeated results; a null id is passed on; extra columns are not read. With no
+Defined results: a null or blank text has no words and fails the base rules; very long texts are read
+whole; a score of exactly 0.5 is kept; repeated rows give repeated results; a null id is passed on; an
+empty table gives no rows. Only the two named columns are read, whatever others there are. With no
 usable labels (none, or of one class) the model keeps all that passes the base rules.
 """
 
@@ -100,7 +101,7 @@ def statistics(text: str | None) -> tuple[tuple[int, int, int, int, int], list[f
         len(solid.translate(None, _NOT_UPPER)) / size,
         len(solid.translate(None, _NOT_DIGIT)) / size,
         len(counts) / n,
-        min(n / max(filled, 1), 1e4),
+        n / max(filled, 1),
         int(counts.max()) / n,
         (len(solid) - chars) / size,
         (raw.count(b".") + raw.count(b"!") + raw.count(b"?")) / n,

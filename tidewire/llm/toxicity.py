@@ -7,8 +7,10 @@ when first reached and kept, so that misspelled terms cost one table lookup per
 is weighed by the window around it: quotation marks and reporting words speak for quotation,
 second-person words for abuse.
 
-Defined results: a null text is empty; empty texts get a score too; texts are read whole; repeated
-rows give repeated results; a row without an id counts as held out; extra columns are not read.
+Defined results: a null text is empty; empty texts get a score too; very long texts and tokens are read
+whole; of matches with equal edits the first entry counts; repeated rows give repeated results; a row
+without an id counts as held out; an empty table gives no rows. score_documents reads its two columns
+only; keep_clean returns every column, whatever their names.
 Without labels of both classes the lexicon is empty and the score is the share of label 1.
 """
 
@@ -177,7 +179,7 @@ def count_terms(texts: list[str | None], labels: list[int]) -> Counter:
         for token, n in Counter(words_of(text)).items():
             whole = bare(token)
             for w in (whole, *runs_of(whole)):
-                if 3 <= len(w) <= 40:
+                if len(w) >= 3:
                     own[w, False] += n
                     for k in STEM_SIZES:
                         if len(w) > k:
@@ -201,8 +203,8 @@ def evidence(a: int, b: int, n1: int, n0: int) -> float:
     return float(out)
 
 
-def learn_lexicon(counts: list, n1: int, n0: int, w1: int, w0: int, most: int = 120, least: float = 20.0) -> Lexicon:
-    """Entries with enough evidence, best first: at most `most` terms that neither extend nor begin another.
+def learn_lexicon(counts: list, n1: int, n0: int, w1: int, w0: int, least: float = 20.0) -> Lexicon:
+    """Entries with enough evidence (a G statistic of `least`), best first: terms that neither extend nor begin another.
 
     Stems that do are left out, as they count the same words again. Whole words that do are entries
     too, with their own edits; those under a taken stem need no more than to be commoner in toxic
@@ -218,7 +220,7 @@ def learn_lexicon(counts: list, n1: int, n0: int, w1: int, w0: int, most: int =
     scored.sort()
     roots: dict[str, bool] = {}
     for g, _, stem, term, _, _ in scored:
-        if -g >= least and len(roots) < most and not any(term.startswith(t) or t.startswith(term) for t in roots):
+        if -g >= least and not any(term.startswith(t) or t.startswith(term) for t in roots):
             roots[term] = bool(stem)
     entries, stems = [], {}
     for g, _, stem, term, ta, tb in scored:
@@ -322,12 +324,12 @@ class Scorer:
             best = max(best, inside)
         return [
             float(np.log1p(n)),
-            float(np.clip(exact - n * self.drift, -30, 30)),
-            min(exact, 100.0),
-            min(best, 100.0),
+            float(exact - n * self.drift),
+            exact,
+            best,
             100.0 * len(placed) / max(n, 20),
             float(len(seen)),
-            min(fuzzy, 100.0),
+            fuzzy,
             quoted / total if total else 0.0,
         ]
 
