@@ -7,6 +7,7 @@ from tidewire.operators.snapshot import ITEMS_PER_SOURCE, KEEP_DAYS, KEEP_ITEMS
 from tidewire.functions.text import ENDINGS, MIN_STEM, REDACTED, SECRET_ASSIGNED, SECRET_PARAM, SECRET_PATTERNS, SECRET_URL_USER, STOPWORDS
 from tidewire.plans import golden
 from tidewire.plans import section_sql as sections
+from tidewire.plans import walk_sql as walk
 from tidewire.plans.views import BOARD, CENTS, DEFAULTS, DENY, FEED, HIDDEN, KEY, MAPPING, STORIES, WANTED
 
 
@@ -411,3 +412,30 @@ raw AS (SELECT ord, term, tf * (ln(((SELECT count(*) FROM cut) + 1) / (df + 1))
 norms AS (SELECT ord, sqrt(sum(w * w)) AS norm FROM raw GROUP BY ord),
 unit AS (SELECT ord, term, w / norm AS w FROM raw JOIN norms USING (ord))
 SELECT x.ord AS a, y.ord AS b, round(sum(x.w * y.w), 6) AS cosine FROM unit x JOIN unit y ON x.term = y.term AND x.ord < y.ord GROUP BY x.ord, y.ord HAVING sum(x.w * y.w) >= 0.42"""
+
+# --- stories and treemap, step by step --------------------------------------------------------
+
+CLUSTERED = f"""WITH RECURSIVE {FEED},
+cut AS (
+  SELECT *, row_number() OVER (ORDER BY published_at DESC, ord) AS i, epoch_us(published_at) / 1e6 AS t
+  FROM (SELECT * FROM feed WHERE title <> '' ORDER BY published_at DESC, ord LIMIT {KEEP_ITEMS}) x),
+{COUNTS.replace('{0}', 'cut')},
+df AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+raw AS (SELECT ord, term, tf * (ln(((SELECT count(*) FROM cut) + 1) / (df + 1)) + 1) AS w FROM counts JOIN df USING (term)),
+norms AS (SELECT ord, sqrt(sum(w * w)) AS norm FROM raw GROUP BY ord),
+vecs AS (SELECT i, term, w / norm AS w FROM raw JOIN norms USING (ord) JOIN cut USING (ord)),
+{walk.stories("cut", "vecs", 0.42, 36)},
+told AS (
+  SELECT s - 1 AS pos, h.ord::VARCHAR AS id, count(DISTINCT m.source_id)::INT AS sources, count(*)::INT AS members, max(m.published_at) AS latest
+  FROM story_of_place p JOIN cut m USING (i) JOIN story_heads USING (s) JOIN cut h ON h.i = head GROUP BY s, h.ord)"""
+ORACLES["story_clusters"] = f"{CLUSTERED} SELECT pos::INT AS pos, id, sources, members FROM told"
+ORACLES["top_stories"] = f"""{CLUSTERED}
+SELECT row_number() OVER (ORDER BY sources DESC, latest DESC, pos) AS rank, id, sources, members FROM told WHERE sources >= 2 QUALIFY rank <= 200"""
+ORACLES["story_epochs"] = f"""WITH {KEPT},
+g AS (SELECT ord, published_at, (coalesce(lag(published_at) OVER w - published_at > INTERVAL 36 HOUR, FALSE))::INT AS gap FROM feed WINDOW w AS (ORDER BY published_at DESC, ord))
+SELECT ord, sum(gap) OVER (ORDER BY published_at DESC, ord)::BIGINT AS part FROM g"""
+ORACLES["treemap_layout"] = f"""WITH RECURSIVE {BOARD},
+shown0 AS (SELECT ticker, sector, weight, change, row_number() OVER (ORDER BY weight DESC, ord) AS rn FROM shares WHERE weight <> 0 ORDER BY weight DESC, ord LIMIT 40),
+{", ".join(walk.layout(k, "Прочие", 0.02, 960, 340) for k in range(5))}
+SELECT ticker, grp AS "group", label, round(gx, 4) AS gx, round(gy, 4) AS gy, round(gw, 4) AS gw, round(gh, 4) AS gh,
+       round(x, 4) AS x, round(y, 4) AS y, round(w, 4) AS w, round(h, 4) AS h, fit FROM cells4"""

@@ -628,6 +628,13 @@ def story_clusters(spark, sf_dir):
     return out.select("pos", "id", "sources", F.size("itemIds").alias("members"))
 
 
+@query
+def story_epochs(spark, sf_dir):
+    """ST7: the kept items in groups that no story can reach across."""
+    kept = views.feed_items(spark, sf_dir).select("ord", "publishedAt").orderBy(*feed.newest_first()).limit(snapshot.KEEP_ITEMS)
+    return stories.with_epoch(kept).select("ord", "part")
+
+
 @query
 def top_stories(spark, sf_dir):
     """T4."""
