@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm import exact_dedup, jaccard_join, secret_scan, substring_dedup
+from tidewire.llm import exact_dedup, exchange, jaccard_join, secret_scan, substring_dedup
 from tidewire.llm.components import components
 from tidewire.llm.queries import QUERIES
 
@@ -165,6 +165,41 @@ def test_near_corner_cases(spark):
     assert ids.count(6) == 1 and ids.count(11) == 1 and 7 not in ids and 10 not in ids
 
 
+@pytest.fixture()
+def small_groups(monkeypatch):
+    """Groups of three buckets and chunks of some documents, so that small inputs take both steps in many chunks."""
+    monkeypatch.setattr(exchange, "GROUP", 3)
+    monkeypatch.setattr(exchange, "CHUNK_HASHES", 300)
+    monkeypatch.setattr(exchange, "SHARE", 1)
+
+
+def test_near_in_two_steps(spark, small_groups):
+    check_near(spark, near_corpus(5, 150))
+
+
+def test_repeats_in_two_steps(spark, small_groups):
+    check_repeats(spark, passages(4))
+
+
+def test_both_kinds_of_exchange_are_tested(spark, small_groups, monkeypatch):
+    seen = []
+    plain = exchange.stored
+    monkeypatch.setattr(exchange, "stored", lambda df, label, *a: seen.append(label) or plain(df, label, *a))
+    check_near(spark, near_corpus(6, 40))
+    check_repeats(spark, passages(5, 20))
+    assert seen == ["dealt"] * 4
+
+
+@pytest.mark.parametrize("tb", [0.0001, 0.01, 1, 10, 100])
+def test_a_chunk_is_bounded_at_every_size(tb):
+    buckets = int(tb * 1e12 / 6.5 / exchange.BUCKET_HASHES) + 1
+    groups = -(-buckets // exchange.GROUP)
+    assert exchange.chunk_size(buckets) <= exchange.MOST_HASHES == 1 << 21
+    # Shares stay worth a row: of a group in the first step, of a bucket in the second.
+    assert exchange.chunk_size(buckets) / (buckets if groups == 1 else groups) >= 500
+    assert exchange.chunk_size(buckets) / min(buckets, exchange.GROUP) >= 500
+
+
 def test_prefix_bound():
     for n in range(1, 200):
         assert 100 * jaccard_join.least_overlap(n) >= 80 * n > 100 * (jaccard_join.least_overlap(n) - 1)
@@ -189,7 +224,10 @@ def passages(seed, n=80):
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_repeats(spark, seed):
-    docs = passages(seed)
+    check_repeats(spark, passages(seed))
+
+
+def check_repeats(spark, docs):
     want = {i: (len(brute.words(docs[i])), " ".join(k)) for i, k in brute.removed_words(docs).items()}
     out = substring_dedup.remove_repeats(frame(spark, list(docs.items())).repartition(3), with_text=True).collect()
     assert {r.doc_id: (r.n_words, r.kept_text) for r in out} == want

@@ -181,6 +181,21 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
 
 
+def wide_hash(word: bytes) -> int:
+    return xxhash.xxh3_128_intdigest(word)
+
+
+#: 128-bit hashes of words already seen by this worker.
+WIDE_HASHES = Memo(wide_hash, 100_000)
+
+
+def wide_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The two 64-bit halves of the words' 128-bit hashes."""
+    every = list(map(WIDE_HASHES.__getitem__, words))
+    low, high = (1 << 64) - 1, 64
+    return np.array([h & low for h in every], np.uint64), np.array([h >> high for h in every], np.uint64)
+
+
 _MULTIPLIER, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
 

@@ -20,9 +20,13 @@ A document is the set of its distinct five-word shingles; two link at a Jaccard
 Links inside a component that are not needed to connect it are not all enumerated: the result is
 each document's component, and no link between different components is lost.
 
-Defined results: a null text is empty; a set without shingles links to nothing; rows without an id
-come after all others; rows that share an id and a text are one node. Extra columns are not read.
-An empty table gives no rows.
+Shingles are compared by 64-bit hashes: in a checked pair of n shingles two different ones meet with a
+chance below n * n / 2^64.
+
+Defined results: a null text is empty; very long texts are read whole; a set without shingles links to
+nothing; rows without an id come after all others; rows that share an id and a text are one node. An
+empty table gives no rows. component_ids reads its two columns only; keep_firsts returns every column,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -39,16 +43,18 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import checkpointed, files_for, free_names, map_batches, rolling, small_batches, stored, word_hashes
 from tidewire.llm.components import components
 from tidewire.llm.exchange import (
+    ANSWERS,
+    HITS,
     LAST_ID,
     Chunk,
-    answer_buckets,
-    answer_hits,
+    Question,
+    answers,
     bucket_count,
+    bucket_of,
     by_document,
-    deal_out,
+    exchanged,
     keyed,
     parted,
-    settle_hits,
 )
 
 #: Words of a shingle, and the threshold as a fraction of whole numbers.
@@ -84,16 +90,13 @@ def prefix(n: int, c: int) -> int:
 # --- rarest-first order ---------------------------------------------------------------------
 
 
-def settle_counts(chunk: Chunk, buckets: int) -> tuple[list[tuple[int, bytes]], object]:
-    """Each distinct hash of the chunk is sent once, with its number of sets."""
-    owner, hashes = chunk.flat()
-    values, count = np.unique(hashes, return_counts=True)
-    order, at = parted(((values >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), buckets)
-    out = []
-    for b in range(buckets):
-        part = order[at[b] : at[b + 1]]
-        if len(part):
-            out.append((b, pickle.dumps((part, values[part], count[part]), protocol=5)))
+def settle_counts(chunk: Chunk, buckets: int, group: int = 1) -> tuple[list[tuple[int, bytes]], object]:
+    """Each distinct hash of the chunk is sent once, with its number of sets; for arrays (hashes) or (hashes, numbers)."""
+    owner, hashes, *rest = chunk.flat()
+    values, inverse = np.unique(hashes, return_inverse=True)
+    count = np.bincount(inverse, rest[0] if rest else None, len(values)).astype(np.int64)
+    order, at = parted(bucket_of(values, buckets, group))
+    out = [(b, pickle.dumps((order[where], values[order[where]], count[order[where]]), protocol=5)) for b, where in at.items()]
     return out, (owner, hashes, values)
 
 
@@ -109,36 +112,51 @@ def answer_counts(data: list[bytes]) -> list[object]:
     return out
 
 
-PREFIXES = "node long, n long, alone long, tokens binary, df binary"
-
-
-def rarest_first(table: pa.Table) -> pa.Table:
-    """The prefix of each set of a chunk: its shared shingles, rarest first, after `alone` unshared ones."""
-    keys, owner, hashes, values, df = [], None, None, None, None
-    answers = []
+def counted(table: pa.Table) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """(key, hashes, sets that have each) of the documents of a chunk."""
+    keys, owner, hashes, values = [], None, None, None
+    found = []
     for own, data in zip(table.column("own").to_pylist(), table.column("data").to_pylist(), strict=True):
-        found = pickle.loads(data)
         if own:
-            keys, (owner, hashes, values) = found
+            keys, (owner, hashes, values) = pickle.loads(data)
         else:
-            answers.append(found)
-    rows: list[tuple] = []
+            found.append(pickle.loads(data))
     if keys:
         df = np.zeros(len(values), np.int64)
-        for place, total in answers:
+        for place, total in found:
             df[place] = total
         own_df = df[np.searchsorted(values, hashes)]
         bounds = np.searchsorted(owner, np.arange(len(keys) + 1))
         for i, key in enumerate(keys):
-            h, d = hashes[bounds[i] : bounds[i + 1]], own_df[bounds[i] : bounds[i + 1]]
-            shared = d >= 2
-            alone = int(len(h) - shared.sum())
-            take = prefix(len(h), SUBSET) - alone
-            if take <= 0 or prefix(len(h), 1) <= alone:
-                continue
-            h, d = h[shared], d[shared]
-            order = np.lexsort((h, d))[:take]
-            rows.append((key[0], int(bounds[i + 1] - bounds[i]), alone, h[order].tobytes(), d[order].astype(np.int64).tobytes()))
+            yield key, hashes[bounds[i] : bounds[i + 1]], own_df[bounds[i] : bounds[i + 1]]
+
+
+def conclude_counts(answered: DataFrame) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        return answers([(key[0], False, pickle.dumps((key[4], df), protocol=5)) for key, _, df in counted(table)])
+
+    return answered.groupBy("chunk").applyInArrow(run, ANSWERS)
+
+
+COUNTS = Question(
+    settle_counts, answer_counts, lambda row: pickle.loads(row["data"])[1:], lambda row: pickle.loads(row["data"])[:1], settle_counts, answer_counts, conclude_counts
+)
+
+PREFIXES = "node long, n long, alone long, tokens binary, df binary"
+
+
+def rarest_first(table: pa.Table) -> pa.Table:
+    """The prefix of each set of a chunk: its shared shingles, rarest first, after `alone` unshared ones."""
+    rows: list[tuple] = []
+    for key, h, d in counted(table):
+        shared = d >= 2
+        alone, n = int(len(h) - shared.sum()), len(h)
+        take = prefix(n, SUBSET) - alone
+        if take <= 0 or prefix(n, 1) <= alone:
+            continue
+        h, d = h[shared], d[shared]
+        order = np.lexsort((h, d))[:take]
+        rows.append((key[0], n, alone, h[order].tobytes(), d[order].tobytes()))
     cols = list(zip(*rows, strict=True)) or [()] * 5
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
     names = [c.split()[0] for c in PREFIXES.split(", ")]
@@ -290,12 +308,20 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def link_classes(sets: DataFrame, buckets: int, files: int) -> DataFrame | None:
-    """node, root of all linked classes; None if there is no link. sets has node and tokens."""
+#: Bytes of a partition of a scratch table, of an entry of a posting list, and of a prefix for each shingle of its set.
+PART_BYTES, POSTING_BYTES, PREFIX_BYTES = 64 << 20, 41, 16 * (DEN - NUM) / DEN
+
+
+def parts_for(size: float) -> int:
+    return max(1, int(size / PART_BYTES) + 1)
+
+
+def link_classes(sets: DataFrame, buckets: int, files: int, n_shingles: int) -> DataFrame | None:
+    """node, root of all linked classes; None if there is no link. sets has node and tokens, n_shingles at most in all."""
     rows = sets.select(F.col("node").alias("id0"), F.lit(False).alias("nul"), F.lit(0).cast("long").alias("th"), "tokens")
-    dealt = deal_out(rows, lambda r: (np.frombuffer(r["tokens"], np.uint64),), settle_counts, buckets)
-    prefixes = checkpointed(answer_buckets(dealt, buckets, answer_counts).groupBy("chunk").applyInArrow(rarest_first, PREFIXES), files)
-    posts = stored(postings(prefixes, boundary(prefixes)).coalesce(files * 4), "postings")
+    found = exchanged(rows, lambda r: (np.frombuffer(r["tokens"], np.uint64),), COUNTS, buckets)
+    prefixes = checkpointed(found.groupBy("chunk").applyInArrow(rarest_first, PREFIXES), parts_for(PREFIX_BYTES * n_shingles))
+    posts = stored(postings(prefixes, boundary(prefixes)), "postings")
     roots, checked = None, []
     for nth in range(STAR_ROUNDS):
         pairs = checkpointed(star_pairs(with_roots(posts, roots), nth), files)
@@ -303,7 +329,7 @@ def link_classes(sets: DataFrame, buckets: int, files: int) -> DataFrame | None:
         roots, found = merged(roots, checkpointed(linked(pairs, sets), files))
         if found >= GOOD_CENTRES * pairs.count():
             break
-    lists = checkpointed(with_roots(posts, roots), files * 4)
+    lists = checkpointed(with_roots(posts, roots), parts_for(POSTING_BYTES * posts.count()))
     seen = checked[0]
     for pairs in checked[1:]:
         seen = seen.unionByName(pairs)
@@ -331,11 +357,10 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row of docs its key (id0, nul, th), n_shingles and first: the key of its component's first document."""
     rows = keyed(docs, id_col, text_col)
     n_docs = docs.count()
-    buckets, files, parts = bucket_count(rows), files_for(n_docs), files_for(n_docs, 16_000)
-    dealt = deal_out(rows.select(*KEY, "body"), lambda r: (shingles(r["body"]),), settle_hits, buckets)
+    buckets, files = bucket_count(rows), files_for(n_docs)
     sizes = stored(
         by_document(
-            answer_buckets(dealt, buckets, answer_hits),
+            exchanged(rows.select(*KEY, "body"), lambda r: (shingles(r["body"]),), HITS, buckets),
             lambda key, met: (key[3], key[3] > 0 and DEN * len(met) >= NUM * key[3]),
             "n long, open boolean",
         ),
@@ -343,6 +368,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         files,
     )
     open_keys = sizes.filter("open").select(*KEY).distinct()
+    n_shingles = sizes.filter("open").agg(F.sum("n")).first()[0] or 0
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(b).tobytes() for b in batch.column(3).to_pylist()]
@@ -352,16 +378,15 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         )
 
     sets = stored(
-        map_batches(rows.join(open_keys, KEY, "left_semi").select(*KEY, "body"), make, "id0 long, nul boolean, th long, sig binary, tokens binary").coalesce(parts), "sets"
+        map_batches(rows.join(open_keys, KEY, "left_semi").select(*KEY, "body"), make, "id0 long, nul boolean, th long, sig binary, tokens binary"), "sets"
     )
     classes = stored(
         sets.groupBy("sig")
         .agg(F.min(F.struct("id0", "nul", "th")).alias("first"), F.min("tokens").alias("tokens"))
-        .coalesce(parts)
         .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
-    roots = link_classes(classes.select("node", "tokens"), max(8, buckets // 4), files)
+    roots = link_classes(classes.select("node", "tokens"), max(8, buckets // 4), files, n_shingles)
     named = classes.select("node", "sig", "first")
     if roots is not None:
         named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -4,34 +4,39 @@ Reference blocks are the non-overlapping blocks of ten words of every document;
 ten-word window of every document probes them. A repeat of 20 words or more holds a whole block of
 each of its copies, and each such block is hit by a window of the other copies. So only windows of
 20 words whose own blocks were all hit can be repeats. Around the hits these windows are compared
-by 64-bit hashes; the smallest (id, start) of equal windows stays, all others are marked, and
+by 128-bit hashes of their words; the smallest (id, start) of equal windows stays, all others are marked, and
 overlapping marks join to maximal exact repeats.
 
-Defined results: a null text has no words; rows without an id come after all others; rows that share
-an id count as one document, and the same place of equal rows is not an earlier one; texts with
-fewer words than a window lose nothing. Extra columns are not read. An empty table gives no rows.
+Defined results: a null text has no words; very long texts are read whole; rows without an id come
+after all others; rows that share an id count as one document, and the same place of equal rows is
+not an earlier one; texts with fewer words than a window lose nothing. Only the two named columns are
+read, whatever others there are. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import files_for, map_batches, rolling, stored, word_hashes
+from tidewire.llm.common import files_for, map_batches, rolling, stored, wide_hashes, word_hashes
 from tidewire.llm.exchange import (
+    ANSWERS,
+    HITS,
     Chunk,
-    answer_buckets,
-    answer_hits,
+    Question,
     bucket_count,
+    bucket_of,
     by_document,
-    deal_out,
+    each_document,
+    exchanged,
     keyed,
     parted,
-    settle_hits,
 )
 
 
@@ -61,50 +66,73 @@ def candidates(hits: np.ndarray, n_words: int, window: int, block: int) -> np.nd
     return starts[bad[last + 1] - bad[first] == 0]
 
 
-def ranked(hashes: np.ndarray, ids: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order by hash, id, place; is a later occurrence, in that order)."""
-    order = np.lexsort((position, ids, hashes))
-    h, i, p = hashes[order], ids[order], position[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.empty(0, np.int64)
+def ranked(hashes: tuple[np.ndarray, ...], ids: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by hashes, id, place; is a later occurrence, in that order)."""
+    order = np.lexsort((position, ids, *hashes))
+    i, p = ids[order], position[order]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for h in hashes:
+        h = h[order]
+        new[1:] |= h[1:] != h[:-1]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else np.empty(0, np.int64)
     return order, (i != i[first]) | (p != p[first])
 
 
-RECORD = np.dtype([("h", "<u8"), ("id", "<i8"), ("position", "<u4"), ("owner", "<u2")])
+#: A window as buckets and groups get it: 128 bits of its words, its document's id, place and number in the
+#: chunk. In a second step the number is a group's row, and nth the window's number there.
+RECORD = np.dtype([("h", "<u8"), ("g", "<u8"), ("id", "<i8"), ("position", "<u4"), ("owner", "<u2")])
+AGAIN = np.dtype([*RECORD.descr, ("nth", "<u4")])
 
 
-def settle_windows(chunk: Chunk, buckets: int) -> tuple[list[tuple[int, bytes]], object]:
-    """For arrays (hashes, places): later occurrences inside the chunk are settled; first ones are sent."""
-    owner, hashes, position = chunk.flat()
-    ids = np.array([k[0] for k in chunk.keys], np.int64)[owner] if len(owner) else np.empty(0, np.int64)
-    order, later = ranked(hashes, ids, position)
+def settle_windows(chunk: Chunk, buckets: int, group: int = 1) -> tuple[list[tuple[int, bytes]], object]:
+    """For arrays (hashes, second hashes, places) or records: later occurrences inside the chunk are settled; first ones are sent."""
+    owner, hashes, second, position, *rest = chunk.flat()
+    ids, nth = rest if rest else (np.array([k[0] for k in chunk.keys], np.int64)[owner], position)
+    order, later = ranked((second, hashes), ids, position)
     sent, marked = order[~later], order[later]
-    h = hashes[sent]
-    place, bounds = parted(((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), buckets)
-    rows = np.empty(len(h), RECORD)
-    rows["h"], rows["id"], rows["position"], rows["owner"] = h, ids[sent], position[sent], owner[sent]
-    rows = rows[place]
-    out = [(b, rows[bounds[b] : bounds[b + 1]].tobytes()) for b in range(buckets) if bounds[b] < bounds[b + 1]]
-    return out, (owner[marked], position[marked])
-
-
-def answer_windows(data: list[bytes]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-    """(owners, places) of the windows of each chunk that are not the first of their kind."""
-    rows = np.frombuffer(b"".join(data), RECORD)
+    place, at = parted(bucket_of(hashes[sent], buckets, group))
+    sent = sent[place]
+    rows = np.empty(len(sent), AGAIN if rest else RECORD)
+    for name, values in (("h", hashes), ("g", second), ("id", ids), ("position", position), ("owner", owner), *([("nth", nth)] if rest else [])):
+        rows[name] = values[sent]
+    return [(b, rows[where].tobytes()) for b, where in at.items()], (owner[marked], nth[marked])
+
+
+def answer_windows(data: list[bytes], kind: np.dtype = RECORD) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """(owners, places or numbers) of the windows of each chunk that are not the first of their kind."""
+    rows = np.frombuffer(b"".join(data), kind)
     later = np.zeros(len(rows), bool)
-    order, marks = ranked(rows["h"], rows["id"], rows["position"])
+    order, marks = ranked((rows["g"], rows["h"]), rows["id"], rows["position"])
     later[order] = marks
     out: list = []
     at = 0
     for d in data:
-        n = len(d) // RECORD.itemsize
+        n = len(d) // kind.itemsize
         own, mark = rows[at : at + n], later[at : at + n]
-        out.append((own["owner"][mark], own["position"][mark]) if mark.any() else None)
+        out.append((own["owner"][mark], own["position" if kind == RECORD else "nth"][mark]) if mark.any() else None)
         at += n
     return out
 
 
+def gather_windows(row: dict) -> tuple[np.ndarray, ...]:
+    r = np.frombuffer(row["data"], RECORD)
+    return r["h"], r["g"], r["position"], r["id"], np.arange(len(r), dtype=np.uint32)
+
+
+def conclude_windows(answered: DataFrame) -> DataFrame:
+    def conclude(key: tuple, nth: np.ndarray) -> tuple | None:
+        r = np.frombuffer(key[4], RECORD)[nth]
+        return (key[0], False, pickle.dumps((r["owner"], r["position"]), protocol=5)) if len(r) else None
+
+    return each_document(answered, conclude, ANSWERS)
+
+
+WINDOWS = Question(
+    settle_windows, answer_windows, gather_windows, lambda row: (row["data"],), settle_windows, partial(answer_windows, kind=AGAIN), conclude_windows
+)
+
+
 def runs(position: np.ndarray) -> np.ndarray:
     """Sorted distinct places as (first, number) of consecutive ones."""
     p = np.unique(position.astype(np.int64))
@@ -122,24 +150,25 @@ def repeats(docs: DataFrame, window: int, block: int) -> DataFrame:
         raise ValueError("a window must hold a whole block of any alignment")
     key = ["id0", "nul", "th"]
     buckets, files = bucket_count(docs), files_for(docs.count())
-    dealt = deal_out(docs, lambda r: anchors(r["body"], block), settle_hits, buckets)
     found = by_document(
-        answer_buckets(dealt, buckets, answer_hits),
+        exchanged(docs, lambda r: anchors(r["body"], block), HITS, buckets),
         lambda _, position: (np.unique(position).tobytes(),) if len(position) else None,
         "hits binary",
     )
     hits = stored(found, "anchor-hits", files)
     merged = hits.groupBy(*key).agg(F.collect_set("hits").alias("hits"))
 
-    def windows(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        h = word_hashes(words_of(row["body"]))
+    def windows(row: dict) -> tuple[np.ndarray, ...]:
+        words = words_of(row["body"])
         hit = np.frombuffer(b"".join(row["hits"]), np.uint32)
-        starts = candidates(hit, len(h), window, block)
-        return rolling(h, window)[starts] if len(starts) else np.empty(0, np.uint64), starts.astype(np.uint32)
+        starts = candidates(hit, len(words), window, block)
+        if not len(starts):
+            return np.empty(0, np.uint64), np.empty(0, np.uint64), starts.astype(np.uint32)
+        low, high = wide_hashes(words)
+        return rolling(low, window)[starts], rolling(high, window)[starts], starts.astype(np.uint32)
 
-    near = deal_out(docs.join(merged, key), windows, settle_windows, buckets)
     later = by_document(
-        answer_buckets(near, buckets, answer_windows),
+        exchanged(docs.join(merged, key), windows, WINDOWS, buckets),
         lambda _, position: (runs(position).tobytes(),) if len(position) else None,
         "runs binary",
     )
