@@ -249,11 +249,15 @@ def rewritten(headers: DataFrame, revisits: DataFrame, codec: str, file_bytes: i
     """The new archives: responses as they were, revisits with fresh headers and no payload.
 
     A row per old archive is shuffled, with the places of its revisits; its records are read by path.
-    An archive has some 10 000 records at most, as it is of bounded size.
+    An archive has some 10 000 records at most, as it is of bounded size. Tasks are numbered by archives:
+    the engine would put these few small rows into one.
     """
     turned = F.struct("nth", "refers_to", "refers_to_record")
     every = headers.filter("nth = 0").select("file", F.lit(None).cast("struct<nth:int,refers_to:long,refers_to_record:string>").alias("turn"))
-    places = every.unionByName(revisits.select("file", turned.alias("turn"))).groupBy("file").agg(F.collect_list("turn").alias("turns"))
+    files, cores = every.count(), headers.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(files, max(3 * cores, files // 4)))
+    both = every.unionByName(revisits.select("file", turned.alias("turn"))).repartition(tasks, "file")
+    places = both.groupBy("file").agg(F.collect_list("turn").alias("turns"))
 
     def make(row: dict) -> Iterator[bytes]:
         turns = {t["nth"]: (t["refers_to"], t["refers_to_record"]) for t in row["turns"]}
