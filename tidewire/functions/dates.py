@@ -69,11 +69,22 @@ def clock_label(stamp: Column) -> Column:
     return F.when(t != "", F.concat(t, F.lit(" мск"))).otherwise("")
 
 
+#: Months of a displayed date, May in full.
+MONTHS = "янв. февр. мар. апр. мая июн. июл. авг. сент. окт. нояб. дек.".split()
+
+
+def display_date(ts: Column) -> Column:
+    """A date and time as Russian pages show them: 9 сент. 2026 г., 15:04; empty without one."""
+    month = F.get(F.array(*map(F.lit, MONTHS)), F.month(ts) - 1)
+    shown = F.concat(F.dayofmonth(ts).cast("string"), F.lit(" "), month, F.lit(" "), F.year(ts).cast("string"), F.lit(" г., "), F.date_format(ts, "HH:mm"))
+    return F.coalesce(shown, F.lit(""))
+
+
 def chart_label(stamp: Column, range_name: str) -> Column:
     """Label of a chart point: time within a day, day and month otherwise."""
     s = F.coalesce(stamp, F.lit(""))
     if range_name == "day":
         return F.substring(s, 12, 5)
-    months = F.array(*[F.lit(m) for m in "янв. февр. мар. апр. мая июн. июл. авг. сент. окт. нояб. дек.".split()])
+    months = F.array(*map(F.lit, MONTHS))
     d = F.try_to_timestamp(s)
     return F.when(d.isNull(), F.substring(s, 1, 10)).otherwise(F.concat(F.dayofmonth(d).cast("string"), F.lit(" "), F.get(months, F.month(d) - 1)))

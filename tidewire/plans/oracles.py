@@ -8,6 +8,7 @@ from tidewire.functions.text import ENDINGS, MIN_STEM, REDACTED, SECRET_ASSIGNED
 from tidewire.plans import golden
 from tidewire.plans import section_sql as sections
 from tidewire.plans import walk_sql as walk
+from tidewire.plans.page_sql import PAGE_ORACLES
 from tidewire.plans.views import BOARD, CENTS, DEFAULTS, DENY, FEED, HIDDEN, KEY, MAPPING, STORIES, WANTED
 
 
@@ -325,12 +326,13 @@ per AS (SELECT sector, sum(CAST(weight AS DECIMAL(24,2)))::DOUBLE AS value, coun
 m AS (SELECT *, value / sum(value) OVER () < 0.03 AND sector <> 'Прочие' AS tiny FROM per),
 k AS (SELECT *, count(*) FILTER (WHERE tiny) OVER () AS tinies FROM m)
 SELECT CASE WHEN tiny AND tinies > 1 THEN 'Прочие' ELSE sector END AS sector, sum(CAST(value AS DECIMAL(24,2)))::DOUBLE AS value, sum(n)::BIGINT AS n FROM k GROUP BY 1"""
-ORACLES["display_formats"] = f"""{S}, d AS (SELECT *, floor(weight) - floor(floor(weight) / 1e6) * 1e6 AS m FROM shares)
+ORACLES["display_formats"] = f"""{S}, d AS (SELECT *, floor(weight) - floor(floor(weight) / 1e6) * 1e6 AS m, make_timestamp((1700000000 + ord * 100003)::BIGINT * 1000000) AS shown FROM shares)
 SELECT ticker, CASE WHEN ord % 10 = 1 AND ord % 100 <> 11 THEN 'источник' WHEN ord % 10 BETWEEN 2 AND 4 AND NOT ord % 100 BETWEEN 12 AND 14 THEN 'источника' ELSE 'источников' END AS plural,
   greatest(100, least(900, ord))::INT AS clamped,
   CASE WHEN floor(change) > 0 THEN '+' WHEN floor(change) < 0 THEN '−' ELSE '' END || abs(floor(change))::BIGINT || ',00%' AS change_text,
   CASE WHEN m >= 1000 THEN (m::BIGINT // 1000) || chr(160) || lpad((m::BIGINT % 1000)::VARCHAR, 3, '0') ELSE m::BIGINT::VARCHAR END || ' ₽' AS money,
-  '1' || (ord % 10) || ':05 мск' AS clock
+  '1' || (ord % 10) || ':05 мск' AS clock,
+  CASE WHEN ord % 9 <> 0 THEN strftime(shown, '%-d ') || ['янв.', 'февр.', 'мар.', 'апр.', 'мая', 'июн.', 'июл.', 'авг.', 'сент.', 'окт.', 'нояб.', 'дек.'][month(shown)] || strftime(shown, ' %Y г., %H:%M') ELSE '' END AS shown_date
 FROM d"""
 CANDLES = """candles AS (
   SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS begin, strftime(date_trunc('hour', ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS "end",
@@ -439,3 +441,5 @@ shown0 AS (SELECT ticker, sector, weight, change, row_number() OVER (ORDER BY we
 {", ".join(walk.layout(k, "Прочие", 0.02, 960, 340) for k in range(5))}
 SELECT ticker, grp AS "group", label, round(gx, 4) AS gx, round(gy, 4) AS gy, round(gw, 4) AS gw, round(gh, 4) AS gh,
        round(x, 4) AS x, round(y, 4) AS y, round(w, 4) AS w, round(h, 4) AS h, fit FROM cells4"""
+
+ORACLES |= PAGE_ORACLES

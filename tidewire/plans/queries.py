@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidewire.functions import dates, html, numbers, text
 from tidewire.operators import classify, company, feed, market, snapshot, stories, treemap
 from tidewire.plans import golden, views
-from tidewire.sources import exchange
+from tidewire.sources import exchange, feeds
+from tidewire.sources.snapshots import SnapshotStore
 from tidewire.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -528,6 +529,7 @@ def formats(s: DataFrame) -> DataFrame:
         numbers.format_change(F.floor("change").cast("double")).alias("change_text"),
         numbers.format_money(F.floor(F.pmod(amount, F.lit(1e6))).cast("double")).alias("money"),
         dates.clock_label(F.concat(F.lit("2024-01-02 1"), (F.col("ord") % 10).cast("string"), F.lit(":05:00"))).alias("clock"),
+        dates.display_date(F.when(F.col("ord") % 9 != 0, F.timestamp_seconds(F.lit(1_700_000_000) + F.col("ord") * 100_003))).alias("shown_date"),
     )
 
 
@@ -654,9 +656,117 @@ def treemap_layout(spark, sf_dir):
 
 @query
 def page_texts(spark, sf_dir):
-    """F2, F16, F20, F36."""
+    """F2, F20, F36 over composed pages."""
+    p = views.composed_pages(spark, sf_dir).withColumn("plain", html.strip_html("page"))
+    url = F.concat(F.lit("https://Host"), (F.col("doc_id") % 7).cast("string"), F.lit(".example:80/Part/x"))
+    return p.select("doc_id", F.length("plain").alias("chars"), F.md5("plain").alias("text_md5"), text.url_section(url).alias("section"), text.host_of(url).alias("host"))
+
+
+@query
+def page_marks(spark, sf_dir):
+    """F16 over raw pages, with marks planted."""
     p = views.table(spark, sf_dir, "pages")
-    return p.select("page_id", F.length(html.strip_html("html")).alias("chars"), joined(text.page_markers("html")).alias("markers"), text.url_section("url").alias("section"), text.host_of("url").alias("host"))
+    planted = by_place(["", "<ARTICLE data-x>", "window.__INITIAL_STATE__=1", "please solve the CAPTCHA", "Оформите ПОДПИСКУ", '<script type="Application/LD+JSON">', "<articles>", "__NUXT__"], "page_id")
+    return p.select("page_id", joined(text.page_markers(F.concat("html", planted))).alias("markers"))
+
+
+@query
+def stored_pages(spark, sf_dir):
+    """F17, A18 over composed pages: the subset that is stored, as it is and cut at six blocks or 400 characters."""
+    p = views.composed_pages(spark, sf_dir).withColumns({"c": html.sanitized("page"), "d": html.sanitized("page", 6, 400)})
+    whole = ["doc_id", F.md5("c.html").alias("html_md5"), F.col("c.truncated").alias("cut"), F.col("c.approxChars").alias("chars"), F.col("c.approxBlocks").alias("blocks")]
+    return p.select(*whole, F.md5("d.html").alias("short_md5"), F.col("d.truncated").alias("short_cut"), F.col("d.approxChars").alias("short_chars"), F.col("d.approxBlocks").alias("short_blocks"))
+
+
+@query
+def shown_pages(spark, sf_dir):
+    """F18 over composed pages: what a reader sees."""
+    return views.composed_pages(spark, sf_dir).select("doc_id", F.md5(html.sanitized_for_reader("page")).alias("html_md5"))
+
+
+@query
+def page_pictures(spark, sf_dir):
+    """F5, F14 over composed pages: the declared picture, the body of structured data."""
+    body = html.body_of_structured_data("page")
+    p = views.composed_pages(spark, sf_dir).select("doc_id", html.picture_of_page("page", F.lit(views.BASE)).alias("picture"), body.alias("body"))
+    return p.select("doc_id", "picture", F.length("body").alias("body_chars"), F.md5("body").alias("body_md5"))
+
+
+@query
+def page_articles(spark, sf_dir):
+    """F15, F12 over composed pages: the article, from the densest element or structured data."""
+    p = views.composed_pages(spark, sf_dir).withColumn("a", html.article("page", F.lit(views.BASE)))
+    return p.select("doc_id", F.col("a.title").alias("title"), F.col("a.image").alias("picture"), F.md5("a.text").alias("text_md5"), F.md5("a.content").alias("content_md5"))
+
+
+@query
+def paragraphs(spark, sf_dir):
+    """whole texts as paragraphs."""
+    return views.table(spark, sf_dir, "documents").select("doc_id", F.md5(text.paragraphs_to_html("text")).alias("html_md5"))
+
+
+@query
+def full_texts(spark, sf_dir):
+    """the first of three fields with 500 characters of text outside tags."""
+    d = views.table(spark, sf_dir, "documents")
+    third = F.concat(F.lit("  "), F.coalesce("text", F.lit("")), F.lit(" tail "))
+    fields = [F.concat(F.lit("<p>"), F.substring("text", 1, 490), F.lit("</p>  <i title='long long attribute'>")), F.when(F.col("doc_id") % 2 == 0, F.col("text")), third]
+    return d.select("doc_id", F.md5(text.full_text(fields)).alias("text_md5"))
+
+
+# --- feeds ----------------------------------------------------------------------------------
+
+
+@query
+def landed_feeds(spark, sf_dir):
+    """SRC1, U2: the feed as RSS and Atom files, read back and put together."""
+    rss, atom = views.feed_files(spark, sf_dir)
+    out = feeds.feed_items(spark, rss, atom, per_source=1 << 40)
+    return out.select("id", F.col("sourceId").alias("source_id"), "title", "url", F.col("publishedAt").alias("published_at"), joined("sourceCategories").alias("rubrics"), "image", "description")
+
+
+@query
+def feed_fields(spark, sf_dir):
+    """Fields of items as feeds write them."""
+    i = views.feed_items(spark, sf_dir)
+    k = F.col("ord")
+    ts = F.col("publishedAt")
+    zone = F.concat(F.date_format(ts + F.expr("interval 3 hours"), "d MMM yyyy HH:mm:ss"), F.lit(" +0300"))
+    rfc = F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.when(k % 5 == 0, rfc).when(k % 5 == 1, zone).when(k % 5 == 2, "").when(k % 5 == 3, "yesterday")
+    node = lambda kind, medium, url: F.struct(F.lit(kind).cast("string").alias("type"), F.lit(medium).cast("string").alias("medium"), url.alias("url"))
+    picture = F.concat(F.lit("https://p.example/"), k.cast("string"))
+    media = F.array(
+        node("audio/mpeg", None, picture),
+        node(None, F.when(k % 2 == 0, "video").otherwise("image"), F.concat(picture, F.lit("/m"))),
+        node("image/png", None, F.when(k % 3 == 0, "ftp://x").otherwise(F.concat(picture, F.lit("/e")))),
+    )
+    bodies = [F.lit("<p>none</p><img src='data:x'>"), F.concat(F.lit('<p><IMG class="c" src="'), picture, F.lit('/b"></p>'))]
+    image = text.item_image(media, F.when(k % 12 == 0, F.concat(picture, F.lit("/i"))).otherwise("x"), bodies)
+    pieces = F.array(F.lit(" \u00a0"), F.concat(F.lit("\n"), "sourceId", F.lit(" ")), F.lit(None).cast("string"), F.col("lang"), F.lit("\ufeff b "))
+    return i.select("ord", text.join_fragments(pieces).alias("joined"), dates.published_at(date, iso, F.lit("soon")).alias("published_at"), image.alias("image"))
+
+
+@query
+def candle_requests(spark, sf_dir):
+    """SRC5, F40: addresses of the candles of each order's date."""
+    o = views.table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", *[exchange.candles_address(r, F.col("o_orderdate")).alias(r) for r in dates.RANGES])
+
+
+@query
+def snapshot_articles(spark, sf_dir):
+    """SRC8, SNK1: two versions of a store written, the newest read back, its articles looked up by id."""
+    store = SnapshotStore(spark, f"{views.landed(spark, spark.createDataFrame([('a', '')], 'source string, value string'), 'store')}/versions")
+    p = views.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("html").alias("contentHtml"), "page_id")
+    index = p.select("id", "page_id")
+    told = index.select("id").limit(1)
+    store.write(index, p.select("id", F.lit("old").alias("contentHtml")), told)
+    store.write(index.filter("page_id % 3 <> 0"), p.filter("page_id % 3 <> 0 and page_id % 4 <> 0").select("id", "contentHtml"), told)
+    found = store.read("items").select("id").join(store.read("articles").select("id", "contentHtml"), "id", "left")
+    one = store.article("1").select("id", F.lit(True).alias("looked_up"))
+    return found.join(one, "id", "left").select("id", F.md5("contentHtml").alias("html_md5"), F.coalesce("looked_up", F.lit(False)).alias("looked_up"))
 
 
 @query
@@ -672,15 +782,6 @@ def reader_pages(spark, sf_dir):
     return views.table(spark, sf_dir, "pages").select("page_id", F.md5(html.sanitized_for_reader("html")).alias("html_md5"))
 
 
-@query
-def article_texts(spark, sf_dir):
-    """F15, F14, F5, F12, F13."""
-    page = F.concat("html", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<meta property="og:image" content="/p'), F.col("page_id").cast("string"), F.lit('.png">'))).otherwise(""))
-    p = views.table(spark, sf_dir, "pages").withColumn("page", page).withColumn("a", html.article("page", "url"))
-    whole = text.full_text([F.lit(""), F.col("html")])
-    return p.select("page_id", F.length("a.text").alias("chars"), F.length("a.title").alias("title_chars"), "a.image", F.length(text.paragraphs_to_html("a.text")).alias("html_chars"), (whole != "").alias("long"))
-
-
 @query
 def redacted(spark, sf_dir):
     """documents in which a secret was blanked."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The mapping of sources used by queries and tests: source, key, ids. A key with / is a first path segment.
@@ -161,3 +161,99 @@ shares AS (
          turnover, CASE WHEN cap > 0 THEN cap ELSE turnover END AS weight,
          CASE WHEN cap > 0 THEN 'capitalisation' ELSE 'turnover' END AS basis, ord
   FROM md JOIN sec USING (secid) WHERE coalesce(last, prev) IS NOT NULL)"""
+
+
+# --- pages and feeds made of the driver's texts, so that what must be read from them is known ----
+
+#: Markup around a text's lines. {id} is the document's number.
+PAGE_HEAD = '<html><head><title>Page {id}</title><meta name="twitter:image" content="/t.png">'
+PAGE_PICTURE = '<meta property="og:image" content="/p/{id}.png">'
+PAGE_OPEN = '</head><body><script>var a = "<p>no</p>";</script><style>p{}</style><h1>Head</h1><div class="box">'
+PAGE_LINE = ('<p class="x" onclick="y()">', "</p>")
+PAGE_END = (
+    '<p><a href="https://l.example/{id}" title="t" rel="x" onclick="z">link</a> <a href="javascript:1">bad</a>'
+    '<img src="/i.png" alt="a" width="5"><span>in <b>bold</b></span></p></div></body></html>'
+)
+#: The last paragraph as it is stored, as a reader sees it, and its text.
+STORED_END = '<p><a href="https://l.example/{id}">link</a> <a href="javascript:1">bad</a><img src="/i.png" alt="a">in <b>bold</b></p>'
+SHOWN_END = (
+    '<p><a href="https://l.example/{id}" title="t" rel="noreferrer noopener" target="_blank">link</a> <a target="_blank" rel="noreferrer noopener">bad</a>'
+    '<img alt="a" referrerpolicy="no-referrer" loading="lazy">in <b>bold</b></p>'
+)
+END_TEXT = "link badin bold"
+BASE = "https://s.example/d/x"
+
+
+def with_number(markup: str, number: str) -> str:
+    """SQL of markup with a number in it."""
+    return "concat(" + ", ".join(f"'{p}'" for p in markup.replace("{id}", "\0{id}\0").split("\0")).replace("'{id}'", f"cast({number} as string)") + ")"
+
+
+def composed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text, page: every document as a page, a paragraph for each line; every third has structured data."""
+    from tidewire.functions.text import escape_html
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    number = lambda markup: F.expr(with_number(markup, "doc_id"))
+    data = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct(F.array(F.struct(F.col("text").alias("articleBody"))).alias("@graph"))), F.lit("</script>"))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit(PAGE_LINE[0]), escape_html(x), F.lit(PAGE_LINE[1])))
+    parts = [
+        number(PAGE_HEAD),
+        F.when(F.col("doc_id") % 2 == 0, number(PAGE_PICTURE)).otherwise(""),
+        F.when(F.col("doc_id") % 3 == 0, data).otherwise(""),
+        F.lit(PAGE_OPEN),
+        F.array_join(lines, ""),
+        number(PAGE_END),
+    ]
+    return docs.select("doc_id", "text", F.concat(*parts).alias("page"))
+
+
+def landed(spark: SparkSession, rows: DataFrame, name: str) -> str:
+    """Texts (value), a file for each, under source=NAME folders in a shared folder of the session; they go with the driver."""
+    import atexit
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/tidewire-{uuid.uuid4().hex}/{name}"
+
+    def remove() -> None:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may have ended
+            pass
+
+    atexit.register(remove)
+    rows.select("source", "value").write.partitionBy("source").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def feed_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Paths of landed RSS and Atom files: the feed's items as XML, those of an even number RSS, the others Atom."""
+    from tidewire.functions.text import escape_html
+
+    i = feed_items(spark, sf_dir)
+    clean = lambda c: escape_html(F.regexp_replace(F.col(c), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\r\\uFFFE\\uFFFF]", " "))
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name.split()[0]}>"))
+    stamp = F.concat(F.date_format("publishedAt", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    iso = F.date_format("publishedAt", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    head = F.substring("excerpt", 1, 200)
+    i = i.withColumn("head", head).withColumn("title", F.substring("title", 1, 100))
+    rss = F.concat(
+        tag("title", clean("title")), tag("link", clean("url")), tag("guid", F.col("id")), tag("pubDate", stamp),
+        tag("category", F.col("lang")), tag("category", F.col("lang")), tag("category", F.lit(" News ")), tag("description", clean("head")),
+        F.when(F.col("image") != "", F.concat(F.lit('<enclosure type="image/png" url="'), F.col("image"), F.lit('"/>'))).otherwise(""),
+    )
+    atom = F.concat(
+        tag("title", clean("title")), tag("id", F.lit("tag:x")), tag("updated", iso), F.lit('<link rel="alternate" href="'), clean("url"), F.lit('"/>'),
+        F.lit('<category term="'), F.col("lang"), F.lit('"/>'), tag("summary", clean("head")),
+        F.when(F.col("image") != "", F.concat(F.lit('<link rel="enclosure" href="'), F.col("image"), F.lit('"/>'))).otherwise(""),
+    )
+
+    def files(kind: int, body: Column, root: str) -> DataFrame:
+        """A file of a hundred numbers of a source."""
+        rows = i.filter(F.col("ord") % 2 == kind).select(F.col("sourceId").alias("source"), F.floor(F.col("ord") / 100).alias("part"), F.struct("ord", body.alias("body")).alias("row"))
+        by = rows.groupBy("source", "part").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+        return by.select("source", F.concat(F.lit(f"<{root}>"), F.array_join("rows.body", "\n"), F.lit(f"</{root}>")).alias("value"))
+
+    return landed(spark, files(0, tag("item", rss), "rss"), "rss"), landed(spark, files(1, tag("entry", atom), "feed"), "atom")

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from datetime import datetime
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.functions.dates import RANGES
+from tidewire.functions.dates import RANGES, candle_bounds
 
 #: Addresses of the exchange's tables.
 ISS = "https://iss.moex.com/iss"
@@ -48,6 +48,13 @@ def request(kind: str, contract: str | None = None, range_name: str = "day", now
     return PATHS[kind], dict(BOARD)
 
 
+def candles_address(range_name: str, now: Column) -> Column:
+    """The address of a candles request, made where the dates are."""
+    interval, start, till = candle_bounds(range_name, now)
+    head = iss_url(PATHS["candles"], {"iss.meta": "off", "interval": interval})
+    return F.concat(F.lit(f"{head}&from="), start, F.lit("&till="), till)
+
+
 def blocks(answers: DataFrame, block: str) -> DataFrame:
     """Rows of a block of JSON answers (a text column `json`): a map of column name to text, and ord.
 

@@ -56,8 +56,9 @@ def read_xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame
 
 
 def source_of(file: Column) -> Column:
-    """The source of a landed file: its name without the ending."""
-    return F.regexp_extract(file, r"([^/]+?)\.[A-Za-z]+$", 1)
+    """The source of a landed file: its folder's source=NAME, else its name without the ending."""
+    folder = F.regexp_extract(file, r"/source=([^/]+)/[^/]*$", 1)
+    return F.when(folder != "", folder).otherwise(F.regexp_extract(file, r"([^/]+?)\.[A-Za-z]+$", 1))
 
 
 def media_nodes(column: str) -> Column:
@@ -210,7 +211,7 @@ class PoliteSource(DataSource):
         return PoliteReader(self.options)
 
 
-def fetch_pages(pages: DataFrame, hosts_per_task: int = 1) -> DataFrame:
+def fetch_pages(pages: DataFrame) -> DataFrame:
     """Pages of a frame (url) fetched politely: rows of one host meet in one task and go in turn."""
     from tidewire.functions.text import host_of
 
