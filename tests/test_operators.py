@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidewire.functions import text
 from tidewire.operators import classify, company, feed, market, snapshot, stories, treemap
 from tidewire.plans import golden
 from tidewire.sources import exchange
@@ -266,6 +267,11 @@ def test_headlines(spark):
     assert [(r.title, r.got) for r in got] == [(r.title, r.want) for r in got]
 
 
+def test_secrets(spark):
+    rows = spark.createDataFrame(golden.SECRETS, "given string, want string").select("given", "want", text.redact("given").alias("got")).collect()
+    assert [(r.given, r.got) for r in rows] == [(r.given, r.want) for r in rows]
+
+
 def test_rubrics(spark):
     cases = [(i, s, r, u, "", "") for i, (s, r, u, _) in enumerate(golden.RUBRIC_CASES)]
     items = spark.createDataFrame(cases, "ord int, sourceId string, sourceCategories array<string>, url string, title string, excerpt string")

@@ -143,8 +143,8 @@ def tokens(x: Column | str) -> Column:
     """Stems of the words of a text; short words and stop words go before stemming, short stems after."""
     lowered = F.replace(F.lower(text_or_empty(x)), F.lit("ё"), F.lit("е"))
     words = F.split(lowered, "[^a-zа-я0-9]+")
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOPWORDS)])
-    kept = F.filter(words, lambda w: (F.length(w) >= MIN_TOKEN) & ~F.array_contains(stop, w))
+    stop = dict.fromkeys(STOPWORDS)  # a list of literals is looked up as a set
+    kept = F.filter(words, lambda w: (F.length(w) >= MIN_TOKEN) & ~w.isin(*stop))
     return F.filter(F.transform(kept, stem), lambda w: F.length(w) >= MIN_TOKEN)
 
 

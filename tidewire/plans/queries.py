@@ -784,6 +784,6 @@ def reader_pages(spark, sf_dir):
 
 @query
 def redacted(spark, sf_dir):
-    """documents in which a secret was blanked."""
-    d = views.table(spark, sf_dir, "documents").withColumn("clean", text.redact("text"))
-    return d.filter("clean <> text").select("doc_id", F.length("clean").alias("chars"))
+    """whole texts, a secret of some family or a near miss planted before each."""
+    d = views.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(text.redact(F.concat_ws(" ", by_place([given for given, _ in golden.SECRETS], "doc_id"), "text"))).alias("clean_md5"))
