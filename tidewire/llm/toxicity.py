@@ -203,8 +203,13 @@ def evidence(a: int, b: int, n1: int, n0: int) -> float:
     return float(out)
 
 
-def learn_lexicon(counts: list, n1: int, n0: int, w1: int, w0: int, least: float = 20.0) -> Lexicon:
-    """Entries with enough evidence (a G statistic of `least`), best first: terms that neither extend nor begin another.
+#: Terms that a lexicon has at most, beside whole words under its stems. A parameter of training: the terms with
+#: less evidence than so many others are mostly words that copies of a few toxic texts have by chance.
+TERMS = 120
+
+
+def learn_lexicon(counts: list, n1: int, n0: int, w1: int, w0: int, most: int = TERMS, least: float = 20.0) -> Lexicon:
+    """Entries with enough evidence (a G statistic of `least`), best first: at most `most` terms that neither extend nor begin another.
 
     Stems that do are left out, as they count the same words again. Whole words that do are entries
     too, with their own edits; those under a taken stem need no more than to be commoner in toxic
@@ -220,7 +225,7 @@ def learn_lexicon(counts: list, n1: int, n0: int, w1: int, w0: int, least: float
     scored.sort()
     roots: dict[str, bool] = {}
     for g, _, stem, term, _, _ in scored:
-        if -g >= least and not any(term.startswith(t) or t.startswith(term) for t in roots):
+        if -g >= least and len(roots) < most and not any(term.startswith(t) or t.startswith(term) for t in roots):
             roots[term] = bool(stem)
     entries, stems = [], {}
     for g, _, stem, term, ta, tb in scored:
@@ -360,8 +365,10 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Lexicon and forest from at most `most` labelled ids (half of each class at most), none held out.
+def train(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 8000, id_col: str = "doc_id", text_col: str = "text", terms: int = TERMS
+) -> ToxicityModel:
+    """Lexicon (of `terms` terms at most) and forest from at most `most` labelled ids (half of each class at most), none held out.
 
     The forest's rows are weighted by the share of their class that was taken, so that a score means
     the same whether or not the sample was cut.
@@ -384,17 +391,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         arrays = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), *(pa.array(c, pa.int64()) for c in cols[2:])]
         return pa.RecordBatch.from_arrays(arrays, names=["term", "stem", "a", "b", "ta", "tb"])
 
-    terms = map_batches(sample, count, "term string, stem boolean, a long, b long, ta long, tb long").groupBy("term", "stem").agg(
+    counted = map_batches(sample, count, "term string, stem boolean, a long, b long, ta long, tb long").groupBy("term", "stem").agg(
         *(F.sum(c).alias(c) for c in ("a", "b", "ta", "tb"))
     )
     # Terms that are commoner among toxic documents, and the totals under the empty term.
-    kept = terms.filter("term = '' or a >= 4").orderBy(
+    kept = counted.filter("term = '' or a >= 4").orderBy(
         (F.col("term") == "").desc(), (F.col("a") / (F.col("b") + 2) * F.sqrt("a")).desc(), "term", "stem"
     )
     rows = [tuple(r) for r in kept.limit(4001).collect()]
     if not rows or rows[0][0] != "":
         return ToxicityModel(Lexicon([]), train_forest(np.empty((0, len(FEATURES))), np.empty(0), list(FEATURES.values())))
-    lexicon = learn_lexicon(rows[1:], *rows[0][2:])
+    lexicon = learn_lexicon(rows[1:], *rows[0][2:], most=terms)
     model = ToxicityModel(lexicon, None)
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
