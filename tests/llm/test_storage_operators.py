@@ -103,7 +103,8 @@ FAMILIES = {
 def check_bins(p, bins):
     n = len(p.sizes)
     assert sorted(i for b in bins for i in b) == list(range(n))
-    assert max(map(p.fill, bins), default=0) <= p.capacity and p.bound <= len(bins)
+    fills = [sum(p.sizes[i] for i in b) for b in bins]
+    assert fills == [b.fill for b in bins] and max(fills, default=0) <= p.capacity and p.bound <= len(bins)
     again = packing.as_bins(packing.as_bytes(bins, n))
     assert sorted(map(sorted, again)) == sorted(map(sorted, bins))
 

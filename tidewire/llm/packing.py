@@ -20,8 +20,9 @@ import json
 import random
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -157,18 +158,29 @@ def token_pieces(
     )
 
 
-Bins = list[list[int]]
+class Bin(list):
+    """Items of a bin with the sum of their sizes."""
+
+    __slots__ = ("fill",)
+
+    def __init__(self, items: Iterable[int], fill: int):
+        super().__init__(items)
+        self.fill = fill
+
+
+Bins = list[Bin]
+fill_of = attrgetter("fill")
 
 
 class Packer:
-    """A grouping genetic algorithm for one shard: items by number, bins as lists of items."""
+    """A grouping genetic algorithm for one shard: items by number."""
 
     def __init__(self, sizes: list[int], capacity: int, seed: int):
         self.sizes, self.capacity, self.random = sizes, capacity, random.Random(seed)
         self.bound = -(-sum(sizes) // capacity)
 
-    def fill(self, b: list[int]) -> int:
-        return sum(map(self.sizes.__getitem__, b))
+    def known(self, bins: list[list[int]]) -> Bins:
+        return [Bin(b, sum(map(self.sizes.__getitem__, b))) for b in bins]
 
     def best_fit(self, items: list[int], bins: Bins) -> Bins:
         """Bins with the items added, in the order given: each into the bin with the least room that holds it."""
@@ -176,7 +188,7 @@ class Packer:
         by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
         mask = 0
         for i, b in enumerate(bins):
-            room = capacity - self.fill(b)
+            room = capacity - b.fill
             if room:
                 by_room[room].append(i)
                 mask |= 1 << room
@@ -189,14 +201,14 @@ class Packer:
                 at = by_room[room].pop()
                 if not by_room[room]:
                     mask &= ~(1 << room)
-                if at in own:
-                    bins[at].append(item)
-                else:  # bins are shared between chromosomes
-                    bins[at] = [*bins[at], item]
+                if at not in own:  # bins are shared between chromosomes
+                    bins[at] = Bin(bins[at], bins[at].fill)
                     own.add(at)
+                bins[at].append(item)
+                bins[at].fill += size
             else:
                 room, at = capacity, len(bins)
-                bins.append([item])
+                bins.append(Bin((item,), size))
                 own.add(at)
             left = room - size
             if left:
@@ -211,14 +223,14 @@ class Packer:
 
     def cost(self, bins: Bins) -> tuple[int, float]:
         """Fewer bins first, then bins filled more unevenly: room gathered in few bins can be emptied."""
-        return len(bins), -sum(self.fill(b) ** 2 for b in bins) / self.capacity**2
+        return len(bins), -sum(f * f for f in map(fill_of, bins)) / self.capacity**2
 
     def cross(self, one: Bins, two: Bins) -> Bins:
         """Whole bins of one go into two, fuller ones likelier; two's bins that hold their pieces are dissolved."""
         take = self.random.randint(1, max(1, len(one) // 3))
         # The least of random numbers weighted by room: a full bin is drawn before one with much room.
         scale = self.capacity / 16
-        drawn = sorted(range(len(one)), key=lambda i: self.random.random() * (1 + (self.capacity - self.fill(one[i])) / scale))
+        drawn = sorted(range(len(one)), key=lambda i: self.random.random() * (1 + (self.capacity - one[i].fill) / scale))
         injected = [one[i] for i in drawn[:take]]
         taken = {i for b in injected for i in b}
         kept, displaced = list(injected), []
@@ -231,7 +243,7 @@ class Packer:
 
     def mutate(self, bins: Bins) -> Bins:
         """The worst-filled bins and a few others are dissolved."""
-        order = sorted(range(len(bins)), key=lambda i: self.fill(bins[i]))
+        order = sorted(range(len(bins)), key=lambda i: bins[i].fill)
         gone = {*order[: self.random.randint(1, 3)], *self.random.sample(range(len(bins)), min(len(bins), self.random.randint(2, 6)))}
         kept = [b for i, b in enumerate(bins) if i not in gone]
         return self.placed(kept, [i for g in gone for i in bins[g]])
@@ -241,10 +253,12 @@ class Packer:
         bins = list(kept)
         free = sorted(displaced, key=self.sizes.__getitem__)
         lengths = [self.sizes[i] for i in free]
-        for at in self.random.sample(range(len(bins)), len(bins)):
-            room = self.capacity - self.fill(bins[at])
-            if not room or not free:
-                continue
+        unfilled = [i for i, b in enumerate(bins) if b.fill < self.capacity]
+        self.random.shuffle(unfilled)
+        for at in unfilled:
+            if not free:
+                break
+            room = self.capacity - bins[at].fill
             b = bins[at]
             small = b if len(b) <= 12 else self.random.sample(b, 12)
             groups = [(self.sizes[i], (i,)) for i in small]
@@ -259,7 +273,7 @@ class Packer:
                         break
             if change:
                 k, out = change
-                bins[at] = [*(i for i in b if i not in out), free[k]]
+                bins[at] = Bin((*(i for i in b if i not in out), free[k]), b.fill + best)
                 del free[k], lengths[k]
                 for i in out:
                     k = bisect_right(lengths, self.sizes[i])
@@ -267,10 +281,10 @@ class Packer:
                     lengths.insert(k, self.sizes[i])
         return self.best_fit(self.falling(free, 0.1), bins)
 
-    def evolve(self, elites: list[Bins], generations: int, population: int) -> Bins:
+    def evolve(self, elites: list[list[list[int]]], generations: int, population: int) -> Bins:
         """The best bins found; the population starts with best fit of falling sizes, also of noisy ones."""
         everything = list(range(len(self.sizes)))
-        people = [*elites, self.best_fit(self.falling(everything), [])]
+        people = [*map(self.known, elites), self.best_fit(self.falling(everything), [])]
         while len(people) < population and min(map(len, people)) > self.bound:
             people.append(self.best_fit(self.falling(everything, 0.3), []))
         people = sorted(((self.cost(b), b) for b in people), key=lambda p: p[0])
@@ -285,9 +299,9 @@ class Packer:
         return people[0][1]
 
 
-def as_bins(assignment: bytes) -> Bins:
+def as_bins(assignment: bytes) -> list[list[int]]:
     a = np.frombuffer(assignment, "<i4")
-    out: Bins = [[] for _ in range(int(a.max()) + 1)] if len(a) else []
+    out: list[list[int]] = [[] for _ in range(int(a.max()) + 1)] if len(a) else []
     for i, b in enumerate(a.tolist()):
         out[b].append(i)
     return out
@@ -392,11 +406,13 @@ def pack(
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A bin with at most `slack` free tokens is final; in every round but the last, pieces of other
-    bins are dealt anew. sequence_id is made of round, shard and bin.
+    A piece as long as a sequence is one by itself and needs no search. A bin with at most `slack` free
+    tokens is final; in every round but the last, pieces of other bins are dealt anew. sequence_id is
+    made of round, shard and bin.
     """
     pieces = stored(token_pieces(docs, json_path, ranks_path, capacity, end_id, id_col, text_col), "pieces", files_for(docs.count()))
-    items, placed = pieces.select("row", F.col("length").cast("int").alias("length")), None
+    whole, shorter = pieces.filter(F.col("length") == capacity), pieces.filter(F.col("length") < capacity)
+    items, placed = shorter.select("row", F.col("length").cast("int").alias("length")), None
     for nth in range(rounds):
         packed = pack_round(items, nth, capacity, shard_items, islands, epochs, generations, population)
         last = nth == rounds - 1
@@ -410,6 +426,6 @@ def pack(
         items = checkpointed(items.join(left, "row"), files_for(left.count()))
         if items.isEmpty():
             break
-    return pieces.join(placed, "row").select(
-        F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
-    )
+    alone = whole.withColumns({"sequence_id": F.lit(rounds << 60) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    columns = [F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    return shorter.join(placed, "row").select(*columns).unionByName(alone.select(*columns))
