@@ -153,6 +153,16 @@ def test_near_when_centres_do_badly(spark, monkeypatch):
     check_near(spark, near_corpus(4, 120))
 
 
+def test_near_with_long_lists(spark, monkeypatch):
+    """Many documents that share a rare passage and do not link, in blocks of four rows."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(40)]
+    docs = {i: " ".join(passage[: rng.randint(36, 40)] + [f"q{rng.randrange(12)}" for _ in range(rng.randint(6, 12))]) for i in range(60)}
+    check_near(spark, docs)
+    check_near(spark, near_corpus(8, 80))
+
+
 def test_near_corner_cases(spark):
     assert jaccard_join.component_ids(frame(spark, [])).count() == 0
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "A b c d e f"), (None, None), (6, "x"), (7, "x"), (8, "x y"), (9, "wörd " * 50), (10, "wörd " * 60)]
@@ -248,6 +258,20 @@ def test_repeats_corner_cases(spark):
         substring_dedup.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
+def test_very_long_texts(spark):
+    """Texts of 60 000 words: a near copy, a copy of a long part, and others."""
+    words = [f"long{i}" for i in range(60_000)]
+    near = [w if i % 900 else f"x{i}" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:30_000])), (4, "long1 long2"), (5, " ".join(["same"] * 50_000))]
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.component_ids(frame(spark, rows)).collect()}
+    assert out == {1: (59_996, 1), 2: (59_996, 1), 3: (29_996, 3), 4: (1, 4), 5: (1, 5)}
+    gone = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()}
+    # Between two changed words of the near copy stand 899 words that are all in the first text.
+    assert gone == {1: 0, 2: 60_000 - 67, 3: 30_000, 4: 0, 5: 49_999}
+    kept = {r.doc_id: r.kept for r in exact_dedup.content_groups(frame(spark, [*rows, (6, rows[0][1])]), keep="largest").collect()}
+    assert kept == {1: False, 2: True, 3: True, 4: True, 5: True, 6: True}
+
+
 def test_registered(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     near = QUERIES["op8_jaccard_join"](spark, SF).collect()

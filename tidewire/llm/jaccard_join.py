@@ -15,7 +15,7 @@ A document is the set of its distinct five-word shingles; two link at a Jaccard
    unshared shingles are the centres, and varying ones in further rounds if these do badly. The
    links found join components, and lists inside one component drop out. At last all pairs of
    different components that still share a list are checked, after a bound on sizes and
-   positions. Every check counts the exact intersection.
+   positions; long lists are cut into blocks for that. Every check counts the exact intersection.
 
 Links inside a component that are not needed to connect it are not all enumerated: the result is
 each document's component, and no link between different components is lost.
@@ -281,11 +281,32 @@ def star_pairs(lists: DataFrame, nth: int) -> DataFrame:
     return best.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
 
 
+#: Rows of a list that one task holds against as many: longer lists are cut into blocks.
+BLOCK = 2000
+
+
+def in_blocks(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of lists on both sides of a join on key, i, j: a pair of blocks of a long list is a key of its own.
+
+    Every row of a list of b blocks stands once on each side for each of them, so that each pair of rows
+    meets once, and no task gets more than a block against a block.
+    """
+    long = lists.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > BLOCK)
+    long = checkpointed(long.select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")))
+    if long.isEmpty():
+        whole = lists.withColumns({"i": F.lit(0), "j": F.lit(0)})
+        return whole, whole
+    rows = lists.join(long, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return rows.select(*lists.columns, F.col("own").alias("i"), every.alias("j")), rows.select(*lists.columns, every.alias("i"), F.col("own").alias("j"))
+
+
 def cross_pairs(lists: DataFrame, checked: DataFrame) -> DataFrame:
     """Unchecked pairs of nodes of different components that share a list and pass the bounds: a, b with a < b."""
-    x = lists.select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "place", "small", "root")))
-    y = lists.select("key", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "place", "small", "root")))
-    pairs = x.join(y, "key").filter("x_node < y_node and x_root <> y_root").filter(may_link("x_", "y_"))
+    left, right = in_blocks(lists)
+    side = lambda rows, name: rows.select("key", "i", "j", *(F.col(c).alias(f"{name}_{c}") for c in ("node", "n", "place", "small", "root")))
+    pairs = side(left, "x").join(side(right, "y"), ["key", "i", "j"]).filter("x_node < y_node and x_root <> y_root").filter(may_link("x_", "y_"))
     return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
 
 
