@@ -142,6 +142,21 @@ def test_pictures_and_bodies():
     assert html.extract_article(habr, "https://habr.com/ru/1")[0] == '<pre class="x"><code>c</code></pre>'
 
 
+def test_articles_without_paragraphs():
+    """Lines that stand in a div alone, beside a menu, comments and a footer."""
+    menu = "<nav><ul>" + "".join(f'<li><a href="/{i}">Section {i} of this site</a></li>' for i in range(9)) + "</ul></nav>"
+    rest = '<div class="talk"><p>I agree with all of it</p><p>So do I, and more</p></div><footer><p>Rights. <a href="/a">About this site of ours</a></p></footer>'
+    lines = "The harbour froze <b>early</b> this year.<br>Boats stay <a href='/x'>ashore</a> until the thaw, says its master, who has seen worse."
+    for body in (f"<div>{lines}</div>", f"<article><section>{lines}<p>A last word of it.</p></section></article>", f"<table><tr><td>{lines}</td></tr></table>"):
+        _, found, _, _ = html.extract_article(f"<html><body>{menu}<main><h1>t</h1>{body}{rest}</main></body></html>", "https://e.x")
+        assert found.startswith("The harbour froze early") and "agree" not in found and "Section" not in found
+
+
+def test_display_date(spark):
+    ts = lambda x: F.lit(x).cast("timestamp")
+    assert one(spark, dates.display_date(ts("2026-09-09 15:04:05")), dates.display_date(ts("2026-05-31 00:00")), dates.display_date(ts(None))) == ("9 сент. 2026 г., 15:04", "31 мая 2026 г., 00:00", "")
+
+
 def test_markers(spark):
     got = one(spark, text.page_markers(F.lit('<script type="application/ld+json"></script><article>Just a moment')), text.page_markers(F.lit("plain")))
     assert got == (["ld+json", "<article>", "challenge"], [])
