@@ -138,6 +138,32 @@ def test_last_good(spark):
     assert empty.get().count() == 9
 
 
+def test_refresh_log_equals_the_walk(spark):
+    import random
+
+    rng = random.Random(3)
+    log, want = [], {}
+    for board in range(5):
+        at, answers = 0, []
+        for k in range(40):
+            at += rng.choice([20, 59, 60, 61, 200, 299, 300, 400])
+            answers.append((at, f"l{k}" if rng.random() < 0.3 else None, f"f{k}" if rng.random() < 0.5 else None))
+        log += [(board, datetime.fromtimestamp(t), v, f) for t, v, f in answers]
+        frame = lambda v: None if v is None else spark.createDataFrame([(v,)], "v string")
+        clock, now = [0], [None, None]
+        shown = live.LastGood(lambda: frame(now[0]), lambda: clock[0], lambda: frame(now[1]))  # noqa: B023
+        for (t, v, f), following in zip(answers[:6], answers[1:7], strict=True):
+            clock[0], now[:] = t, (v, f)
+            shown.at = float("-inf")  # every row of the log is a refresh that was made
+            board_now = shown.get()
+            clock[0] = following[0]
+            want[board, t] = (None if board_now is None else board_now.first().v, v is not None, not shown.fresh())
+    out = live.refresh_log(spark.createDataFrame(log, "board int, at timestamp, live_version string, file_version string"))
+    got = {(r.board, int(r.at.timestamp())): (r.shown, r.live, r.due) for r in out.collect()}
+    for key, (version, ok, due) in want.items():
+        assert got[key][:2] == (version, ok) and (version is None or got[key][2] == due), key
+
+
 def test_polite_source_is_registered(spark):
     spark.dataSource.register(feeds.PoliteSource)
     assert spark.read.format("polite_http").load().count() == 0

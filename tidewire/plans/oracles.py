@@ -418,6 +418,15 @@ ORACLES["breaker"] = """WITH a AS (SELECT (user_id % 40)::VARCHAR AS host, event
 s AS (SELECT *, sum(bad) OVER (PARTITION BY host ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) = 5 AS streak FROM a)
 SELECT host, event_id::VARCHAR AS url, NOT coalesce(bool_or(streak) OVER (PARTITION BY host ORDER BY event_id ROWS UNBOUNDED PRECEDING), FALSE) AS asked FROM s"""
 
+ORACLES["boards_shown"] = """WITH r AS (
+  SELECT user_id % 40 AS board, 1700000000 + event_id * 7 AS moment, CASE WHEN (event_id * 5 + user_id) % 9 = 0 THEN 'live' || event_id END AS v, CASE WHEN event_id % 3 = 0 THEN 'file' || event_id END AS f FROM events)
+SELECT board, moment AS "at", coalesce(last_value(v IGNORE NULLS) OVER w, first_value(f IGNORE NULLS) OVER w) AS shown, v IS NOT NULL AS live,
+       lead(moment) OVER (PARTITION BY board ORDER BY moment) - moment >= CASE WHEN v IS NULL THEN 60 ELSE 300 END AS due
+FROM r WINDOW w AS (PARTITION BY board ORDER BY moment ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+ORACLES["refreshed_store"] = f"""WITH {CLASSIFIED}, firsts AS (SELECT url, min(ord) AS ord FROM feed GROUP BY url)
+SELECT c.url, c.id, 2::INT AS versions, TRUE AS unchanged FROM classified c JOIN firsts f ON f.url = c.url AND f.ord = c.ord
+WHERE len(sections) > 0 AND published_at >= (SELECT max(published_at) FROM feed) - INTERVAL {KEEP_DAYS} DAY ORDER BY published_at DESC, c.ord LIMIT {KEEP_ITEMS}"""
+
 # --- terms ----------------------------------------------------------------------------------
 
 COUNTS = f"""counts AS (

@@ -116,10 +116,10 @@ def landed(x: str) -> str:
 
 
 PAGE_ORACLES["landed_feeds"] = f"""WITH {FEED}
-SELECT substr(sha1(url), 1, 16) AS id, source_id, {landed("substr(title, 1, 100)")} AS title, url, date_trunc('second', published_at) AS published_at, CASE WHEN ord % 2 = 0 THEN lang || ',News' ELSE lang END AS rubrics, image,
+SELECT substr(sha1(url), 1, 16) AS id, source_id, {landed("substr(title, 1, 100)")} AS title, url, strftime(published_at, '%Y-%m-%dT%H:%M:%S.000Z') AS published_at, CASE WHEN ord % 2 = 0 THEN lang || ',News' ELSE lang END AS rubrics, image,
        {landed("substr(excerpt, 1, 200)")} AS description FROM feed"""
 PAGE_ORACLES["feed_fields"] = f"""WITH {FEED}, p AS (SELECT *, 'https://p.example/' || ord AS pic FROM feed)
-SELECT ord, source_id || lang || 'b' AS joined, CASE WHEN ord % 5 <> 3 THEN date_trunc('second', published_at) END AS published_at,
+SELECT ord, source_id || lang || 'b' AS joined, CASE WHEN ord % 5 <> 3 THEN strftime(published_at, '%Y-%m-%dT%H:%M:%S.000Z') END AS published_at,
        CASE WHEN ord % 2 = 1 THEN pic || '/m' WHEN ord % 3 <> 0 THEN pic || '/e' WHEN ord % 12 = 0 THEN pic || '/i' ELSE pic || '/b' END AS image FROM p"""
 
 ADDRESS = "https://iss.moex.com/iss/engines/stock/markets/index/boards/SNDX/securities/IMOEX/candles.json?iss.meta=off"

@@ -380,6 +380,35 @@ def breaker(spark, sf_dir):
     return live.breaker_fold(a)
 
 
+@query
+def boards_shown(spark, sf_dir):
+    """P16, SRC7, SRC9, ST8: what forty boards show after each refresh, and when they are asked for again."""
+    e = views.table(spark, sf_dir, "events")
+    k, name = F.col("event_id"), lambda kind: F.concat(F.lit(kind), F.col("event_id").cast("string"))
+    log = e.select(
+        (F.col("user_id") % 40).alias("board"), F.timestamp_seconds(F.lit(1_700_000_000) + k * 7).alias("at"),
+        F.when((k * 5 + F.col("user_id")) % 9 == 0, name("live")).alias("live_version"), F.when(k % 3 == 0, name("file")).alias("file_version"),
+    )
+    out = live.refresh_log(log)
+    return out.select("board", F.unix_seconds("at").alias("at"), "shown", "live", "due")
+
+
+@query
+def refreshed_store(spark, sf_dir):
+    """ST1, ST9, ST10: a stream of two landed batches merged into a store, one batch a run, and read back."""
+    fresh, old = two_snapshots(spark, sf_dir)
+    columns = ["id", "sourceId", "sourceName", "title", "url", "publishedAt", "sourceCategories", "image", "excerpt", "contentHtml", "contentTruncated", "contentTries", "ord"]
+    landed, store = views.scratch(spark, "in"), SnapshotStore(spark, views.scratch(spark, "store"))
+    for batch in (old.withColumn("contentHtml", F.coalesce("contentHtml", F.lit(""))), fresh):
+        batch.select(*columns).coalesce(1).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(spark.read.parquet(landed).schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    now = now_of(views.feed_items(spark, sf_dir))
+    assert live.single_query(spark, "refresh")
+    live.start_refresh(stream, store, classify.source_maps(*views.mapping(spark)), views.scratch(spark, "log"), lambda: now, seconds=None).awaitTermination()
+    seen = store.versions()
+    return store.read("items").select("url", "id", F.lit(len(seen)).alias("versions"), F.lit(live.unchanged(store, seen[-1])).alias("unchanged"))
+
+
 @query
 def retry_counts(spark, sf_dir):
     """ST5."""
@@ -722,7 +751,7 @@ def landed_feeds(spark, sf_dir):
     """SRC1, U2: the feed as RSS and Atom files, read back and put together."""
     rss, atom = views.feed_files(spark, sf_dir)
     out = feeds.feed_items(spark, rss, atom, per_source=1 << 40)
-    return out.select("id", F.col("sourceId").alias("source_id"), "title", "url", F.col("publishedAt").alias("published_at"), joined("sourceCategories").alias("rubrics"), "image", "description")
+    return out.select("id", F.col("sourceId").alias("source_id"), "title", "url", dates.iso(F.col("publishedAt")).alias("published_at"), joined("sourceCategories").alias("rubrics"), "image", "description")
 
 
 @query
@@ -745,7 +774,7 @@ def feed_fields(spark, sf_dir):
     bodies = [F.lit("<p>none</p><img src='data:x'>"), F.concat(F.lit('<p><IMG class="c" src="'), picture, F.lit('/b"></p>'))]
     image = text.item_image(media, F.when(k % 12 == 0, F.concat(picture, F.lit("/i"))).otherwise("x"), bodies)
     pieces = F.array(F.lit(" \u00a0"), F.concat(F.lit("\n"), "sourceId", F.lit(" ")), F.lit(None).cast("string"), F.col("lang"), F.lit("\ufeff b "))
-    return i.select("ord", text.join_fragments(pieces).alias("joined"), dates.published_at(date, iso, F.lit("soon")).alias("published_at"), image.alias("image"))
+    return i.select("ord", text.join_fragments(pieces).alias("joined"), dates.iso(dates.published_at(date, iso, F.lit("soon"))).alias("published_at"), image.alias("image"))
 
 
 @query
@@ -758,7 +787,7 @@ def candle_requests(spark, sf_dir):
 @query
 def snapshot_articles(spark, sf_dir):
     """SRC8, SNK1: two versions of a store written, the newest read back, its articles looked up by id."""
-    store = SnapshotStore(spark, f"{views.landed(spark, spark.createDataFrame([('a', '')], 'source string, value string'), 'store')}/versions")
+    store = SnapshotStore(spark, views.scratch(spark, "store"))
     p = views.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("html").alias("contentHtml"), "page_id")
     index = p.select("id", "page_id")
     told = index.select("id").limit(1)

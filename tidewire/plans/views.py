@@ -208,8 +208,8 @@ def composed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", F.concat(*parts).alias("page"))
 
 
-def landed(spark: SparkSession, rows: DataFrame, name: str) -> str:
-    """Texts (value), a file for each, under source=NAME folders in a shared folder of the session; they go with the driver."""
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in one that the session shares; it goes with the driver."""
     import atexit
     import uuid
 
@@ -224,6 +224,12 @@ def landed(spark: SparkSession, rows: DataFrame, name: str) -> str:
             pass
 
     atexit.register(remove)
+    return path
+
+
+def landed(spark: SparkSession, rows: DataFrame, name: str) -> str:
+    """Texts (value), a file for each, under source=NAME folders."""
+    path = scratch(spark, name)
     rows.select("source", "value").write.partitionBy("source").option("maxRecordsPerFile", 1).text(path)
     return path
 

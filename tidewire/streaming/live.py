@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -138,6 +138,24 @@ class LastGood:
         return self.board
 
 
+def fresh_until(at: Column, live: Column) -> Column:
+    """Until when a board that was refreshed, or could not be, is not asked for again."""
+    return at + F.when(live, F.expr(f"interval {BOARD_SECONDS} seconds")).otherwise(F.expr(f"interval {BOARD_RETRY_SECONDS} seconds"))
+
+
+def refresh_log(refreshes: DataFrame) -> DataFrame:
+    """board, at, shown, live, due of a log of refreshes (board, at, live_version, file_version; null where an answer failed).
+
+    A live answer is shown; a failed one keeps what is shown, and the committed file fills an empty board only.
+    due says whether the board's next refresh came after this one had gone stale. Windows run per board.
+    """
+    by_time = Window.partitionBy("board").orderBy("at")
+    before = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shown = F.coalesce(F.last("live_version", True).over(before), F.first("file_version", True).over(before))
+    live = F.col("live_version").isNotNull()
+    return refreshes.select("board", "at", shown.alias("shown"), live.alias("live"), (F.lead("at").over(by_time) >= fresh_until(F.col("at"), live)).alias("due"))
+
+
 def unchanged(store: SnapshotStore, seen: int | None) -> bool:
     """Whether a reader that saw a version has nothing new to load."""
     found = store.versions()
