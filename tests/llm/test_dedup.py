@@ -105,6 +105,31 @@ def test_components(spark):
     assert got == want
 
 
+def test_hot_keys_can_be_split(spark):
+    """A join to sums of one's own key shuffles both sides, which the engine needs to split a hot key."""
+    from tidewire.llm.common import apart
+
+    wanted = {
+        "autoBroadcastJoinThreshold": "-1",
+        "adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "adaptive.advisoryPartitionSizeInBytes": "20k",
+    }
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        rows = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
+        for groups, split in ((lambda g: g, False), (apart, True)):
+            joined = rows.join(groups(rows.groupBy("k").agg(F.min("id").alias("least"))), "k")
+            assert joined.filter("k = 7 and least = 0").count() == 66_668
+            joined.collect()
+            assert ("skew=true" in joined._jdf.queryExecution().executedPlan().toString()) == split
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+
+
 # --- near copies ----------------------------------------------------------------------------
 
 

@@ -130,6 +130,15 @@ def cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def apart(groups: DataFrame) -> DataFrame:
+    """Aggregated rows, dealt anew before they are joined to what they were made of.
+
+    As they come out of the aggregation they stand by their key already, and a join on it would take all
+    rows of a hot key in one task. With a shuffle of its own on each side the engine can split such a key.
+    """
+    return groups.hint("rebalance")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch brings to a Python worker; long texts make rows large."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

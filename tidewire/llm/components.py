@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import checkpointed, files_for
+from tidewire.llm.common import apart, checkpointed, files_for
 
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of each node go to the smallest of its neighbours and itself."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = apart(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     out = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return out.filter("a <> b").distinct()
 
@@ -23,7 +23,7 @@ def large_star(edges: DataFrame) -> DataFrame:
 def small_star(edges: DataFrame) -> DataFrame:
     """Smaller neighbours of each node, and the node, go to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = apart(down.groupBy("a").agg(F.min("b").alias("m")))
     out = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return out.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 

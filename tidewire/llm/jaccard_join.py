@@ -37,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import checkpointed, files_for, free_names, map_batches, rolling, small_batches, stored, word_hashes
+from tidewire.llm.common import apart, checkpointed, files_for, free_names, map_batches, rolling, small_batches, stored, word_hashes
 from tidewire.llm.components import components
 from tidewire.llm.exchange import (
     ANSWERS,
@@ -259,23 +259,26 @@ def may_link(a: str, b: str) -> str:
 
 
 def with_roots(posts: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Postings of lists that hold two components or more, with the root of each row."""
-    placed = posts.withColumn("root", F.col("node")) if roots is None else (
-        posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    )
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    return placed.join(mixed, "key", "left_semi")
+    """Postings with the root of each row."""
+    if roots is None:
+        return posts.withColumn("root", F.col("node"))
+    return posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def mixed(placed: DataFrame, *facts: Column) -> DataFrame:
+    """key and facts of the lists that hold two components or more; a long list is summed up in every task first."""
+    return apart(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *facts).filter("lo < hi").drop("lo", "hi"))
 
 
-def star_pairs(lists: DataFrame, nth: int) -> DataFrame:
+def star_pairs(placed: DataFrame, nth: int) -> DataFrame:
     """For each node the centre of another component that most of its lists share: a, b.
 
     Centres are the least loose sets at first, then ones that vary with the round.
     """
     order = (F.col("loose"), F.col("node")) if nth == 0 else (F.xxhash64("node", F.lit(nth)), F.col("node"))
-    centre = lists.groupBy("key").agg(F.min_by(F.struct("node", "n", "place", "small", "root"), F.struct("small", *order)).alias("c"))
+    centre = mixed(placed, F.min_by(F.struct("node", "n", "place", "small", "root"), F.struct("small", *order)).alias("c"))
     centre = centre.select("key", *(F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "n", "place", "small", "root")))
-    near = lists.join(centre, "key").filter("root <> c_root").filter(may_link("", "c_"))
+    near = placed.join(centre, "key").filter("root <> c_root").filter(may_link("", "c_"))
     shared = near.groupBy("node", "c_node").agg(F.count(F.lit(1)).alias("lists"))
     best = shared.groupBy("node").agg(F.max_by("c_node", F.struct("lists", F.negative("c_node"))).alias("c_node"))
     return best.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
@@ -350,7 +353,8 @@ def link_classes(sets: DataFrame, buckets: int, files: int, n_shingles: int) ->
         roots, found = merged(roots, checkpointed(linked(pairs, sets), files))
         if found >= GOOD_CENTRES * pairs.count():
             break
-    lists = checkpointed(with_roots(posts, roots), parts_for(POSTING_BYTES * posts.count()))
+    placed = with_roots(posts, roots)
+    lists = checkpointed(placed.join(mixed(placed), "key", "left_semi"), parts_for(POSTING_BYTES * posts.count()))
     seen = checked[0]
     for pairs in checked[1:]:
         seen = seen.unionByName(pairs)
@@ -413,7 +417,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     else:
         named = named.withColumn("root", F.col("node"))
-    firsts = named.groupBy("root").agg(F.min("first").alias("first"))
+    firsts = apart(named.groupBy("root").agg(F.min("first").alias("first")))
     of_sig = named.select("sig", "root").join(firsts, "root").select("sig", "first")
     of_doc = sets.select(*KEY, "sig").distinct().join(of_sig, "sig").select(*KEY, "first")
     own = F.struct("id0", "nul", "th")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import map_batches, stored
+from tidewire.llm.common import apart, map_batches, stored
 
 #: Slots of the trigram tables; weight of a trigram (neighbours overlap); smoothing constants.
 SLOTS = 1 << 15
@@ -182,7 +182,7 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     )
 
     def sums(by: str) -> DataFrame:
-        return seen.groupBy(by).agg(F.array(*[F.sum(F.col("p")[i]) for i in range(k)]).alias(f"by_{by}"), (F.count(F.lit(1)) - 1).alias(f"others_{by}"))
+        return apart(seen.groupBy(by).agg(F.array(*[F.sum(F.col("p")[i]) for i in range(k)]).alias(f"by_{by}"), (F.count(F.lit(1)) - 1).alias(f"others_{by}")))
 
     # Totals over all pages: k numbers, and how many distinct declarations and suffixes there are.
     first = seen.agg(
