@@ -58,6 +58,34 @@ def test_query(spark, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLES) == {"clean_pages", "reader_pages"}
+
+
+def test_raw_pages_hold_only_what_is_allowed(spark):
+    """What SQL cannot follow: tags and attributes of cleaned raw pages, read by the standard parser."""
+    from html.parser import HTMLParser
+
+    from tidewire.functions import html
+
+    class Seen(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.tags, self.attributes = set(), []
+
+        def handle_starttag(self, tag, attrs):
+            self.tags.add(tag)
+            self.attributes += [(tag, *a) for a in attrs]
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("html", html.sanitized("html").html.alias("stored"), html.sanitized_for_reader("html").alias("shown")).collect()
+    allowed = set("p br b strong i em a img ul ol li h2 h3 blockquote figure figcaption pre code kbd".split())
+    for r in pages:
+        stored, shown = Seen(), Seen()
+        stored.feed(r.stored), shown.feed(r.shown)
+        assert stored.tags <= allowed and shown.tags <= allowed
+        assert {(t, a) for t, a, _ in stored.attributes} <= {("a", "href"), ("img", "src"), ("img", "alt"), ("code", "class"), ("pre", "class"), ("kbd", "class")}
+        assert all(not a.startswith("on") and a != "style" and (a not in ("href", "src") or v.lower().startswith("http")) for _, a, v in shown.attributes)
+        assert html.sanitize(r.stored)[0] == r.stored and html.sanitize_shown(r.shown) == r.shown
+    assert any(r.stored for r in pages)
 
 
 def test_entry(spark):

@@ -194,9 +194,12 @@ def deny_images(items: DataFrame, deny: DataFrame) -> DataFrame:
 
 
 def drop_shared_images(items: DataFrame, limit: int = SHARED_IMAGE) -> DataFrame:
-    """Pictures that so many items share illustrate none of them. The counts are combined before the shuffle."""
+    """Pictures that so many items share illustrate none of them. The counts are combined before the shuffle.
+
+    They are dealt anew before the join, so that both sides of it are shuffled and the engine can split a hot picture.
+    """
     uses = items.filter("image <> ''").groupBy("image").count().filter(F.col("count") >= limit).select("image", F.lit(True).alias("__shared"))
-    out = items.join(uses, "image", "left").withColumn("image", F.when(F.col("__shared"), "").otherwise(F.col("image")))
+    out = items.join(uses.hint("rebalance"), "image", "left").withColumn("image", F.when(F.col("__shared"), "").otherwise(F.col("image")))
     return out.drop("__shared").select(*items.columns)
 
 

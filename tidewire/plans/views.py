@@ -79,7 +79,8 @@ def headlines(items: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min_by("id", "rank").alias("story_id"),
         F.min("ord").alias("pos"),
     )
-    return facts.filter("sources >= 2"), rows.groupBy("key", F.col("id").alias("item_id")).agg(F.min("rank").alias("member"))
+    # Dealt anew, so that a join to the members shuffles both sides and can split a hot headline.
+    return facts.filter("sources >= 2").hint("rebalance"), rows.groupBy("key", F.col("id").alias("item_id")).agg(F.min("rank").alias("member"))
 
 
 def headline_stories(items: DataFrame) -> DataFrame:
