@@ -206,6 +206,7 @@ def small_groups(monkeypatch):
     monkeypatch.setattr(exchange, "GROUP", 3)
     monkeypatch.setattr(exchange, "CHUNK_HASHES", 300)
     monkeypatch.setattr(exchange, "SHARE", 1)
+    monkeypatch.setattr(exchange, "SLICES", 2)
 
 
 def test_near_in_two_steps(spark, small_groups):

@@ -31,6 +31,8 @@ from tidewire.llm.common import small_batches, stored
 #: bucket should have; buckets that one step serves.
 BUCKET_HASHES, CHUNK_HASHES, MOST_HASHES, SHARE = 1_000_000, 1 << 16, 1 << 21, 512
 GROUP = MOST_HASHES // SHARE
+#: Tasks that share the rows of a group in the second step: about a gigabyte each.
+SLICES = GROUP * BUCKET_HASHES * 12 >> 30
 #: Documents that a chunk holds at most: their numbers have 16 bits.
 MOST_DOCUMENTS = 60_000
 #: Stands for a null id where ids are compared: it comes after all others.
@@ -279,7 +281,8 @@ def exchanged(rows: DataFrame, gather: Callable[[dict], tuple], ask: Question, b
     dealt = stored(deal_out(rows, gather, ask.settle, buckets, GROUP), "dealt")
     own = dealt.filter(F.col("bucket") >= groups).select("chunk", F.lit(True).alias("own"), "data")
     # Rows of one group stand together, so that a chunk of the second step has large shares of few buckets.
-    together = dealt.filter(F.col("bucket") < groups).repartition("bucket").sortWithinPartitions("bucket")
+    slice_ = F.pmod(F.xxhash64("chunk"), F.lit(SLICES))
+    together = dealt.filter(F.col("bucket") < groups).repartition(groups * SLICES, "bucket", slice_).sortWithinPartitions("bucket")
     again = together.select(F.col("chunk").alias("id0"), F.lit(False).alias("nul"), F.col("bucket").cast("long").alias("th"), "data")
     asked = deal_out(again, ask.gather, ask.settle_again, buckets, remember=ask.remember)
     return own.unionByName(ask.conclude(answer_buckets(asked, buckets, ask.answer_again)))
