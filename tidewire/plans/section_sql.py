@@ -1,4 +1,5 @@
-"""The section rules once more, by hand for DuckDB's RE2, so that a slip in the library's patterns shows.
+"""The section rules once more, written by hand for DuckDB's RE2 from the rules' fixed values, so that a slip in the
+library's patterns shows.
 
 RE2's \\b is an ASCII word edge. What must not follow a term is blanked before the test; a Unicode word edge
 consumes the neighbour, which is right for existence.
