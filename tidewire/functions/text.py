@@ -1,7 +1,6 @@
 """Text, URL and HTML-escaping expressions, all of them Catalyst columns.
 
-Lengths and cuts count code points. White space is the ECMAScript set, which Java's \\s is not;
-word boundaries are ASCII, which Java's \\b is not.
+Lengths and cuts count code points. White space is the ECMAScript set, which Java's \\s is not.
 """
 
 from __future__ import annotations
@@ -9,9 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as a regex class body, an ASCII word boundary, Unicode word edges.
+#: White space as a regex class body, Unicode word edges.
 SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
-ASCII_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 LEFT_EDGE = r"(?<![\p{L}\p{N}])"
 RIGHT_EDGE = r"(?![\p{L}\p{N}])"
 
