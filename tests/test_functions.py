@@ -89,6 +89,20 @@ def test_round2(spark):
     assert [r.n for r in rows] == [1.0, 0.13, -0.13, 2.67, 0.0, None]
 
 
+def test_round2_is_exact(spark):
+    """Against decimal arithmetic on the exact binary value: ties, near ties, small and large numbers."""
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rng = random.Random(1)
+    cases = [rng.randint(-10**6, 10**6) / 1000 for _ in range(3000)] + [rng.uniform(-1, 1) * 10 ** rng.randint(-6, 12) for _ in range(3000)]
+    cases += [k / 200 for k in range(-400, 401)] + [k / 8 for k in range(-80, 81)] + [2.0**52 + 1, -(2.0**53), 1e300, 0.005, -0.005, 0.0]
+    want = [float(Decimal(x).quantize(Decimal("0.01"), ROUND_HALF_UP)) if abs(x) < 1e20 else x for x in cases]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, x double").select("i", numbers.round2("x").alias("n")).orderBy("i").collect()
+    assert [(c, r.n) for c, r in zip(cases, rows, strict=True)] == list(zip(cases, want, strict=True))
+    assert all(str(r.n) != "-0.0" for r in rows)
+
+
 def test_formats(spark):
     got = one(spark, numbers.format_money(F.lit(1.25e9)), numbers.format_money(F.lit(3e6)), numbers.format_change(F.lit(-0.5)), numbers.heat_step(F.lit(-4.0)), numbers.heat_step(F.lit(0.09)), numbers.plural(F.lit(12), "a", "b", "c"))
     assert got[1:] == ("3 млн ₽", "−0,50%", "d5", "zero", "c") and got[0].endswith(" млрд ₽")

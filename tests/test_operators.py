@@ -267,6 +267,65 @@ def test_headlines(spark):
     assert [(r.title, r.got) for r in got] == [(r.title, r.want) for r in got]
 
 
+EDGE = r"(?:(?<=[a-z0-9_])(?![a-z0-9_])|(?<![a-z0-9_])(?=[a-z0-9_]))"
+
+
+def plainly(title, excerpt):
+    """The sections of a text by trying every term of every rule, edges spelled out."""
+    import regex
+
+    from tidewire.operators import rules
+
+    spelled = lambda term: term.replace("@", EDGE).replace("~", r"(?![\p{L}\p{N}])")
+    has = lambda terms, t, left="": any(regex.search(left + f"(?:{spelled(x)})", t) for x in terms)
+    left = r"(?<![\p{L}\p{N}])"
+    head, both = title.lower(), f"{title} {excerpt}".lower()
+    ai = [*rules.AI_TERMS, rules.AI_LETTERS]
+    every = regex.compile("|".join(f"(?:{spelled(x)})" for x in ai))
+    out = ["ai"] if has(ai, head) or len(list(every.finditer(both))) >= 2 else []
+    out += ["health"] if has(rules.HEALTH, both) else []
+    out += ["security"] if has(rules.SECURITY_STRONG, both) or (has(rules.SECURITY_WEAK, both) and has(rules.DIGITAL_CONTEXT, both)) else []
+    market = has(rules.MARKETS_STRONG, both, left)
+    if not market and not has(rules.MARKETS_EXCLUDE, both, left):
+        weak = regex.compile(left + "(?:" + "|".join(map(spelled, rules.MARKETS_WEAK)) + ")")
+        for m in weak.finditer(both):
+            window = both[max(0, m.start() - 80) : m.start()] + " " * len(m[0]) + both[m.end() : m.end() + 80]
+            market |= has(rules.MARKETS_CONTEXT, window, left) and not has(rules.MARKETS_EXCLUDE, window, left)
+    out += ["markets", "business"] if market else []
+    firm = has(rules.IBS_STRONG, both, left) or (has(rules.IBS_WEAK, both, left) and has(rules.IBS_CONTEXT, both, left))
+    return ",".join(out + (["ibs"] if firm and not has(rules.IBS_EXCLUDE, both, left) else []))
+
+
+def test_rules_equal_a_plain_trial_of_every_term(spark):
+    import random
+    import re as python_re
+
+    from tidewire.operators import rules
+
+    rng = random.Random(21)
+
+    def sample(term):
+        """A text that a term's pattern may match: first or any alternative, without the marks."""
+        term = python_re.sub(r"\(\?[!:=<][^()]*\)|\(\?:([^()]*)\)", lambda m: rng.choice(m[0][3:-1].split("|")) if m[0].startswith("(?:") else "", term)
+        term = python_re.sub(r"\\p\{[LN]\}\*|\[а-я\]\*", rng.choice(["", "ия", "ого"]), term)
+        term = python_re.sub(r"\[([^\]]*)\][+]?", lambda m: "7" if "0-9" in m[1] else m[1][0], python_re.sub(r"\{[^}]*\}", "", term))
+        return python_re.sub(r"[@~^$()|?+*]", "", term.replace(r"\s", " ").replace("\\", ""))
+
+    lists = (rules.AI_TERMS, rules.HEALTH, rules.SECURITY_STRONG, rules.SECURITY_WEAK, rules.DIGITAL_CONTEXT, rules.MARKETS_STRONG, rules.MARKETS_WEAK, rules.MARKETS_CONTEXT, rules.MARKETS_EXCLUDE, rules.IBS_STRONG, rules.IBS_WEAK, rules.IBS_CONTEXT, rules.IBS_EXCLUDE)
+    glue = ["", "", " ", " ", "_", "x", "я", "5", "-", ". "]
+
+    def text_():
+        words = [sample(rng.choice(rng.choice(lists))) if rng.random() < 0.6 else rng.choice(["ии", "дом", "river", "news", " journal", "н", "альн"]) for _ in range(rng.randint(0, 4))]
+        return "".join(rng.choice(glue) + w + rng.choice(glue) + rng.choice(["", " ", " " * 90]) for w in words)
+
+    cases = [(text_(), text_()) for _ in range(3000)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, title string, excerpt string")
+    got = rows.select("i", F.array_join(classify.sections_by_text(F.col("title"), F.col("excerpt")), ",").alias("s")).orderBy("i").collect()
+    wrong = [(c, r.s, w) for c, r in zip(cases, got, strict=True) if r.s != (w := plainly(*c))]
+    assert not wrong, wrong[:3]
+    assert {x for r in got for x in r.s.split(",")} == {"", "ai", "health", "security", "markets", "business", "ibs"}
+
+
 def test_secrets(spark):
     rows = spark.createDataFrame(golden.SECRETS, "given string, want string").select("given", "want", text.redact("given").alias("got")).collect()
     assert [(r.given, r.got) for r in rows] == [(r.given, r.want) for r in rows]

@@ -34,8 +34,8 @@ def round2(x: Column | str) -> Column:
     fraction = ((size - whole) * F.lit(float(unit))).cast("long").cast("decimal(20,0)")
     cents = F.call_function("div", fraction * F.lit(200).cast("decimal(3,0)") + F.lit(unit).cast("decimal(20,0)"), F.lit(2 * unit).cast("decimal(20,0)"))
     rounded = F.signum(x) * (whole * 100 + cents) / 100
-    # Zero has no sign.
-    return F.when(rounded == 0, 0.0).when(size < float(1 << 52), rounded).otherwise(x)
+    # Numbers from 2^52 on are whole. Zero has no sign.
+    return F.when(size >= float(1 << 52), x).when(rounded == 0, 0.0).otherwise(rounded)
 
 
 #: Sizes of change at which the heat scale steps up.
