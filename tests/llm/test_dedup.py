@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm import exact_dedup, exchange, jaccard_join, secret_scan, substring_dedup
+from tidewire.llm import exact_dedup, exchange, jaccard_join, quality_rules, secret_scan, substring_dedup, toxicity
 from tidewire.llm.components import components
 from tidewire.llm.queries import QUERIES
 
@@ -71,7 +72,13 @@ def clashing(spark, rows, names):
 INNER = ["__sha", "sha", "SHA_", "id", "__id", "nth", "__n", "row", "__row", "body", "id0", "__id0", "nul", "__nul", "th", "__th", "keep", "component", "lead", "n"]
 
 
-@pytest.mark.parametrize("operator", [exact_dedup.drop_copies, jaccard_join.keep_firsts, secret_scan.mask])
+def keep_clean(docs):
+    """With a model that finds nothing toxic."""
+    forest = quality_rules.train_forest(np.zeros((20, len(toxicity.FEATURES))), np.zeros(20), list(toxicity.FEATURES.values()))
+    return toxicity.keep_clean(docs, toxicity.ToxicityModel(toxicity.Lexicon([]), forest))
+
+
+@pytest.mark.parametrize("operator", [exact_dedup.drop_copies, jaccard_join.keep_firsts, secret_scan.mask, keep_clean])
 @pytest.mark.parametrize("repeats", [False, True])
 def test_users_columns_survive(spark, operator, repeats):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, "other words here"), (None, "x y")] + ([(4, "other words here")] if repeats else [])
@@ -80,7 +87,7 @@ def test_users_columns_survive(spark, operator, repeats):
     assert after.schema.simpleString() == before.schema.simpleString()
     given = {tuple(r) for r in before.collect()}
     got = [tuple(r) for r in after.collect()]
-    assert set(got) <= given and len(got) == (len(rows) if operator is secret_scan.mask else 4)
+    assert set(got) <= given and len(got) == (len(rows) if operator in (secret_scan.mask, keep_clean) else 4)
 
 
 # --- components -----------------------------------------------------------------------------
