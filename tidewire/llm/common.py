@@ -176,6 +176,29 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
+
+#: What a worker keeps between tasks, by purpose, and the purpose that it served last.
+_KEPT: dict[str, list[Callable[[], None]]] = {}
+_PURPOSE = [""]
+
+
+def kept_for(purpose: str, forget: Callable[[], None]) -> None:
+    _KEPT.setdefault(purpose, []).append(forget)
+
+
+def serving(purpose: str) -> None:
+    """Say what a worker works on now; what it kept for anything else goes, as stages of a pipeline share workers."""
+    if _PURPOSE[0] != purpose:
+        for other, forgets in _KEPT.items():
+            if other != purpose:
+                for forget in forgets:
+                    forget()
+        _PURPOSE[0] = purpose
+
 
 def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
@@ -183,10 +206,12 @@ def word_hash(word: bytes) -> int:
 
 #: Hashes of words already seen by this worker.
 WORD_HASHES = Memo(word_hash)
+kept_for("words", WORD_HASHES.forget)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words. bytes.split() parts words at ASCII white space, as [^\\x20\\x09-\\x0D]+ does."""
+    serving("words")
     return np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
 
 
@@ -196,6 +221,7 @@ def wide_hash(word: bytes) -> int:
 
 #: 128-bit hashes of words already seen by this worker.
 WIDE_HASHES = Memo(wide_hash, 100_000)
+kept_for("words", WIDE_HASHES.forget)
 
 
 def wide_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from tidewire.llm.common import checkpointed, files_for, small_batches, stored
+from tidewire.llm.common import checkpointed, files_for, kept_for, serving, small_batches, stored
 
 #: Split pattern of the byte-level vocabulary (a fixed value of the tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -107,6 +107,9 @@ def tokenizer(json_path: str, ranks_path: str | None) -> ByteBpe:
     return ByteBpe(json_path, ranks_path)
 
 
+kept_for("tokens", tokenizer.cache_clear)
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens; the first may be shorter."""
     if n <= capacity:
@@ -133,6 +136,7 @@ def token_pieces(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serving("tokens")
         t = tokenizer(json_path, ranks_path)
         nth = TaskContext.get().partitionId() << 40
         end = np.array([end_id], "<u4")

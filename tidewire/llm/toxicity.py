@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import Memo, map_batches
+from tidewire.llm.common import Memo, kept_for, map_batches, serving
 from tidewire.llm.quality_rules import Forest, labelled_sample, train_forest
 
 #: Fixed values. Characters stripped from a word's ends, look-alikes of letters, quotation marks,
@@ -340,6 +340,7 @@ class Scorer:
 
 
 _SCORERS: dict[str, Scorer] = {}
+kept_for("toxicity", _SCORERS.clear)
 
 
 @dataclass
@@ -349,6 +350,7 @@ class ToxicityModel:
 
     def scorer(self) -> Scorer:
         """The worker's scorer for this lexicon; its words and states stay known from task to task."""
+        serving("toxicity")
         key = repr(self.lexicon.entries)
         if key not in _SCORERS:
             _SCORERS.clear()

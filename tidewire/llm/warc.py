@@ -130,7 +130,10 @@ def gathered(rows: DataFrame, make: Callable[[dict], Iterator[bytes]], codec: st
 
 
 def write_archives(archives: DataFrame, path: str, codec: str = "gzip") -> None:
-    """Archives, one per row, as files of their own. A file's task commits it whole or not at all."""
+    """Archives, one per row, as files of their own. A file's task commits it whole or not at all.
+
+    The engine's first task leaves an empty file where it has no archive; it reads as an archive without records.
+    """
     lines = "\0" if codec == "gzip" else RECORD_END
     writer = archives.select(F.col("value").cast("string").alias("value")).write.option("lineSep", lines)
     with cleaned_shuffles(archives.sparkSession):
