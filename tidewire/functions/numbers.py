@@ -28,14 +28,19 @@ def round2(x: Column | str) -> Column:
     fraction of a number from 2^-8 on is a whole number of 2^-60, so whole-number arithmetic is exact;
     smaller numbers round to zero.
     """
-    x = F.col(x) if isinstance(x, str) else x
-    size, unit = F.abs(x), 1 << 60
-    whole = F.floor(size)
-    fraction = ((size - whole) * F.lit(float(unit))).cast("long").cast("decimal(20,0)")
-    cents = F.call_function("div", fraction * F.lit(200).cast("decimal(3,0)") + F.lit(unit).cast("decimal(20,0)"), F.lit(2 * unit).cast("decimal(20,0)"))
-    rounded = F.signum(x) * (whole * 100 + cents) / 100
-    # Numbers from 2^52 on are whole. Zero has no sign.
-    return F.when(size >= float(1 << 52), x).when(rounded == 0, 0.0).otherwise(rounded)
+    unit = 1 << 60
+
+    def rounded(v: Column) -> Column:
+        size = F.abs(v)
+        whole = F.floor(size)
+        fraction = ((size - whole) * F.lit(float(unit))).cast("long").cast("decimal(20,0)")
+        cents = F.call_function("div", fraction * F.lit(200).cast("decimal(3,0)") + F.lit(unit).cast("decimal(20,0)"), F.lit(2 * unit).cast("decimal(20,0)"))
+        near = F.signum(v) * (whole * 100 + cents) / 100
+        # Numbers from 2^52 on are whole. Zero has no sign.
+        return F.when(size >= float(1 << 52), v).when(near == 0, 0.0).otherwise(near)
+
+    # The value stands once in the expression, whatever it is made of.
+    return F.get(F.transform(F.array(F.col(x) if isinstance(x, str) else x), rounded), F.lit(0))
 
 
 #: Sizes of change at which the heat scale steps up.
