@@ -78,3 +78,32 @@ GROUP BY d.doc_id, n
 """
 
 ORACLES = {"op3_exact_dedup": OP3, "op5_warc": OP5, "op8_jaccard_join": OP8, "op10_substring_dedup": OP10}
+
+
+def lloyd(k: int, rounds: int, seed: int, dims: int, scale: float) -> str:
+    """Rounds of assignment and replacement, one common table expression each."""
+    steps = [
+        f"""good AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('{seed}:' || vec_id) AS h, v FROM good WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k}) x)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (
+  SELECT g.vec_id, g.v, arg_min(c.c, (d, c.c)) AS c, min(d) AS d
+  FROM (SELECT *, row_number() OVER () AS r FROM good) g, c{i} c,
+       LATERAL (SELECT list_sum(list_transform(range(1, {dims + 1}), lambda j: (g.v[j] - c.v[j]) * (g.v[j] - c.v[j])))::BIGINT AS d) x
+  GROUP BY g.r, g.vec_id, g.v)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (
+  SELECT c, list(s ORDER BY j) AS v
+  FROM (SELECT c, j, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS s
+        FROM (SELECT c, unnest(v) AS x, unnest(range({dims})) AS j FROM a{i}) y GROUP BY c, j) z GROUP BY c),
+c{i + 1} AS (SELECT p.c, coalesce(m.v, p.v) AS v FROM c{i} p LEFT JOIN m{i} m USING (c))""")
+    last = f"a{rounds}"
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, a.c::INT AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(p.v, ',')) AS centroid_sha256
+FROM {last} a JOIN c{rounds} p ON p.c = a.c"""
+
+
+ORACLES["op13_centroids"] = lloyd(16, 3, 1, 64, 64.0)

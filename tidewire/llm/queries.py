@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.llm import language_id, quality_rules, toxicity
+from tidewire.llm.alignment import align
+from tidewire.llm.centroids import cluster_vectors
 from tidewire.llm.exact_dedup import content_groups
+from tidewire.llm.html_extraction import main_texts
 from tidewire.llm.jaccard_join import component_ids
 from tidewire.llm.packing import pack
 from tidewire.llm.piece_codec import encode_decode
@@ -65,6 +68,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=20, block=10)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    docs = table(spark, sf_dir, "documents")
+    return align(docs, path("byte_bpe_50k.json"), path("piece_bpe_32k.model"), path("byte_bpe_50k.tiktoken"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3, seed=1, dims=64, scale=64.0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -76,4 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_html_extraction": op12_html_extraction,
+    "op13_centroids": op13_centroids,
 }
