@@ -12,8 +12,8 @@ comes to the driver, and goes out with the tasks, are k centroids.
 Defined results: rows whose vector is null, has another number of components, or one that is null or not
 finite, are left out. A null id is assigned a cluster but cannot be a first centroid. Of repeated ids, which
 have one hash, the smaller vector comes first; repeated rows can so be several first centroids, of which the
-first takes all. With fewer rows than clusters there are as many clusters as rows; an empty table gives no
-rows. Components beyond +-2^27 (after scaling) are held at that, and so are exact in every sum.
+first takes all. With fewer such rows than clusters there are as many clusters as rows; without any, as in
+an empty table, there are no rows. Components beyond +-2^27 (after scaling) are held at that, and so are exact in every sum.
 Sums of distances beyond 64 bits are held at the largest long. Only the two named columns are read, whatever others there are.
 """
 
@@ -152,6 +152,8 @@ def cluster_vectors(
     """One row per usable vector: id, cluster, distance, inertia of its cluster and of all, digest of its centroid."""
     lloyd = Lloyd(vectors, dims, scale, id_col, vector_col)
     clusters = lloyd.fit(k, rounds, seed)
+    if not clusters.inertia:
+        lloyd.rows = lloyd.rows.limit(0)
     of = lambda values, kind: F.get(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), F.col("cluster"))
     held = [min(i, LONGEST) for i in clusters.inertia]
     return lloyd.assign(clusters).withColumns(

@@ -73,7 +73,15 @@ def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)} if raw else {}
 
 
-def marked(name: str, of: dict[str, str]) -> bool:
+def is_article(name: str, raw: str) -> bool:
+    """Whether a start tag marks an article."""
+    if name in ("article", "main") or not raw:
+        return name in ("article", "main")
+    of = attributes(raw)
+    return of.get("itemprop") == "articleBody" or of.get("role") in ("article", "main")
+
+
+def marked(of: dict[str, str]) -> bool:
     """Whether an element's attributes say that it is no article."""
     if "hidden" in of or of.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", of.get("style", "")):
         return True
@@ -139,7 +147,7 @@ class Page:
         self.parts: list[str] = []
         self.weight, self.gap, self.landmark, self.count = 0, LINES, 0, 0
         # Where articles begin: an element around one is no advert, whatever its class says.
-        self.starts = [i for i, (_, _, name, kind, _) in enumerate(self.tags) if kind == "<" and name in ("article", "main")]
+        self.starts = [i for i, (_, _, name, kind, raw) in enumerate(self.tags) if kind == "<" and is_article(name, raw)]
         self.read()
 
     def text(self, piece: str) -> None:
@@ -164,7 +172,7 @@ class Page:
         _, _, name, _, raw = self.tags[i]
         if name in CHROME or (name == "header" and not self.open["article"]):
             return True
-        if not raw or name in ("html", "body", "main", "header") or not marked(name, attributes(raw)):
+        if not raw or name in ("html", "body", "main", "header") or not marked(attributes(raw)):
             return False
         at = bisect_right(self.starts, i)
         return name == "article" or at == len(self.starts) or self.starts[at] >= self.ends[i]
@@ -178,9 +186,7 @@ class Page:
             if name in PARAGRAPHS and name not in ("td", "th"):  # an open paragraph ends where the next one begins
                 while self.stack and self.stack[-1][0] in PARAGRAPHS | INLINE:
                     self.leave_one()
-        of = attributes(raw)
-        article = name in ("article", "main") or of.get("itemprop") == "articleBody" or of.get("role") in ("article", "main")
-        if article and (not self.landmark or (name == "article" and not self.open["article"])):
+        if is_article(name, raw) and (not self.landmark or (name == "article" and not self.open["article"])):
             self.count += 1
             self.landmark, self.gap = self.count, LINES
         self.stack.append((name, before))
