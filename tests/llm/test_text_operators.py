@@ -152,7 +152,7 @@ def test_no_key_in_noise():
         assert not [s for s in secret_scan.scan(base64.b64encode(g.randbytes(20_000)).decode())[1] if s[0] in ("der_key", "ssh_key")]
 
 
-@pytest.mark.parametrize("unit", ["eyJ", "eyJ.", "MIIP", base64.b64encode(bytes.fromhex("308400ffffff020100")).decode(), "AAAAB3NzaC1yc2EA", "M\n", "M" * 20 + "\n", "ab", "token "])
+@pytest.mark.parametrize("unit", ["30820122", "30 82 ", "0x30, ", "a ", "e3t7", "eyJhIjp7", base64.b64encode(b'{"alg":').decode(), "A" * 14 + ".", "eyJ", "eyJ.", "MIIP", base64.b64encode(bytes.fromhex("308400ffffff020100")).decode(), "AAAAB3NzaC1yc2EA", "M\n", "M" * 20 + "\n", "ab", "token "])
 def test_scan_time_is_linear(unit):
     import time
 
@@ -161,6 +161,62 @@ def test_scan_time_is_linear(unit):
     assert time.perf_counter() - began < 2 * 2  # a shared machine gets twice the time
 
 
+HEX_FORMS = {
+    "plain": lambda h: h,
+    "capitals": str.upper,
+    "prefixed": lambda h: "0x" + h,
+    "wrapped": lambda h: "\n".join(h[i : i + 32] for i in range(0, len(h), 32)),
+    "indented": lambda h: "\r\n    ".join(h[i : i + 31] for i in range(0, len(h), 31)),
+    "escaped": lambda h: "\\n".join(h[i : i + 64] for i in range(0, len(h), 64)),
+    "colons": lambda h: ":".join(h[i : i + 2] for i in range(0, len(h), 2)),
+    "wrapped colons": lambda h: "\n".join(":".join(h[i : i + 2] for i in range(j, min(j + 30, len(h)), 2)) for j in range(0, len(h), 30)),
+    "spaces": lambda h: " ".join(h[i : i + 2] for i in range(0, len(h), 2)),
+    "array": lambda h: ", ".join("0x" + h[i : i + 2] for i in range(0, len(h), 2)),
+    "array lines": lambda h: ",\n".join(", ".join("0x" + h[i : i + 2] for i in range(j, min(j + 16, len(h)), 2)) for j in range(0, len(h), 16)).replace(",\n", ", "),
+    "string": lambda h: "\\x".join(h[i : i + 2] for i in range(0, len(h), 2)),
+}
+
+
+@pytest.mark.parametrize("form", HEX_FORMS)
+@pytest.mark.parametrize("before,after", [("", ""), ("key ", "."), ("ff", "00"), ("a", "b"), ("00:", ":ff"), ("30", "30")])
+def test_hex_keys_in_every_form(form, before, after):
+    g = random.Random(form)
+    for n in range(30, 70, 3):
+        for key, kind in ((pkcs8(g.randbytes(n)), "der_key"), (SSH, "ssh_key"), (RSA, "der_key")):
+            text = before + HEX_FORMS[form](key.hex()) + after
+            found = [text[a:b] for k, a, b in secret_scan.scan(text)[1] if k == kind]
+            assert [bytes.fromhex("".join(c for c in f.replace("0x", "").replace("\\n", "").replace("\\x", "") if c in "0123456789abcdefABCDEF")) for f in found] == [key]
+            assert not [s for s in secret_scan.scan(secret_scan.redact(text))[1] if s[0] == kind]
+
+
+BLANK = st.text(" \t\r\n", max_size=4)
+
+
+@settings(max_examples=300, deadline=None)
+@given(BLANK, BLANK, BLANK, st.sampled_from(["", "x", "ab", "token_", "e", "eyJ", "-----"]), st.sampled_from(["HS256", "none", "ES512", 5]), st.booleans(), st.dictionaries(st.text(max_size=5), st.text(max_size=5), max_size=3))
+def test_signed_tokens_with_any_header(a, b, c, prefix, alg, signed, more):
+    """White space before, in and after the header's object; other characters of the alphabet before the header."""
+    enc = lambda x: base64.urlsafe_b64encode(x.encode()).rstrip(b"=").decode()
+    body = json.dumps({**more, "alg": alg})
+    header = a + "{" + b + body[1:-1] + b + "}" + c
+    text = f"see x.example.{prefix}{enc(header)}.{enc(c + json.dumps(more) + a)}.{'c2ln' if signed else ''} end"
+    found = [text[s:e] for k, s, e in secret_scan.scan(text)[1] if k == "signed_token"]
+    real = isinstance(alg, str) and (signed or alg == "none") and len(enc(header)) >= 14
+    assert len(found) == real
+    if real:
+        token = text[text.index(enc(header), 14) :].split(" ")[0]
+        assert found[0] == token if not prefix else found[0].endswith(token.split(".", 1)[1])
+        assert "signed_token" not in kinds(secret_scan.redact(text))
+
+
+def test_tokens_behind_other_runs():
+    assert secret_scan.redact(f"at t.ext.file.{TOKEN} x") == "at t.ext.file.[secret] x"
+    wrong = f"{part({'typ': 'JWT'})}.{part({'sub': '1'})}.c2ln"
+    assert not kinds(wrong) and not kinds(f"{part({'alg': 'HS256'})}.{part([1])}.c2ln") and not kinds(f"{part({'alg': 'HS256'})}.{part({})}.")
+    nested = part({"alg": "ES256", "jwk": {"alg": "x", "kty": "EC"}})
+    assert kinds(f"{nested}.{part({})}.c2ln") == {"signed_token"}
+
+
 ATOMS = ["token", "Secret", "api_key", "apikey", "=", ":", " ", '"', "'", "AKIA", "AKIA" + "Z9" * 9, "ab", "abcdef", "0123456789abcdef" * 2, "deadbeef", "ſecret", "toKen", "=x", "é", "-"]
 
 

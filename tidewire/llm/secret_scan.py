@@ -4,8 +4,10 @@ Base patterns report spans by shape alone. The structural method adds spans: bas
 candidates are decoded, and a span is reported only if the bytes parse as a key encoding
 (nested DER lengths, length-prefixed OpenSSH fields) or as a signed-token header.
 
-A candidate may begin anywhere in a run of base64 of either alphabet; runs go on over line ends,
-real or escaped, and indentation. The lengths inside a key say where it ends.
+A key may begin anywhere in a run of base64 of either alphabet, or of hex digits; runs go on over line ends,
+real or escaped, and indentation, hex runs also over what is written between bytes (colons, spaces, 0x). The
+lengths inside a key say where it ends. The header of a signed token is whatever decodes to a JSON object with an
+algorithm, white space and all, and may follow other characters of its alphabet.
 
 Defined results: a null text is empty and has no spans; very long texts are read whole, in time in
 proportion to their length; a null id is passed on; repeated rows give repeated results; spans that
@@ -16,12 +18,11 @@ and mask returns every column, whatever their names. Offsets count code points,
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import json
 import re
-from bisect import bisect_left, bisect_right
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,8 +46,17 @@ RUN_LINE = re.compile(r"([A-Za-z0-9+/_-]++)((?:\r?\n|\\r\\n|\\n)[ \t]*+(?=[A-Za-
 STANDARD = str.maketrans("-_", "+/")
 #: A sequence whose first element is a number or a sequence.
 DER_HEAD = re.compile(rb"\x30(?:[\0-\x7f]|\x81.|\x82..|\x83...|\x84....)[\x02\x30]", re.S)
-HEX_ANY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Za-z])")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+)")
+#: What may stand between the digits of a hex run, runs that can hold a key, and where in their digits one may begin:
+#: a DER sequence of a number or a sequence, an OpenSSH blob (its length and "ssh-" or "ecdsa") or container.
+HEX_BREAK = r"(?:[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*(?:0x)?|,[ \t]*0x|[ :-](?:0x)?|\\x)"
+HEX_RUN = re.compile(rf"(?:[0-9A-Fa-f](?:{HEX_BREAK}(?=[0-9A-Fa-f]))?+){{48,}}+")
+HEX_PIECE = re.compile(rf"([0-9A-Fa-f]++)({HEX_BREAK}(?=[0-9A-Fa-f]))?+")
+HEX_START = re.compile(r"(?=30(?:[0-7].|81..|82....|83......|84........)(?:02|30)|000000(?:077373682d|0b7373682d|136563647361)|6f70656e7373682d6b65792d7631)")
+#: A signed token: a run that can be a header, with what follows it; any such run may be one, so they may overlap.
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{14,}+)(?=\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+))")
+BLANKS = b" \t\r\n"
+BRACE = re.compile(r"\{|\"(?:[^\"\\]|\\.)*+\"?", re.S)
+JSON = json.JSONDecoder()
 #: Object identifiers (DER content bytes) of key algorithms: RSA, EC, Ed25519, X25519, DSA.
 KEY_OIDS = (
     bytes.fromhex("2a864886f70d010101"),
@@ -168,17 +178,17 @@ def key_at(read: Read, most: int) -> tuple[str, int] | None:
 
 
 class Run:
-    """A base64 run of a text from a place on: its characters without line ends, and where each stands."""
+    """A run of a text from a place on: its characters without what parts its pieces, and where each stands."""
 
-    def __init__(self, text: str, start: int):
+    def __init__(self, text: str, start: int, piece: re.Pattern):
         self.starts, self.sums, bodies = [], [0], []
         at: int | None = start
-        while at is not None and (m := RUN_LINE.match(text, at)):
+        while at is not None and (m := piece.match(text, at)):
             self.starts.append(at)
             bodies.append(m[1])
             self.sums.append(self.sums[-1] + len(m[1]))
             at = m.end() if m[2] else None
-        self.body = "".join(bodies).translate(STANDARD)
+        self.body = "".join(bodies)
         self.end = self.starts[-1] + len(bodies[-1])
 
     def index(self, place: int) -> int:
@@ -186,20 +196,27 @@ class Run:
         return self.sums[line] + place - self.starts[line]
 
     def place(self, index: int) -> int:
-        """Place after the index-th character."""
-        line = bisect_left(self.sums, index) - 1
+        """Place of the index-th character."""
+        line = bisect_right(self.sums, index) - 1
         return self.starts[line] + index - self.sums[line]
 
-    def reader(self, first: int) -> Read:
+    def base64_from(self, first: int) -> Read:
         def read(at: int, n: int) -> bytes:
             a = first + at // 3 * 4
             b = first + (at + n + 2) // 3 * 4
-            quartets = self.body[a:b]
+            quartets = self.body[a:b].translate(STANDARD)
             quartets = quartets[: len(quartets) - 1] if len(quartets) % 4 == 1 else quartets
             return base64.b64decode(quartets + "=" * (-len(quartets) % 4))[at % 3 : at % 3 + n]
 
         return read
 
+    def hex_from(self, first: int) -> Read:
+        def read(at: int, n: int) -> bytes:
+            digits = self.body[first + 2 * at : first + 2 * (at + n)]
+            return bytes.fromhex(digits[: len(digits) & ~1])
+
+        return read
+
 
 def key_spans(text: str) -> list[tuple[str, int, int]]:
     """Keys in base64, at any place of a run: the lengths inside say where a key ends, its padding is part of it."""
@@ -213,49 +230,101 @@ def key_spans(text: str) -> list[tuple[str, int, int]]:
             # The first bytes tell most candidates from keys before their run is gathered.
             if m[0] == "M" and not DER_HEAD.match(base64.b64decode(text[at : at + 16].translate(STANDARD))):
                 continue
-            run = Run(text, at)
+            run = Run(text, at, RUN_LINE)
         first = run.index(at)
-        found = key_at(run.reader(first), (len(run.body) - first) * 3 // 4)
+        found = key_at(run.base64_from(first), (len(run.body) - first) * 3 // 4)
         if found:
-            end = run.place(first + (found[1] * 4 + 2) // 3)
+            end = run.place(first + (found[1] * 4 + 2) // 3 - 1) + 1
             pad = -found[1] % 3
             done = end + pad * (text[end : end + pad] == "=" * pad)
             out.append((found[0], at, done))
     return out
 
 
-def is_signed_token(head: str, body: str, signature: str) -> bool:
-    """A JSON header that names an algorithm, a JSON object, a signature (empty only for none)."""
+def hex_key_spans(text: str) -> list[tuple[str, int, int]]:
+    """Keys in hex digits, at any place of a run."""
+    out: list[tuple[str, int, int]] = []
+    for m in HEX_RUN.finditer(text):
+        run, done = Run(text, m.start(), HEX_PIECE), 0
+        for s in HEX_START.finditer(run.body.lower()):
+            first = s.start()
+            if first >= done and (found := key_at(run.hex_from(first), (len(run.body) - first) // 2)):
+                done = first + 2 * found[1]
+                out.append((found[0], run.place(first), run.place(done - 1) + 1))
+    return out
+
+
+def urlsafe(run: str) -> bytes | None:
+    if len(run) % 4 == 1:
+        return None
+    return base64.urlsafe_b64decode(run + "=" * (-len(run) % 4))
+
+
+def is_object(data: bytes | None) -> bool:
     try:
-        pad = lambda s: base64.urlsafe_b64decode(s + "=" * (-len(s) % 4))
-        header, claims = json.loads(pad(head)), json.loads(pad(body))
-    except (ValueError, binascii.Error, RecursionError):
+        return data is not None and isinstance(json.loads(data.decode()), dict)
+    except (ValueError, RecursionError):
         return False
-    if not isinstance(header, dict) or not isinstance(claims, dict) or not isinstance(header.get("alg"), str):
-        return False
-    return bool(signature) or header["alg"].lower() == "none"
+
+
+def objects(text: str) -> Iterator[tuple[int, int, object]]:
+    """(start, end, value) of the JSON objects in a text, but those inside of others, in linear time.
+
+    Where reading fails, what it took for the start of an object in an object fails at the same place; only
+    braces in what it took for strings are tried again. Objects nested beyond the parser's depth are none.
+    """
+    no: set[int] = set()
+    at = text.find("{")
+    while at >= 0:
+        if at not in no:
+            try:
+                value, stop = JSON.raw_decode(text, at)
+                yield at, stop, value
+            except json.JSONDecodeError as e:
+                stop = e.pos
+            except RecursionError:
+                stop = len(text)
+            no.update(m.start() for m in BRACE.finditer(text, at + 1, stop) if m[0] == "{")
+        at = text.find("{", at + 1)
+
+
+def header_start(run: str, signed: bool) -> int:
+    """Where in a run the header of a signed token begins that ends with it; -1 if there is none.
+
+    Each of the four ways to begin a quartet decodes the run once. An object in it that ends with the run and names an
+    algorithm is a header, together with the white space before it.
+    """
+    found = []
+    for skip in range(4):
+        data = urlsafe(run[skip:])
+        tail = data.rstrip(BLANKS) if data else b""
+        if not tail.endswith(b"}") or b'"alg"' not in tail:
+            continue
+        for at, end, header in objects(tail.decode("latin-1")):
+            alg = header.get("alg")
+            blank = at
+            while blank and tail[blank - 1] in BLANKS:
+                blank -= 1
+            start = -(-blank // 3) * 3  # a header begins with a quartet, and has only white space before its object
+            if end == len(tail) and isinstance(alg, str) and (signed or alg.lower() == "none") and start <= at and is_object(tail[at:]):
+                found.append(skip + start // 3 * 4)
+    return min(found, default=-1)
+
+
 
 
 def token_spans(text: str) -> list[tuple[str, int, int]]:
-    """Signed tokens; a header may follow other characters of its alphabet, as its last beginning in them."""
+    """Signed tokens: a JSON header that names an algorithm, a JSON object, a signature (empty only for none)."""
     out = []
     for m in SIGNED.finditer(text):
-        for skip in dict.fromkeys((0, m[1].rfind("eyJ"))):
-            if m[1].startswith("eyJ", max(skip, 0)) and skip >= 0 and is_signed_token(m[1][skip:], m[2], m[3]):
-                out.append(("signed_token", m.start() + skip, m.end()))
-                break
+        if m[2] and is_object(urlsafe(m[2])) and (at := header_start(m[1], bool(m[3]))) >= 0:
+            out.append(("signed_token", m.start() + at, m.end(3)))
     return out
 
 
 def structural_spans(text: str) -> list[tuple[str, int, int]]:
     """Candidates that decode and parse; everything else is left to the base patterns."""
-    out = key_spans(text)
-    for m in HEX_ANY.finditer(text):
-        data = bytes.fromhex(m[0])
-        found = key_at(lambda at, n: data[at : at + n], len(data))  # noqa: B023
-        if found and found[1] == len(data):
-            out.append((found[0], m.start(), m.end()))
-    return out + token_spans(text) if "eyJ" in text else out
+    return key_spans(text) + hex_key_spans(text) + token_spans(text)
 
 
 _RANK = {k: i for i, k in enumerate(KINDS)}
