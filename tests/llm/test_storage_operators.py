@@ -360,3 +360,39 @@ def test_pipeline_on_nothing(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF), f"none-{name}")
         assert docs.count() == 0
+
+
+def test_pipeline_with_nulls_ties_and_other_columns(spark, tmp_path):
+    """Null ids and texts, repeated rows and columns with the names that stages use, through all stages."""
+    long = " ".join(f"w{i % 97}" for i in range(30_000))
+    texts = [None, None, "", "one two three four five six seven", "one two three four five six seven", "one two three four five six seven eight", long, "password = hunter22 here", "x"]
+    rows = [(None if i % 4 == 1 else i // 2, t, 1.5, None, "k", None if t is None else len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, sha string, row string, n_chars long")
+    spark.createDataFrame([(1, 0), (None, 1), (3, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        sizes.append(docs.count())
+    kept = {(r.text or "") for r in docs.collect()}
+    # 9 rows, of which five texts repeat or are near; the empty text counts once.
+    assert sizes[0] == 9 and sizes[1] == 6 and kept >= {"", long, "x", "[secret] here"} and len(kept) == sizes[3]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.filter("piece = 0").count() == docs.count()
+
+
+def test_a_step_takes_its_checkpoints_along(spark):
+    from tidewire.llm import common
+
+    before = None
+
+    def step():
+        nonlocal before
+        common.scratch_dir(spark)
+        out = common.checkpointed(spark.range(10))
+        before = common.checkpoints(spark)
+        return out
+
+    assert common.finished(spark, step, "step").count() == 10
+    assert len(before - common.checkpoints(spark)) == 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -108,14 +109,26 @@ def stored(df: DataFrame, label: str, files: int | None = None, codec: str = "sn
 def checkpointed(df: DataFrame, files: int = 1) -> DataFrame:
     """Cut the lineage of narrow rows by a checkpoint in the shared folder, in so many files.
 
-    For steps of a loop: a checkpoint costs the store far fewer calls than a table does.
+    For steps of a loop: a checkpoint costs the store far fewer calls than a table does. It goes with the
+    scratch of its step.
     """
     spark = df.sparkSession
     base = scratch_dir(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
+    before = checkpoints(spark)
     with cleaned_shuffles(spark):
-        return df.repartition(files).checkpoint()
+        out = df.repartition(files).checkpoint()
+    if _STEPS:
+        _STEPS[-1] += [f"{path}/x" for path in checkpoints(spark) - before]
+    return out
+
+
+def checkpoints(spark: SparkSession) -> set[str]:
+    """Folders of this driver's checkpoints."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get())
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {s.getPath().toString() for s in fs.listStatus(folder)} if fs.exists(folder) else set()
 
 
 @contextmanager
@@ -159,26 +172,38 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
 
 
 class Memo(dict):
-    """A dict that fills itself by a function and stays bounded.
+    """A dict that fills itself by a function and stays bounded, in entries and in bytes.
 
-    When it is full it becomes the old generation, from which what is asked for again comes back.
+    When it is full it becomes the old generation, from which what is asked for again comes back. Keys over
+    LONGEST_KEY characters are not kept: a text without spaces is one key, and hardly comes twice.
     """
 
-    def __init__(self, make: Callable, most: int = 200_000):
+    LONGEST_KEY = 64
+
+    def __init__(self, make: Callable, most: int = 200_000, most_bytes: int = 48 << 20):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.most_bytes, self.bytes, self.old = make, most, most_bytes, 0, {}
 
     def __missing__(self, key):
+        if len(key) > self.LONGEST_KEY:
+            return self.make(key)
         value = self.old[key] if key in self.old else self.make(key)
-        if len(self) >= self.most:
+        if len(self) >= self.most or self.bytes >= self.most_bytes:
             self.old = dict(self)
             self.clear()
+            self.bytes = 0
         self[key] = value
+        self.bytes += held(key) + held(value) + 100
         return value
 
     def forget(self) -> None:
         self.clear()
-        self.old = {}
+        self.bytes, self.old = 0, {}
+
+
+def held(x: object) -> int:
+    """Bytes of a key or value, members of a tuple too."""
+    return sys.getsizeof(x) + (sum(map(sys.getsizeof, x)) if isinstance(x, tuple) else 0)
 
 
 #: What a worker keeps between tasks, by purpose, and the purpose that it served last.

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -109,37 +110,51 @@ class TextModel:
         return x / x.sum() if len(x) else x
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = 500) -> TextModel:
+#: Languages that a model has at most: each is a table of SLOTS numbers in every task.
+MOST_LANGUAGES = 512
+
+
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = 500, most_languages: int = MOST_LANGUAGES) -> TextModel:
     """Trigram models of all labelled languages, from a sample of about `per_language` documents each.
 
-    Only counts come to the driver: one array of fixed size (256 kB) per language.
+    Documents are drawn by a hash of their id, those without one by a hash of their text. Counts are summed
+    by language and slot; the driver gets one packed array a language. More than `most_languages`
+    distinct labels are an error: such a column does not name languages.
     """
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r["lang"]: r["count"] for r in known.groupBy(F.col(lang_col).cast("string").alias("lang")).count().collect()}
+    spark = docs.sparkSession
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")
+    )
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"{lang_col} has more than {most_languages} labels")
     languages = sorted(sizes)
     if not languages:
         return TextModel([], np.empty((0, SLOTS)))
-    shares = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(min(1.0, per_language / sizes[name])))])
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 20))
-    picked = known.filter(draw < F.element_at(shares, F.col(lang_col).cast("string")) * (1 << 20))
-    place = {name: i for i, name in enumerate(languages)}
+    shares = spark.createDataFrame([(name, i, min(1.0, per_language / sizes[name])) for i, name in enumerate(languages)], "lang string, who int, share double")
+    draw = F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text", F.lit(7))).otherwise(F.xxhash64("id", F.lit(7))), F.lit(1 << 20))
+    picked = known.join(F.broadcast(shares), "lang").filter(draw < F.col("share") * (1 << 20)).select("who", "text")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         found: dict[int, np.ndarray] = {}
-        for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for who, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             own = np.bincount(trigrams(text), minlength=SLOTS)
-            found[place[lang]] = found[place[lang]] + own if place[lang] in found else own
+            found[who] = found[who] + own if who in found else own
         slots = {who: np.flatnonzero(n) for who, n in found.items()}
         who = np.repeat(np.array(list(slots), np.int32), [len(x) for x in slots.values()])
         slot = np.concatenate([*slots.values(), np.empty(0, np.int64)]).astype(np.int32)
         n = np.concatenate([*(found[w][x] for w, x in slots.items()), np.empty(0, np.int64)])
         return pa.RecordBatch.from_arrays([pa.array(who, pa.int32()), pa.array(slot), pa.array(n, pa.int64())], names=["who", "slot", "n"])
 
-    texts = picked.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    sums = map_batches(texts, count, "who int, slot int, n long").groupBy("who", "slot").agg(F.sum("n").alias("n"))
+    def packed(table: pa.Table) -> pa.Table:
+        counts = np.zeros(SLOTS, np.int64)
+        counts[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+        return pa.table({"who": table.column("who").slice(0, 1), "counts": pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())})
+
+    sums = map_batches(picked, count, "who int, slot int, n long").groupBy("who", "slot").agg(F.sum("n").alias("n"))
     counts = np.full((len(languages), SLOTS), ALPHA)
-    for r in sums.collect():
-        counts[r["who"], r["slot"]] += r["n"]
+    for r in sums.groupBy("who").applyInArrow(packed, "who int, counts binary").collect():
+        counts[r["who"]] += np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     return TextModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)))
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from tidewire.llm.common import Memo, map_batches
+from tidewire.llm.common import Memo, kept_for, map_batches, serving
 
 MARK = "▁"
 
@@ -186,11 +186,15 @@ def codec(model_file: str) -> PieceCodec:
     return PieceCodec(model_file)
 
 
+kept_for("pieces", codec.cache_clear)
+
+
 def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: number of ids, digests of the ids and of the decoded text. No shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        serving("pieces")
         c = codec(model_file)
         first, last = np.array([c.bos], "<u4").tobytes(), np.array([c.eos], "<u4").tobytes()
         n, ids_sha, text_sha = [], [], []

@@ -13,6 +13,7 @@ usable labels (none, or of one class) the model keeps all that passes the base r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import map_batches, rolling, word_hashes
+from tidewire.llm.common import map_batches, rolling, small_batches, word_hashes
 
 #: Fixed base rules: least words, and most per cent of words in repeated three-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
@@ -222,21 +223,31 @@ def train_forest(
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text", where=None
+    docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text", where=None, only: int | None = None
 ) -> DataFrame:
-    """Rows (body, y) of at most so many labelled ids, picked by a hash of the id: a bounded, stable sample.
+    """At most so many rows (body, y), one for each labelled id, picked by a hash of the id: a bounded, stable sample.
 
-    The ids are picked from the labels alone; what is broadcast is at most that many ids.
+    The ids are picked from the labels alone; what is broadcast is at most that many ids. An id with both labels
+    has label 1. Of rows with one id the text with the smallest hash is taken: the hash is found by an aggregation of
+    numbers, and a task passes on the text of an id once, so that an id of many rows is never gathered.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull())
-    ids = (
-        (known if where is None else known.filter(where))
-        .select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y"))
-        .orderBy(F.xxhash64("__id"), "__id", "y")
-        .limit(most)
-    )
-    bodies = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("body"))
-    return bodies.join(F.broadcast(ids), "__id").select("body", "y")
+    one = (known if where is None else known.filter(where)).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    ids = F.broadcast((one if only is None else one.filter(F.col("y") == only)).orderBy(F.xxhash64("__id"), "__id").limit(most))
+    bodies = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("body")).withColumn("__hash", F.xxhash64("body"))
+    chosen = F.broadcast(bodies.join(ids, "__id").groupBy("__id", "y").agg(F.min("__hash").alias("__hash")))
+    rows = bodies.join(chosen, ["__id", "__hash"]).select("__id", "y", "body")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            new = [not (i in seen or seen.add(i)) for i in batch.column(0).to_pylist()]
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    kind = rows.schema["__id"].dataType.simpleString()
+    found = rows.mapInArrow(once, f"__id {kind}, y int, body string").groupBy("__id", "y").agg(F.min("body").alias("body"))
+    return found.select("body", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 4000) -> Forest:

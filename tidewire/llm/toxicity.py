@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import Memo, kept_for, map_batches, serving
+from tidewire.llm.common import Memo, files_for, kept_for, map_batches, serving, stored
 from tidewire.llm.quality_rules import Forest, labelled_sample, train_forest
 
 #: Fixed values. Characters stripped from a word's ends, look-alikes of letters, quotation marks,
@@ -247,6 +247,39 @@ def learn_lexicon(counts: list, n1: int, n0: int, w1: int, w0: int, most: int =
     return Lexicon(entries)
 
 
+#: Candidates that come to the driver at a time.
+PAGE = 2000
+
+
+def evidence_column(n1: int, n0: int) -> Column:
+    """evidence() of the columns a and b."""
+    total, a, b = n1 + n0, F.col("a"), F.col("b")
+    parts = ((a, a + b, n1), (b, a + b, n0), (n1 - a, total - a - b, n1), (n0 - b, total - a - b, n0))
+    part = lambda seen, row, n: F.when(seen > 0, 2 * seen * F.log(seen * total / (row * n))).otherwise(0.0)
+    g = sum((part(*p) for p in parts[1:]), part(*parts[0]))
+    return F.when(a / max(n1, 1) <= b / max(n0, 1), 0.0).otherwise(g) if n1 and n0 else F.lit(0.0)
+
+
+def rows_of_lexicon(counted: DataFrame, n1: int, n0: int, most: int, least: float = 20.0) -> list[tuple]:
+    """The counts of the terms that learn_lexicon takes of all terms, and of those that extend or begin one of them.
+
+    Candidates are read best first, a page at a time, without what extends or begins a term that is taken
+    already, until there are enough or none is left.
+    """
+    scored = counted.filter("term <> '' and a >= 4").withColumn("g", evidence_column(n1, n0)).filter("g > 0")
+    near = lambda roots: F.exists(F.array(*map(F.lit, roots)), lambda r: F.col("term").startswith(r) | r.startswith(F.col("term"))) if roots else F.lit(False)
+    roots: list[str] = []
+    order = [F.col("g").desc(), F.length("term").desc(), F.col("stem"), F.col("term")]
+    while len(roots) < most:
+        page = [r["term"] for r in scored.filter((F.col("g") >= least) & ~near(roots)).orderBy(*order).limit(PAGE).select("term").collect()]
+        for term in page:
+            if len(roots) < most and not any(term.startswith(t) or t.startswith(term) for t in roots):
+                roots.append(term)
+        if len(page) < PAGE:
+            break
+    return [tuple(r) for r in scored.filter(near(roots)).select("term", "stem", "a", "b", "ta", "tb").collect()]
+
+
 FEATURES = {
     "log_words": 0,
     "rate_evidence": 1,  # Poisson log-likelihood ratio of all exact hits
@@ -374,13 +407,14 @@ def train(
 
     The forest's rows are weighted by the share of their class that was taken, so that a score means
     the same whether or not the sample was cut.
-    Terms are counted where the texts are and summed by a grouped aggregation; the driver gets the
-    4000 terms with most toxic documents, then the features of the sample.
+    Terms are counted where the texts are and summed by a grouped aggregation; the driver gets the terms of the
+    lexicon with their words, however many were candidates, then the features of the sample.
     """
     usable = ~held_out(id_col)
-    halves = [labelled_sample(docs, labels, label, most // 2, id_col, text_col, usable & (F.col(label) == y)) for y in (1, 0)]
-    sample = halves[0].unionByName(halves[1])
-    known = labels.filter(usable & F.col(id_col).isNotNull()).agg(*(F.count(F.when(F.col(label) == y, 1)) for y in (0, 1))).first()
+    halves = [labelled_sample(docs, labels, label, most // 2, id_col, text_col, usable, y) for y in (1, 0)]
+    sample = stored(halves[0].unionByName(halves[1]).repartition(files_for(most, 500)), "toxicity-sample")
+    ids = labels.filter(usable & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label).cast("int")).alias("y"))
+    known = ids.agg(*(F.count(F.when(F.col("y") == y, 1)) for y in (0, 1))).first()
     weights = np.array([n / max(min(n, most // 2), 1) for n in known], float)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -393,17 +427,14 @@ def train(
         arrays = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), *(pa.array(c, pa.int64()) for c in cols[2:])]
         return pa.RecordBatch.from_arrays(arrays, names=["term", "stem", "a", "b", "ta", "tb"])
 
-    counted = map_batches(sample, count, "term string, stem boolean, a long, b long, ta long, tb long").groupBy("term", "stem").agg(
+    counts = map_batches(sample, count, "term string, stem boolean, a long, b long, ta long, tb long").groupBy("term", "stem").agg(
         *(F.sum(c).alias(c) for c in ("a", "b", "ta", "tb"))
     )
-    # Terms that are commoner among toxic documents, and the totals under the empty term.
-    kept = counted.filter("term = '' or a >= 4").orderBy(
-        (F.col("term") == "").desc(), (F.col("a") / (F.col("b") + 2) * F.sqrt("a")).desc(), "term", "stem"
-    )
-    rows = [tuple(r) for r in kept.limit(4001).collect()]
-    if not rows or rows[0][0] != "":
+    counted = stored(counts, "toxicity-terms")
+    totals = counted.filter("term = ''").select("a", "b", "ta", "tb").first()
+    if not totals:
         return ToxicityModel(Lexicon([]), train_forest(np.empty((0, len(FEATURES))), np.empty(0), list(FEATURES.values())))
-    lexicon = learn_lexicon(rows[1:], *rows[0][2:], most=terms)
+    lexicon = learn_lexicon(rows_of_lexicon(counted, totals["a"], totals["b"], terms), *totals, most=terms)
     model = ToxicityModel(lexicon, None)
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
