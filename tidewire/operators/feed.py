@@ -4,7 +4,7 @@ Item frames have id, title, url, sourceId, sourceName, publishedAt (timestamp),
 image, excerpt, hasContent and ord, the item's place in the snapshot, which ends every order so
 that ties are stable. "Now" is always a parameter.
 
-Whole-feed positions (ranks over all rows) are only taken after a limit or over keys, so no window
+Whole-feed positions come from ranges of the order (feed_pages) or are taken after a limit or over keys, so no window
 runs over an unpartitioned feed; top rows come from sort and limit, which Spark merges in parallel.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import text_or_empty, title_key
+from tidewire.operators.order import Ordered
 from tidewire.operators.rules import SECTIONS
 
 #: Cards of a batch; hours of the rank's decay; the top block's age, coverage and size;
@@ -87,7 +88,10 @@ def promote_lead(first: DataFrame, batch: int = BATCH) -> DataFrame:
 
 
 def page(ordered: DataFrame, order: list[Column], start: int, size: int = BATCH) -> DataFrame:
-    """Rows start+1 .. start+size of an order, with rn. Only the first start+size rows meet in one task."""
+    """Rows start+1 .. start+size of an order, with rn, for the first pages: the first start+size rows meet in one task.
+
+    Deep pages are read from a feed that is stored in its order (feed_pages).
+    """
     top = ordered.orderBy(*order).limit(start + size)
     numbered = top.withColumn("rn", F.row_number().over(Window.orderBy(*order)))
     return numbered.filter(F.col("rn") > start)
@@ -201,6 +205,12 @@ def ranked_order() -> list[Column]:
     return [F.col("score").desc(), *newest_first()]
 
 
+def feed_pages(shown: DataFrame, order: list[Column], path: str, batch: int = BATCH) -> tuple[Ordered, DataFrame]:
+    """A feed stored in its order, from which Ordered.page reads single pages, and all its rows with place and page (both from 1)."""
+    ordered = Ordered.store(shown, order, path)
+    return ordered, ordered.numbered().withColumn("page", F.floor((F.col("rn") - 1) / batch) + 1)
+
+
 def top_stories_block(shown: DataFrame, stories: DataFrame, now: datetime | Column) -> DataFrame:
     """Most covered recent stories with a member in the feed: story_id, lead_id, sources, score, rn.
 

@@ -190,6 +190,9 @@ cards AS (
 SELECT p.ord, p.id, round(coalesce(story_sources, 1) * {RANK.replace("published_at)", "p.published_at)", 2).replace("max(p.published_at)", "max(published_at)")}, 6) AS score
 FROM cards JOIN placed p USING (ord)"""
 
+ORACLES["ranked_pages"] = f"""WITH ranked AS ({ORACLES["ranked_feed"].replace("round(", "(").replace(", 6) AS score", ") AS score, p.published_at")})
+SELECT row_number() OVER w AS rn, (row_number() OVER w - 1) // 12 + 1 AS page, ord FROM ranked WINDOW w AS (ORDER BY score DESC, published_at DESC, ord)"""
+
 ORACLES["top_block"] = f"""WITH {FEED}, {STORIES}, {ONE},
 fresh AS (SELECT * FROM members WHERE sources >= 2 AND epoch_us({NOW}) - epoch_us(story_at) <= 36 * 3600 * 1000000::BIGINT),
 scored AS (
@@ -441,6 +444,18 @@ norms AS (SELECT ord, sqrt(sum(w * w)) AS norm FROM raw GROUP BY ord),
 unit AS (SELECT ord, term, w / norm AS w FROM raw JOIN norms USING (ord))
 SELECT x.ord AS a, y.ord AS b, round(sum(x.w * y.w), 6) AS cosine FROM unit x JOIN unit y ON x.term = y.term AND x.ord < y.ord GROUP BY x.ord, y.ord HAVING sum(x.w * y.w) >= 0.42"""
 
+ORACLES["similar_classes"] = f"""WITH {FEED}, {COUNTS.replace('{0}', 'feed')},
+df AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+signs AS (SELECT ord, string_agg(term || ':' || tf, ' ' ORDER BY term) AS sign FROM counts GROUP BY ord),
+who AS (SELECT ord, min(ord) OVER (PARTITION BY sign) AS first FROM signs),
+raw AS (SELECT ord, term, tf * (ln(((SELECT count(*) FROM feed) + 1) / (df + 1)) + 1) AS w FROM counts JOIN df USING (term)),
+norms AS (SELECT ord, sqrt(sum(w * w)) AS norm FROM raw GROUP BY ord),
+unit AS (SELECT ord, term, w / norm AS w FROM raw JOIN norms USING (ord) JOIN who USING (ord) WHERE ord = first)
+SELECT x.ord AS a, y.ord AS b, round(sum(x.w * y.w), 6) AS cosine FROM unit x JOIN unit y ON x.term = y.term AND x.ord < y.ord GROUP BY x.ord, y.ord HAVING sum(x.w * y.w) >= 0.42
+UNION ALL SELECT first, ord, 1.0 FROM who WHERE first <> ord"""
+ORACLES["kept_frequencies"] = f"""WITH {FEED}, kept AS (SELECT * FROM feed WHERE NOT (ord % 3 < 2 AND ord % 5 = 0)), {COUNTS.replace('{0}', 'kept')}
+SELECT term, count(*) AS df FROM counts GROUP BY term UNION ALL SELECT '', count(*) FROM kept"""
+
 # --- stories and treemap, step by step --------------------------------------------------------
 
 CLUSTERED = f"""WITH RECURSIVE {FEED},
@@ -459,8 +474,9 @@ told AS (
 ORACLES["story_clusters"] = f"{CLUSTERED} SELECT pos::INT AS pos, id, sources, members FROM told"
 ORACLES["top_stories"] = f"""{CLUSTERED}
 SELECT row_number() OVER (ORDER BY sources DESC, latest DESC, pos) AS rank, id, sources, members FROM told WHERE sources >= 2 QUALIFY rank <= 200"""
-ORACLES["story_epochs"] = f"""WITH {KEPT},
-g AS (SELECT ord, published_at, (coalesce(lag(published_at) OVER w - published_at > INTERVAL 36 HOUR, FALSE))::INT AS gap FROM feed WINDOW w AS (ORDER BY published_at DESC, ord))
+ORACLES["story_epochs"] = f"""WITH {FEED},
+quiet AS (SELECT ord, published_at - to_days((ord // 37 % 11 * 3)::INT) AS published_at FROM feed),
+g AS (SELECT ord, published_at, (coalesce(lag(published_at) OVER w - published_at > INTERVAL 36 HOUR, FALSE))::INT AS gap FROM quiet WINDOW w AS (ORDER BY published_at DESC, ord))
 SELECT ord, sum(gap) OVER (ORDER BY published_at DESC, ord)::BIGINT AS part FROM g"""
 ORACLES["treemap_layout"] = f"""WITH RECURSIVE {BOARD},
 shown0 AS (SELECT ticker, sector, weight, change, row_number() OVER (ORDER BY weight DESC, ord) AS rn FROM shares WHERE weight <> 0 ORDER BY weight DESC, ord LIMIT 40),

@@ -218,6 +218,16 @@ def ranked_feed(spark, sf_dir):
     return out.select("ord", "id", F.round("score", 6).alias("score"))
 
 
+@query
+def ranked_pages(spark, sf_dir):
+    """Every item of the ranked feed with its place and page."""
+    i = views.feed_items(spark, sf_dir)
+    one = i.join(i.groupBy("id").agg(F.min("ord").alias("ord")), ["id", "ord"], "left_semi")
+    ranked = feed.ranked_feed(one.select("id", "ord", "publishedAt"), views.headline_members(i), now_of(i))
+    _, numbered = feed.feed_pages(ranked, feed.ranked_order(), views.scratch(spark, "ranked"))
+    return numbered.select("rn", "page", "ord")
+
+
 @query
 def top_block(spark, sf_dir):
     """T5, J9."""
@@ -647,11 +657,27 @@ def term_frequencies(spark, sf_dir):
 
 @query
 def similar_items(spark, sf_dir):
-    """A10: pairs of all items that the snapshot keeps (KEEP_ITEMS, as story clusters) with a cosine of 0.42."""
+    """A10: pairs of all items that the snapshot keeps (KEEP_ITEMS, as story clusters) with a cosine of 0.42, by a join of prefixes."""
     kept = views.feed_items(spark, sf_dir).orderBy(*feed.newest_first()).limit(snapshot.KEEP_ITEMS)
     return stories.similar_pairs(stories.vectors(kept)).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
+@query
+def similar_classes(spark, sf_dir):
+    """A10 over all items: copies with the first of them, and pairs of firsts."""
+    return stories.similar_classes(views.feed_items(spark, sf_dir)).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@query
+def kept_frequencies(spark, sf_dir):
+    """A8 across snapshots: document frequencies after three merges that add a third of the items each and drop what is too old."""
+    i = views.feed_items(spark, sf_dir).withColumn("batch", F.col("ord") % 3)
+    table = stories.empty_frequencies(i)
+    for k in range(3):
+        table = stories.kept_frequencies(table, i.filter(F.col("batch") == k), i.filter(F.col("batch") == k - 1).filter("ord % 5 = 0"))
+    return table
+
+
 @query
 def story_clusters(spark, sf_dir):
     """A11, A12, ST7 with the snapshot's cut of 4000 items."""
@@ -661,9 +687,10 @@ def story_clusters(spark, sf_dir):
 
 @query
 def story_epochs(spark, sf_dir):
-    """ST7: the kept items in groups that no story can reach across."""
-    kept = views.feed_items(spark, sf_dir).select("ord", "publishedAt").orderBy(*feed.newest_first()).limit(snapshot.KEEP_ITEMS)
-    return stories.with_epoch(kept).select("ord", "part")
+    """ST7: all items, with quiet days between them, in groups that no story can reach across."""
+    quiet = F.make_dt_interval(F.floor(F.col("ord") / 37) % 11 * 3)
+    items = views.feed_items(spark, sf_dir).select("ord", (F.col("publishedAt") - quiet).alias("publishedAt"))
+    return stories.with_epoch(items, path=views.scratch(spark, "spans")).select("ord", "part")
 
 
 @query
