@@ -168,8 +168,6 @@ def test_company_news(spark):
     for i, (t, want) in enumerate(NEWS):
         assert found.get(i, set()) - {"ZZZ"} == want, t
     assert "ZZZ" in found[7]
-    with pytest.raises(ValueError):
-        company.company_news(items, names, most_companies=3)
 
 
 # --- treemap --------------------------------------------------------------------------------

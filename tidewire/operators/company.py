@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,38 +49,159 @@ ALIASES = {
 }
 
 
+#: Longest n-gram of the index; a literal that is shorter is a gram itself.
+GRAM = 3
+#: Bits of the filter that texts' grams pass before they are shuffled: a fixed 128 KB, whatever the number of companies.
+FILTER_BITS = 1 << 20
+#: What ends a literal in a pattern: classes, escapes of classes, dots, anchors.
+_GROUP = re.compile(r"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.|\([^()]*\))*\))*\)")
+_CLASS = re.compile(r"\[(?:[^\]\\]|\\.)*\]|\\p\{\w+\}|\\[A-Za-z]|(\\.)|[.^$]", re.S)
+_PART = re.compile(r"\0[*+?]?(?:\{[^}]*\})?[?+]?|(\\.|[^\0\\])([*?]|\{[^}]*\})|(\\.|[^\0\\])\+|(\\.|[^\0\\])", re.S)
+
+
+def literals(pattern: str) -> list[str]:
+    """For each alternative of a pattern the longest text that its every match holds; groups and classes part texts."""
+    plain = _CLASS.sub(lambda m: m[1] or "\0", _GROUP.sub("\0", pattern))
+    out = []
+    for branch in re.split(r"(?<!\\)\|", plain):
+        runs = [""]
+        for m in _PART.finditer(branch):
+            kept = m[4] or m[3]
+            runs[-1] += kept[-1] if kept else ""
+            if not m[4]:
+                runs.append("")
+        out.append(max(runs, key=len))
+    return out
+
+
 def patterns(companies: DataFrame) -> DataFrame:
-    """ticker, pattern: the alias, else the name without brackets and share class, escaped; none under 3 characters."""
-    table = companies.sparkSession.createDataFrame(list(ALIASES.items()), "ticker string, alias string")
+    """ticker, pattern, anchors: the alias, else the name without brackets and share class, escaped; none under 3 characters.
+
+    Every match of the pattern holds one of the anchors.
+    """
+    known = [(ticker, alias, literals(alias)) for ticker, alias in ALIASES.items()]
+    table = companies.sparkSession.createDataFrame(known, "ticker string, alias string, parts array<string>")
     bare = F.regexp_replace(text_or_empty("name"), r"\s*\(.*?\)\s*", " ")
     bare = F.trim(F.regexp_replace(bare, r"(?iu)[-\s]*(?:ао|ап|прив\.?|обыкн\.?)\s*$", ""))
-    escaped = F.when(F.length(bare) >= 3, F.regexp_replace(bare, r"([.*+?^${}()|\[\]\\])", r"\\$1"))
-    named = companies.select("ticker", escaped.alias("own")).join(F.broadcast(table), "ticker", "left")
-    return named.select("ticker", F.coalesce("alias", "own").alias("pattern")).filter("pattern is not null")
+    named = companies.select("ticker", F.when(F.length(bare) >= 3, bare).alias("bare")).join(F.broadcast(table), "ticker", "left")
+    own = F.regexp_replace("bare", r"([.*+?^${}()|\[\]\\])", r"\\$1")
+    found = named.select("ticker", F.coalesce("alias", own).alias("pattern"), F.coalesce("parts", F.array("bare")).alias("anchors"))
+    return found.filter("pattern is not null")
 
 
 def mentions(text: Column, pattern: Column) -> Column:
     return F.regexp_like(text, F.concat(F.lit("(?iu)"), pattern))
 
 
-def company_news(items: DataFrame, companies: DataFrame, hidden: Sequence[str] = (), most: int = NEWS, most_companies: int = 1000) -> DataFrame:
-    """ticker, id, rn: the newest items that name a company.
+@cache
+def folded() -> np.ndarray:
+    """For each code point the one that stands for it where case does not count: its capital's small letter."""
+    table = np.arange(0x110000, dtype=np.uint32)
+    for i in range(0x110000):
+        c = chr(i)
+        up = c.upper()
+        low = (up if len(up) == 1 else c).lower()
+        table[i] = ord(low[0])
+    return table
+
+
+def codes(text: str) -> np.ndarray:
+    return folded()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
+
+
+def grams(points: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of all n-grams: 21 bits a code point, so that different grams have different numbers."""
+    if len(points) < n:
+        return np.empty(0, np.int64)
+    out = np.zeros(len(points) - n + 1, np.uint64)
+    for k in range(n):
+        out = out << np.uint64(21) | (points[k : len(points) - n + 1 + k] + np.uint64(1) & np.uint64(0x1FFFFF))
+    return out.astype(np.int64)
+
+
+def bit_of(gram: np.ndarray) -> np.ndarray:
+    """The bit of a gram in the filter."""
+    return ((gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64) % FILTER_BITS
+
+
+def anchor_grams(table: DataFrame) -> DataFrame:
+    """ticker, pattern, anchor, gram: all grams of every anchor. An anchor of no length stands under gram 0, which all texts have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(grams(codes(a), min(GRAM, len(a)))) if a else np.zeros(1, np.int64) for a in batch.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["ticker", "pattern", "anchor", "gram"])
 
-    A name can stand anywhere in a text, so every item is held against the patterns; they are one
-    array in each task, so that this is a scan of the items, never a product of two tables. The
-    array is bounded by most_companies; more must be split by the caller. Per company only the
-    newest items of each task travel.
+    rows = table.select("ticker", "pattern", F.explode("anchors").alias("anchor")).distinct()
+    return rows.mapInArrow(run, "ticker string, pattern string, anchor string, gram long")
+
+
+def filter_of(index: DataFrame) -> np.ndarray:
+    """Which bits the index's grams have: at most FILTER_BITS / 64 words come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            own[bit_of(batch.column(0).to_numpy())] = True
+        words = np.packbits(own, bitorder="little").view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
+
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in index.select("gram").mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).collect():
+        words[r["at"]] = r["word"]
+    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+
+
+def text_grams(items: DataFrame, index: DataFrame) -> DataFrame:
+    """row, gram: the distinct grams of each text (columns row and text) that can be in the index."""
+    bits = filter_of(index)
+    sizes = range(1, GRAM + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(1).to_pylist():
+                points = codes(text)
+                own = np.concatenate([np.zeros(1, np.int64), *(grams(points, n) for n in sizes)])
+                found.append(np.unique(own[bits[bit_of(own)]]))
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["row", "gram"])
+
+    kind = items.schema["row"].dataType.simpleString()
+    return items.select("row", "text").mapInArrow(run, f"row {kind}, gram long")
+
+
+def rarest_grams(index: DataFrame, seen: DataFrame) -> DataFrame:
+    """ticker, pattern, gram: of every anchor the gram that the fewest texts have; anchors with a gram that no text has are out."""
+    uses = seen.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
+    counted = index.join(uses, "gram", "left").groupBy("ticker", "pattern", "anchor")
+    best = counted.agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "gram")).alias("best"))
+    return best.filter("best.uses > 0").select("ticker", "pattern", F.col("best.gram").alias("gram")).distinct()
+
+
+def company_mentions(items: DataFrame, companies: DataFrame) -> DataFrame:
+    """ticker, ord: every item whose title or excerpt names a company.
+
+    Each pattern has literals one of which every match holds. Of each literal the rarest n-gram is looked for
+    among the texts' grams by an equi-join; what meets there is tested with the whole pattern. So a text is held
+    against the companies that it may name, and there may be any number of them. ord tells items apart.
     """
-    table = patterns(companies)
-    known = table.limit(most_companies + 1).collect()
-    if len(known) > most_companies:
-        raise ValueError(f"more than {most_companies} companies: split the list")
-    if not known:
-        return items.select(F.lit("").alias("ticker"), "id", F.lit(0).alias("rn")).limit(0)
     text = F.concat(text_or_empty("title"), F.lit(" "), text_or_empty("excerpt"))
-    # Literal patterns are compiled once per task. One pass over all of them spares most texts a pass for each.
-    hits = F.filter(F.array(*[F.when(text.rlike("(?iu)" + r["pattern"]), F.lit(r["ticker"])) for r in known]), lambda t: t.isNotNull())
-    any_of = "(?iu)" + "|".join(sorted({f"(?:{r['pattern']})" for r in known}))
-    found = items.filter(visible(hidden) & text.rlike(any_of)).withColumn("ticker", F.explode(hits))
+    rows = items.select(F.col("ord").alias("row"), text.alias("text"))
+    index = anchor_grams(patterns(companies))
+    seen = text_grams(rows, index)
+    # Dealt anew, so that a gram that most texts have is split in the join.
+    chosen = rarest_grams(index, seen).hint("rebalance")
+    candidates = seen.join(chosen, "gram").select("row", "ticker", "pattern").distinct()
+    tested = candidates.join(rows, "row").filter(mentions(F.col("text"), F.col("pattern")))
+    return tested.select("ticker", F.col("row").alias("ord")).distinct()
+
+
+def company_news(items: DataFrame, companies: DataFrame, hidden: Sequence[str] = (), most: int = NEWS) -> DataFrame:
+    """ticker, id, rn: the newest items that name a company. Per company only the newest items of each task travel."""
+    shown = items.filter(visible(hidden))
+    found = company_mentions(shown, companies).join(shown.select("ord", "id", "publishedAt"), "ord")
     rn = F.row_number().over(Window.partitionBy("ticker").orderBy(*newest_first()))
-    return found.select("ticker", "id", "publishedAt", "ord").withColumn("rn", rn).filter(F.col("rn") <= most).select("ticker", "id", "rn")
+    return found.withColumn("rn", rn).filter(F.col("rn") <= most).select("ticker", "id", "rn")

@@ -377,12 +377,14 @@ NEWS = [
 ]
 SPICE = lit(["Газпром нефть растёт", "Газпром снизил", "сбербанк", "Сберегательные", "Полюса добыла", "Яндекс", "fix price"])
 ORACLES["company_news"] = f"""WITH {FEED},
-i AS (SELECT *, lower(title || ' ' || excerpt || ' ' || coalesce(({SPICE})[(ord % 13)::INT + 1], '')) AS t FROM feed WHERE {VISIBLE}),
-hits AS ({' UNION ALL '.join(f"SELECT '{k}' AS ticker, id, published_at, ord FROM i WHERE {c}" for k, c in NEWS)})
+named AS (SELECT p_partkey, lower(p_name || ' ' || p_partkey) AS name FROM part),
+i AS (SELECT f.*, lower(title || ' ' || excerpt || ' ' || coalesce(({SPICE})[(ord % 13)::INT + 1], '') || coalesce(' ' || name, '')) AS t
+      FROM feed f LEFT JOIN named ON p_partkey = ord WHERE {VISIBLE}),
+hits AS ({' UNION ALL '.join(f"SELECT '{k}' AS ticker, id, published_at, ord FROM i WHERE {c}" for k, c in NEWS)}
+  UNION ALL SELECT 'P' || p_partkey, id, published_at, ord FROM i JOIN named ON contains(t, name))
 SELECT ticker, id, (row_number() OVER (PARTITION BY ticker ORDER BY published_at DESC, ord))::INT AS rn FROM hits QUALIFY rn <= 6"""
 
 
-
 #: By hand: keys, signed tokens, tokens of hosts, bots, clouds, models, chats, vaults and swarms, users in addresses,
 #: parameters of addresses, assignments.
 BLANKED = (

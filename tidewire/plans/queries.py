@@ -637,12 +637,14 @@ def macro_strip(spark, sf_dir):
 
 @query
 def company_news(spark, sf_dir):
-    """J7, F30."""
-    i = views.feed_items(spark, sf_dir)
+    """Companies with an alias, and one for every part, whose name some item has."""
+    part = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"))
+    i = views.feed_items(spark, sf_dir).join(part, "ord", "left")
     spice = F.element_at(F.array(*map(F.lit, ("Газпром нефть растёт", "Газпром снизил", "сбербанк", "Сберегательные", "Полюса добыла", "Яндекс", "fix price"))), (F.col("ord") % 13 + 1).cast("int"))
-    i = i.withColumn("excerpt", F.concat(F.col("excerpt"), F.lit(" "), F.when(F.col("ord") % 13 < 7, spice).otherwise("")))
+    i = i.withColumn("excerpt", F.concat_ws(" ", "excerpt", F.when(F.col("ord") % 13 < 7, spice).otherwise(""), F.upper("name")))
     names = spark.createDataFrame([(t, t) for t in ("GAZP", "SIBN", "SBER", "PLZL", "YDEX", "FIXP")] + [("NEW1", "Thbleing (банк) ао"), ("NEW2", "ab")], "ticker string, name string")
-    return company.company_news(i, names, views.HIDDEN)
+    every = names.unionByName(part.select(F.concat(F.lit("P"), F.col("ord").cast("string")).alias("ticker"), F.concat("name", F.lit(" ао")).alias("name")))
+    return company.company_news(i, every, views.HIDDEN)
 
 
 # --- stories --------------------------------------------------------------------------------
