@@ -80,6 +80,14 @@ def display_date(ts: Column) -> Column:
     return F.coalesce(shown, F.lit(""))
 
 
+def compact_time(ts: Column, now: Column) -> Column:
+    """The time of an item on its card: Сегодня, 15:04 on the day of now; 9 сент., 15:04 in its year, with the year before it."""
+    day = F.concat(F.dayofmonth(ts).cast("string"), F.lit(" "), F.get(F.array(*map(F.lit, MONTHS)), F.month(ts) - 1))
+    year = F.when(F.year(ts) == F.year(now), "").otherwise(F.concat(F.lit(" "), F.year(ts).cast("string"), F.lit(" г.")))
+    shown = F.when(F.to_date(ts) == F.to_date(now), "Сегодня").otherwise(F.concat(day, year))
+    return F.coalesce(F.concat(shown, F.lit(", "), F.date_format(ts, "HH:mm")), F.lit(""))
+
+
 def chart_label(stamp: Column, range_name: str) -> Column:
     """Label of a chart point: time within a day, day and month otherwise."""
     s = F.coalesce(stamp, F.lit(""))

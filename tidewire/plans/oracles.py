@@ -251,9 +251,21 @@ ORACLES["pruned"] = f"""WITH {FEED},
 f AS (SELECT * REPLACE (CASE WHEN ord % 17 <> 0 THEN published_at END AS published_at) FROM feed)
 SELECT ord, id FROM f WHERE published_at IS NULL OR published_at >= (SELECT max(published_at) FROM f) - INTERVAL {KEEP_DAYS} DAY
 ORDER BY coalesce(published_at, TIMESTAMP '1970-01-01') DESC, ord LIMIT {KEEP_ITEMS}"""
-ORACLES["late_rows"] = f"""WITH {FEED},
-f AS (SELECT * REPLACE (CASE WHEN ord % 17 <> 0 THEN published_at END AS published_at) FROM feed)
-SELECT ord FROM f WHERE published_at < (SELECT max(published_at) FROM f) - INTERVAL 2 DAY"""
+OLD_DATES = f"""WITH {FEED},
+f AS (SELECT ord, CASE WHEN ord % 17 <> 0 THEN published_at - to_days((ord % 14)::INT) END AS published_at FROM feed)"""
+ORACLES["late_rows"] = f"{OLD_DATES} SELECT ord FROM f WHERE published_at < (SELECT max(published_at) FROM f) - INTERVAL {KEEP_DAYS} DAY"
+ORACLES["split_stream"] = f"""{OLD_DATES}
+SELECT ord, CASE WHEN published_at < (SELECT max(published_at) FROM f) - INTERVAL {KEEP_DAYS} DAY THEN 'late' ELSE 'kept' END AS sink FROM f"""
+ORACLES["merged_stream"] = ORACLES["merge_previous"]
+ORACLES["requested_pages"] = """WITH w AS (SELECT doc_id AS k, CASE WHEN doc_id % 4 = 0 OR doc_id % 7 > 2 THEN 99 ELSE doc_id % 7 END AS got, unnest(range(5)) AS r FROM documents)
+SELECT 'https://p.example/' || k AS url, r AS ord, CASE WHEN got = 99 THEN r < 3 ELSE r <= got + 3 END AS asked,
+       (CASE WHEN r < got THEN least(r + 1, 3) WHEN r > got THEN least(r - got, 3) END)::INT AS tries
+FROM w"""
+ORACLES["rewritten_buckets"] = """WITH
+bucketed AS (SELECT *, (('0x' || substr(md5(id), 1, 4))::INT % 64)::INT AS bucket FROM (
+  SELECT page_id::VARCHAR AS id, page_id % 50 AS k, page_id FROM pages UNION ALL SELECT page_id || '-new', 1009, page_id FROM pages WHERE page_id % 50 = 9) x)
+SELECT bucket, count(*) FILTER (WHERE k <> 8) AS articles, count(*) FILTER (WHERE k = 7) AS changed, bool_or(k IN (7, 8, 1009)) AS rewritten
+FROM bucketed GROUP BY bucket HAVING count(*) FILTER (WHERE k <> 8) > 0"""
 
 ORACLES["page_work"] = f"""WITH {FEED},
 w AS (SELECT ord, CASE WHEN source_id = 'src2' THEN 'habr' ELSE source_id END AS source_id FROM feed WHERE ord % 5 < 3 AND (ord % 3 = 0 OR source_id = 'src2')),
@@ -294,13 +306,13 @@ S = f"WITH {BOARD}"
 ORACLES["share_rows"] = f"{S} SELECT ticker, name, sector, price, round(change, 6) AS change, turnover, weight, basis FROM shares"
 ORACLES["board_tiles"] = f"{S} SELECT ticker, weight, round(change, 6) AS change FROM shares WHERE weight <> 0 ORDER BY weight DESC, ord LIMIT 40"
 ORACLES["ticker_tape"] = f"{S} SELECT ticker, turnover FROM shares ORDER BY turnover DESC, ord LIMIT 28"
-ORACLES["movers"] = f"""{S}, liquid AS (SELECT * FROM shares WHERE turnover >= 300000)
+ORACLES["movers"] = f"""{S}, liquid AS (SELECT * REPLACE (turnover * 100 AS turnover) FROM shares WHERE turnover * 100 >= 30000000)
 SELECT kind, rank, ticker, round(change, 6) AS change, turnover FROM (
   SELECT 'up' AS kind, row_number() OVER (ORDER BY change DESC, ord) AS rank, * FROM liquid WHERE change > 0
   UNION ALL SELECT 'down', row_number() OVER (ORDER BY change, ord), * FROM liquid WHERE change < 0
   UNION ALL SELECT 'turnover', row_number() OVER (ORDER BY turnover DESC, ord), * FROM liquid) x WHERE rank <= 5"""
 ORACLES["board_quotes"] = f"{S} SELECT ticker, name, price, round(change, 6) AS change, turnover FROM shares"
-ORACLES["quotes_for"] = f"""{S}, wanted AS (SELECT 'T' || p_partkey AS ticker, p_partkey AS k FROM part WHERE p_partkey % 10 = 0)
+ORACLES["quotes_for"] = f"""{S}, wanted AS (SELECT 'T' || p_partkey AS ticker, p_partkey AS k FROM part)
 SELECT w.ticker, name, price, round(change, 6) AS change, (s.ticker IS NOT NULL AND k % 20 = 0) AS from_tiles FROM wanted w LEFT JOIN shares s USING (ticker)"""
 ORACLES["up_and_down"] = f"{S} SELECT count(*) FILTER (WHERE change > 0) AS up, count(*) FILTER (WHERE change < 0) AS down, count(*) AS total FROM shares"
 ORACLES["index_values"] = """WITH p AS (SELECT p_partkey AS k, p_name AS name, CAST(p_retailprice AS DECIMAL(18,2))::DOUBLE AS price, p_size AS size FROM part)
@@ -325,17 +337,23 @@ SELECT ticker, CASE WHEN abs(change) < 0.1 THEN 'zero' ELSE CASE WHEN change > 0
        WHEN w >= n * 11 * 0.66 + 8 AND h >= 11 * 1.15 + 6 THEN 'sm' WHEN w >= n * 9 * 0.66 + 8 AND h >= 9 * 1.15 + 6 THEN 'micro' ELSE 'tiny' END AS fit
 FROM b"""
 ORACLES["sector_sums"] = f"""{S},
-per AS (SELECT sector, sum(CAST(weight AS DECIMAL(24,2)))::DOUBLE AS value, count(*) AS n FROM shares GROUP BY sector HAVING sum(weight) > 0),
-m AS (SELECT *, value / sum(value) OVER () < 0.03 AND sector <> 'Прочие' AS tiny FROM per),
+thirds AS (SELECT * REPLACE (CASE WHEN sector = 'Прочие' THEN sector ELSE sector || '-' || ord % 3 END AS sector) FROM shares),
+per AS (SELECT sector, sum(CAST(weight AS DECIMAL(24,2)))::DOUBLE AS value, count(*) AS n FROM thirds GROUP BY sector HAVING sum(weight) > 0),
+m AS (SELECT *, value / sum(value) OVER () < 0.02 AND sector <> 'Прочие' AS tiny FROM per),
 k AS (SELECT *, count(*) FILTER (WHERE tiny) OVER () AS tinies FROM m)
 SELECT CASE WHEN tiny AND tinies > 1 THEN 'Прочие' ELSE sector END AS sector, sum(CAST(value AS DECIMAL(24,2)))::DOUBLE AS value, sum(n)::BIGINT AS n FROM k GROUP BY 1"""
+MONTH = "['янв.', 'февр.', 'мар.', 'апр.', 'мая', 'июн.', 'июл.', 'авг.', 'сент.', 'окт.', 'нояб.', 'дек.'][month(shown)]"
 ORACLES["display_formats"] = f"""{S}, d AS (SELECT *, floor(weight) - floor(floor(weight) / 1e6) * 1e6 AS m, make_timestamp((1700000000 + ord * 100003)::BIGINT * 1000000) AS shown FROM shares)
 SELECT ticker, CASE WHEN ord % 10 = 1 AND ord % 100 <> 11 THEN 'источник' WHEN ord % 10 BETWEEN 2 AND 4 AND NOT ord % 100 BETWEEN 12 AND 14 THEN 'источника' ELSE 'источников' END AS plural,
   greatest(100, least(900, ord))::INT AS clamped,
   CASE WHEN floor(change) > 0 THEN '+' WHEN floor(change) < 0 THEN '−' ELSE '' END || abs(floor(change))::BIGINT || ',00%' AS change_text,
   CASE WHEN m >= 1000 THEN (m::BIGINT // 1000) || chr(160) || lpad((m::BIGINT % 1000)::VARCHAR, 3, '0') ELSE m::BIGINT::VARCHAR END || ' ₽' AS money,
   '1' || (ord % 10) || ':05 мск' AS clock,
-  CASE WHEN ord % 9 <> 0 THEN strftime(shown, '%-d ') || ['янв.', 'февр.', 'мар.', 'апр.', 'мая', 'июн.', 'июл.', 'авг.', 'сент.', 'окт.', 'нояб.', 'дек.'][month(shown)] || strftime(shown, ' %Y г., %H:%M') ELSE '' END AS shown_date
+  CASE WHEN ord % 9 <> 0 THEN strftime(shown, '%-d ') || ['янв.', 'февр.', 'мар.', 'апр.', 'мая', 'июн.', 'июл.', 'авг.', 'сент.', 'окт.', 'нояб.', 'дек.'][month(shown)] || strftime(shown, ' %Y г., %H:%M') ELSE '' END AS shown_date,
+  CASE WHEN ord % 9 = 0 THEN '' WHEN shown::DATE = DATE '2024-01-11' THEN strftime(shown, 'Сегодня, %H:%M')
+    ELSE strftime(shown, '%-d ') || {MONTH} || CASE WHEN year(shown) = 2024 THEN '' ELSE strftime(shown, ' %Y г.') END || strftime(shown, ', %H:%M') END AS card_time,
+  CASE WHEN ord % 9 = 0 THEN '' ELSE strftime(shown, '%H:%M') END AS day_label,
+  CASE WHEN ord % 9 = 0 THEN '2024-13-45' ELSE strftime(shown, '%-d ') || {MONTH} END AS month_label
 FROM d"""
 CANDLES = """candles AS (
   SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS begin, strftime(date_trunc('hour', ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS "end",

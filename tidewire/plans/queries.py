@@ -24,7 +24,8 @@ def query(fn: Query) -> Query:
 
 
 def now_of(items: DataFrame):
-    return items.agg(F.max("publishedAt")).first()[0]
+    """The newest time, as a value that the plan finds when it runs."""
+    return items.agg(F.max("publishedAt")).scalar()
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,9 +306,14 @@ def pruned(spark, sf_dir):
 
 @query
 def late_rows(spark, sf_dir):
-    """ST4: what two days would prune."""
-    i = with_missing_dates(spark, sf_dir)
-    return live.late_rows(i, now_of(i), days=2).select("ord")
+    """ST4: what a run would prune by age."""
+    i = with_old_dates(spark, sf_dir)
+    return live.late_rows(i, now_of(i)).select("ord")
+
+
+def with_old_dates(spark, sf_dir):
+    """Items of the last two weeks, some without a date."""
+    return with_missing_dates(spark, sf_dir).withColumn("publishedAt", F.col("publishedAt") - F.make_dt_interval(F.col("ord") % 14))
 
 
 @query
@@ -407,18 +413,71 @@ def boards_shown(spark, sf_dir):
 def refreshed_store(spark, sf_dir):
     """ST1, ST9, ST10: a stream of two landed batches merged into a store, one batch a run, and read back."""
     fresh, old = two_snapshots(spark, sf_dir)
-    columns = ["id", "sourceId", "sourceName", "title", "url", "publishedAt", "sourceCategories", "image", "excerpt", "contentHtml", "contentTruncated", "contentTries", "ord"]
-    landed, store = views.scratch(spark, "in"), SnapshotStore(spark, views.scratch(spark, "store"))
+    landed, store, log = views.scratch(spark, "in"), SnapshotStore(spark, views.scratch(spark, "store")), views.scratch(spark, "log")
+    now = views.feed_items(spark, sf_dir).agg(F.max("publishedAt")).first()[0]
     for batch in (old.withColumn("contentHtml", F.coalesce("contentHtml", F.lit(""))), fresh):
-        batch.select(*columns).coalesce(1).write.mode("append").parquet(landed)
-    stream = spark.readStream.schema(spark.read.parquet(landed).schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    now = now_of(views.feed_items(spark, sf_dir))
-    assert live.single_query(spark, "refresh")
-    live.start_refresh(stream, store, classify.source_maps(*views.mapping(spark)), views.scratch(spark, "log"), lambda: now, seconds=None).awaitTermination()
+        batch.select(*ITEM_COLUMNS).write.mode("append").parquet(landed)
+        live.start_refresh(landed_stream(spark, landed), store, classify.source_maps(*views.mapping(spark)), log, lambda: now, seconds=None).awaitTermination()
     seen = store.versions()
     return store.read("items").select("url", "id", F.lit(len(seen)).alias("versions"), F.lit(live.unchanged(store, seen[-1])).alias("unchanged"))
 
 
+ITEM_COLUMNS = ["id", "sourceId", "sourceName", "title", "url", "publishedAt", "sourceCategories", "image", "excerpt", "contentHtml", "contentTruncated", "contentTries", "ord"]
+
+
+def landed_stream(spark, path: str) -> DataFrame:
+    """A stream of the files in a folder; a run takes all that are new as one batch."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1_000_000).parquet(path)
+
+
+def streamed(spark, batches: list[DataFrame], operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stateful operator gives, a batch a run: each run starts anew from the checkpoint. The column batch tells runs apart."""
+    landed, out, log = (views.scratch(spark, n) for n in ("in", "out", "log"))
+    for batch in batches:
+        batch.write.mode("append").parquet(landed)
+        write = lambda rows, n: live.write_once(rows, out, n)
+        live.triggered(operator(landed_stream(spark, landed)).writeStream.outputMode("update").foreachBatch(write), log, None, timers=True).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query
+def merged_stream(spark, sf_dir):
+    """ST2: two landed batches merged by address in keyed state, the last state of every address."""
+    fresh, old = two_snapshots(spark, sf_dir)
+    every = streamed(spark, [b.select(*ITEM_COLUMNS) for b in (old, fresh)], live.merged_items)
+    last = every.groupBy("url").agg(F.max_by(F.struct(*[c for c in every.columns if c not in ("url", "batch")]), "batch").alias("s")).select("url", "s.*")
+    return last.select(
+        "url", "id", "title", F.col("sourceId").alias("source_id"), "image", F.length("excerpt").alias("chars"), F.col("contentHtml").alias("html"),
+        F.col("contentTruncated").alias("cut"), F.nullif("contentTries", F.lit(0)).alias("tries"),
+    )
+
+
+@query
+def requested_pages(spark, sf_dir):
+    """ST5: five runs want every page, in two batches; a page without a text is asked for three times at most."""
+    d = views.table(spark, sf_dir, "documents")
+    k, run = F.col("doc_id"), F.col("run")
+    wanted = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("run")).select(
+        F.concat(F.lit("https://p.example/"), k.cast("string")).alias("url"), run.cast("long").alias("ord"),
+        F.when(k % 4 == 0, "habr").otherwise("s").alias("sourceId"), F.when(k % 7 == run, "<p>text</p>").alias("html"),
+    )
+    out = streamed(spark, [wanted.filter("ord < 3"), wanted.filter("ord >= 3")], live.page_requests)
+    return out.select("url", "ord", "asked", F.col("contentTries").alias("tries"))
+
+
+@query
+def split_stream(spark, sf_dir):
+    """ST4: a landed stream in two sinks, kept and late, which together hold every row once."""
+    landed, kept, late, log = (views.scratch(spark, n) for n in ("in", "kept", "late", "log"))
+    i = with_old_dates(spark, sf_dir)
+    now = i.agg(F.max("publishedAt")).first()[0]
+    for k in range(2):
+        i.filter(F.col("ord") % 2 == k).select("ord", "publishedAt").write.mode("append").parquet(landed)
+        live.start_split(landed_stream(spark, landed), kept, late, log, lambda: now, seconds=None).awaitTermination()
+    read = lambda path, name: spark.read.parquet(path).select("ord", F.lit(name).alias("sink"))
+    return read(kept, "kept").unionByName(read(late, "late"))
+
+
 @query
 def retry_counts(spark, sf_dir):
     """ST5."""
@@ -460,8 +519,9 @@ def ticker_tape(spark, sf_dir):
 
 @query
 def movers(spark, sf_dir):
-    """Liquid is over 300 000 here."""
-    return rounded(market.movers(shares(spark, sf_dir), liquid=300_000)).select("kind", "rank", "ticker", "change", "turnover")
+    """A day's turnover is a hundred times that of the order lines."""
+    s = shares(spark, sf_dir).withColumn("turnover", F.col("turnover") * 100)
+    return rounded(market.movers(s)).select("kind", "rank", "ticker", "change", "turnover")
 
 
 @query
@@ -474,7 +534,7 @@ def board_quotes(spark, sf_dir):
 def quotes_for(spark, sf_dir):
     """J10."""
     s = shares(spark, sf_dir)
-    wanted = views.table(spark, sf_dir, "part").filter("p_partkey % 10 = 0").select(F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("ticker"))
+    wanted = views.table(spark, sf_dir, "part").select(F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("ticker"))
     return rounded(market.quotes_for(wanted, market.quotes(s.filter("ord % 20 <> 0")), s)).select("ticker", "name", "price", "change", "from_tiles")
 
 
@@ -554,13 +614,16 @@ def heat_steps(spark, sf_dir):
 
 @query
 def sector_sums(spark, sf_dir):
-    """Sums of the whole board, sectors under 3 % merged."""
-    sums = treemap.sector_sums(shares(spark, sf_dir).withColumn("weight", F.col("weight").cast("decimal(24,2)")), 0.03)
+    """Sums of the whole board by sector and a third of it, small ones merged."""
+    third = F.when(F.col("sector") == market.OTHER, F.col("sector")).otherwise(F.concat("sector", F.lit("-"), (F.col("ord") % 3).cast("string")))
+    s = shares(spark, sf_dir).withColumns({"weight": F.col("weight").cast("decimal(24,2)"), "sector": third})
+    sums = treemap.sector_sums(s)
     return sums.select("sector", F.col("value").cast("double").alias("value"), "n")
 
 
 def formats(s: DataFrame) -> DataFrame:
     amount = F.floor("weight").cast("double")
+    shown = F.when(F.col("ord") % 9 != 0, F.timestamp_seconds(F.lit(1_700_000_000) + F.col("ord") * 100_003))
     return s.select(
         "ticker",
         numbers.plural(F.col("ord"), "источник", "источника", "источников").alias("plural"),
@@ -568,7 +631,10 @@ def formats(s: DataFrame) -> DataFrame:
         numbers.format_change(F.floor("change").cast("double")).alias("change_text"),
         numbers.format_money(F.floor(F.pmod(amount, F.lit(1e6))).cast("double")).alias("money"),
         dates.clock_label(F.concat(F.lit("2024-01-02 1"), (F.col("ord") % 10).cast("string"), F.lit(":05:00"))).alias("clock"),
-        dates.display_date(F.when(F.col("ord") % 9 != 0, F.timestamp_seconds(F.lit(1_700_000_000) + F.col("ord") * 100_003))).alias("shown_date"),
+        dates.display_date(shown).alias("shown_date"),
+        dates.compact_time(shown, F.timestamp_seconds(F.lit(1_705_000_000))).alias("card_time"),
+        dates.chart_label(F.date_format(shown, "yyyy-MM-dd HH:mm:ss"), "day").alias("day_label"),
+        dates.chart_label(F.coalesce(F.date_format(shown, "yyyy-MM-dd HH:mm:ss"), F.lit("2024-13-45 10:00")), "month").alias("month_label"),
     )
 
 
@@ -817,16 +883,40 @@ def candle_requests(spark, sf_dir):
 def snapshot_articles(spark, sf_dir):
     """SRC8, SNK1: two versions of a store written, the newest read back, its articles looked up by id."""
     store = SnapshotStore(spark, views.scratch(spark, "store"))
-    p = views.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("html").alias("contentHtml"), "page_id")
+    p = stored_pages_of(spark, sf_dir)
     index = p.select("id", "page_id")
     told = index.select("id").limit(1)
-    store.write(index, p.select("id", F.lit("old").alias("contentHtml")), told)
-    store.write(index.filter("page_id % 3 <> 0"), p.filter("page_id % 3 <> 0 and page_id % 4 <> 0").select("id", "contentHtml"), told)
+    store.write(index, p.withColumn("contentHtml", F.lit("old")).drop("page_id"), told)
+    store.write(index.filter("page_id % 3 <> 0"), p.filter("page_id % 3 <> 0 and page_id % 4 <> 0").drop("page_id"), told)
     found = store.read("items").select("id").join(store.read("articles").select("id", "contentHtml"), "id", "left")
     one = store.article("1").select("id", F.lit(True).alias("looked_up"))
     return found.join(one, "id", "left").select("id", F.md5("contentHtml").alias("html_md5"), F.coalesce("looked_up", F.lit(False)).alias("looked_up"))
 
 
+def stored_pages_of(spark, sf_dir) -> DataFrame:
+    p = views.table(spark, sf_dir, "pages")
+    return p.select(F.col("page_id").cast("string").alias("id"), F.col("html").alias("contentHtml"), F.lit(False).alias("contentTruncated"), "page_id")
+
+
+@query
+def rewritten_buckets(spark, sf_dir):
+    """SNK1: two versions that differ in one article of fifty: which buckets of articles have new files, and what they hold."""
+    store = SnapshotStore(spark, views.scratch(spark, "store"))
+    p = stored_pages_of(spark, sf_dir)
+    named = lambda: spark.read.parquet(store.articles_path).select("bucket", F.input_file_name().alias("file")).distinct()
+    files = lambda: named().groupBy("bucket").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    told = p.select("id").limit(1)
+    store.write(p.select("id"), p.drop("page_id"), told)
+    before = spark.createDataFrame(files().collect(), "bucket int, files array<string>")
+    # Of every fifty one is changed, one goes and one is new.
+    changed = p.withColumn("contentHtml", F.when(F.col("page_id") % 50 == 7, "changed").otherwise(F.col("contentHtml"))).filter("page_id % 50 <> 8")
+    extra = p.filter("page_id % 50 = 9").withColumn("id", F.concat("id", F.lit("-new")))
+    store.write(p.select("id"), changed.unionByName(extra).drop("page_id"), told)
+    after = files().withColumnRenamed("files", "now").join(before, "bucket", "left")
+    rows = spark.read.parquet(store.articles_path).groupBy("bucket").agg(F.count(F.lit(1)).alias("articles"), F.count_if(F.col("contentHtml") == "changed").alias("changed"))
+    return after.join(rows, "bucket").select("bucket", "articles", "changed", (~F.col("now").eqNullSafe(F.col("files"))).alias("rewritten"))
+
+
 @query
 def clean_pages(spark, sf_dir):
     """F17, A18."""

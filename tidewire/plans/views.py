@@ -210,11 +210,18 @@ def composed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in one that the session shares; it goes with the driver."""
+    """A new folder in the one named by spark.checkpoint.dir; it goes with the driver.
+
+    Where that is unset a session in one process uses its warehouse; on a cluster that can be a disk of one machine, so it is an error.
+    """
     import atexit
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     path = f"{base.rstrip('/')}/tidewire-{uuid.uuid4().hex}/{name}"
 
     def remove() -> None:

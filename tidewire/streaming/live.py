@@ -1,9 +1,10 @@
 """Incremental refresh: micro-batches of feed items merged into the snapshot.
 
-Items are merged by address with fields from both sides, kept for seven days and 4000 rows; this is
-an upsert, not a dedupe, so it runs in foreachBatch over the stored snapshot. A batch that is
-replayed after a failure merges the same rows again, which changes nothing. Only one query may
-write a store at a time.
+Items are merged by address with fields from both sides, kept for seven days and 4000 rows. A
+snapshot of that size is rebuilt in foreachBatch over the store (start_refresh); a batch that is replayed after a
+failure merges the same rows again, which changes nothing, and only one rebuild holds a store at a time. Feeds of any
+size keep the merged item of an address as keyed state (merged_items), so that a batch touches its own
+addresses only; so do the requests made for an address (page_requests).
 """
 
 from __future__ import annotations
@@ -11,13 +12,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewire.operators.classify import classify, with_section
-from tidewire.operators.snapshot import KEEP_DAYS, dedupe_by_url, deny_images, drop_shared_images, merge_previous, prune, split_index, with_articles
+from tidewire.operators.snapshot import (
+    FULL_REBUILD_CHARS, KEEP_DAYS, REBUILT_SOURCE, SHORT_EXCERPT, TRIES, dedupe_by_url, deny_images, drop_shared_images, merge_previous, prune, split_index,
+    with_articles,
+)
 from tidewire.operators.stories import build_stories, top_stories
 from tidewire.sources.feeds import HOST_FAILURES
 from tidewire.sources.snapshots import SnapshotStore
@@ -29,42 +34,219 @@ REBUILD_SECONDS, BOARD_SECONDS, BOARD_RETRY_SECONDS = 180, 300, 60
 def previous_items(store: SnapshotStore) -> DataFrame | None:
     """Index rows of the last version with their texts."""
     items, articles = store.read("items"), store.read("articles")
-    return None if items is None else with_articles(items.drop("generated_at"), articles)
+    if items is None:
+        return None
+    if articles is None:
+        articles = items.sparkSession.createDataFrame([], "id string, contentHtml string, contentTruncated boolean")
+    return with_articles(items.drop("generated_at"), articles)
 
 
 def rebuild(store: SnapshotStore, fresh: DataFrame, maps: DataFrame, deny: DataFrame | None, now) -> int:
     """One run of the builder: dedupe, classify, merge, prune, images, split, stories, write. Returns the version."""
-    items = with_section(classify(dedupe_by_url(fresh), maps)).drop("categoryIds")
-    previous = previous_items(store)
-    if previous is not None:
-        items = merge_previous(items, previous)
-    items = prune(with_section(classify(items, maps)), now)
-    if deny is not None:
-        items = deny_images(items, deny)
-    items = drop_shared_images(items)
-    index, articles = split_index(items)
-    # Stories come from the redacted index, so no secret gets into a headline.
-    return store.write(index, articles, top_stories(build_stories(index)))
+    with store.exclusive():
+        items = with_section(classify(dedupe_by_url(fresh), maps)).drop("categoryIds")
+        previous = previous_items(store)
+        if previous is not None:
+            items = merge_previous(items, previous)
+        items = prune(with_section(classify(items, maps)), now)
+        if deny is not None:
+            items = deny_images(items, deny)
+        # Stored once: index, articles and stories are all made of it.
+        with store.held(drop_shared_images(items)) as merged:
+            index, articles = split_index(merged)
+            # Stories come from the redacted index, so no secret gets into a headline.
+            return store.write(index, articles, top_stories(build_stories(index)))
+
+
+def is_late(now, days: int = KEEP_DAYS) -> Column:
+    """Rows that a run at this time would merge and prune at once; undated rows are not late."""
+    return F.coalesce(F.col("publishedAt") < F.lit(now) - F.expr(f"interval {days} days"), F.lit(False))
 
 
 def late_rows(fresh: DataFrame, now, days: int = KEEP_DAYS) -> DataFrame:
-    """Rows that the same run would prune: they are merged and dropped; kept apart here for a late sink."""
-    return fresh.filter(F.col("publishedAt") < F.lit(now) - F.expr(f"interval {days} days"))
+    return fresh.filter(is_late(now, days))
+
+
+def write_once(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Rows of a batch under their own folder, which a replayed batch replaces."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def triggered(writer: DataStreamWriter, checkpoint: str, seconds: int | None, timers: bool = False) -> StreamingQuery:
+    """seconds=None takes all there is and stops. With timers of processing time that is one batch: the engine would
+    otherwise run empty batches for them without end."""
+    trigger = ({"once": True} if timers else {"availableNow": True}) if seconds is None else {"processingTime": f"{seconds} seconds"}
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def start_split(stream: DataFrame, kept: str, late: str, checkpoint: str, clock: Callable, days: int = KEEP_DAYS, seconds: int | None = REBUILD_SECONDS) -> StreamingQuery:
+    """Two sinks: rows that are in time, and late ones. Together they hold every row once, replayed batches too.
+
+    What is late is decided by the event time and the clock of the batch. A replayed batch decides by the time that it was
+    first seen at, which is written down before its rows are.
+    """
+
+    def route(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        marks = f"{late}-times/batch={batch_id}"
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{marks}/_SUCCESS")
+        if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            spark.createDataFrame([(clock(),)], "at timestamp").coalesce(1).write.mode("overwrite").parquet(marks)
+        at = spark.read.schema("at timestamp").parquet(marks).first()["at"]
+        write_once(batch.filter(~is_late(at, days)), kept, batch_id)
+        write_once(batch.filter(is_late(at, days)), late, batch_id)
+
+    return triggered(stream.writeStream.foreachBatch(route), checkpoint, seconds)
 
 
 def start_refresh(
     stream: DataFrame, store: SnapshotStore, maps: DataFrame, checkpoint: str, clock: Callable, deny: DataFrame | None = None,
-    seconds: int | None = REBUILD_SECONDS,
+    seconds: int | None = REBUILD_SECONDS, late: str | None = None,
 ) -> StreamingQuery:
-    """The poll-and-merge loop: every trigger merges what has landed. seconds=None takes all there is and stops."""
+    """The poll-and-merge loop: every trigger merges what has landed. seconds=None takes all there is and stops.
+
+    With a `late` folder the rows that the run prunes at once are written there too, by batch.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            rebuild(store, batch, maps, deny, clock())
-
-    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    trigger = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
-    return writer.trigger(**trigger).start()
+            now = clock()
+            if late is not None:
+                write_once(late_rows(batch, now), late, batch_id)
+            rebuild(store, batch, maps, deny, now)
+
+    return triggered(stream.writeStream.foreachBatch(merge), checkpoint, seconds)
+
+
+# --- keyed state ----------------------------------------------------------------------------
+
+#: The state store that these operators need.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = (
+    "id string, sourceId string, sourceName string, title string, publishedAt timestamp, sourceCategories array<string>, image string, excerpt string, "
+    "contentHtml string, contentTruncated boolean, contentTries int"
+)
+
+
+def keyed_state(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+def first_of_batch(rows: list[dict]) -> dict:
+    """The rows of one address in a batch as one: the first, with all rubrics, the first picture, the longest excerpt."""
+    rows = sorted(rows, key=lambda r: r["ord"])
+    tags = [tag for r in rows for tag in r["sourceCategories"] or [] if tag]
+    return rows[0] | {
+        "sourceCategories": list(dict.fromkeys(tags)),
+        "image": next((r["image"] for r in rows if r["image"]), ""),
+        "excerpt": max((r["excerpt"] for r in rows), key=lambda e: len(e or "")),
+    }
+
+
+def merged_item(new: dict, old: dict | None) -> dict:
+    """What merge_previous gives for an address: fresh fields win, what they lack comes from the state."""
+    out = new | {"image": new["image"] or "", "excerpt": new["excerpt"] or "", "contentHtml": new["contentHtml"] or "", "contentTruncated": bool(new["contentTruncated"])}
+    if old is None:
+        return out
+    if not out["contentHtml"] and old["contentHtml"]:
+        out |= {"contentHtml": old["contentHtml"], "contentTruncated": bool(old["contentTruncated"])}
+    tries = old["contentTries"]
+    return out | {
+        "publishedAt": new["publishedAt"] or old["publishedAt"],
+        "image": out["image"] or old["image"] or "",
+        "excerpt": old["excerpt"] if len(out["excerpt"]) < SHORT_EXCERPT and old["excerpt"] is not None else out["excerpt"],
+        "contentTries": tries if tries and tries > 0 else new["contentTries"],
+    }
+
+
+class MergedItems(StatefulProcessor):
+    """The merged item of an address, dropped when nothing of it has come for the retention."""
+
+    FIELDS = [f.split(" ")[0] for f in STATE.split(", ")]
+
+    def __init__(self, days: int = KEEP_DAYS):
+        self.keep = days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.item = handle.getValueState("item", STATE)
+        self.due = handle.getValueState("due", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values: TimerValues) -> Iterator[Row]:
+        new = first_of_batch([r.asDict() for r in rows])
+        old = dict(zip(self.FIELDS, self.item.get(), strict=True)) if self.item.exists() else None
+        merged = merged_item(new, old)
+        values = [merged[f] for f in self.FIELDS]
+        self.item.update(tuple(values))
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+        at = timer_values.getCurrentProcessingTimeInMs() + self.keep
+        self.handle.registerTimer(at)
+        self.due.update((at,))
+        yield Row("url", *self.FIELDS)(key[0], *values)
+
+    def handleExpiredTimer(self, key: tuple, timer_values: TimerValues, expired: ExpiredTimerInfo) -> Iterator[Row]:
+        self.item.clear()
+        self.due.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def merged_items(stream: DataFrame, days: int = KEEP_DAYS) -> DataFrame:
+    """The merged item of every address of each batch, from a stream of items: state by address, no other address is read.
+
+    Rows without an address are out. Fields come as merge_previous gives them.
+    """
+    keyed_state(stream.sparkSession)
+    columns = [f for f in STATE.split(", ")]
+    rows = stream.filter("coalesce(url, '') <> ''").select("url", "ord", *MergedItems.FIELDS)
+    return rows.groupBy("url").transformWithState(MergedItems(days), ", ".join(["url string", *columns]), "Update", "ProcessingTime")
+
+
+class PageRequests(StatefulProcessor):
+    """How often the page of an address was asked for without a text; forgotten after the retention."""
+
+    def __init__(self, tries: int, days: int, rebuilt: str, enough: int):
+        self.tries, self.keep, self.rebuilt, self.enough = tries, days * 86_400_000, rebuilt, enough
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.count = handle.getValueState("tries", "n int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values: TimerValues) -> Iterator[Row]:
+        n = self.count.get()[0] if self.count.exists() else 0
+        known = n > 0
+        for r in sorted(rows, key=lambda r: r.ord):
+            asked = n < self.tries
+            if asked:
+                ends = bool(r.html) and (r.sourceId != self.rebuilt or len(r.html) >= self.enough)
+                n = 0 if ends else n + 1
+            yield Row(url=key[0], ord=r.ord, asked=asked, contentTries=n or None)
+        if n:
+            self.count.update((n,))
+            if not known:
+                self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.keep)
+        elif known:
+            self.count.clear()
+
+    def handleExpiredTimer(self, key: tuple, timer_values: TimerValues, expired: ExpiredTimerInfo) -> Iterator[Row]:
+        self.count.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def page_requests(stream: DataFrame, tries: int = TRIES, days: int = KEEP_DAYS, rebuilt: str = REBUILT_SOURCE, enough: int = FULL_REBUILD_CHARS) -> DataFrame:
+    """url, ord, asked, contentTries of a stream of pages that runs want (url, ord, sourceId, html; html null where a request brings none).
+
+    A page is asked for until it has a text, at most `tries` times in the retention, however many runs want it.
+    """
+    keyed_state(stream.sparkSession)
+    rows = stream.select("url", "ord", "sourceId", "html")
+    return rows.groupBy("url").transformWithState(PageRequests(tries, days, rebuilt, enough), "url string, ord long, asked boolean, contentTries int", "Update", "ProcessingTime")
 
 
 def breaker_states(attempts: DataFrame) -> DataFrame:
