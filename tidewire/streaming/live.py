@@ -172,7 +172,7 @@ class MergedItems(StatefulProcessor):
         self.item = handle.getValueState("item", STATE)
         self.due = handle.getValueState("due", "at long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values: TimerValues) -> Iterator[Row]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         new = first_of_batch([r.asDict() for r in rows])
         old = dict(zip(self.FIELDS, self.item.get(), strict=True)) if self.item.exists() else None
         merged = merged_item(new, old)
@@ -180,12 +180,12 @@ class MergedItems(StatefulProcessor):
         self.item.update(tuple(values))
         if self.due.exists():
             self.handle.deleteTimer(self.due.get()[0])
-        at = timer_values.getCurrentProcessingTimeInMs() + self.keep
+        at = timerValues.getCurrentProcessingTimeInMs() + self.keep
         self.handle.registerTimer(at)
         self.due.update((at,))
         yield Row("url", *self.FIELDS)(key[0], *values)
 
-    def handleExpiredTimer(self, key: tuple, timer_values: TimerValues, expired: ExpiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         self.item.clear()
         self.due.clear()
         return iter(())
@@ -215,7 +215,7 @@ class PageRequests(StatefulProcessor):
         self.handle = handle
         self.count = handle.getValueState("tries", "n int")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values: TimerValues) -> Iterator[Row]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         n = self.count.get()[0] if self.count.exists() else 0
         known = n > 0
         for r in sorted(rows, key=lambda r: r.ord):
@@ -227,11 +227,11 @@ class PageRequests(StatefulProcessor):
         if n:
             self.count.update((n,))
             if not known:
-                self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.keep)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep)
         elif known:
             self.count.clear()
 
-    def handleExpiredTimer(self, key: tuple, timer_values: TimerValues, expired: ExpiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         self.count.clear()
         return iter(())
 
