@@ -457,7 +457,7 @@ COUNTS = f"""counts AS (
     SELECT ord, unnest({tokens("title")}) AS term, 3 AS w FROM {{0}} UNION ALL SELECT ord, unnest({tokens("substr(excerpt, 1, 300)")}), 1 FROM {{0}}) x
   GROUP BY ord, term)"""
 ORACLES["term_frequencies"] = f"WITH {FEED}, {COUNTS.replace('{0}', 'feed')} SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM counts GROUP BY term"
-ORACLES["similar_items"] = f"""WITH {FEED}, cut AS (SELECT * FROM feed ORDER BY published_at DESC, ord LIMIT {KEEP_ITEMS}), {COUNTS.replace('{0}', 'cut')},
+ORACLES["similar_items"] = f"""WITH {FEED}, cut AS (SELECT * FROM feed WHERE title <> '' ORDER BY published_at DESC, ord LIMIT {KEEP_ITEMS}), {COUNTS.replace('{0}', 'cut')},
 df AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
 raw AS (SELECT ord, term, tf * (ln(((SELECT count(*) FROM cut) + 1) / (df + 1)) + 1) AS w FROM counts JOIN df USING (term)),
 norms AS (SELECT ord, sqrt(sum(w * w)) AS norm FROM raw GROUP BY ord),

@@ -723,11 +723,18 @@ def term_frequencies(spark, sf_dir):
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
+def kept_items(spark, sf_dir) -> DataFrame:
+    """What stories are made of, the items that the snapshot keeps: cut once and stored, as several steps read it."""
+    path = views.scratch(spark, "kept")
+    i = views.feed_items(spark, sf_dir).filter("title <> ''").select("ord", F.col("ord").cast("string").alias("id"), "title", "publishedAt", "sourceId", "sourceName", F.substring("excerpt", 1, stories.EXCERPT_HEAD).alias("excerpt"))
+    i.orderBy(*feed.newest_first()).limit(snapshot.KEEP_ITEMS).write.parquet(path)
+    return spark.read.schema(i.schema).parquet(path)
+
+
 @query
 def similar_items(spark, sf_dir):
     """A10: pairs of all items that the snapshot keeps (KEEP_ITEMS, as story clusters) with a cosine of 0.42, by a join of prefixes."""
-    kept = views.feed_items(spark, sf_dir).orderBy(*feed.newest_first()).limit(snapshot.KEEP_ITEMS)
-    return stories.similar_pairs(stories.vectors(kept)).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return stories.similar_pairs(stories.vectors(kept_items(spark, sf_dir))).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 @query
@@ -749,7 +756,7 @@ def kept_frequencies(spark, sf_dir):
 @query
 def story_clusters(spark, sf_dir):
     """A11, A12, ST7 with the snapshot's cut of 4000 items."""
-    out = stories.build_stories(views.feed_items(spark, sf_dir).withColumn("id", F.col("ord").cast("string")))
+    out = stories.build_stories(kept_items(spark, sf_dir))
     return out.select("pos", "id", "sources", F.size("itemIds").alias("members"))
 
 
@@ -764,7 +771,7 @@ def story_epochs(spark, sf_dir):
 @query
 def top_stories(spark, sf_dir):
     """T4."""
-    out = stories.top_stories(stories.build_stories(views.feed_items(spark, sf_dir).withColumn("id", F.col("ord").cast("string"))))
+    out = stories.top_stories(stories.build_stories(kept_items(spark, sf_dir)))
     return out.select("rank", "id", "sources", F.size("itemIds").alias("members"))
 
 
