@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -195,6 +196,42 @@ def test_near_with_long_lists(spark, monkeypatch):
     check_near(spark, near_corpus(8, 80))
 
 
+@pytest.mark.parametrize("bound", [1, 30, 10**6])
+def test_near_with_every_list_parted(spark, monkeypatch, bound):
+    monkeypatch.setattr(jaccard_join, "boundary", lambda _, b=bound: b)
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 1)
+    seen = []
+    parted = jaccard_join.narrowed
+
+    def narrowed(lists, prefixes):
+        monkeypatch.setattr(jaccard_join, "SCAN_COST", 1e9)
+        out = parted(lists, prefixes)
+        seen.append(lists.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "narrowed", narrowed)
+    check_near(spark, near_corpus(11 + bound % 7, 120))
+    assert seen and seen[0]
+
+
+def test_a_long_list_forms_few_pairs(spark):
+    """3000 sets that share one shingle and no two of which link: pairs that share no other one are not formed."""
+    rng = np.random.default_rng(5)
+    common, n, sets = 7, 100, 3000
+    tokens = {i: np.concatenate([[common], np.sort(rng.choice(np.arange(100, 60_000), 22, replace=False))]).astype(np.uint64) for i in range(sets)}
+    prefixes = spark.createDataFrame([(i, n, 0, t.tobytes(), b"") for i, t in tokens.items()], jaccard_join.PREFIXES)
+    lists = spark.createDataFrame([(common, i, n, 0, False, 0.0, i) for i in tokens], jaccard_join.POSTINGS + ", root long")
+    parted = jaccard_join.narrowed(lists, prefixes)
+    pairs = jaccard_join.cross_pairs(parted, spark.createDataFrame([], "a long, b long"))
+    got = {(r.a, r.b) for r in pairs.collect()}
+    seen = defaultdict(list)
+    for i, t in tokens.items():
+        for x in t[1 : jaccard_join.prefix(n, 2)].tolist():
+            seen[x].append(i)
+    assert got == {(a, b) for own in seen.values() for k, a in enumerate(own) for b in own[k + 1 :]}
+    assert len(got) < sets * sets / 2 / 100
+
+
 def test_near_corner_cases(spark):
     assert jaccard_join.component_ids(frame(spark, [])).count() == 0
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "A b c d e f"), (None, None), (6, "x"), (7, "x"), (8, "x y"), (9, "wörd " * 50), (10, "wörd " * 60)]

@@ -15,7 +15,9 @@ A document is the set of its distinct five-word shingles; two link at a Jaccard
    unshared shingles are the centres, and varying ones in further rounds if these do badly. The
    links found join components, and lists inside one component drop out. At last all pairs of
    different components that still share a list are checked, after a bound on sizes and
-   positions; long lists are cut into blocks for that. Every check counts the exact intersection.
+   positions. A list that is long enough for it by the same costs is replaced by the lists of subsets
+   with one shingle more, which linked sets share as well; lists that are long even then are cut into
+   blocks. Every check counts the exact intersection.
 
 Links inside a component that are not needed to connect it are not all enumerated: the result is
 each document's component, and no link between different components is lost.
@@ -146,13 +148,13 @@ PREFIXES = "node long, n long, alone long, tokens binary, df binary"
 
 
 def rarest_first(table: pa.Table) -> pa.Table:
-    """The prefix of each set of a chunk: its shared shingles, rarest first, after `alone` unshared ones."""
+    """The prefix of each set of a chunk: its shared shingles, rarest first, after `alone` unshared ones; long enough for subsets of one more."""
     rows: list[tuple] = []
     for key, h, d in counted(table):
         shared = d >= 2
         alone, n = int(len(h) - shared.sum()), len(h)
-        take = prefix(n, SUBSET) - alone
-        if take <= 0 or prefix(n, 1) <= alone:
+        take = prefix(n, SUBSET + 1) - alone
+        if take <= 1 or prefix(n, 1) <= alone:
             continue
         h, d = h[shared], d[shared]
         order = np.lexsort((h, d))[:take]
@@ -177,7 +179,7 @@ def boundary(prefixes: DataFrame) -> int:
     def costs(batch: pa.RecordBatch) -> pa.RecordBatch:
         sums: dict[int, list[float]] = {}
         for n, alone, df in zip(batch.column("n").to_pylist(), batch.column("alone").to_pylist(), batch.column("df").to_pylist(), strict=True):
-            d = np.frombuffer(df, np.int64)
+            d = np.frombuffer(df, np.int64)[: prefix(n, SUBSET) - alone]
             c = sums.setdefault(size_class(n), [0.0, 0.0])
             c[0] += len(d) * (len(d) - 1) / 2
             lead = d[: max(0, prefix(n, 1) - alone)]
@@ -210,7 +212,7 @@ def postings(prefixes: DataFrame, bound: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts: list[tuple] = []
         for node, n, alone, tokens in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "alone", "tokens")), strict=True):
-            t = np.frombuffer(tokens, np.uint64)
+            t = np.frombuffer(tokens, np.uint64)[: prefix(n, SUBSET) - alone]
             if n < bound:
                 i, j = np.triu_indices(len(t), 1)
                 if len(i):
@@ -284,6 +286,41 @@ def star_pairs(placed: DataFrame, nth: int) -> DataFrame:
     return best.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
 
 
+def narrowed(lists: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The lists with the long ones replaced by those of subsets with one shingle more.
+
+    Linked sets share one more shingle than the key of the list of their first common ones has, and it comes after these
+    in both prefixes. So a list can be parted by what comes after its key: a set stands in as many new lists as its prefix
+    goes on for. A list is parted where these rows cost less than holding all its rows against each other.
+    """
+    width = F.ceil(F.col("n") * (DEN - NUM) / DEN) + SUBSET + 1
+    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum(width).alias("parts"))
+    long = checkpointed(sizes.filter(F.col("parts") < SCAN_COST / 2 * F.col("rows") * F.col("rows")).select("key"))
+    if long.isEmpty():
+        return lists
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, keys = [], []
+        for i, (key, n, place, alone, tokens) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "n", "place", "alone", "tokens")), strict=True)):
+            t, first = np.frombuffer(tokens, np.uint64), place - alone
+            if int(t[first].view(np.int64)) == key:
+                more = t[first + 1 : prefix(n, 2) - alone]
+            else:
+                second = first + 1 + int(np.flatnonzero(rolling_pair(np.repeat(t[first], len(t) - first - 1), t[first + 1 :]) == key)[0])
+                more = t[second + 1 : prefix(n, SUBSET + 1) - alone]
+            at.append(np.full(len(more), i))
+            keys.append(rolling_pair(np.full(len(more), key).view(np.uint64), more))
+        joined = np.concatenate([np.empty(0, np.int64), *at]).astype(np.int64)
+        rows = batch.select([c for c in batch.schema.names if c not in ("alone", "tokens")]).take(pa.array(joined))
+        return rows.set_column(rows.schema.get_field_index("key"), "key", pa.array(np.concatenate([np.empty(0, np.int64), *keys]).astype(np.int64)))
+
+    names = lists.columns
+    held = lists.join(apart(long), "key", "left_semi").join(prefixes.select("node", "alone", "tokens"), "node").select(*names, "alone", "tokens")
+    parted = map_batches(held, run, lists.schema)
+    parted = checkpointed(parted.join(mixed(parted), "key", "left_semi"), parts_for(POSTING_BYTES * lists.count()))
+    return lists.join(apart(long), "key", "left_anti").unionByName(parted)
+
+
 #: Rows of a list that one task holds against as many: longer lists are cut into blocks.
 BLOCK = 2000
 
@@ -358,7 +395,7 @@ def link_classes(sets: DataFrame, buckets: int, files: int, n_shingles: int) ->
     seen = checked[0]
     for pairs in checked[1:]:
         seen = seen.unionByName(pairs)
-    rest = checkpointed(cross_pairs(lists, seen), files)
+    rest = checkpointed(cross_pairs(narrowed(lists, prefixes), seen), files)
     return merged(roots, checkpointed(linked(rest, sets), files))[0]
 
 
