@@ -214,8 +214,9 @@ def test_near_with_every_list_parted(spark, monkeypatch, bound):
     assert seen and seen[0]
 
 
-def test_a_long_list_forms_few_pairs(spark):
+def test_a_long_list_forms_few_pairs(spark, monkeypatch):
     """3000 sets that share one shingle and no two of which link: pairs that share no other one are not formed."""
+    monkeypatch.setattr(jaccard_join, "SCAN_COST", 0.05)
     rng = np.random.default_rng(5)
     common, n, sets = 7, 100, 3000
     tokens = {i: np.concatenate([[common], np.sort(rng.choice(np.arange(100, 60_000), 22, replace=False))]).astype(np.uint64) for i in range(sets)}

@@ -180,7 +180,7 @@ class Memo(dict):
 
     LONGEST_KEY = 64
 
-    def __init__(self, make: Callable, most: int = 200_000, most_bytes: int = 48 << 20):
+    def __init__(self, make: Callable, most: int = 200_000, most_bytes: int = 96 << 20):
         super().__init__()
         self.make, self.most, self.most_bytes, self.bytes, self.old = make, most, most_bytes, 0, {}
 
