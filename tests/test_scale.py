@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import company, feed, stories
 from tidewire.operators.order import Ordered
+from tidewire.streaming import live
 
 T0 = datetime(2026, 9, 9, 12)
 
@@ -64,13 +65,13 @@ def test_a_term_in_every_item_forms_no_pairs(spark):
     assert formed[1600] <= 4.1 * formed[400]
 
 
-def test_copies_are_one_class(spark):
+def test_copies_are_one_class(spark, tmp_path):
     titles = ["альфа бета гамма дельта"] * 300 + ["альфа бета гамма сигма", "омега", "омега", None, ""]
     items = spark.createDataFrame([(i, t, None) for i, t in enumerate(titles)], "ord long, title string, excerpt string")
-    got = {(r.a, r.b): r.cosine for r in stories.similar_classes(items).collect()}
+    got = {(r.a, r.b): r.cosine for r in stories.similar_classes(items, str(tmp_path / "a")).collect()}
     assert {p for p, c in got.items() if c == 1.0} == {(0, i) for i in range(1, 300)} | {(301, 302)}
     assert len(got) == 300  # the one other item shares only what all have
-    assert stories.similar_classes(items.limit(0)).count() == 0
+    assert stories.similar_classes(items.limit(0), str(tmp_path / "b")).count() == 0
 
 
 # --- document frequencies -------------------------------------------------------------------
@@ -155,6 +156,27 @@ def test_a_page_reads_its_own_ranges(spark, tmp_path):
     assert Ordered.store(spark.range(0), [F.col("id")], str(tmp_path / "none")).numbered().count() == 0
 
 
+# --- breaker --------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_breaker_over_ranges_equals_the_fold(spark, tmp_path, seed):
+    """One host has most attempts, and long runs of failures go over several ranges."""
+    rng = random.Random(seed)
+    log, fail = [], 0.0
+    for i in range(400):
+        if i % 25 == 0:
+            fail = rng.choice((0.3, 0.5, 0.75 if seed % 2 else 0.5))
+        host = "hot" if rng.random() < 0.7 else rng.choice("abcdefgh")
+        log.append((host, str(i), rng.random() > fail, i))
+    log += [("slow", f"s{i}", i < 3 or (i % 5 == 0 and seed % 3 == 0), 1000 + i) for i in range(60)]
+    rows = spark.createDataFrame(log, "host string, url string, ok boolean, at long").repartition(3)
+    want = sorted(map(tuple, live.breaker_fold(rows).collect()))
+    got = live.breaker_over_ranges(rows, str(tmp_path / "log"), parts=40)
+    assert sorted(map(tuple, got.collect())) == want
+    assert live.breaker_over_ranges(rows.limit(0), str(tmp_path / "none")).count() == 0
+
+
 # --- companies ------------------------------------------------------------------------------
 
 

@@ -393,7 +393,7 @@ def breaker(spark, sf_dir):
     """SRC3, ST6: which requests a host that keeps failing still gets."""
     e = views.table(spark, sf_dir, "events")
     a = e.select((F.col("user_id") % 40).cast("string").alias("host"), F.col("event_id").cast("string").alias("url"), ((F.col("event_id") * 7 + F.col("user_id")) % 4 == 0).alias("ok"), F.col("event_id").alias("at"))
-    return live.breaker_fold(a)
+    return live.breaker_over_ranges(a, views.scratch(spark, "attempts"))
 
 
 @query
@@ -734,13 +734,13 @@ def kept_items(spark, sf_dir) -> DataFrame:
 @query
 def similar_items(spark, sf_dir):
     """A10: pairs of all items that the snapshot keeps (KEEP_ITEMS, as story clusters) with a cosine of 0.42, by a join of prefixes."""
-    return stories.similar_pairs(stories.vectors(kept_items(spark, sf_dir))).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return stories.similar_pairs(stories.kept(stories.vectors(kept_items(spark, sf_dir)), views.scratch(spark, "vectors"))).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 @query
 def similar_classes(spark, sf_dir):
     """A10 over all items: copies with the first of them, and pairs of firsts."""
-    return stories.similar_classes(views.feed_items(spark, sf_dir)).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return stories.similar_classes(views.feed_items(spark, sf_dir), views.scratch(spark, "similar")).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 @query

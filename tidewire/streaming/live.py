@@ -19,6 +19,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewire.operators.classify import classify, with_section
+from tidewire.operators.order import AT, PART, Ordered
 from tidewire.operators.snapshot import (
     FULL_REBUILD_CHARS, KEEP_DAYS, REBUILT_SOURCE, SHORT_EXCERPT, TRIES, dedupe_by_url, deny_images, drop_shared_images, merge_previous, prune, split_index,
     with_articles,
@@ -284,6 +285,36 @@ def breaker_fold(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("__streak", streak).select("host", "url", (~F.coalesce(before, F.lit(False))).alias("asked"))
 
 
+def breaker_over_ranges(attempts: DataFrame, path: str, parts: int | None = None) -> DataFrame:
+    """breaker_fold for logs in which one host may have most attempts: no task sees all of a host's.
+
+    Attempts are stored by ranges of host and time. A range counts failures in a row on its own; what its first host
+    brings along from the range before (one number a range) is added to those before its first answer. A host's
+    breaker opens at the least place where the count is reached.
+    """
+    ordered = Ordered.store(attempts, [F.col("host"), F.col("at"), F.col("url")], path, parts)
+    own = Window.partitionBy(PART, "host").orderBy(AT)
+    since = F.coalesce(F.max(F.when(F.col("ok"), F.col(AT))).over(own), F.min(AT).over(own) - 1)
+    rows = ordered.rows.withColumns({"row": F.col(AT) - since, "fresh": F.max(F.col("ok").cast("int")).over(own) == 0})
+    ends = rows.groupBy(PART).agg(
+        F.min_by("host", AT).alias("first"), F.max_by("host", AT).alias("last"), F.max_by("row", AT).alias("tail"), F.max_by("fresh", AT).alias("open")
+    )
+    carried, brought, before = [], 0, None
+    for r in ends.orderBy(PART).collect():  # a row for each range
+        brought = brought if before == r["first"] else 0
+        carried.append((r[PART], r["first"], brought))
+        # A range of one host without an answer adds to what it was brought.
+        brought = r["tail"] + (brought if r["open"] and r["first"] == r["last"] else 0)
+        before = r["last"]
+    spark = attempts.sparkSession
+    carry = F.broadcast(spark.createDataFrame(carried, f"{PART} int, __first {dict(attempts.dtypes)['host']}, __carry long"))
+    counted = rows.join(carry, PART).withColumn("row", F.col("row") + F.when(F.col("fresh") & (F.col("host") == F.col("__first")), F.col("__carry")).otherwise(0))
+    place = F.struct(F.col(PART).alias("part"), F.col(AT).alias("at"))
+    opened = counted.filter(F.col("row") >= HOST_FAILURES).groupBy("host").agg(F.min(place).alias("__opened")).hint("rebalance")
+    found = ordered.rows.join(opened, "host", "left")
+    return found.select("host", "url", F.coalesce(place <= F.col("__opened"), F.lit(True)).alias("asked"))
+
+
 def retry_counts(tries: DataFrame, rebuilt: str = "habr", enough: int = 8000) -> DataFrame:
     """contentTries after a run: one more per request; a text in hand ends the count, but for the rebuilt source's short ones.
 
