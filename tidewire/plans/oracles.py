@@ -108,10 +108,13 @@ ORACLES["text_sections"] = f"""WITH {PLANTED}, {sections.markets_of("planted", "
 SELECT ord, array_to_string({sections.by_text("t1", "t2", "n.is_markets")}, ',') AS sections FROM planted p JOIN market_news n ON n.key = p.ord"""
 ORACLES["ibs_news"] = f"WITH {PLANTED} SELECT ord, {sections.ibs('t2')} AS is_ibs FROM planted"
 RUBRIC_KEY = r"regexp_replace(regexp_replace(lower({0}), '^[\s\-–—/]+|[\s\-–—/]+$', '', 'g'), '\s+', ' ', 'g')"
-RUBRIC_MAP = values([(i, *r) for i, r in enumerate(golden.RUBRICS)], "i, source, k, ids")
+RUBRIC_MAP = values([(i, *r) for i, r in enumerate(golden.WORD_RUBRICS)], "i, source, k, ids")
 ORACLES["rubric_mapping"] = rf"""WITH {FEED},
 given AS (SELECT * FROM {RUBRIC_MAP}),
-cases AS (SELECT * FROM {values([(i, s, r, u) for i, (s, r, u, _) in enumerate(golden.RUBRIC_CASES)], "c, source, rubrics, url")}),
+cases AS (
+  SELECT ord AS c, source_id AS source, url,
+         [array_to_string(w[1:3], ' / '), ' - ' || coalesce(w[2], '') || ' /', coalesce(w[3], '') || '/' || coalesce(w[4], '')] AS rubrics
+  FROM (SELECT *, string_split(title, ' ') AS w FROM feed) x),
 by_rubric AS (SELECT source, {RUBRIC_KEY.format("k")} AS k, arg_min(ids, i) AS ids FROM given WHERE k[1] <> '/' GROUP BY ALL),
 one AS (SELECT c, source, unnest(rubrics) AS rubric, unnest(range(len(rubrics))) AS nth FROM cases),
 parted AS (SELECT *, list_filter(regexp_split_to_array(rubric, '\s*/\s*'), lambda x: x <> '') AS parts FROM one),
@@ -127,7 +130,7 @@ placed AS (
   LEFT JOIN {values(golden.RUBRIC_DEFAULTS, "source, ids").replace(") v(", ") d(")} ON d.source = c.source),
 kept AS (SELECT c, list_filter(ids, lambda x: list_contains({SECTIONS}, x)) AS ids FROM placed)
 SELECT ord, array_to_string(list_filter(ids, lambda x, i: list_position(ids, x) = i), ',') AS sections
-FROM feed JOIN kept ON c = ord % {len(golden.RUBRIC_CASES)}"""
+FROM feed JOIN kept ON c = ord"""
 
 ORACLES["section_reasons"] = f"""WITH {CLASSIFIED},
 one AS (SELECT *, unnest(sections) AS section FROM classified)

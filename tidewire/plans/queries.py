@@ -118,17 +118,14 @@ def ibs_news(spark, sf_dir):
 
 @query
 def rubric_mapping(spark, sf_dir):
-    """Items with rubrics and addresses that meet every step of the mapping."""
-    cases = golden.RUBRIC_CASES
-    items = views.feed_items(spark, sf_dir).select(
-        "ord",
-        by_place([c[0] for c in cases], "ord").alias("sourceId"),
-        F.get(F.array(*[F.array(*map(F.lit, c[1])).cast("array<string>") for c in cases]), F.pmod("ord", F.lit(len(cases))).cast("int")).alias("sourceCategories"),
-        by_place([c[2] for c in cases], "ord").alias("url"),
-        F.lit("").alias("title"),
-        F.lit("").alias("excerpt"),
-    )
-    return classify.classify(items, classify.source_maps(*golden.rubric_config(spark))).select("ord", joined("categoryIds").alias("sections"))
+    """The first words of a title as a rubric with two parents, its second and third word as rubrics of their own."""
+    i = views.feed_items(spark, sf_dir)
+    words = F.split("title", " ")
+    word = lambda n: F.coalesce(F.get(words, F.lit(n)), F.lit(""))
+    rubrics = F.array(F.array_join(F.slice(words, 1, 3), " / "), F.concat(F.lit(" - "), word(1), F.lit(" /")), F.concat_ws("/", word(2), word(3)))
+    items = i.select("ord", "sourceId", rubrics.alias("sourceCategories"), "url", F.lit("").alias("title"), F.lit("").alias("excerpt"))
+    maps = classify.source_maps(*golden.rubric_config(spark, golden.WORD_RUBRICS))
+    return classify.classify(items, maps).select("ord", joined("categoryIds").alias("sections"))
 
 
 @query
