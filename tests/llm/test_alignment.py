@@ -113,6 +113,13 @@ def test_bitsets_give_the_tokens_of_each_group(texts):
     assert [w[0] for w in want] == n_a.tolist() and [w[6] for w in want] == s.group_text()
 
 
+def test_white_space_that_the_rank_encoder_refuses():
+    s, n_a, _ = alignment.aligned(tokenizers(), ["\t" * 3_000_000 + "<|endoftext|>", "a"])
+    library = tokenizers().library
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in (" " + "\t" * 3_000_000 + "<|endoftext|>", " a")]
+    assert n_a.tolist() == want and len(s.per_document(s.shared)) == 2
+
+
 def test_bits():
     places = np.array([1, 63, 64, 65, 127, 128, 200])
     b = alignment.Bits.of(places, 200)

@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,7 @@ import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidewire.llm.common import apart, kept_for, serving, small_batches, stored
 from tidewire.llm.packing import byte_letters, tokenizer
@@ -83,10 +84,7 @@ class Tokenizers:
 
     def __init__(self, a_file: str, a_ranks: str | None, b_file: str):
         self.a = tokenizer(a_file, a_ranks)
-        # A library of its own: the shared one of the packing reads special tokens.
-        self.library = type(self.a.library).from_str(self.a.library.to_str())
-        self.library.encode_special_tokens = True
-        letters, vocabulary = byte_letters(), self.library.get_vocab(with_added_tokens=True)
+        letters, vocabulary = byte_letters(), self.a.library.get_vocab(with_added_tokens=True)
         self.a_raw = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.a_raw[i] = bytes(map(letters.__getitem__, token)) if all(c in letters for c in token) else token.encode()
@@ -96,6 +94,13 @@ class Tokenizers:
         self.a_size, self.b_size = (np.array(list(map(len, raw)), np.int64) for raw in (self.a_raw, self.b_raw))
         self.render = Digits(max(len(self.a_raw), n))
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """A library of its own, for what the rank encoder refuses: the shared one of the packing reads special tokens."""
+        own = Tokenizer.from_str(self.a.library.to_str())
+        own.encode_special_tokens = True
+        return own
+
     def a_ids(self, text: str) -> list[int]:
         if self.a.fast:
             try:
