@@ -185,17 +185,20 @@ def clamp_int(x: Column | str, low: int, high: int) -> Column:
     return F.when(bad, F.lit(low)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), whole)))
 
 
+#: What tells about a page without text, in its order.
+MARKERS = (
+    ("ld+json", r"(?i)application/ld\+json"),
+    ("spa-state", r"__NUXT__|__NEXT_DATA__|window\.__INITIAL_STATE__"),
+    ("<article>", r"(?i)<article[\s>]"),
+    ("challenge", "(?i)captcha|cf-chl|challenge-platform|Just a moment"),
+    ("paywall?", "(?iu)paywall|подписк"),
+)
+
+
 def page_markers(html: Column | str) -> Column:
-    """What a page without text shows: markers in a fixed order."""
+    """What a page without text shows."""
     h = text_or_empty(html)
-    tests = (
-        ("ld+json", r"(?i)application/ld\+json"),
-        ("spa-state", r"__NUXT__|__NEXT_DATA__|window\.__INITIAL_STATE__"),
-        ("<article>", r"(?i)<article[\s>]"),
-        ("challenge", "(?i)captcha|cf-chl|challenge-platform|Just a moment"),
-        ("paywall?", "(?iu)paywall|подписк"),
-    )
-    return F.filter(F.array(*[F.when(h.rlike(p), F.lit(name)) for name, p in tests]), lambda m: m.isNotNull())
+    return F.filter(F.array(*[F.when(h.rlike(p), F.lit(name)) for name, p in MARKERS]), lambda m: m.isNotNull())
 
 
 #: Families of secrets and what stands in for each.

@@ -1,8 +1,9 @@
-"""Fixed values of the section rules: sections, and term patterns in a notation common to engines.
+"""Fixed values of the section rules: sections, and term patterns.
 
-Patterns are written for lower-cased text. `@` is an ASCII word edge; `~` after a term is a Unicode
-word edge on its right. A rule that is anchored needs a Unicode word edge on the left of each term.
-`(?!...)` is what must not follow. java() spells them out.
+Patterns are written for lower-cased text. `@` is an ASCII word edge: a mark, as Java's own `\\b` goes by all letters,
+and java() has to spell it as a look at the neighbour. `~` after a term is a Unicode word edge on its
+right, which has no sign of its own in Java. A rule that is anchored needs a Unicode word edge on the left of each
+term. `(?!...)` is what must not follow.
 """
 
 from __future__ import annotations
@@ -37,11 +38,9 @@ AI_TERMS = [
     "@openai@",
     "@anthropic@",
     r"@claude (?:ai|[0-9]|model)@",
-    r"модель\s+claude@",
-    r"model\s+claude@",
+    r"(?:модель|model)\s+claude@",
     "@google gemini@",
-    r"модель\s+gemini@",
-    r"model\s+gemini@",
+    r"(?:модель|model)\s+gemini@",
     r"@gemini (?:ai|[0-9])@",
     "@gpt-?[0-9]",
     "@(?:qwen|llama|deepseek|mistral|gemma|grok)(?:[0-9]|@)",

@@ -11,13 +11,13 @@ AI_PATTERN = (
     r"искусственн(ый|ого|ому|ым|ом) интеллект|нейросет|нейронн(ая|ые|ой|ую) сет|генеративн(ый|ого|ому|ым|ом) ии"
     r"|машинн(ое|ого|ому|ым|ом) обучен|больш(ая|ой|ую|ие|их) языков(ая|ой|ую|ые|ых) модел|вайб-?кодинг"
     r"|(^|[^а-яёa-z0-9])ии($|[^а-яёa-z0-9])"
-    r"|\b(artificial intelligence|generative ai|(machine|deep) learning|large language models?|llms?|ml|vibe coding)\b"
-    r"|\b(chatgpt|openai|anthropic|(claude|gemini) (ai|[0-9])|claude model|google gemini|copilot|midjourney|stable diffusion|ai[- ]agents?)\b"
-    r"|(модель|model)\s+(claude|gemini)\b|\bgpt-?[0-9]|\b(qwen|llama|deepseek|mistral|gemma|grok)([0-9]|\b)"
+    r"|\bartificial intelligence\b|\bgenerative ai\b|\bmachine learning\b|\bdeep learning\b|\blarge language models?\b|\bllms?\b|\bml\b|\bvibe coding\b"
+    r"|\bchatgpt\b|\bopenai\b|\banthropic\b|\bclaude (ai|[0-9]|model)\b|(модель|model)\s+claude\b|\bgoogle gemini\b|(модель|model)\s+gemini\b|\bgemini (ai|[0-9])\b"
+    r"|\bgpt-?[0-9]|\b(qwen|llama|deepseek|mistral|gemma|grok)([0-9]|\b)|\bcopilot\b|\bmidjourney\b|\bstable diffusion\b|\bai[- ]agents?\b"
 )
 
 HEALTH_PATTERN = (
-    r"\b(health|medicine)\b|здоров|медиц|врач|пациент|больниц|клиник|аптек|лекарств|препарат|вакцин|диабет|ожирен|онколог"
+    r"\bhealth\b|\bmedicine\b|здоров|медиц|врач|пациент|больниц|клиник|аптек|лекарств|препарат|вакцин|диабет|ожирен|онколог"
     r"|инфекц|грипп|коронавирус|covid|фарма|психолог|психиатр|депресс|стресс|инсульт|инфаркт|бессонниц|симптом|заболеван"
 )
 
@@ -25,16 +25,17 @@ SECURITY_PATTERN = (
     r"кибер(атак|преступ|безопасност|угроз|шпион|мошенн|инцидент|войн|развед|полиц|расслед|защит)|хакер|уязвимост|вредонос"
     r"|малвар|шифровальщик|фишинг|эксплойт|ботнет|троян|бэкдор|руткит|антивирус|пентест|инфобез|даркнет"
     r"|информационн(ая|ой|ую) безопасност|утечк[а-я]* (данных|персональн|баз|информац|парол)"
-    r"|\b(ddos|malware|ransomware|spyware|rootkit|phishing|zero-day|0-day|hackers?|hacked|botnet|backdoor|web shell|dark ?web|infosec)\b"
-    r"|\bcve-[0-9]{4}-[0-9]+|\b(infostealer|data breach|cyber ?(attack|security|crime|threat|espionage)|credential (theft|stuffing))"
+    r"|\bddos\b|\bmalware\b|\bransomware\b|\bspyware\b|\brootkit\b|\bphishing\b|\bcve-[0-9]{4}-[0-9]+|\bzero-day\b|\b0-day\b"
+    r"|\binfostealer|\bdata breach|\bcyber ?(attack|security|crime|threat|espionage)|\bhackers?\b|\bhacked\b"
+    r"|\bbotnet\b|\bbackdoor\b|\bweb shell\b|\bdark ?web\b|\bcredential (theft|stuffing)|\binfosec\b"
 )
-SECURITY_HINT = r"взлом|вымогател|\b(exploit|vulnerabilit|breach)"
+SECURITY_HINT = r"взлом|вымогател|\bexploit|\bvulnerabilit|\bbreach"
 DIGITAL = (
     r"аккаунт|учетн(ая|ой|ую) запис|сайт|сервер|систем|баз[а-я]* данных|данны[ех]|парол|телефон|смартфон|компьютер|ноутбук"
     r"|сет[ьи]\b|почт|приложен|мессендж|крипто|бирж|банк|\bпо\b|софт|программ|прошивк|плагин|патч|обновлен|устройств|роутер"
-    r"|камер|браузер|\bит\b|\bit\b|windows|linux|android|ios|iphone|chrome|api|wi-?fi|bluetooth"
-    r"|\b(software|servers?|accounts?|devices?|apps?|cloud|email)\b"
-    r"|\b(network|password|router|database|credential|patch|update|browser|plugin|firmware|crypto)"
+    r"|камер|браузер|\bит\b|\bit\b|windows|linux|android|ios|iphone|chrome|api|wi-?fi|bluetooth|\bsoftware\b|\bservers?\b|\bnetwork"
+    r"|\bpassword|\baccounts?\b|\bdevices?\b|\bapps?\b|\brouter|\bdatabase|\bcredential|\bpatch|\bupdate|\bbrowser"
+    r"|\bplugin|\bfirmware|\bcloud\b|\bemail\b|\bcrypto"
 )
 
 #: Left edge; right edge; rest of a Russian word.
