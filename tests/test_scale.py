@@ -215,6 +215,15 @@ def test_twenty_thousand_companies_equal_the_plain_loop(spark):
     assert got == want and len(want) > 400 and {"C1", "C2", "C3", "C4"} <= {t for t, _ in want}
 
 
+def test_numbered_companies_meet_few_texts(spark):
+    """Names that share their words and digits: a text is held against the companies that it all but names."""
+    names = spark.range(20_000).selectExpr("concat('P', id) AS ticker", "concat('Hot Bolt ', id) AS name")
+    rows = spark.range(10_000, 11_000).selectExpr("id AS row", "concat('the bolt of the year: HOT BOLT ', id, ' is hot') AS text")
+    found = company.candidates(rows, names)
+    tested = found.join(rows, "row").filter(company.mentions(F.col("text"), F.col("pattern"))).count()
+    assert tested == 5 * 1000 and found.count() <= 2 * tested
+
+
 def test_company_of_every_item(spark):
     """One name is in all texts; the newest six of it come out."""
     items = spark.createDataFrame([(i, "Газпром", "x", "s", str(i), T0 + timedelta(hours=i)) for i in range(500)], "ord long, title string, excerpt string, sourceId string, id string, publishedAt timestamp")

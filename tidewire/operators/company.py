@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.text import text_or_empty
 from tidewire.operators.feed import newest_first, visible
+from tidewire.operators.stories import kept
 
 #: Fixed value: items shown about one company.
 NEWS = 6
@@ -49,10 +50,10 @@ ALIASES = {
 }
 
 
-#: Longest n-gram of the index; a literal that is shorter is a gram itself.
-GRAM = 3
-#: Bits of the filter that texts' grams pass before they are shuffled: a fixed 128 KB, whatever the number of companies.
-FILTER_BITS = 1 << 20
+#: Lengths of the index's n-grams: a literal stands under one of the largest length that it has. Each is the sum of two others.
+SIZES = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32)
+#: The filter that texts' grams pass before they are shuffled: bits of a page, pages at most (32 MB), bits for each gram, bits a gram sets.
+PAGE_BITS, MOST_PAGES, GRAM_BITS, PROBES = 1 << 19, 512, 32, 3
 #: What ends a literal in a pattern: classes, escapes of classes, dots, anchors.
 _GROUP = re.compile(r"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.|\([^()]*\))*\))*\)")
 _CLASS = re.compile(r"\[(?:[^\]\\]|\\.)*\]|\\p\{\w+\}|\\[A-Za-z]|(\\.)|[.^$]", re.S)
@@ -109,99 +110,130 @@ def codes(text: str) -> np.ndarray:
     return folded()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
 
 
-def grams(points: np.ndarray, n: int) -> np.ndarray:
-    """Numbers of all n-grams: 21 bits a code point, so that different grams have different numbers."""
-    if len(points) < n:
-        return np.empty(0, np.int64)
-    out = np.zeros(len(points) - n + 1, np.uint64)
-    for k in range(n):
-        out = out << np.uint64(21) | (points[k : len(points) - n + 1 + k] + np.uint64(1) & np.uint64(0x1FFFFF))
-    return out.astype(np.int64)
+def grams(points: np.ndarray, most: int) -> dict[int, np.ndarray]:
+    """By size, numbers of all n-grams up to a size. Different grams can share a number; the whole pattern tells them apart."""
+    out = {}
+    for n in SIZES[: SIZES.index(most) + 1]:
+        m = len(points) - n + 1
+        if m <= 0:
+            break
+        half = 1 << max(n - 1, 1).bit_length() - 1
+        both = out[half][:m] * np.uint64(0xD6E8FEB86659FD93) + out[n - half][half : half + m] if n > 1 else points
+        mixed = (both + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+        out[n] = mixed ^ mixed >> np.uint64(32)
+    return out
+
+
+def size_of(anchor: str) -> int:
+    return max(n for n in SIZES if n <= len(anchor))
+
 
+def page_of(gram: np.ndarray, pages: int) -> np.ndarray:
+    """The page of a gram in the filter; pages are a power of two."""
+    return (gram >> np.uint64(40) & np.uint64(pages - 1)).astype(np.int64)
 
-def bit_of(gram: np.ndarray) -> np.ndarray:
-    """The bit of a gram in the filter."""
-    return ((gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64) % FILTER_BITS
+
+def probe_of(gram: np.ndarray, k: int) -> np.ndarray:
+    """The k-th bit of a gram in its page."""
+    return (gram * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7 + 19 * k) & np.uint64(PAGE_BITS - 1)).astype(np.int64)
 
 
 def anchor_grams(table: DataFrame) -> DataFrame:
-    """ticker, pattern, anchor, gram: all grams of every anchor. An anchor of no length stands under gram 0, which all texts have."""
+    """ticker, pattern, anchor, size, gram: the longest grams of every anchor. An anchor of no length stands under gram 0, which all texts have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(grams(codes(a), min(GRAM, len(a)))) if a else np.zeros(1, np.int64) for a in batch.column(2).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["ticker", "pattern", "anchor", "gram"])
+            anchors = batch.column(2).to_pylist()
+            sizes = [size_of(a) if a else 0 for a in anchors]
+            found = [np.unique(grams(codes(a), n)[n]) if n else np.zeros(1, np.uint64) for a, n in zip(anchors, sizes, strict=True)]
+            counts = [len(f) for f in found]
+            at = pa.array(np.repeat(np.arange(len(found)), counts))
+            flat = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array(np.repeat(sizes, counts), pa.int32()), pa.array(flat)], names=["ticker", "pattern", "anchor", "size", "gram"])
 
     rows = table.select("ticker", "pattern", F.explode("anchors").alias("anchor")).distinct()
-    return rows.mapInArrow(run, "ticker string, pattern string, anchor string, gram long")
+    return rows.mapInArrow(run, "ticker string, pattern string, anchor string, size int, gram long")
 
 
-def filter_of(index: DataFrame) -> np.ndarray:
-    """Which bits the index's grams have: at most FILTER_BITS / 64 words come to the driver."""
+def rarest_grams(index: DataFrame) -> DataFrame:
+    """ticker, pattern, size, gram: of every anchor the gram that the fewest anchors have."""
+    uses = index.groupBy("gram").agg(F.count(F.lit(1)).alias("uses")).hint("rebalance")
+    best = index.join(uses, "gram").groupBy("ticker", "pattern", "anchor").agg(F.min(F.struct("uses", "gram", "size")).alias("best"))
+    return best.select("ticker", "pattern", F.col("best.size").alias("size"), F.col("best.gram").alias("gram")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(FILTER_BITS, bool)
+
+def filter_of(chosen: DataFrame) -> tuple[list[int], np.ndarray]:
+    """The sizes of chosen grams, and the pages of bits that they set: 4 bytes for each, 32 MB at most, come to the driver."""
+    facts = chosen.agg(F.count(F.lit(1)), F.sort_array(F.collect_set("size"))).first()
+    pages = min(1 << (facts[0] * GRAM_BITS // PAGE_BITS).bit_length(), MOST_PAGES)
+
+    def paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own[bit_of(batch.column(0).to_numpy())] = True
-        words = np.packbits(own, bitorder="little").view(np.int64)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
+            own = batch.column(0).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(page_of(own, pages)), batch.column(0)], names=["page", "gram"])
+
+    def run(table: pa.Table) -> pa.Table:
+        own = table.column("gram").to_numpy().view(np.uint64)
+        bits = np.zeros(PAGE_BITS, bool)
+        for k in range(PROBES):
+            bits[probe_of(own, k)] = True
+        return pa.table({"page": table.column("page").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in index.select("gram").mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).collect():
-        words[r["at"]] = r["word"]
-    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+    out = np.zeros((pages, PAGE_BITS // 8), np.uint8)
+    for r in chosen.select("gram").distinct().mapInArrow(paged, "page long, gram long").groupBy("page").applyInArrow(run, "page long, bits binary").collect():
+        out[r["page"]] = np.frombuffer(r["bits"], np.uint8)
+    return [n for n in facts[1] if n], out.reshape(-1)
 
 
-def text_grams(items: DataFrame, index: DataFrame) -> DataFrame:
-    """row, gram: the distinct grams of each text (columns row and text) that can be in the index."""
-    bits = filter_of(index)
-    sizes = range(1, GRAM + 1)
+def text_grams(items: DataFrame, chosen: DataFrame) -> DataFrame:
+    """row, gram: the distinct grams of each text (columns row and text) that can be among the chosen ones."""
+    sizes, bits = filter_of(chosen)
+    pages = len(bits) * 8 // PAGE_BITS
+
+    def held(own: np.ndarray) -> np.ndarray:
+        for k in range(PROBES):
+            at = page_of(own, pages) * PAGE_BITS + probe_of(own, k)
+            own = own[(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+        return own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for text in batch.column(1).to_pylist():
-                points = codes(text)
-                own = np.concatenate([np.zeros(1, np.int64), *(grams(points, n) for n in sizes)])
-                found.append(np.unique(own[bits[bit_of(own)]]))
+                own = grams(codes(text), sizes[-1]) if sizes else {}
+                found.append(np.unique(np.concatenate([held(np.zeros(1, np.uint64)), *(held(own[n]) for n in sizes if n in own)])))
             at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["row", "gram"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], names=["row", "gram"])
 
     kind = items.schema["row"].dataType.simpleString()
     return items.select("row", "text").mapInArrow(run, f"row {kind}, gram long")
 
 
-def rarest_grams(index: DataFrame, seen: DataFrame) -> DataFrame:
-    """ticker, pattern, gram: of every anchor the gram that the fewest texts have; anchors with a gram that no text has are out."""
-    uses = seen.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
-    counted = index.join(uses, "gram", "left").groupBy("ticker", "pattern", "anchor")
-    best = counted.agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "gram")).alias("best"))
-    return best.filter("best.uses > 0").select("ticker", "pattern", F.col("best.gram").alias("gram")).distinct()
+def candidates(rows: DataFrame, companies: DataFrame, path: str | None = None) -> DataFrame:
+    """row, ticker, pattern: where a text (columns row and text) has a gram of a company. What is chosen for companies is stored under `path`."""
+    chosen = rarest_grams(anchor_grams(patterns(companies)))
+    if path is not None:
+        chosen = kept(chosen, path)
+    # Dealt anew, so that a gram that most texts have is split in the join.
+    return text_grams(rows, chosen).join(chosen.hint("rebalance"), "gram").select("row", "ticker", "pattern").distinct()
 
 
-def company_mentions(items: DataFrame, companies: DataFrame) -> DataFrame:
+def company_mentions(items: DataFrame, companies: DataFrame, path: str | None = None) -> DataFrame:
     """ticker, ord: every item whose title or excerpt names a company.
 
-    Each pattern has literals one of which every match holds. Of each literal the rarest n-gram is looked for
-    among the texts' grams by an equi-join; what meets there is tested with the whole pattern. So a text is held
-    against the companies that it may name, and there may be any number of them. ord tells items apart.
+    Each pattern has literals one of which every match holds. Of each literal a long n-gram, all of it or nearly
+    so, is looked for among the texts' grams by an equi-join; what meets there is tested with the whole pattern. So a text is
+    held against the companies that it all but names, and there may be any number of them. ord tells items apart.
     """
     text = F.concat(text_or_empty("title"), F.lit(" "), text_or_empty("excerpt"))
     rows = items.select(F.col("ord").alias("row"), text.alias("text"))
-    index = anchor_grams(patterns(companies))
-    seen = text_grams(rows, index)
-    # Dealt anew, so that a gram that most texts have is split in the join.
-    chosen = rarest_grams(index, seen).hint("rebalance")
-    candidates = seen.join(chosen, "gram").select("row", "ticker", "pattern").distinct()
-    tested = candidates.join(rows, "row").filter(mentions(F.col("text"), F.col("pattern")))
+    tested = candidates(rows, companies, path).join(rows, "row").filter(mentions(F.col("text"), F.col("pattern")))
     return tested.select("ticker", F.col("row").alias("ord")).distinct()
 
 
-def company_news(items: DataFrame, companies: DataFrame, hidden: Sequence[str] = (), most: int = NEWS) -> DataFrame:
+def company_news(items: DataFrame, companies: DataFrame, hidden: Sequence[str] = (), most: int = NEWS, path: str | None = None) -> DataFrame:
     """ticker, id, rn: the newest items that name a company. Per company only the newest items of each task travel."""
     shown = items.filter(visible(hidden))
-    found = company_mentions(shown, companies).join(shown.select("ord", "id", "publishedAt"), "ord")
+    found = company_mentions(shown, companies, path).join(shown.select("ord", "id", "publishedAt"), "ord")
     rn = F.row_number().over(Window.partitionBy("ticker").orderBy(*newest_first()))
     return found.withColumn("rn", rn).filter(F.col("rn") <= most).select("ticker", "id", "rn")
