@@ -1,13 +1,16 @@
 """Operators that must not form all pairs, gather all rows in one task or hold all patterns in one: results and work."""
 
+import gc
 import math
 import random
 import re
+import weakref
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewire.functions import html
 from tidewire.operators import company, feed, stories
 from tidewire.operators.order import Ordered
 from tidewire.streaming import live
@@ -230,3 +233,25 @@ def test_company_of_every_item(spark):
     names = spark.createDataFrame([("GAZP", "g"), ("ZZ", "нет такого")], "ticker string, name string")
     assert [(r.ticker, r.id, r.rn) for r in company.company_news(items, names).orderBy("rn").collect()] == [("GAZP", str(499 - k), k + 1) for k in range(6)]
     assert company.company_news(items, names.limit(0)).count() == 0 and company.company_news(items.limit(0), names).count() == 0
+
+
+# --- pages ----------------------------------------------------------------------------------
+
+
+def test_a_tree_goes_with_its_root():
+    gc.disable()
+    try:
+        root = html.parse("<div><p>a<b>c</b></p></div>")
+        held = weakref.ref(root.children[0].children[0])
+        assert held().parent.tag == "div" and held().parent.parent is root
+        del root
+        assert held() is None
+    finally:
+        gc.enable()
+
+
+def test_batches_of_pages_are_bounded_in_bytes(spark):
+    html.small_batches(spark)
+    size = F.pandas_udf(lambda s: s.map(len) * 0 + int(s.map(len).sum()), "long")
+    pages = spark.range(40).coalesce(1).select(size(F.repeat(F.lit("x"), 1 << 20)).alias("n"))
+    assert pages.agg(F.max("n")).first()[0] <= html.BATCH_BYTES + (1 << 20)
