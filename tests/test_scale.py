@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import html
 from tidewire.operators import company, feed, stories
 from tidewire.operators.order import Ordered
+from tidewire.plans import queries, views
 from tidewire.streaming import live
 
 T0 = datetime(2026, 9, 9, 12)
@@ -255,3 +256,42 @@ def test_batches_of_pages_are_bounded_in_bytes(spark):
     size = F.pandas_udf(lambda s: s.map(len) * 0 + int(s.map(len).sum()), "long")
     pages = spark.range(40).coalesce(1).select(size(F.repeat(F.lit("x"), 1 << 20)).alias("n"))
     assert pages.agg(F.max("n")).first()[0] <= html.BATCH_BYTES + (1 << 20)
+
+
+# --- feeds: what is shuffled ----------------------------------------------------------------
+
+
+def shuffled_bytes(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """Documents of 40 000 characters that hardly compress, every fourth under a headline of two sources."""
+    rng = random.Random(5)
+    path = str(tmp_path_factory.mktemp("long"))
+    body = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=40_000))
+    docs = [(i, f"headline {i if i % 4 else i % 8}\n{body()}", "en", f"src{i % 3}", 40_000) for i in range(100)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    events = [(i, T0 + timedelta(minutes=i), "view") for i in range(120)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, event_type string").write.parquet(f"{path}/events.parquet")
+    return path
+
+
+@pytest.mark.parametrize(("name", "most"), [("ranked_feed", 0.1), ("ranked_pages", 0.1), ("top_block", 0.1), ("also_covered_by", 0.1), ("merge_previous", 2)])
+def test_texts_are_not_shuffled_for_their_addresses(spark, long_texts, name, most):
+    """A feed query shuffles texts only if its rows hold them, and then once to find their time and once to merge them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled_bytes(spark)
+        assert queries.QUERIES[name](spark, long_texts).collect()
+        assert shuffled_bytes(spark) - before < most * 100 * 40_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_first_per_key(spark):
+    rows = [(1, "a"), (2, "a"), (2, "b"), (3, "b"), (4, None), (5, "c"), (5, "c")]
+    items = spark.createDataFrame(rows, "ord long, id string")
+    assert sorted((r.ord, r.id) for r in views.first_per(items, "id").collect()) == [(1, "a"), (2, "b"), (5, "c"), (5, "c")]
