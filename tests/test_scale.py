@@ -4,16 +4,20 @@ import gc
 import math
 import random
 import re
+import time
 import weakref
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidewire.functions import html
-from tidewire.operators import company, feed, stories
+from tidewire.operators import classify, company, feed, rules, snapshot, stories
 from tidewire.operators.order import Ordered
 from tidewire.plans import queries, views
+from tidewire.sources import feeds
 from tidewire.streaming import live
 
 T0 = datetime(2026, 9, 9, 12)
@@ -295,3 +299,11 @@ def test_first_per_key(spark):
     rows = [(1, "a"), (2, "a"), (2, "b"), (3, "b"), (4, None), (5, "c"), (5, "c")]
     items = spark.createDataFrame(rows, "ord long, id string")
     assert sorted((r.ord, r.id) for r in views.first_per(items, "id").collect()) == [(1, "a"), (2, "b"), (5, "c"), (5, "c")]
+
+
+def test_feed_files_are_as_many_as_their_rows_need(spark):
+    paths = views.feed_files(spark, "/root/testdata/sf0.01")
+    sources = views.feed_items(spark, "/root/testdata/sf0.01").select("sourceId").distinct().count()
+    files = sum(len(list(Path(p).glob("source=*/*.txt"))) for p in paths)
+    assert sources <= files <= 2 * sources
+    assert feeds.feed_items(spark, *paths, per_source=None).count() == views.feed_items(spark, "/root/testdata/sf0.01").count()
