@@ -307,3 +307,20 @@ def test_feed_files_are_as_many_as_their_rows_need(spark):
     files = sum(len(list(Path(p).glob("source=*/*.txt"))) for p in paths)
     assert sources <= files <= 2 * sources
     assert feeds.feed_items(spark, *paths, per_source=None).count() == views.feed_items(spark, "/root/testdata/sf0.01").count()
+
+
+@pytest.mark.parametrize("most", [1, 20, 5000])
+def test_the_cut_of_a_snapshot_gets_the_rows_that_it_keeps(spark, tmp_path, most):
+    """Before the last task knew the last place, it got as many whole rows from every task as are kept in all."""
+    text = F.concat_ws("", *[F.sha2(F.concat_ws("-", "ord", F.lit(k)), 512) for k in range(40)])
+    items = spark.range(0, 640, 1, 32).select(F.col("id").alias("ord"), F.when(F.col("id") % 50 != 0, F.lit(T0) - F.make_dt_interval(F.col("id") % 5)).alias("publishedAt"))
+    rows = stories.kept(items.withColumn("excerpt", text), str(tmp_path / "rows"))
+    want = sorted(rows.collect(), key=lambda r: (-(r.publishedAt.timestamp() if r.publishedAt else 0), r.ord))[:most]
+    spark.conf.set("spark.sql.files.minPartitionNum", 32)
+    try:
+        before = shuffled_bytes(spark)
+        assert snapshot.prune(rows, T0, most=most).collect() == want
+        assert shuffled_bytes(spark) - before < 5120 * min(most, 640) + 200_000
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert snapshot.prune(rows.limit(0), T0).count() == 0
