@@ -324,3 +324,62 @@ def test_the_cut_of_a_snapshot_gets_the_rows_that_it_keeps(spark, tmp_path, most
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum")
     assert snapshot.prune(rows.limit(0), T0).count() == 0
+
+
+# --- keyed state: messages to the engine ----------------------------------------------------
+
+
+class Handle:
+    """A handle of one key that counts calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_an_address_costs_few_messages():
+    times = lambda ms: type("T", (), {"getCurrentProcessingTimeInMs": lambda self: ms})()
+    rung = lambda ms: type("E", (), {"getExpiryTimeInMs": lambda self: ms})()
+    item = Row(url="u", ord=1, **dict.fromkeys(live.MergedItems.FIELDS) | {"excerpt": "e", "title": "t"})
+    p, h, day = live.MergedItems(1), Handle(), 86_400_000
+    p.init(h)
+    assert [r.title for r in p.handleInputRows(("u",), iter([item]), times(0))] == ["t"]
+    assert h.calls <= 3 and h.timers == {day}
+    h.calls = 0
+    assert [r.title for r in p.handleInputRows(("u",), iter([item]), times(1000))] == ["t"]
+    assert h.calls <= 2
+    # The timer rings for the first time: the item came again since, and stays until its own time.
+    h.timers.clear()
+    assert not list(p.handleExpiredTimer(("u",), times(day + 1), rung(day)))
+    assert h.value is not None and h.timers == {day + 1000}
+    assert not list(p.handleExpiredTimer(("u",), times(day + 1001), rung(day + 1000)))
+    assert h.value is None
+    q, h = live.PageRequests(3, 1, "habr", 8000), Handle()
+    q.init(h)
+    wanted = [Row(url="u", ord=i, sourceId="s", html=None) for i in range(5)]
+    assert [r.asked for r in q.handleInputRows(("u",), iter(wanted), times(0))] == [True, True, True, False, False]
+    assert h.calls <= 3 and h.value == (3,) and h.timers == {day}
