@@ -383,3 +383,18 @@ def test_an_address_costs_few_messages():
     wanted = [Row(url="u", ord=i, sourceId="s", html=None) for i in range(5)]
     assert [r.asked for r in q.handleInputRows(("u",), iter(wanted), times(0))] == [True, True, True, False, False]
     assert h.calls <= 3 and h.value == (3,) and h.timers == {day}
+
+
+# --- terms and rules ------------------------------------------------------------------------
+
+
+def test_term_totals_gather_terms_only(spark, tmp_path):
+    rows = [(i, "альфа бета бета гамма", None if i % 2 else "гамма омега сигма") for i in range(400)] + [(400, None, None), (401, "", "альфа")]
+    items = stories.kept(spark.createDataFrame(rows, "ord long, title string, excerpt string").repartition(2), str(tmp_path / "items"))
+    by = stories.term_counts(items).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    want = sorted(map(tuple, by.collect()))
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    rows_out = lambda: sum(s.shuffleWriteRecords() for s in map(stages().apply, range(stages().size())))
+    before = rows_out()
+    assert sorted(map(tuple, stories.term_totals(items).collect())) == want
+    assert rows_out() - before <= 5 * 4
