@@ -398,3 +398,16 @@ def test_term_totals_gather_terms_only(spark, tmp_path):
     before = rows_out()
     assert sorted(map(tuple, stories.term_totals(items).collect())) == want
     assert rows_out() - before <= 5 * 4
+
+
+def test_pieces_of_a_text_are_found_once(spark):
+    """A text with many weak terms and no context takes time by its length, not by its length for each term."""
+    weak = next(t for t in rules.MARKETS_WEAK if t.isalpha())
+    seconds = {}
+    for n in (50, 800):
+        df = spark.createDataFrame([((f"{weak} " + "и " * rules.NEARBY) * n,)], "t string").select(classify.near_market_context(F.col("t")).alias("x"))
+        df.collect()
+        start = time.monotonic()
+        assert df.collect()[0].x is False
+        seconds[n] = time.monotonic() - start
+    assert seconds[800] < 3
