@@ -6,15 +6,19 @@ import random
 import re
 import time
 import weakref
+from collections import Counter
 from datetime import datetime, timedelta
+from itertools import combinations, product
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidewire.functions import html
-from tidewire.operators import classify, company, feed, rules, snapshot, stories
+from tidewire.functions.text import tokens
+from tidewire.operators import blocks, classify, company, feed, rules, snapshot, stories
 from tidewire.operators.order import Ordered
 from tidewire.plans import queries, views
 from tidewire.sources import feeds
@@ -82,6 +86,84 @@ def test_copies_are_one_class(spark, tmp_path):
     assert stories.similar_classes(items.limit(0), str(tmp_path / "b")).count() == 0
 
 
+def brute_classes(items, least=stories.SIMILARITY):
+    """All pairs of the terms' classes, by a plain loop over (ord, [terms]); copies with the first of them."""
+    counts = {i: Counter(t) for i, t in items}
+    df = Counter(t for c in counts.values() for t in c)
+    firsts, out = {}, {}
+    for i, c in sorted(counts.items()):
+        if c and (first := firsts.setdefault(frozenset(c.items()), i)) != i:
+            out[first, i] = 1.0
+    unit = {}
+    for i in firsts.values():
+        raw = {t: n * (math.log((len(items) + 1) / (df[t] + 1)) + 1) for t, n in counts[i].items()}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        unit[i] = {t: w / norm for t, w in raw.items()}
+    for a, b in combinations(sorted(unit), 2):
+        cosine = sum(w * unit[b].get(t, 0.0) for t, w in unit[a].items())
+        if cosine >= least:
+            out[a, b] = cosine
+    return out
+
+
+def test_pairs_of_items_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Words that are all as common: nearly all pairs have to be looked at, few are similar. What is shuffled grows with the items only."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 150)
+    rng = random.Random(8)
+    vocabulary = [f"word{c}{d}" for c in "abcdefgh" for d in "qrstuvwx"]
+    moved = {}
+    for n in (200, 800):
+        words = [rng.sample(vocabulary, 10) for _ in range(n)]
+        items = spark.createDataFrame([(i * 7, " ".join(w), "") for i, w in enumerate(words)], "ord long, title string, excerpt string")
+        found = items.select("ord", tokens("title").alias("t")).collect()
+        want = brute_classes([(r.ord, [t for t in r.t for _ in range(stories.TITLE_WEIGHT)]) for r in found])
+        path = str(tmp_path / str(n))
+        for key, value in (apart := {"spark.sql.autoBroadcastJoinThreshold": -1, "spark.sql.adaptive.coalescePartitions.enabled": False}).items():
+            spark.conf.set(key, value)
+        try:
+            before = shuffled_bytes(spark)
+            stories.kept(stories.similar_classes(items, f"{path}/steps"), f"{path}/out")
+            moved[n] = shuffled_bytes(spark) - before
+        finally:
+            for key in apart:
+                spark.conf.unset(key)
+        got = {(r.a, r.b): r.cosine for r in spark.read.parquet(f"{path}/out").collect()}
+        assert set(got) == set(want)
+        assert n // 2 < len(got) < n * n // 20
+        assert all(abs(got[p] - c) < 1e-9 for p, c in want.items())
+    assert moved[800] < 5 * moved[200]
+
+
+@pytest.mark.parametrize("dense", [0.0, 0.05, 2.0])
+@pytest.mark.parametrize("least", [0.2, 0.42, 1.0 - 1e-9])
+def test_blocks_meet_exactly(monkeypatch, dense, least):
+    """Two blocks and one with itself: all columns, all entry by entry, and both; rows of a block that end between slabs."""
+    monkeypatch.setattr(blocks, "DENSE", dense)
+    monkeypatch.setattr(blocks, "SLAB", 7)
+    monkeypatch.setattr(blocks, "PAIRS", 10)
+    rng = random.Random(int(least * 100))
+    made, own = [], {}
+    for k, ords in enumerate((range(0, 90, 2), range(1, 61, 2))):
+        rows = [(k, i, t, df, rng.choice((1.0, 2.5, 7.0))) for i in ords for t, df in {(t, 1 + (t < 50)) for t in rng.choices(range(60), [1 / (t + 1) for t in range(60)], k=rng.randint(1, 9))}]
+        # A term of one item has a number of its own.
+        rows = [(k, i, t if df > 1 else 1000 + i * 100 + t, df, w) for k, i, t, df, w in rows]
+        if k:
+            rows += [(1, 1001, t, df, w) for _, i, t, df, w in rows if i == 1 and df > 1]
+        for _, i, t, _, w in rows:
+            own.setdefault(i, {})[t] = w
+        row = blocks.packed(pa.table(dict(zip(("block", "ord", "number", "df", "raw"), map(list, zip(*rows, strict=True)), strict=True)))).to_pylist()[0]
+        made.append(blocks.Block(*(pa.py_buffer(row[c]) for c in ("ords", "terms", "counts", "places", "weights"))))
+    unit = {i: {t: w / math.sqrt(sum(x * x for x in v.values())) for t, w in v.items()} for i, v in own.items()}
+    dot = lambda a, b: sum(w * unit[b].get(t, 0.0) for t, w in unit[a].items())
+    x, y = made
+    for one, other, pairs in ((x, y, product(x.ords, y.ords)), (y, x, product(x.ords, y.ords)), (y, y, combinations(y.ords, 2))):
+        want = {(min(p), max(p)): c for p in pairs if (c := dot(*p)) >= least - 1e-12}
+        got = [r for b in blocks.similar(one, other, one is other, least) for r in zip(*b.to_pydict().values(), strict=True)]
+        assert len(got) == len({r[:2] for r in got})
+        assert {r[:2] for r in got} == {p for p, c in want.items() if c >= least} and (want or least > 0.9)
+        assert all(abs(want[a, b] - c) < 1e-12 for a, b, c in got)
+
+
 # --- document frequencies -------------------------------------------------------------------
 
 
