@@ -1,12 +1,13 @@
 import math
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import text
 from tidewire.operators import classify, company, feed, market, snapshot, stories, treemap
-from tidewire.plans import golden
+from tidewire.plans import golden, walk_sql
 from tidewire.sources import exchange
 
 T0 = datetime(2026, 9, 9, 12)
@@ -200,6 +201,22 @@ def test_narrow_and_skewed():
     assert 12 <= len(shown) <= 39
 
 
+def test_small_sectors_merge_in_the_order_of_tiles():
+    stocks = [{"ticker": t, "sector": s, "weight": w, "change": 1.0} for t, s, w in (("A", "Финансы", 1000.0), ("X", "Химия", 15.0), ("B", "Прочие", 15.0), ("Y", "Металлы", 15.0))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE shown0 (ticker VARCHAR, sector VARCHAR, weight DOUBLE, change DOUBLE, rn BIGINT)")
+    con.executemany("INSERT INTO shown0 VALUES (?, ?, ?, ?, ?)", [[*s.values(), rn] for rn, s in enumerate(stocks, 1)])
+    want = con.execute(f"WITH RECURSIVE {walk_sql.layout(0, 'Прочие', 0.02, 960, 340)} SELECT ticker, grp, round(x, 4), round(y, 4) FROM cells0").fetchall()
+    cells = treemap.fitted(stocks, 960, 340)
+    assert sorted((c["ticker"], c["group"], round(c["x"], 4), round(c["y"], 4)) for c in cells) == sorted(want)
+    assert [c["ticker"] for c in cells] == ["A", "X", "B", "Y"]
+
+
+def test_of_equal_crumbs_the_last_go_first():
+    stocks = [{"ticker": f"T{i}", "sector": "Финансы", "weight": 1000.0 if i < 11 else 0.5, "change": 0.0} for i in range(14)]
+    assert {c["ticker"] for c in treemap.fitted(stocks, 960, 340)} == {f"T{i}" for i in range(12)}
+
+
 # --- feed -----------------------------------------------------------------------------------
 
 

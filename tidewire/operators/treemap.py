@@ -106,7 +106,8 @@ def lay_out(stocks: list[dict], width: float, height: float) -> list[dict]:
     tiny = [s for s in sectors if s[1] / total < SMALL_SECTOR and s[0] != OTHER]
     if len(tiny) > 1:
         rest = [s for s in sectors if s[0] == OTHER]
-        merged = (OTHER, sum(s[1] for s in rest + tiny), [m for s in rest + tiny for m in s[2]])
+        joined = {s[0] for s in rest + tiny}
+        merged = (OTHER, sum(s[1] for s in rest + tiny), [s for s in stocks if (s["sector"] or OTHER) in joined])
         kept = [merged if s[0] == OTHER else s for s in sectors if s not in tiny]
         sectors = sorted(kept if rest else [*kept, merged], key=lambda s: -s[1])
     out = []
@@ -125,14 +126,15 @@ def lay_out(stocks: list[dict], width: float, height: float) -> list[dict]:
 
 
 def fitted(stocks: list[dict], width: float, height: float) -> list[dict]:
-    """A layout without unreadable tiles: crumbs go, smallest first, and the rest is laid out again."""
+    """A layout without unreadable tiles: crumbs go, smallest first (of equal ones the last), and the rest is laid out again."""
     weight = lambda s: s["weight"] or 0.0
     shown = sorted(stocks, key=lambda s: -weight(s))
     if width < NARROW_WIDTH:
         shown = shown[:NARROW_TILES]
     cells = lay_out(shown, width, height)
     for _ in range(PASSES):
-        crumbs = sorted((c for c in cells if c["fit"] == "tiny"), key=weight)
+        place = {s["ticker"]: i for i, s in enumerate(shown)}
+        crumbs = sorted((c for c in cells if c["fit"] == "tiny"), key=lambda s: (weight(s), -place[s["ticker"]]))
         drop = {c["ticker"] for c in crumbs[: max(0, len(shown) - LEAST_TILES)]}
         if not drop:
             break
