@@ -104,7 +104,7 @@ class Tokenizers:
     def a_ids(self, text: str) -> list[int]:
         if self.a.fast:
             try:
-                return self.a.fast.encode_ordinary(text)
+                return self.a.fast.encode(text, disallowed_special=())  # encode_ordinary panics where this raises
             except ValueError:  # its pattern runs out of stack on very long white space
                 pass
         return self.library.encode(text, add_special_tokens=False).ids
