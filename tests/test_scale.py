@@ -164,6 +164,49 @@ def test_blocks_meet_exactly(monkeypatch, dense, least):
         assert all(abs(want[a, b] - c) < 1e-12 for a, b, c in got)
 
 
+def unit_block(rows):
+    """A block of {ord: {number: raw weight}}; all terms count as met."""
+    every = [(0, i, t, 2, w) for i, v in rows.items() for t, w in v.items()]
+    row = blocks.packed(pa.table(dict(zip(("block", "ord", "number", "df", "raw"), map(list, zip(*every, strict=True)), strict=True)))).to_pylist()[0]
+    norms = {i: math.sqrt(sum(w * w for w in v.values())) for i, v in rows.items()}
+    unit = {i: {t: w / norms[i] for t, w in v.items()} for i, v in rows.items()}
+    return blocks.Block(*(pa.py_buffer(row[c]) for c in ("ords", "terms", "counts", "places", "weights"))), unit
+
+
+def test_blocks_make_few_products(monkeypatch):
+    """Rare terms that weigh most and frequent ones that weigh little: what can only come from the latter is not multiplied."""
+    rng = random.Random(4)
+    rows = {i: {rng.randrange(4000): 6.0 for _ in range(14)} | {4000 + t: 0.9 for t in rng.sample(range(500), 20)} for i in range(800)}
+    rows |= {800 + i: rows[i] | {rng.randrange(4000): 6.0} for i in range(0, 800, 40)}
+    x, own = unit_block({i: v for i, v in rows.items() if i < 800 and i % 2 == 0})
+    y, more = unit_block({i: v for i, v in rows.items() if i >= 800 or i % 2})
+    made, spans = [], blocks.spans
+    monkeypatch.setattr(blocks, "spans", lambda starts, counts: made.append(int(counts.sum())) or spans(starts, counts))
+    got = {r[:2]: r[2] for b in blocks.similar(x, y, False, 0.42) for r in zip(*b.to_pydict().values(), strict=True)}
+    want = {(min(a, b), max(a, b)): c for a, v in own.items() for b, u in more.items() if (c := sum(w * u.get(t, 0.0) for t, w in v.items())) >= 0.42}
+    assert len(want) >= 20
+    assert set(got) == set(want)
+    assert all(abs(got[p] - c) < 1e-12 for p, c in want.items())
+    every = sum(len(v.keys() & u.keys()) for v in own.values() for u in more.values())
+    assert every > 0.7 * len(own) * len(more)
+    assert sum(made) < 0.1 * every
+
+
+@pytest.mark.parametrize("products", [1, 7, 1 << 20])
+def test_blocks_with_many_products(monkeypatch, products):
+    """Where most pairs are similar, all products are made, a bounded number at once."""
+    monkeypatch.setattr(blocks, "PRODUCTS", products)
+    monkeypatch.setattr(blocks, "SLAB", 7)
+    rng = random.Random(products)
+    rows = {i: {t: rng.choice((1.0, 2.0)) for t in rng.sample(range(12), 8)} for i in range(60)}
+    x, own = unit_block(rows)
+    got = {r[:2]: r[2] for b in blocks.similar(x, x, True, 0.42) for r in zip(*b.to_pydict().values(), strict=True)}
+    want = {(a, b): c for a, b in combinations(rows, 2) if (c := sum(w * own[b].get(t, 0.0) for t, w in own[a].items())) >= 0.42}
+    assert len(want) > 1000
+    assert set(got) == set(want)
+    assert all(abs(got[p] - c) < 1e-12 for p, c in want.items())
+
+
 # --- document frequencies -------------------------------------------------------------------
 
 
