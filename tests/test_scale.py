@@ -192,6 +192,22 @@ def test_blocks_make_few_products(monkeypatch):
     assert sum(made) < 0.1 * every
 
 
+def test_terms_of_one_item_are_dealt_to_all_tasks(spark, tmp_path):
+    """Most terms have one item: their numbers, which go by how many items have a term, are not given out in one task."""
+    items = spark.createDataFrame([(i, f"общее слово{i}а тема{i}б дело{i}в", "") for i in range(2000)], "ord long, title string, excerpt string").repartition(8)
+    for key, value in (apart := {"spark.sql.adaptive.coalescePartitions.enabled": False}).items():
+        spark.conf.set(key, value)
+    try:
+        stories.similar_classes(items, str(tmp_path))
+    finally:
+        for key in apart:
+            spark.conf.unset(key)
+    rows = spark.read.parquet(str(tmp_path / "terms")).select("df", "number", F.input_file_name().alias("file")).collect()
+    assert max(Counter(r.file for r in rows).values()) < 0.6 * len(rows)
+    assert [r.df for r in sorted(rows, key=lambda r: r.number)] == sorted(r.df for r in rows)
+    assert len({r.number for r in rows}) == len(rows)
+
+
 @pytest.mark.parametrize("products", [1, 7, 1 << 20])
 def test_blocks_with_many_products(monkeypatch, products):
     """Where most pairs are similar, all products are made, a bounded number at once."""
